@@ -154,21 +154,24 @@ def is_machine_written(authors: Column, markers: Sequence[str] = rules.MACHINE_A
     return F.lower(F.concat_ws(" ", authors)).rlike(alternation(markers))
 
 
-def title_coverage(title: Column | str, text: Column | str, stopwords: Sequence[str] = rules.TITLE_STOPWORDS) -> Column:
+def folded_ascii(text: Column | str) -> Column:
+    return F.lower(ascii_only(text))
+
+
+def title_coverage(title: Column, text: Column, stopwords: Sequence[str] = rules.TITLE_STOPWORDS) -> Column:
     """Share of the title's distinctive words found in a text; NULL when it has
-    fewer than two and nothing can be said."""
+    fewer than two and nothing can be said.
+
+    Both sides are columns already passed through :func:`folded_ascii`.
+    """
     words = F.array_distinct(
-        F.filter(
-            F.regexp_extract_all(F.lower(ascii_only(title)), F.lit(r"([a-z]{4,})"), F.lit(1)),
-            lambda w: ~w.isin(*stopwords),
-        )
+        F.filter(F.regexp_extract_all(title, F.lit(r"([a-z]{4,})"), F.lit(1)), lambda w: ~w.isin(*stopwords))
     )
-    folded = F.lower(ascii_only(text))
-    hits = F.size(F.filter(words, lambda w: folded.contains(w)))
+    hits = F.size(F.filter(words, lambda w: text.contains(w)))
     return F.when(F.size(words) >= 2, hits / F.size(words))
 
 
-def title_matches(title: Column | str, text: Column | str, min_ratio: float = 0.5) -> Column:
+def title_matches(title: Column, text: Column, min_ratio: float = 0.5) -> Column:
     return F.coalesce(title_coverage(title, text) >= min_ratio, F.lit(True))
 
 

@@ -192,8 +192,10 @@ def title_match(spark, sf_dir):
 )
 def title_coverage(spark, sf_dir):
     body = F.regexp_replace("html", "(?is)<title.*?</title>", "")
-    ratio = X.title_coverage("title", body)
-    return named_pages(spark, sf_dir).select("page_id", F.round(ratio, 4).alias("coverage"))
+    folded = named_pages(spark, sf_dir).select(
+        "page_id", X.folded_ascii("title").alias("t"), X.folded_ascii(body).alias("b")
+    )
+    return folded.select("page_id", F.round(X.title_coverage(F.col("t"), F.col("b")), 4).alias("coverage"))
 
 
 @query(
