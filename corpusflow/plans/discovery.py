@@ -232,7 +232,7 @@ def author_evidence(spark, sf_dir):
     "author_ladder",
     rf"""
     WITH {SQL_NAMED_PAGES},
-    w AS (SELECT page_id, given, family, html, len(regexp_extract_all(title, '[\p{{L}}\p{{_n()}}_]+')) AS words, page_id % 5 = 4 AS has_text FROM np)
+    w AS (SELECT page_id, given, family, html, len(regexp_extract_all(title, '[\p{{L}}\p{{N}}_]+')) AS words, page_id % 5 = 4 AS has_text FROM np)
     SELECT page_id AS key,
       CASE WHEN page_id % 5 = 0 THEN 'eric' WHEN page_id % 5 IN (1, 2) THEN 'html' WHEN page_id % 5 = 3 AND words >= 7 THEN 'crossref:title'
            WHEN page_id % 5 = 4 AND words >= 4 THEN 'crossref:title' END AS method,
