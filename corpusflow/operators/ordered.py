@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from corpusflow import rules
 
 SEGMENT = "_segment"
-_NO_WINDOW = np.iinfo(np.int64).min
+_NO_WINDOW = int(np.iinfo(np.int64).min)
 
 
 def seconds(ts: Column) -> Column:
@@ -40,11 +40,11 @@ def segment_width(df: DataFrame, order: Column, rows_per_segment: int = 1_000_00
     return float(row["hi"] - row["lo"]) / max(1, row["n"] // rows_per_segment)
 
 
-def _attach(df: DataFrame, summary: DataFrame, on: Sequence[str]) -> DataFrame:
+def _attach(df: DataFrame, summary: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a per-segment summary back; NULL keys match each other."""
     renamed = summary.withColumnsRenamed({c: f"_r_{c}" for c in on})
     cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
-    return df.join(renamed, cond, "inner").drop(*[f"_r_{c}" for c in on])
+    return df.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
 
 
 def running(
@@ -169,6 +169,30 @@ def _window_exits(ts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     return ts[last] + span, n - last
 
 
+def count_hits(
+    us: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray, span: int, end: int = _NO_WINDOW, count: int = 0
+) -> tuple[list[int], list[int], int, int]:
+    """Walk hits in order: each one's number in its window and that window's end.
+
+    Where ``starts`` is set a new key begins with the given open window.
+    """
+    numbers, until = [], []
+    for t, fresh, open_end, open_count in zip(us.tolist(), starts.tolist(), ends.tolist(), counts.tolist()):
+        if fresh:
+            end, count = open_end, open_count
+        if t >= end:
+            end, count = t + span, 1
+        else:
+            count += 1
+        numbers.append(count)
+        until.append(end)
+    return numbers, until, end, count
+
+
+def retry_seconds(micros_left: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(micros_left / 1_000_000 + 0.5)).cast("int")
+
+
 def first_hit_windows(
     df: DataFrame,
     keys: Sequence[str],
@@ -176,21 +200,29 @@ def first_hit_windows(
     tie: str,
     limit: int = rules.RATE_LIMIT_PER_WINDOW,
     window_seconds: int = rules.RATE_WINDOW_SECONDS,
-    segment_seconds: int = 86_400,
+    segment_seconds: int = 3_600,
+    hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """Fixed windows that open at a key's first hit, refused hits counting too.
 
     Adds ``hit_no`` (position in its window), ``allowed`` and ``retry_after``
-    (seconds, NULL when allowed). The state carried between segments is when the
-    open window ends and how many hits it has; a segment's effect on it is a
-    small step function of the incoming end time.
+    (seconds, NULL when allowed). Keys with more than ``hot_rows`` hits are cut
+    into time segments. The state between segments is when the open window ends
+    and how many hits it has; a segment's effect on it is a small step function
+    of the incoming end time, so segments are summarised side by side and only
+    the summaries are walked per key.
     """
     span, width = window_seconds * 1_000_000, segment_seconds * 1_000_000
     keys = list(keys)
     part = [*keys, SEGMENT]
     key_fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    hits = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    hits = hits.withColumn(SEGMENT, F.floor(F.col("_us") / F.lit(width)).cast("long"))
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    renamed = hot.withColumnsRenamed({k: f"_h_{k}" for k in keys})
+    same_key = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
+    hits = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).join(renamed, same_key, "left")
+    hits = hits.withColumn(
+        SEGMENT, F.when(F.col("_hot"), F.floor(F.col("_us") / F.lit(width)).cast("long")).otherwise(F.lit(0).cast("long"))
+    ).drop(*[f"_h_{k}" for k in keys])
 
     def step_functions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _groups(frames, part):
@@ -202,68 +234,62 @@ def first_hit_windows(
             out = pd.DataFrame({"_upper": us[:m][keep], "_end": ends[:m][keep], "_count": counts[:m][keep]})
             for k in part:
                 out[k] = group[k].iloc[0]
-            out["_n"] = len(us)
+            out["_size"] = len(us)
             yield out
 
     def carry_over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _groups(frames, keys):
             end, count, rows = _NO_WINDOW, 0, []
-            for segment, part_rows in group.groupby(SEGMENT, sort=True):
+            for segment, steps in group.groupby(SEGMENT, sort=True):
                 rows.append((segment, end, count))
-                upper = part_rows["_upper"].to_numpy()
-                i = int(np.searchsorted(upper, end, side="left"))
-                if i < len(upper):
-                    end, count = int(part_rows["_end"].iloc[i]), int(part_rows["_count"].iloc[i])
+                i = int(np.searchsorted(steps["_upper"].to_numpy(), end, side="left"))
+                if i < len(steps):
+                    end, count = int(steps["_end"].iloc[i]), int(steps["_count"].iloc[i])
                 else:
-                    count += int(part_rows["_n"].iloc[0])
+                    count += int(steps["_size"].iloc[0])
             out = pd.DataFrame(rows, columns=[SEGMENT, "_open_end", "_open_count"])
             for k in keys:
                 out[k] = group[k].iloc[0]
             yield out
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, end, count = None, _NO_WINDOW, 0
+        last, end, count = None, _NO_WINDOW, 0
         for frame in frames:
             if frame.empty:
                 continue
             codes = frame.groupby(part, sort=False, dropna=False).ngroup().to_numpy()
+            first = tuple(None if pd.isna(v) else v for v in frame[part].iloc[0])
+            starts = np.append(first != last, np.diff(codes) != 0)
             us = frame["_us"].to_numpy()
-            number, until = np.empty(len(us), np.int64), np.empty(len(us), np.int64)
-            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1), len(us)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                key = tuple(None if pd.isna(v) else v for v in frame[part].iloc[lo])
-                if key != current:
-                    current = key
-                    end, count = int(frame["_open_end"].iloc[lo]), int(frame["_open_count"].iloc[lo])
-                i = lo
-                while i < hi:
-                    j = i + int(np.searchsorted(us[i:hi], end, side="left"))
-                    number[i:j] = count + np.arange(1, j - i + 1)
-                    until[i:j] = end
-                    count += j - i
-                    if j < hi:
-                        end, count = int(us[j]) + span, 0
-                    i = j
+            numbers, until, end, count = count_hits(
+                us, starts, frame["_open_end"].to_numpy(), frame["_open_count"].to_numpy(), span, end, count
+            )
+            last = tuple(None if pd.isna(v) else v for v in frame[part].iloc[-1])
             yield frame.drop(columns=["_us", SEGMENT, "_open_end", "_open_count"]).assign(
-                hit_no=number, _left=until - us
+                hit_no=numbers, _left=np.array(until) - us
             )
 
     def sorted_by(frame: DataFrame, by: list[str], *order: str) -> DataFrame:
         return frame.repartition(*by).sortWithinPartitions(*by, *order)
 
-    steps = sorted_by(hits.select(*part, "_us"), part, "_us").mapInPandas(
-        step_functions, f"_upper long, _end long, _count long, {key_fields}, {SEGMENT} long, _n long"
+    steps = sorted_by(hits.where("_hot").select(*part, "_us"), part, "_us").mapInPandas(
+        step_functions, f"_upper long, _end long, _count long, {key_fields}, {SEGMENT} long, _size long"
     )
     entries = sorted_by(steps, keys, SEGMENT, "_upper").mapInPandas(
         carry_over, f"{SEGMENT} long, _open_end long, _open_count long, {key_fields}"
     )
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    decided = sorted_by(_attach(hits, entries, part), part, "_us", tie).mapInPandas(
-        decide, f"{fields}, hit_no long, _left long"
+    entered = _attach(hits.drop("_hot"), entries, part, "left").withColumns(
+        {
+            "_open_end": F.coalesce("_open_end", F.lit(_NO_WINDOW).cast("long")),
+            "_open_count": F.coalesce("_open_count", F.lit(0).cast("long")),
+        }
     )
+    decided = sorted_by(entered, part, "_us", tie).mapInPandas(decide, f"{fields}, hit_no long, _left long")
     refused = F.col("hit_no") > limit
-    wait = F.greatest(F.lit(1), F.floor(F.col("_left") / 1_000_000 + 0.5)).cast("int")
-    return decided.withColumns({"allowed": ~refused, "retry_after": F.when(refused, wait)}).drop("_left")
+    return decided.withColumns(
+        {"allowed": ~refused, "retry_after": F.when(refused, retry_seconds(F.col("_left")))}
+    ).drop("_left")
 
 
 # --- quotas ------------------------------------------------------------------

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from corpusflow.plans.common import ORACLES, QUERIES
 
-MODULES = ("web", "text", "discovery", "corpus", "activity", "retrieval")
+MODULES = ("web", "text", "discovery", "corpus", "activity", "retrieval", "streams")
 for _name in MODULES:
     import_module(f"corpusflow.plans.{_name}")
 

@@ -351,7 +351,7 @@ def rate_limit(spark, sf_dir):
     """Two hits per user and path in two days from the first hit."""
     hits = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("path"), "ts")
     decided = O.first_hit_windows(
-        hits, ["user_id", "path"], "ts", "event_id", limit=2, window_seconds=172_800, segment_seconds=86_400
+        hits, ["user_id", "path"], "ts", "event_id", limit=2, window_seconds=172_800, segment_seconds=7 * 86_400
     )
     return decided.select("event_id", "hit_no", "allowed", "retry_after")
 
