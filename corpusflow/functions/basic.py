@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,14 +13,29 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Unicode white space as the members of a regex class. Spelled out, since
+#: ``\\s`` alone is ASCII and the ``(?U)`` flag is slow.
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def strip(c: Column | str) -> Column:
     """Strip Unicode white space at both ends (SQL ``trim`` strips blanks only)."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(_SPACE_CHARS))
 
 
 def collapse(c: Column | str) -> Column:
     """Runs of white space become one blank; NULL becomes the empty string."""
-    return strip(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), rf"[{SPACE}]+", " "))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    An expression used inside a lambda is otherwise computed anew for every
+    element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def nullif_blank(c: Column) -> Column:

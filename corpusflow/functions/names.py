@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusflow import rules
 from corpusflow.functions.arrow import reattach_marks
-from corpusflow.functions.basic import alternation, col, collapse, strip, title_case
+from corpusflow.functions.basic import alternation, col, collapse, let, strip, title_case
 
 _LIFE_DATES = r",?\s*(?:ca\.\s*)?\d{3,4}\s*-\s*(?:\d{3,4})?\.?$"
 _TRAILING_ROLE = r"(?i),?\s*\b(?:ed|eds|editor|author|comp)\.?$"
@@ -55,7 +55,7 @@ def clean_name(raw: Column | str) -> Column:
     # exactly one comma with something on both sides
     name = F.regexp_replace(name, r"^([^,]*[^,\s])\s*,\s*([^,\s][^,]*)$", "$2 $1")
     name = collapse(name)
-    name = F.when(_is_upper(name) & (F.char_length(name) > 4), title_case(name)).otherwise(name)
+    name = let(name, lambda n: F.when(_is_upper(n) & (F.char_length(n) > 4), title_case(n)).otherwise(n))
     return F.regexp_replace(name, r"(?i)\bunesco\b", "UNESCO")
 
 
@@ -101,9 +101,9 @@ def split_name_list(raw: Column | str) -> Column:
     parts = F.split(col(raw), r"\s*(?:;|\band\b|&)\s*")
 
     def pieces_of(part: Column) -> Column:
+        people = lambda p: (F.size(p) > 1) & F.forall(p, lambda x: x.rlike(r"\S\s+\S"))
         pieces = F.transform(F.split(part, ","), strip)
-        people = (F.size(pieces) > 1) & F.forall(pieces, lambda p: p.rlike(r"\S\s+\S"))
-        return F.when(people, pieces).otherwise(F.array(part))
+        return let(pieces, lambda p: F.when(people(p), p).otherwise(F.array(part)))
 
     return F.filter(F.flatten(F.transform(parts, pieces_of)), lambda p: strip(p) != "")
 
@@ -111,9 +111,13 @@ def split_name_list(raw: Column | str) -> Column:
 def unique_names(names: Column) -> Column:
     """Distinct by folded spelling, first spelling kept, order kept."""
     keyed = F.transform(names, lambda n: F.struct(n.alias("name"), fold_name(n).alias("key")))
-    keys = F.transform(keyed, lambda k: k["key"])
-    kept = F.filter(keyed, lambda k, i: (k["name"] != "") & (F.array_position(keys, k["key"]) == i + 1))
-    return F.transform(kept, lambda k: k["name"])
+    firsts = let(
+        keyed,
+        lambda all_: F.filter(
+            all_, lambda k, i: (k["name"] != "") & (F.array_position(all_["key"], k["key"]) == i + 1)
+        ),
+    )
+    return F.transform(firsts, lambda k: k["name"])
 
 
 def format_authors(names: Column, shown: int = rules.MAX_AUTHORS_SHOWN) -> Column:

@@ -6,11 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusflow import rules
 from corpusflow.functions.arrow import ascii_only, nfkc
-from corpusflow.functions.basic import alternation, col, percent_decode, string_array, strip
+from corpusflow.functions.basic import SPACE, alternation, col, let, percent_decode, string_array, strip
 
 _RESERVED = rf"(?i)</?\s*(?:{alternation(rules.RESERVED_TAGS)})\s*>"
 _SCAFFOLD = r"(?i)</?\s*(?:system|assistant|instructions?)\s*>|\[/?(?:SYSTEM|INST)\]|<\|[a-z_]+\|>"
@@ -63,27 +62,32 @@ def chunk_chars(
 ) -> Column:
     """Overlapping chunks cut at word or blank boundaries, as an array.
 
-    A fold over alternating word / white-space runs: once the buffer reaches
-    ``size`` characters it is emitted and its last ``overlap`` characters start
-    the next one. A text that ends exactly on a boundary therefore still yields
-    the overlap as a last chunk.
+    A chunk ends at the first boundary between a word and white space at or
+    after ``size`` characters, and the next one starts ``overlap`` characters
+    before that end (even inside a word). A text that ends exactly on such a
+    boundary still yields the overlap as a last chunk.
+
+    Without their overlaps the chunks are back-to-back pieces, so one regular
+    expression finds them all in a single linear scan.
     """
-    state = T.StructType(
-        [T.StructField("buf", T.StringType()), T.StructField("done", T.ArrayType(T.StringType()))]
-    )
-    runs = F.regexp_extract_all(col(text), F.lit(r"(?U)(\s+|\S+)"), F.lit(1))
-
-    def step(acc: Column, run: Column) -> Column:
-        buf = F.concat(acc["buf"], run)
-        full = F.char_length(buf) >= size
-        return F.struct(
-            F.when(full, F.right(buf, F.lit(overlap))).otherwise(buf).alias("buf"),
-            F.when(full, F.array_append(acc["done"], buf)).otherwise(acc["done"]).alias("done"),
-        )
+    if 2 * overlap > size:
+        raise ValueError("overlap must not exceed half the chunk size")
+    rest_of_run = rf"(?:[{SPACE}]+|[^{SPACE}]+)"
+    first, later = rf"\A.{{{size - 1}}}{rest_of_run}", rf"(?!\A).{{{size - overlap - 1}}}{rest_of_run}"
+    found = F.regexp_extract_all(col(text), F.lit(rf"(?s)({first}|{later}|.+)"), F.lit(1))
+
+    def close(pieces: Column) -> Column:
+        full = F.when(F.size(pieces) > 1, size - overlap).otherwise(size)
+        closed = F.char_length(F.try_element_at(pieces, F.lit(-1))) >= full
+        return F.when(closed, F.array_append(pieces, F.lit(""))).otherwise(pieces)
+
+    def overlay(pieces: Column) -> Column:
+        # the overlap is the tail of the piece before
+        tails = F.transform(pieces, lambda p: F.right(p, F.lit(overlap)))
+        leads = F.slice(F.concat(F.array(F.lit("")), tails), F.lit(1), F.size(pieces))
+        return F.zip_with(pieces, leads, lambda p, lead: strip(F.concat(lead, p)))
 
-    start = F.struct(F.lit("").alias("buf"), F.array().cast("array<string>").alias("done")).cast(state)
-    chunks = F.aggregate(runs, start, step, lambda acc: F.array_append(acc["done"], acc["buf"]))
-    return F.filter(F.transform(chunks, strip), lambda c: c != "")
+    return F.filter(let(let(found, close), overlay), lambda c: c != "")
 
 
 def chunk_tokens(
@@ -91,16 +95,20 @@ def chunk_tokens(
     size: int = rules.CHUNK_TOKENS,
     overlap_percent: int = rules.CHUNK_OVERLAP_PERCENT,
 ) -> Column:
-    """Fixed windows of ``size`` white-space tokens, as an array of arrays.
+    """Fixed windows of ``size`` white-space tokens:
+    ``array<struct<n_tokens, chunk>>``, tokens joined by blanks.
 
     A window that would only repeat the tail of the one before is not made.
     """
     overlap = size * overlap_percent // 100
-    tokens = F.regexp_extract_all(col(text), F.lit(r"(?U)(\S+)"), F.lit(1))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tokens) - overlap), F.lit(size - overlap))
-    return F.when(
-        F.size(tokens) > 0, F.transform(starts, lambda s: F.slice(tokens, s, F.lit(size)))
-    ).otherwise(F.array().cast("array<array<string>>"))
+    tokens = F.split(strip(text), rf"[{SPACE}]+")
+
+    def windows(all_tokens: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(all_tokens) - overlap), F.lit(size - overlap))
+        cuts = F.transform(starts, lambda s: F.slice(all_tokens, s, F.lit(size)))
+        return F.transform(cuts, lambda t: F.struct(F.size(t).alias("n_tokens"), F.array_join(t, " ").alias("chunk")))
+
+    return F.filter(let(tokens, windows), lambda w: w["chunk"] != "")
 
 
 def snippet(text: Column | str, chars: int = rules.SNIPPET_CHARS) -> Column:
@@ -127,9 +135,13 @@ def relevance_ratio(concept: Column | str, title: Column, url: Column, snippet_:
             F.coalesce(snippet_, F.lit("")) if snippet_ is not None else F.lit(""),
         )
     )
-    tokens = concept_tokens(concept)
-    hits = F.size(F.filter(tokens, lambda t: hay.contains(t)))
-    return F.when(F.size(tokens) == 0, F.lit(1.0)).otherwise(hits / F.size(tokens))
+    both = F.struct(concept_tokens(concept).alias("tokens"), hay.alias("hay"))
+
+    def share(b: Column) -> Column:
+        hits = F.size(F.filter(b["tokens"], lambda t: b["hay"].contains(t)))
+        return F.when(F.size(b["tokens"]) == 0, F.lit(1.0)).otherwise(hits / F.size(b["tokens"]))
+
+    return let(both, share)
 
 
 def is_relevant(concept, title, url, snippet_=None, min_ratio: float = rules.RELEVANCE_MIN_RATIO) -> Column:
@@ -177,8 +189,7 @@ def title_matches(title: Column, text: Column, min_ratio: float = 0.5) -> Column
 
 def marker_flags(text: Column | str, markers: Sequence[str] = rules.DEMEANING_MARKERS) -> Column:
     """The listed markers that occur in the text."""
-    lowered = F.lower(col(text))
-    return F.filter(string_array(markers), lambda m: lowered.contains(m))
+    return let(F.lower(col(text)), lambda low: F.filter(string_array(markers), lambda m: low.contains(m)))
 
 
 def withhold_flagged(text: Column | str, markers: Sequence[str] = rules.DEMEANING_MARKERS) -> Column:

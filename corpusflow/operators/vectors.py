@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow import rules
-from corpusflow.functions.basic import nullif_blank
+from corpusflow.functions.basic import let, nullif_blank
 from corpusflow.functions.text import sanitize, snippet
 from corpusflow.session import scratch_dir
 
@@ -28,8 +28,8 @@ def vector_norm(v: Column) -> Column:
 
 def unit_vector(v: Column) -> Column:
     """Scaled to length one; a zero vector stays as it is."""
-    norm = vector_norm(v)
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
+    scale = F.when(vector_norm(v) > 0, 1 / vector_norm(v)).otherwise(F.lit(1.0))
+    return let(scale, lambda s: F.transform(v, lambda x: x.cast("double") * s))
 
 
 def has_dimension(v: Column, dim: int) -> Column:
@@ -151,12 +151,16 @@ class CellIndex:
 
     @classmethod
     def build(cls, vectors: DataFrame, lists: int = rules.IVF_LISTS, vec_id: str = "vec_id",
-              vector: str = "embedding", seed: int = 7, path: str | None = None, iterations: int = 10) -> CellIndex:
+              vector: str = "embedding", seed: int = 7, path: str | None = None, iterations: int = 10,
+              train_rows: int = 1_000_000) -> CellIndex:
+        """Every vector is stored; only the cell centres are learned from at
+        most about ``train_rows`` of them."""
         path = path or scratch_dir(vectors.sparkSession, "cells")
         features = vectors.select(vec_id, vector, array_to_vector(unit_vector(F.col(vector))).alias("_v"))
+        total = vectors.count()
         model = KMeans(
             k=lists, seed=seed, maxIter=iterations, distanceMeasure="cosine", featuresCol="_v", predictionCol="cell"
-        ).fit(features)
+        ).fit(features if total <= train_rows else features.sample(train_rows / total, seed))
         # no shuffle by cell: a crowded cell stays spread over many files
         model.transform(features).drop("_v").write.partitionBy("cell").parquet(path)
         return cls(path, _unit_rows(np.array(model.clusterCenters())))

@@ -35,6 +35,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on work-heavy columns of a table that is one small file.
+
+    A table with as many scan tasks as cores is returned as it is, so large
+    data is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def capitalised(c: Column) -> Column:
     return F.concat(F.upper(F.left(c, F.lit(1))), F.substring(c, 2, 1_000))
 

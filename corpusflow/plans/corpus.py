@@ -8,7 +8,7 @@ from corpusflow.functions.text import chunk_tokens
 from corpusflow.functions.urls import object_key
 from corpusflow.operators.joins import label_cache, unjudged_keys
 from corpusflow.operators.reports import label_counts
-from corpusflow.plans.common import SQL_NAMED_PAGES, named_pages, query, sql_sanitize, sql_url_key, table
+from corpusflow.plans.common import SQL_NAMED_PAGES, named_pages, query, spread, sql_sanitize, sql_url_key, table
 from corpusflow.session import scratch_dir
 from corpusflow.sources import corpus as S
 from corpusflow.sources import files as FI
@@ -85,9 +85,9 @@ def corpus_upsert(spark, sf_dir):
 def corpus_chunks(spark, sf_dir):
     """Chunks after the delivery: those of touched documents are replaced."""
     stored, delivered = _versions(spark, sf_dir)
-    cut = lambda df: df.select(
-        "source_path", F.posexplode(chunk_tokens("text")).alias("chunk_index", "tokens")
-    ).select("source_path", "chunk_index", F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"))
+    cut = lambda df: spread(df).select(
+        "source_path", F.posexplode_outer(chunk_tokens("text")).alias("chunk_index", "c")
+    ).where("chunk_index IS NOT NULL").select("source_path", "chunk_index", F.md5(F.col("c.chunk").cast("binary")).alias("digest"))
     return S.replace_chunks(cut(stored), cut(delivered), delivered)
 
 
@@ -292,7 +292,7 @@ def extract_status(spark, sf_dir):
         F.when(d % 5 == 0, F.concat(F.lit('{"source":"'), "source", F.lit('","list":[1,'), d, F.lit("]}")))
         .when(d % 5 == 1, "").when(d % 5 == 3, F.col("text")).when(d % 5 == 4, F.col("text"))
     )
-    decoded = table(spark, sf_dir, "documents").select(
+    decoded = spread(table(spark, sf_dir, "documents")).select(
         "doc_id", text.alias("text"), F.when(d % 5 == 0, "application/json").otherwise("text/plain").alias("content_type")
     )
     return FI.extract_text(decoded).select(

@@ -104,7 +104,7 @@ def landed(spark, sf_dir, kind: str):
 
 def _harvested(kind: str, spark, sf_dir):
     """Harvest records with the author list as one string for comparison."""
-    records = C.MAPPERS[kind](landed(spark, sf_dir, kind))
+    records = C.harvest(landed(spark, sf_dir, kind), (kind,))
     return records.withColumn("authors", F.array_join("authors", "|"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions.text import sanitize
 from corpusflow.operators import context as C
 from corpusflow.operators import vectors as V
-from corpusflow.plans.common import query, sql_sanitize, table
+from corpusflow.plans.common import query, spread, sql_sanitize, table
 
 
 def questions(spark, sf_dir):
@@ -85,7 +85,7 @@ def normalise_vectors(spark, sf_dir):
 
 @query("hash_embed")
 def hash_embed(spark, sf_dir):
-    made = V.hashed_vectors(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    made = V.hashed_vectors(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text")
     return made.select(
         "doc_id", "vectoriser", F.size("embedding").alias("dim"),
         F.size(F.filter("embedding", lambda x: x != 0)).alias("non_zero"),
@@ -106,7 +106,7 @@ def hash_embed(spark, sf_dir):
 )
 def hit_mapping(spark, sf_dir):
     d = F.col("doc_id")
-    hits = table(spark, sf_dir, "documents").select(
+    hits = spread(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.when(d % 4 != 0, F.concat(F.lit("T </retrieved_sources> "), "source")).alias("title"),
         F.when(d % 3 != 0, F.col("lang")).alias("concept"),

@@ -13,7 +13,7 @@ from corpusflow.functions.names import (
 )
 from corpusflow.operators.matching import concept_label, near_titles, normal_title
 from corpusflow.plans.common import (
-    SQL_NAMED_PAGES, named_pages, query, sql_sanitize, sql_strip, sql_words, table,
+    SQL_NAMED_PAGES, named_pages, query, spread, sql_sanitize, sql_strip, sql_words, table,
 )
 from corpusflow.sources.ledger import validate_rows
 from corpusflow.sources.structured import PART_SPEC, validate_json
@@ -32,7 +32,7 @@ def dirty_documents(spark, sf_dir):
         .when(n == 1, F.concat("text", F.lit(" <|im_start|>      x\n\n\n\n\n<System >\x07")))
         .otherwise(F.col("text"))
     )
-    return table(spark, sf_dir, "documents").withColumn("text", text)
+    return spread(table(spark, sf_dir, "documents")).withColumn("text", text)
 
 
 @query(
@@ -83,9 +83,9 @@ def token_budget(spark, sf_dir):
     FROM pieces WHERE chunk <> ''""",
 )
 def chunk_chars(spark, sf_dir):
-    chunks = table(spark, sf_dir, "documents").select(
-        "doc_id", F.posexplode(X.chunk_chars("text")).alias("chunk_index", "chunk")
-    )
+    chunks = spread(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.posexplode_outer(X.chunk_chars("text")).alias("chunk_index", "chunk")
+    ).where("chunk_index IS NOT NULL")
     return chunks.select(
         "doc_id", "chunk_index", F.char_length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("digest")
     )
@@ -101,13 +101,10 @@ def chunk_chars(spark, sf_dir):
     FROM s""",
 )
 def chunk_tokens(spark, sf_dir):
-    chunks = table(spark, sf_dir, "documents").select(
-        "doc_id", F.posexplode(X.chunk_tokens("text")).alias("chunk_index", "tokens")
-    )
-    return chunks.select(
-        "doc_id", "chunk_index", F.size("tokens").alias("n_tokens"),
-        F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"),
-    )
+    chunks = spread(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.posexplode_outer(X.chunk_tokens("text")).alias("chunk_index", "c")
+    ).where("chunk_index IS NOT NULL")
+    return chunks.select("doc_id", "chunk_index", "c.n_tokens", F.md5(F.col("c.chunk").cast("binary")).alias("digest"))
 
 
 @query(
@@ -160,7 +157,7 @@ def phrase_filter(spark, sf_dir):
     SELECT d.doc_id, coalesce(m.concept, '') AS concept FROM d LEFT JOIN m ON m.doc_id = d.doc_id AND m.r = 1""",
 )
 def label_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return concept_label(docs, "text", table(spark, sf_dir, "benchmark"), "text", key="doc_id").select("doc_id", "concept")
 
 
@@ -365,7 +362,7 @@ def split_names(spark, sf_dir):
 def name_evidence(spark, sf_dir):
     """Is a name made of the document's first words printed in the document?"""
     words = F.regexp_extract_all(F.col("text"), F.lit(r"(\p{L}{2,})"), F.lit(1))
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents")).select(
         "doc_id", fold("text").alias("folded"), F.slice(words, 1, 2).alias("first_two"),
         F.try_element_at(words, F.lit(1)).alias("first"), F.try_element_at(words, F.lit(-1)).alias("last"),
     )

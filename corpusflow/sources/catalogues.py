@@ -9,12 +9,11 @@ needs_check)``.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.basic import collapse, first_match, nullif_blank, percent_encode, strip
+from corpusflow.functions.basic import SPACE, collapse, first_match, nullif_blank, percent_encode, strip
 from corpusflow.functions.names import (
     clean_name, is_plausible_creator, split_name_list, unique_names,
 )
@@ -25,28 +24,6 @@ from corpusflow.functions.urls import http_or_null
 LOOSE_SOURCES = ("openalex", "semanticscholar", "crossref")
 
 
-def to_records(df: DataFrame, source: str, url: Column, title: Column, authors: Column) -> DataFrame:
-    """Common shape: http addresses only, tidy title, no blank authors."""
-    names = F.filter(F.transform(F.coalesce(authors, F.array().cast("array<string>")), strip), lambda a: a != "")
-    return df.select(
-        F.lit(source).alias("source"),
-        "concept",
-        http_or_null(url).alias("url"),
-        collapse(title).alias("title"),
-        F.coalesce(names, F.array().cast("array<string>")).alias("authors"),
-        F.lit(source in LOOSE_SOURCES).alias("needs_check"),
-    ).where("url IS NOT NULL")
-
-
-def _records(pages: DataFrame, schema: str, path: str) -> DataFrame:
-    parsed = F.from_json("payload", schema)
-    return pages.select("concept", F.explode(parsed.getField(path) if "." not in path else _dig(parsed, path)).alias("r"))
-
-
-def _dig(c: Column, path: str) -> Column:
-    return reduce(lambda acc, name: acc.getField(name), path.split("."), c)
-
-
 def _text(c: Column) -> Column:
     """A field that is absent, NULL or blank is NULL."""
     return nullif_blank(strip(c))
@@ -60,101 +37,160 @@ def scalar_or_list(raw: Column) -> Column:
     return F.when(raw.startswith("["), F.from_json(raw, "array<string>")).when(raw.isNotNull(), F.array(raw))
 
 
-def openalex(pages: DataFrame) -> DataFrame:
-    df = _records(
-        pages,
+def _record(url: Column, title: Column, authors: Column) -> Column:
+    return F.struct(url.alias("url"), title.alias("title"), authors.alias("authors"))
+
+
+def openalex(payload: Column) -> Column:
+    works = F.from_json(
+        payload,
         "results array<struct<display_name:string,"
         "best_oa_location:struct<pdf_url:string,landing_page_url:string>,"
         "authorships:array<struct<author:struct<display_name:string>>>>>",
-        "results",
+    )["results"]
+    return F.transform(
+        works,
+        lambda w: _record(
+            F.coalesce(_text(w["best_oa_location"]["pdf_url"]), w["best_oa_location"]["landing_page_url"]),
+            w["display_name"],
+            w["authorships"]["author"]["display_name"],
+        ),
     )
-    url = F.coalesce(_text(F.col("r.best_oa_location.pdf_url")), F.col("r.best_oa_location.landing_page_url"))
-    return to_records(df, "openalex", url, F.col("r.display_name"), F.col("r.authorships.author.display_name"))
 
 
-def archive_org(pages: DataFrame) -> DataFrame:
-    df = _records(
-        pages, "response struct<docs:array<struct<identifier:string,creator:string,title:string>>>", "response.docs"
-    ).where("r.identifier <> ''")
-    url = F.concat(F.lit("https://archive.org/details/"), percent_encode(F.col("r.identifier")))
-    return to_records(df, "archive.org", url, F.col("r.title"), scalar_or_list(F.col("r.creator")))
+def archive_org(payload: Column) -> Column:
+    docs = F.from_json(
+        payload, "response struct<docs:array<struct<identifier:string,creator:string,title:string>>>"
+    )["response"]["docs"]
+    return F.transform(
+        docs,
+        lambda d: _record(
+            F.concat(F.lit("https://archive.org/details/"), percent_encode(_text(d["identifier"]))),
+            d["title"],
+            scalar_or_list(d["creator"]),
+        ),
+    )
 
 
-def zenodo(pages: DataFrame) -> DataFrame:
-    df = _records(
-        pages,
+def zenodo(payload: Column) -> Column:
+    hits = F.from_json(
+        payload,
         "hits struct<hits:array<struct<metadata:struct<title:string,creators:array<struct<name:string>>>,"
         "files:array<struct<key:string,links:struct<self:string>>>,links:struct<self_html:string>>>>",
-        "hits.hits",
-    )
-    files = F.col("r.files")
-    pdf = F.coalesce(
-        first_match(files, lambda f: F.lower(f["key"]).endswith(".pdf")), F.try_element_at(files, F.lit(1))
-    )
-    url = F.coalesce(_text(pdf["links"]["self"]), F.col("r.links.self_html"))
-    return to_records(df, "zenodo", url, F.col("r.metadata.title"), F.col("r.metadata.creators.name"))
+    )["hits"]["hits"]
+
+    def one(h: Column) -> Column:
+        pdf = first_match(h["files"], lambda f: F.lower(f["key"]).endswith(".pdf"))
+        file = F.coalesce(pdf, F.try_element_at(h["files"], F.lit(1)))
+        url = F.coalesce(_text(file["links"]["self"]), h["links"]["self_html"])
+        return _record(url, h["metadata"]["title"], h["metadata"]["creators"]["name"])
+
+    return F.transform(hits, one)
 
 
-def doaj(pages: DataFrame) -> DataFrame:
-    df = _records(
-        pages,
+def doaj(payload: Column) -> Column:
+    items = F.from_json(
+        payload,
         "results array<struct<bibjson:struct<title:string,author:array<struct<name:string>>,"
         "link:array<struct<type:string,url:string>>>>>",
-        "results",
-    )
-    links = F.col("r.bibjson.link")
-    link = F.coalesce(
-        first_match(links, lambda x: F.lower(x["type"]) == "fulltext"), F.try_element_at(links, F.lit(1))
-    )
-    return to_records(df, "doaj", link["url"], F.col("r.bibjson.title"), F.col("r.bibjson.author.name"))
+    )["results"]["bibjson"]
+
+    def one(b: Column) -> Column:
+        link = F.coalesce(
+            first_match(b["link"], lambda x: F.lower(x["type"]) == "fulltext"), F.try_element_at(b["link"], F.lit(1))
+        )
+        return _record(link["url"], b["title"], b["author"]["name"])
+
+    return F.transform(items, one)
 
 
-def hal(pages: DataFrame) -> DataFrame:
-    df = _records(
-        pages,
+def hal(payload: Column) -> Column:
+    docs = F.from_json(
+        payload,
         "response struct<docs:array<struct<title_s:string,fileMain_s:string,uri_s:string,authFullName_s:string>>>",
-        "response.docs",
+    )["response"]["docs"]
+    return F.transform(
+        docs,
+        lambda d: _record(
+            F.coalesce(_text(d["fileMain_s"]), d["uri_s"]),
+            F.try_element_at(scalar_or_list(d["title_s"]), F.lit(1)),
+            scalar_or_list(d["authFullName_s"]),
+        ),
     )
-    title = F.try_element_at(scalar_or_list(F.col("r.title_s")), F.lit(1))
-    url = F.coalesce(_text(F.col("r.fileMain_s")), F.col("r.uri_s"))
-    return to_records(df, "hal", url, title, scalar_or_list(F.col("r.authFullName_s")))
 
 
-def semantic_scholar(pages: DataFrame) -> DataFrame:
-    df = _records(
-        pages,
-        "data array<struct<title:string,openAccessPdf:struct<url:string>,authors:array<struct<name:string>>>>",
-        "data",
-    )
-    return to_records(df, "semanticscholar", F.col("r.openAccessPdf.url"), F.col("r.title"), F.col("r.authors.name"))
+def semantic_scholar(payload: Column) -> Column:
+    papers = F.from_json(
+        payload, "data array<struct<title:string,openAccessPdf:struct<url:string>,authors:array<struct<name:string>>>>"
+    )["data"]
+    return F.transform(papers, lambda p: _record(p["openAccessPdf"]["url"], p["title"], p["authors"]["name"]))
 
 
-def crossref(pages: DataFrame) -> DataFrame:
-    df = _records(
-        pages,
+def crossref(payload: Column) -> Column:
+    items = F.from_json(
+        payload,
         "message struct<items:array<struct<title:array<string>,author:array<struct<given:string,family:string>>,"
         "link:array<struct<URL:string,`content-type`:string>>>>>",
-        "message.items",
-    )
-    link = first_match(F.col("r.link"), lambda x: F.lower(x["content-type"]).contains("pdf"))
-    names = F.transform(F.col("r.author"), lambda a: F.concat_ws(" ", _text(a["given"]), _text(a["family"])))
-    return to_records(df, "crossref", link["URL"], F.try_element_at(F.col("r.title"), F.lit(1)), names)
+    )["message"]["items"]
+
+    def one(i: Column) -> Column:
+        link = first_match(i["link"], lambda x: F.lower(x["content-type"]).contains("pdf"))
+        names = F.transform(i["author"], lambda a: F.concat_ws(" ", _text(a["given"]), _text(a["family"])))
+        return _record(link["URL"], F.try_element_at(i["title"], F.lit(1)), names)
+
+    return F.transform(items, one)
 
 
-def core(pages: DataFrame) -> DataFrame:
-    df = _records(
-        pages,
+def core(payload: Column) -> Column:
+    works = F.from_json(
+        payload,
         "results array<struct<title:string,downloadUrl:string,links:array<struct<type:string,url:string>>,"
         "authors:array<struct<name:string>>>>",
-        "results",
-    )
-    listed = F.transform(
-        F.filter(F.col("r.links"), lambda x: F.lower(x["type"]).isin("download", "reader")), lambda x: x["url"]
-    )
-    urls = F.concat(F.array("r.downloadUrl"), F.coalesce(listed, F.array().cast("array<string>")))
-    return to_records(
-        df, "core", first_match(urls, lambda u: http_or_null(u).isNotNull()), F.col("r.title"), F.col("r.authors.name")
-    )
+    )["results"]
+
+    def one(w: Column) -> Column:
+        offered = F.filter(w["links"], lambda x: F.lower(x["type"]).isin("download", "reader"))["url"]
+        urls = F.concat(F.array(w["downloadUrl"]), F.coalesce(offered, F.array().cast("array<string>")))
+        return _record(first_match(urls, lambda u: http_or_null(u).isNotNull()), w["title"], w["authors"]["name"])
+
+    return F.transform(works, one)
+
+
+MAPPERS: dict[str, Callable[[Column], Column]] = {
+    "openalex": openalex,
+    "archive.org": archive_org,
+    "zenodo": zenodo,
+    "doaj": doaj,
+    "hal": hal,
+    "semanticscholar": semantic_scholar,
+    "crossref": crossref,
+    "core": core,
+}
+
+
+def harvest(pages: DataFrame, sources: Iterable[str] = tuple(MAPPERS)) -> DataFrame:
+    """Landed pages of keyword catalogues in one record shape.
+
+    One pass over the landing table: a page is parsed with its own source's
+    schema only. Records without an http address are dropped, titles tidied,
+    blank authors removed.
+    """
+    sources = tuple(sources)
+    mapped = None
+    for name in sources:
+        parsed = MAPPERS[name](F.col("payload"))
+        here = F.col("source") == name
+        mapped = F.when(here, parsed) if mapped is None else mapped.when(here, parsed)
+    records = pages.where(F.col("source").isin(*sources)).select("source", "concept", F.explode(mapped).alias("r"))
+    names = F.filter(F.transform("r.authors", strip), lambda a: a != "")
+    return records.select(
+        "source",
+        "concept",
+        http_or_null("r.url").alias("url"),
+        collapse("r.title").alias("title"),
+        F.coalesce(names, F.array().cast("array<string>")).alias("authors"),
+        F.col("source").isin(*LOOSE_SOURCES).alias("needs_check"),
+    ).where("url IS NOT NULL")
 
 
 _OAI_SCHEMA = (
@@ -191,30 +227,12 @@ def oai_pmh(pages: DataFrame, label: Callable[[DataFrame, str, str], DataFrame])
         F.concat(F.lit("oai:"), "source").alias("source"),
         "concept",
         "url",
-        F.regexp_replace(F.element_at("titles", 1), r"(?U)\s+", " ").alias("title"),
+        F.regexp_replace(F.element_at("titles", 1), rf"[{SPACE}]+", " ").alias("title"),
         "authors",
         F.lit(False).alias("needs_check"),
     )
 
 
-MAPPERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "openalex": openalex,
-    "archive.org": archive_org,
-    "zenodo": zenodo,
-    "doaj": doaj,
-    "hal": hal,
-    "semanticscholar": semantic_scholar,
-    "crossref": crossref,
-    "core": core,
-}
-
-
-def harvest(pages: DataFrame, sources: Iterable[str] = tuple(MAPPERS)) -> DataFrame:
-    """All keyword catalogues of a landing table in one record shape."""
-    parts = [MAPPERS[name](pages.where(F.col("source") == name)) for name in sources]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def strict_filter(records: DataFrame, strict: bool = True) -> DataFrame:
     """Drop machine-written items and, for searched catalogues, records whose
     title does not carry the concept. Walked catalogues were matched already."""

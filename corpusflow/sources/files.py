@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow import rules
+from corpusflow.functions.basic import let
 from corpusflow.functions.text import sanitize
 
 DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
@@ -136,7 +137,7 @@ def sidecar_json(
         lambda k: F.left(title, F.greatest(F.lit(0), F.char_length(title) - k * 20)),
     )
     fixed = F.octet_length(body(F.lit(""), False)) - 2
-    fits = F.filter(steps, lambda t: fixed + F.octet_length(_quoted(t)) <= max_bytes)
+    fits = let(fixed, lambda n: F.filter(steps, lambda t: n + F.octet_length(_quoted(t)) <= max_bytes))
     shorter = F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(""))
     return df.withColumn("_short", shorter).withColumn(
         "sidecar", F.when(F.octet_length(full) <= max_bytes, full).otherwise(body(F.col("_short"), False))
