@@ -83,24 +83,9 @@ def _label_by_join(df: DataFrame, text: str, phrases: DataFrame, out: str, key:
     hay = df.select(F.col(key).alias("_key"), latin_words(text).alias("_hay"))
     if not sizes:
         return df.withColumn(out, F.lit(""))
-    grams = hay.select(
-        "_key",
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.array(
-                        *[
-                            F.transform(
-                                F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_hay") - q + 1)),
-                                lambda i, q=q: F.substring("_hay", i, F.lit(q)),
-                            )
-                            for q in sizes
-                        ]
-                    )
-                )
-            )
-        ).alias("_gram"),
-    )
+    # a look-ahead yields overlapping grams in one scan of the text
+    pieces = F.flatten(F.array(*[F.regexp_extract_all("_hay", F.lit(f"(?=(.{{{q}}}))"), F.lit(1)) for q in sizes]))
+    grams = hay.select("_key", F.explode_outer(F.array_distinct(pieces)).alias("_gram"))
     keyed = phrases.withColumn("_gram", F.left("_needle", F.least(F.length("_needle"), F.lit(gram))))
     found = (
         grams.join(keyed, "_gram")

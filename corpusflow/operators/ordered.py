@@ -166,7 +166,8 @@ def _window_exits(ts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
         # follow the chain in doubling steps; ``last`` is the deepest start seen
         last = np.where(alive, last[np.minimum(jump[:-1], n - 1)], last)
         jump = np.append(jump[jump[:-1]], n)
-    return ts[last] + span, n - last
+    # hits at the very moment a window opens are all in it
+    return ts[last] + span, n - np.searchsorted(ts, ts[last], side="left")
 
 
 def count_hits(

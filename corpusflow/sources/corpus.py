@@ -13,10 +13,7 @@ from corpusflow.functions.basic import col, nullif_blank, strip
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """All ``*.md`` and ``*.txt`` files below a folder as (source_path, raw)."""
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.{md,txt}")
-        .option("recursiveFileLookup", True)
-        .text(path)
+        spark.read.text(path, wholetext=True, pathGlobFilter="*.{md,txt}", recursiveFileLookup=True)
         .select(F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("raw"))
     )
 
