@@ -51,8 +51,12 @@ def rate_limit_stream(
     hits: DataFrame, keys: Sequence[str], ts: str, tie: str, limit: int = rules.RATE_LIMIT_PER_WINDOW,
     window_seconds: int = rules.RATE_WINDOW_SECONDS, ttl_ms: int | None = None,
 ) -> DataFrame:
-    """Streaming form of ``first_hit_windows``; ``ttl_ms`` drops the state of
-    keys that stay silent."""
+    """Streaming form of ``first_hit_windows``.
+
+    ``ttl_ms`` drops the state of keys that stay silent. It runs on processing
+    time, so use it with a continuing trigger: an ``availableNow`` run would
+    wait for the clock and not end.
+    """
     # helper columns end in "_": the state worker renames a leading underscore
     keyed = hits.withColumns({"us_": F.unix_micros(F.col(ts).cast("timestamp")), "tie_": F.col(tie)})
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema.fields)
