@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusflow import rules
 from corpusflow.functions.arrow import fold, ratcliff_ratio
 from corpusflow.functions.text import latin_words
+from corpusflow.session import materialise
 
 try:
     import ahocorasick
@@ -122,9 +123,10 @@ def near_titles(
     """
     def distinct(df: DataFrame) -> DataFrame:
         norm = normal_title(df.where(F.col(title).isNotNull()), title, "norm").select("norm").distinct()
-        return norm.withColumn("words", F.array_distinct(F.split("norm", " "))).where(
+        words = norm.withColumn("words", F.array_distinct(F.split("norm", " "))).where(
             F.size(F.split("norm", " ")) >= min_words
         )
+        return materialise(words, "titles")  # read several times below
 
     left, right = distinct(wanted), distinct(catalogue)
     everything = left.select("words").unionByName(right.select("words"))

@@ -47,23 +47,33 @@ def _attach(df: DataFrame, summary: DataFrame, on: Sequence[str], how: str = "in
     return df.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
 
 
-def running(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, out: str, how: str = "sum"
+def running_all(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], values: dict[str, Column], how: str = "sum"
 ) -> DataFrame:
-    """Inclusive running ``sum`` or ``max`` per key; needs :func:`with_segment`."""
+    """Inclusive running ``sum`` or ``max`` of several values per key, in one
+    pass; needs :func:`with_segment`."""
     fn = {"sum": F.sum, "max": F.max}[how]
     part = [*keys, SEGMENT]
     local = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_value", value)
-    totals = df.groupBy(*part).agg(fn("_value").alias("_total"))
-    carry = totals.select(*part, fn("_total").over(before).alias("_carry"))
-    joined = _attach(df.withColumn("_local", fn("_value").over(local)), carry, part)
-    if how == "sum":
-        result = F.coalesce(F.col("_local"), F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0))
-    else:
-        result = F.greatest("_local", "_carry")
-    return joined.withColumn(out, result).drop("_value", "_local", "_carry")
+    df = df.withColumns({f"_v_{out}": value for out, value in values.items()})
+    totals = df.groupBy(*part).agg(*[fn(f"_v_{out}").alias(f"_t_{out}") for out in values])
+    carry = totals.select(*part, *[fn(f"_t_{out}").over(before).alias(f"_c_{out}") for out in values])
+    joined = _attach(df.withColumns({f"_l_{out}": fn(f"_v_{out}").over(local) for out in values}), carry, part)
+    zero = F.lit(0)
+    results = {
+        out: F.coalesce(F.col(f"_l_{out}"), zero) + F.coalesce(F.col(f"_c_{out}"), zero)
+        if how == "sum" else F.greatest(f"_l_{out}", f"_c_{out}")
+        for out in values
+    }
+    helpers = [f"_{kind}_{out}" for kind in "vlc" for out in values]
+    return joined.withColumns(results).drop(*helpers)
+
+
+def running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, out: str, how: str = "sum"
+) -> DataFrame:
+    return running_all(df, keys, order, {out: value}, how)
 
 
 def following(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, out: str) -> DataFrame:
@@ -302,42 +312,34 @@ def quota_admission(
     size: str,
     quota: int = rules.UPLOAD_QUOTA_BYTES,
     max_item: int = rules.UPLOAD_MAX_BYTES,
-    rounds: int = 2,
 ) -> DataFrame:
     """Admit items in order while they fit; a refused item uses no space.
 
-    Not a running sum, since what is refused does not count. But up to a key's
-    first refusal it is one, and after it only items no larger than the space
-    left can still matter. ``rounds`` such passes decide nearly everything in
-    parallel; whatever is left is walked in order with constant memory.
+    Not a running sum, since what is refused does not count. But as long as
+    whole segments fit, everything in them is admitted; from the first segment
+    that does not fit on, only items no larger than the space left before it can
+    still be admitted. Segment totals therefore decide nearly every row; what is
+    left is walked in order per key with constant memory.
     Needs :func:`with_segment`. Adds ``outcome``.
     """
     part = [key, SEGMENT]
-    out = df.withColumn(
+    rows = df.withColumn(
+        "outcome", F.when(F.col(size) <= 0, "empty").when(F.col(size) > max_item, "too_large")
+    )
+    counted = F.when(F.col("outcome").isNull(), F.col(size)).otherwise(0)
+    upto = Window.partitionBy(key).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.groupBy(*part).agg(F.sum(counted).alias("_size")).withColumn("_filled", F.sum("_size").over(upto))
+    fits = F.col("_filled") <= quota
+    before = F.coalesce(F.max(F.when(fits, F.col("_filled"))).over(Window.partitionBy(key)), F.lit(0))
+    summary = filled.select(*part, fits.alias("_fits"), (F.lit(quota) - before).cast("long").alias("_left"))
+    judged = _attach(rows, summary, part).withColumn(
         "outcome",
-        F.when(F.col(size) <= 0, "empty").when(F.col(size) > max_item, "too_large"),
-    ).withColumn("_left", F.lit(quota).cast("long"))
-    for _ in range(rounds):
-        open_ = F.col("outcome").isNull()
-        out = running(out, [key], order, F.when(open_, F.col(size)).otherwise(0), "_sum")
-        taken = F.when(open_ & (F.col("_sum") <= F.col("_left")), F.col("_sum"))
-        used = out.groupBy(*part).agg(F.max(taken).alias("_used")).select(
-            *part, F.coalesce(F.max("_used").over(Window.partitionBy(key)), F.lit(0)).alias("_used")
-        )
-        space = F.col("_left") - F.col("_used")
-        out = _attach(out, used, part).withColumns(
-            {
-                "outcome": F.when(~open_, F.col("outcome"))
-                .when(F.col("_sum") <= F.col("_left"), "accepted")
-                .when(F.col(size) > space, "over_quota"),
-                "_left": space,
-            }
-        ).drop("_sum", "_used")
-
+        F.when(F.col("outcome").isNotNull(), F.col("outcome"))
+        .when(F.col("_fits"), "accepted")
+        .when(F.col(size) > F.col("_left"), "over_quota"),
+    )
     order_cols = [f"_o{i}" for i in range(len(order))]
-    rest = out.where(F.col("outcome").isNull())
-    for name, c in zip(order_cols, order):
-        rest = rest.withColumn(name, c)
+    rest = judged.where(F.col("outcome").isNull()).withColumns(dict(zip(order_cols, order)))
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, left = object(), 0
@@ -352,5 +354,5 @@ def quota_admission(
             yield frame.assign(outcome=outcome)
 
     walked = rest.repartition(key).sortWithinPartitions(key, *order_cols).mapInPandas(walk, rest.schema)
-    decided = out.where(F.col("outcome").isNotNull())
-    return decided.unionByName(walked.drop(*order_cols)).drop("_left", SEGMENT)
+    decided = judged.where(F.col("outcome").isNotNull())
+    return decided.unionByName(walked.drop(*order_cols)).drop("_left", "_fits", SEGMENT)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.operators.ordered import SEGMENT, running, with_segment
+from corpusflow.operators.ordered import SEGMENT, running_all, with_segment
 
 
 def used_bytes(users: DataFrame, uploads: DataFrame, user: str = "user_id", size: str = "size_bytes") -> DataFrame:
@@ -59,8 +59,8 @@ def discovery_funnel(hits: DataFrame, width: int = 10_000) -> DataFrame:
     )
     cut = with_segment(per_query, F.col("query_no"), width).withColumn("_all", F.lit(0))
     order = [F.col("query_no"), F.col("concept")]
-    cut = running(cut, ["_all"], order, F.lit(1), "total_queries")
-    return running(cut, ["_all"], order, F.col("added"), "total_added").drop("_all", SEGMENT)
+    totals = {"total_queries": F.lit(1), "total_added": F.col("added")}
+    return running_all(cut, ["_all"], order, totals).drop("_all", SEGMENT)
 
 
 def source_progress(pages: DataFrame) -> DataFrame:

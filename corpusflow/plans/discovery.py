@@ -102,6 +102,17 @@ def landed(spark, sf_dir, kind: str):
     )
 
 
+def landed_everywhere(spark, sf_dir):
+    """One landing table with every page as a record of every catalogue."""
+    answers = [
+        F.struct(F.lit(k).alias("source"), (body if k == "archive.org" else F.to_json(body)).alias("payload"))
+        for k, body in ((k, _payload(k)) for k in _KEYS)
+    ]
+    return named_pages(spark, sf_dir).select(
+        F.col("lang").alias("concept"), F.explode_outer(F.array(*answers)).alias("a")
+    ).select("a.source", "concept", "a.payload")
+
+
 def _harvested(kind: str, spark, sf_dir):
     """Harvest records with the author list as one string for comparison."""
     records = C.harvest(landed(spark, sf_dir, kind), (kind,))
@@ -142,8 +153,7 @@ for _kind, _key in _KEYS.items():
 @query("harvest_union", f"WITH {SQL_NAMED_PAGES} " + " UNION ALL ".join(_expected(k) for k in _KEYS))
 def harvest_union(spark, sf_dir):
     """All catalogues from one landing table."""
-    pages = D.union_channels(*[landed(spark, sf_dir, k).drop("page_id") for k in _KEYS])
-    return C.harvest(pages, tuple(_KEYS)).withColumn("authors", F.array_join("authors", "|"))
+    return C.harvest(landed_everywhere(spark, sf_dir), tuple(_KEYS)).withColumn("authors", F.array_join("authors", "|"))
 
 
 def _xml(c):

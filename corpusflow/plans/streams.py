@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusflow.functions.urls import normalise_url
-from corpusflow.operators.discovery import union_channels
 from corpusflow.plans.activity import _STREAKS
 from corpusflow.plans.common import ORACLES, SQL_NAMED_PAGES, query, sql_url_key, sql_words, table
-from corpusflow.plans.discovery import _KEYS, _expected, landed
+from corpusflow.plans.discovery import _KEYS, _expected, landed_everywhere
 from corpusflow.session import scratch_dir
 from corpusflow.streaming import collect as C
 from corpusflow.streaming import limits as L
@@ -79,8 +78,7 @@ def clock_windows(spark, sf_dir):
 def stream_harvest(spark, sf_dir):
     """Landed pages of every catalogue into the ledger; keys of what arrived."""
     folder = scratch_dir(spark, "harvest")
-    pages = union_channels(*[landed(spark, sf_dir, k).drop("page_id") for k in _KEYS])
-    pages.write.parquet(f"{folder}/landing")
+    landed_everywhere(spark, sf_dir).write.parquet(f"{folder}/landing")
     stream = C.read_landing(spark, f"{folder}/landing")
     C.harvest_stream(stream, f"{folder}/ledger", f"{folder}/checkpoint").awaitTermination()
     return C.ledger(spark, f"{folder}/ledger").select("url_key")

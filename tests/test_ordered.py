@@ -140,10 +140,10 @@ def quota_by_loop(items, quota, most):
     return out
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 2])
-def test_quota(log, rounds):
+@pytest.mark.parametrize("width", [100, 700, 10**6])
+def test_quota(log, width):
     rows, df = log
-    out = O.quota_admission(cut(df), "user", ORDER(), "size", quota=1000, max_item=55, rounds=rounds)
+    out = O.quota_admission(cut(df, width), "user", ORDER(), "size", quota=1000, max_item=55)
     got = {r["id"]: r["outcome"] for r in out.collect()}
     want = {}
     for items in by_user(rows).values():
