@@ -183,10 +183,10 @@ def owner_backfill(spark, sf_dir):
 
 @query(
     "orphans",
-    "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')",
+    "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45)",
 )
 def orphans(spark, sf_dir):
-    bound = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    bound = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 45").select(F.col("l_partkey").alias("p_partkey"))
     return J.orphans(table(spark, sf_dir, "part").select("p_partkey"), bound, "p_partkey")
 
 

@@ -31,6 +31,28 @@ def test_plan(spark, sf, name, capsys):
     assert not re.search(r"BroadcastNestedLoopJoin", plan)
 
 
+def plan_of(spark, sf, name):
+    return driver.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["chat_history", "exam_mix"])
+def test_ranks_are_cut_before_the_shuffle(spark, sf, name):
+    plan = plan_of(spark, sf, name)
+    assert plan.count("WindowGroupLimit") >= 2 and "Partial" in plan
+
+
+@pytest.mark.parametrize(
+    "name, schema", [("normalise_url", "struct<page_id:bigint,url:string>"), ("rate_limit", "struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>")]
+)
+def test_scans_read_only_what_they_need(spark, sf, name, schema):
+    plan = plan_of(spark, sf, name)
+    assert f"ReadSchema: {schema}" in plan and "html" not in plan
+
+
+def test_filters_reach_the_scan(spark, sf):
+    assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,purchase)]" in plan_of(spark, sf, "uploads_recent")
+
+
 def test_library_hygiene():
     """No local checkpoints and no RDD code in the library."""
     import pathlib
