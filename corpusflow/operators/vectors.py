@@ -20,6 +20,8 @@ from corpusflow.session import scratch_dir
 
 #: Queries shipped to the tasks at a time; larger sets are searched in blocks.
 QUERY_BLOCK = 4096
+#: Scores held at once by a task (32 MB): batches are cut to stay below it.
+MAX_SCORES = 4_000_000
 
 
 def vector_norm(v: Column) -> Column:
@@ -87,9 +89,11 @@ def _score_block(vectors: DataFrame, block: list, vec_id: str, vector: str, k: i
             scores[rows] = np.take_along_axis(all_s, order, axis=1)
             ids[rows] = np.take_along_axis(all_i, order, axis=1)
 
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        rows_at_once = max(1, MAX_SCORES // n)
+        pieces = (
+            batch.slice(start, rows_at_once) for batch in batches for start in range(0, batch.num_rows, rows_at_once)
+        )
+        for batch in pieces:
             found = np.round(_unit_rows(_matrix(batch.column(1))), 12)
             new_ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             if by_cell is None:

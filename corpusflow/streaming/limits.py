@@ -109,3 +109,15 @@ def streak_stream(calls: DataFrame, keys: Sequence[str], ts: str, tie: str, fail
     return keyed.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=_Streak(), outputStructType=f"{fields}, streak int", outputMode="Append", timeMode="None"
     )
+
+
+def single_use_stream(claims: DataFrame, token: str, ts: str, ttl: str) -> DataFrame:
+    """First claim of every token; later ones within its time to live are dropped."""
+    return claims.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([token])
+
+
+def revocation_stream(uses: DataFrame, epochs: DataFrame, user: str, issued_at: str, epoch: str = "epoch") -> DataFrame:
+    """Token uses against the table of session epochs, read anew every batch."""
+    latest = epochs.groupBy(user).agg(F.max(epoch).alias("epoch"))
+    revoked = F.coalesce(F.col(issued_at) < F.col("epoch"), F.lit(False))
+    return uses.join(latest, user, "left").withColumn("revoked", revoked)

@@ -222,7 +222,8 @@ def test_exact_search(spark, vectors, monkeypatch):
     want = brute(rows, queries, 4)
     assert as_dict(V.cosine_top_k(df, qdf, k=4)) == want
     assert want[0][0] == (0, 1.0) and [i for i, _ in want[0]] == [0, 1000, 1001, 1002]
-    monkeypatch.setattr(V, "QUERY_BLOCK", 3)  # several blocks give the same answer
+    monkeypatch.setattr(V, "QUERY_BLOCK", 3)  # several blocks and small pieces give the same answer
+    monkeypatch.setattr(V, "MAX_SCORES", 60)
     assert as_dict(V.cosine_top_k(df, qdf, k=4)) == want
     assert as_dict(V.cosine_top_k(df.where("label = 1"), qdf, k=2)) == brute([r for r in rows if r[2] == 1], queries, 2)
     assert all(s >= 0.5 for h in as_dict(V.cosine_top_k(df, qdf, k=4, min_score=0.5)).values() for _, s in h)

@@ -61,6 +61,19 @@ def test_new_url_stream(spark, tmp_path):
     assert sorted(r[0] for r in out.collect()) == ["http://a.org/x", "http://b.org/"]
 
 
+def test_single_use_and_revocation_streams(spark, tmp_path):
+    rows = [("t1", "u", 10), ("t1", "u", 11), ("t2", "u", 30), ("t3", "v", 5)]
+    df = spark.createDataFrame(rows, "jti string, user string, n long").withColumn("ts", F.timestamp_seconds(F.col("n") + 10**9))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    won = C.run_to_table(L.single_use_stream(stream(), "jti", "ts", "1 hour").select("jti"), str(tmp_path / "a"), str(tmp_path / "b"))
+    assert sorted(r[0] for r in won.collect()) == ["t1", "t2", "t3"]
+    epochs = spark.createDataFrame([("u", 11), ("u", 5)], "user string, epoch long")
+    out = L.revocation_stream(stream(), epochs, "user", "n").select("jti", "n", "revoked")
+    got = C.run_to_table(out, str(tmp_path / "c"), str(tmp_path / "d")).collect()
+    assert {(r["jti"], r["n"]): r["revoked"] for r in got} == {("t1", 10): True, ("t1", 11): False, ("t2", 30): False, ("t3", 5): False}
+
+
 def page(*docs):
     """A landed HAL answer with (title, url, author) records."""
     docs = [{"title_s": [t], "uri_s": u, "authFullName_s": [a]} for t, u, a in docs]
