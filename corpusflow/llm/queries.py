@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusflow.llm.common import prepare
+from corpusflow.llm.minhash import near_duplicates
 from corpusflow.llm.packing import pack_documents
 from corpusflow.llm.token_files import token_files
 
@@ -27,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_minhash_near_dedup")
+def op1(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 @query("op2_best_fit_packing")
 def op2(spark, sf_dir):
     packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
