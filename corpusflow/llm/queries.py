@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm.bpe import decode, encode
-from corpusflow.llm.common import prepare
+from corpusflow.llm.common import id_and_text, prepare
 from corpusflow.llm.minhash import near_duplicates
 from corpusflow.llm.packing import pack_documents
+from corpusflow.llm.quality import held_out, learn_quality, score_quality
+from corpusflow.llm.secrets import find_secrets
 from corpusflow.llm.token_files import token_files
 
 QUERIES = {}
@@ -41,6 +43,29 @@ def op2(spark, sf_dir):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query("op6_quality_classifier")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(id_and_text(docs), learn_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query("op7_secret_scan")
+def op7(spark, sf_dir):
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id",
+        *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(_joined(of("assign", "access", "hex")), 256).alias("base_sha256"),
+        _joined(F.col("spans")).alias("spans"),
+    )
+
+
 @query("op9_byte_bpe")
 def op9(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
