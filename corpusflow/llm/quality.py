@@ -1,9 +1,11 @@
 """Text quality by compression against dictionaries of good and bad text.
 
 Two zstandard dictionaries are built from labelled documents, one from good and one from bad ones.
-A text is compressed with each; what good text helps less than bad text is bad. The difference of the
-compressed sizes, divided by their sum, is the normalised difference, and a logistic curve fitted on
-labelled documents that no dictionary holds turns it into a probability.
+A text is compressed with each, in pieces so small that a dictionary matters more than the text
+itself; what good text helps less than bad text is bad. The difference of the compressed sizes,
+divided by their sum, is the normalised difference. A logistic curve, fitted on labelled documents that
+no dictionary holds, turns it into a probability; besides it the curve sees how far the text
+compresses at all, and how much text there is to judge by.
 """
 
 from __future__ import annotations
@@ -26,46 +28,56 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 @dataclass(frozen=True)
 class QualityModel:
-    """Dictionaries, and weight and offset of the logistic curve; ``prior`` scores texts that say nothing."""
+    """Dictionaries and the logistic curve; ``prior`` scores texts that say nothing."""
 
     good: bytes
     bad: bytes
-    weight: float
-    offset: float
-    prior: float
+    center: tuple[float, ...] = ()
+    scale: tuple[float, ...] = ()
+    weights: tuple[float, ...] = ()
+    prior: float = 0.5
+    piece: int = 1024
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """The normalised difference of each text: above 0 if the good dictionary compresses it better."""
+        """Per text the normalised difference (above 0 if good text helps more), the same by the amount of text, and
+        the logarithm of the compression ratio, where it is strong and where it is weak."""
         import zstandard
 
-        coders = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False) for d in (self.good, self.bad)]
-        sizes = np.array([[len(coder.compress(raw)) for coder in coders] for raw in (t.encode() for t in texts)], float).reshape(-1, 2)
-        return (sizes[:, 1] - sizes[:, 0]) / sizes.sum(axis=1)
+        coders = []
+        for content in (self.good, self.bad):
+            dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            dictionary.precompute_compress(level=3)
+            coders.append(zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_content_size=False, write_checksum=False))
+        found = np.empty((len(texts), 4))
+        for i, text in enumerate(texts):
+            raw = text.encode()
+            pieces = [raw[at : at + self.piece] for at in range(0, max(1, len(raw)), self.piece)]
+            good, bad = (sum(len(coder.compress(p)) for p in pieces) for coder in coders)
+            difference, ratio, amount = (bad - good) / (bad + good), np.log(min(good, bad) / (len(raw) + 1)), min(1.0, len(raw) / 400)
+            found[i] = difference, amount * difference, np.clip(ratio, -4.0, -1.2), amount * np.clip(ratio, -1.2, -0.4)
+        return found
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        if not texts:
-            return np.empty(0)
-        if not (self.good and self.bad):
+        if not texts or not self.weights:
             return np.full(len(texts), self.prior)
         blank = np.array([not t.strip() for t in texts])
-        z = np.clip(self.weight * self.features(texts) + self.offset, -30, 30)
+        x = (self.features(texts) - self.center) / self.scale
+        z = np.clip(np.column_stack((x, np.ones(len(x)))) @ np.array(self.weights), -30, 30)
         return np.where(blank, self.prior, 1 / (1 + np.exp(-z)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Weight and offset of the likeliest logistic curve, with a small penalty on the weight (Newton's method)."""
-    scale = float(x.std()) or 1.0
-    design = np.column_stack((x / scale, np.ones(len(x))))
-    w = np.zeros(2)
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+    """Weights of the likeliest logistic curve of standardised features, the last one the offset (Newton's method)."""
+    design = np.column_stack((x, np.ones(len(x))))
+    ridge = np.array([penalty] * x.shape[1] + [1e-9])
+    w = np.zeros(design.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        slope = design.T @ (y - p) - np.array([1e-2, 0]) * w
-        curve = (design.T * (p * (1 - p))) @ design + np.diag([1e-2, 1e-9])
-        step = np.linalg.solve(curve, slope)
+        step = np.linalg.solve((design.T * (p * (1 - p))) @ design + np.diag(ridge), design.T @ (y - p) - ridge * w)
         w = w + step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1])
+    return w
 
 
 def fit_quality(labelled: DataFrame, sample: int = 2000, dictionary_bytes: int = 512 << 10, text_bytes: int = 1536) -> QualityModel:
@@ -84,7 +96,7 @@ def fit_quality(labelled: DataFrame, sample: int = 2000, dictionary_bytes: int =
     counts = {q: len(t) for q, t in by_class.items()}
     if not all(counts.values()):
         n = sum(counts.values())
-        return QualityModel(b"", b"", 0.0, 0.0, counts[1] / n if n else 0.5)
+        return QualityModel(b"", b"", prior=counts[1] / n if n else 0.5)
 
     def dictionary(texts: list[str]) -> bytes:
         out, size = [], 0
@@ -96,13 +108,14 @@ def fit_quality(labelled: DataFrame, sample: int = 2000, dictionary_bytes: int =
             size += len(part)
         return b"\n".join(reversed(out))  # what comes last is nearest, and so cheapest to refer to
 
-    draft = QualityModel(dictionary(by_class[1]), dictionary(by_class[0]), 0.0, 0.0, 0.5)
+    good, bad = dictionary(by_class[1]), dictionary(by_class[0])
     texts = by_class[1][1::2] + by_class[0][1::2]
     y = np.array([1.0] * len(by_class[1][1::2]) + [0.0] * len(by_class[0][1::2]))
     if len(set(y.tolist())) < 2:  # too few to keep some apart
         texts, y = by_class[1] + by_class[0], np.array([1.0] * counts[1] + [0.0] * counts[0])
-    weight, offset = _logistic(draft.features(texts), y)
-    return QualityModel(draft.good, draft.bad, weight, offset, 0.5)
+    x = QualityModel(good, bad).features(texts)
+    center, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    return QualityModel(good, bad, tuple(center), tuple(scale), tuple(_logistic((x - center) / scale, y)))
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, **bounds: int) -> QualityModel:
