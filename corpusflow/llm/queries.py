@@ -13,6 +13,8 @@ from corpusflow.llm.packing import pack_documents
 from corpusflow.llm.quality import held_out, learn_quality, score_quality
 from corpusflow.llm.secrets import find_secrets
 from corpusflow.llm.token_files import token_files
+from corpusflow.llm.url_rules import judge_urls
+from corpusflow.llm.vantage import nearest_neighbours
 
 QUERIES = {}
 ORACLES = {}
@@ -43,6 +45,33 @@ def op2(spark, sf_dir):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def _fits(host: str, path: str) -> str:
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+
+
+@query(
+    "op5_url_rules",
+    rf"""
+    WITH parts AS (
+      SELECT page_id,
+             coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+             coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+      FROM pages),
+    ruled AS (
+      SELECT *, CASE WHEN {_fits("example.net", "/en/")} THEN 'example.net/en/' WHEN {_fits("example.com", "/de/")} THEN 'example.com/de/'
+                     WHEN {_fits("org", "/fr/")} THEN 'org/fr/' WHEN {_fits("net", "/")} THEN 'net/' END AS rule
+      FROM parts)
+    SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+    """,
+)
+def op5(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
 @query("op6_quality_classifier")
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -66,6 +95,26 @@ def op7(spark, sf_dir):
     )
 
 
+@query(
+    "op8_nearest_neighbours",
+    """
+    WITH usable AS (
+      SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    normed AS (SELECT vec_id, v, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b)) AS n FROM usable),
+    scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+             list_reduce(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]), lambda a, b: a + b) / (q.n * c.n) AS score
+      FROM normed q, normed c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+    ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+)
+def op8(spark, sf_dir):
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, factor=1.0)
+
+
 @query("op9_byte_bpe")
 def op9(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
