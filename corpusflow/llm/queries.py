@@ -12,9 +12,11 @@ from corpusflow.llm.minhash import near_duplicates
 from corpusflow.llm.packing import pack_documents
 from corpusflow.llm.quality import held_out, learn_quality, score_quality
 from corpusflow.llm.secrets import find_secrets
+from corpusflow.llm.spotsigs import fingerprint_text, followed, pruned_jaccard, signatures
 from corpusflow.llm.token_files import token_files
 from corpusflow.llm.url_rules import judge_urls
 from corpusflow.llm.vantage import nearest_neighbours
+from corpusflow.llm.warc import archive_and_read_back
 
 QUERIES = {}
 ORACLES = {}
@@ -130,3 +132,26 @@ def op9(spark, sf_dir):
 @query("op10_token_files")
 def op10(spark, sf_dir):
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+@query("op3_warc_index")
+def op3(spark, sf_dir):
+    return archive_and_read_back(table(spark, sf_dir, "pages"))
+
+
+@query("op4_spot_signatures")
+def op4(spark, sf_dir):
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.left("text", n - half), F.left("next_text", half))
+    found = followed(table(spark, sf_dir, "documents")).withColumn("edited", edited)
+    found = found.withColumn("edited_spots", signatures(F.col("edited")))
+    return found.select(
+        "doc_id",
+        n.cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint_text(F.col("spots")).alias("fingerprint"),
+        fingerprint_text(F.col("edited_spots")).alias("edited_fingerprint"),
+        pruned_jaccard(F.col("spots"), F.col("edited_spots")).alias("near_edited"),
+        pruned_jaccard(F.col("spots"), F.col("next_spots")).alias("near_next"),
+    )
