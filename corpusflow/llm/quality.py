@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import id_and_text, slices
+from corpusflow.llm.common import id_and_text
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -80,23 +80,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit_quality(labelled: DataFrame, sample: int = 2000, dictionary_bytes: int = 512 << 10, text_bytes: int = 1536) -> QualityModel:
-    """A model from ``doc_id``, ``text`` and ``quality`` (1 good, 0 bad).
+def fit_quality(good: list[str], bad: list[str], odds: float | None = None, dictionary_bytes: int = 512 << 10, text_bytes: int = 1536) -> QualityModel:
+    """A model from labelled texts. Every other one is for its class's dictionary, the rest for the curve.
 
-    The labelled sample is bounded: per class ``sample`` documents, those of smallest digest of their
-    id and text. Every other one is for the dictionary, the rest for the curve. A dictionary holds the
-    first ``text_bytes`` of each of its documents, up to ``dictionary_bytes`` in all. Documents with
-    a null or blank text or label are left out, equal texts count once. With a class missing
-    every text scores the share of good labels (0.5 without labels).
+    A dictionary holds the first ``text_bytes`` of each of its texts, up to ``dictionary_bytes`` in all. ``odds``
+    are those of good to bad among all labels, if the texts are a sample of other proportions. With a class missing every text scores the share of good ones (0.5 without any).
     """
-    usable = labelled.where(F.col("quality").isin(0, 1) & (F.length(F.trim("text")) > 0))
-    one = usable.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.avg("quality").alias("good")).where("good <> 0.5")
-    one = one.select("text", (F.col("good") > 0.5).cast("int").alias("quality"), F.xxhash64(F.lit("quality"), "doc_id", "text").alias("rank"))
-    by_class = {q: [r["text"] for r in one.where(F.col("quality") == q).orderBy("rank", "text").limit(sample).select("rank", "text").collect()] for q in (0, 1)}
-    counts = {q: len(t) for q, t in by_class.items()}
-    if not all(counts.values()):
-        n = sum(counts.values())
-        return QualityModel(b"", b"", prior=counts[1] / n if n else 0.5)
+    n = len(good) + len(bad)
+    if not (good and bad):
+        return QualityModel(b"", b"", prior=len(good) / n if n else 0.5)
 
     def dictionary(texts: list[str]) -> bytes:
         out, size = [], 0
@@ -108,30 +100,44 @@ def fit_quality(labelled: DataFrame, sample: int = 2000, dictionary_bytes: int =
             size += len(part)
         return b"\n".join(reversed(out))  # what comes last is nearest, and so cheapest to refer to
 
-    good, bad = dictionary(by_class[1]), dictionary(by_class[0])
-    texts = by_class[1][1::2] + by_class[0][1::2]
-    y = np.array([1.0] * len(by_class[1][1::2]) + [0.0] * len(by_class[0][1::2]))
-    if len(set(y.tolist())) < 2:  # too few to keep some apart
-        texts, y = by_class[1] + by_class[0], np.array([1.0] * counts[1] + [0.0] * counts[0])
-    x = QualityModel(good, bad).features(texts)
+    dictionaries = dictionary(good), dictionary(bad)
+    # too few to keep some apart: all fit the curve
+    apart = (good[1::2], bad[1::2]) if min(len(good), len(bad)) > 1 else (good, bad)
+    y = np.array([1.0] * len(apart[0]) + [0.0] * len(apart[1]))
+    x = QualityModel(*dictionaries).features([*apart[0], *apart[1]])
     center, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return QualityModel(good, bad, tuple(center), tuple(scale), tuple(_logistic((x - center) / scale, y)))
+    weights = _logistic((x - center) / scale, y)
+    if odds:
+        weights[-1] += np.log(odds * len(apart[1]) / len(apart[0]))
+    return QualityModel(*dictionaries, tuple(center), tuple(scale), tuple(weights))
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, **bounds: int) -> QualityModel:
-    """Fit on the documents whose label is not held out; a doc_id's labels are averaged over repeated rows."""
-    known = labels.where(~held_out()).groupBy("doc_id").agg(F.avg("quality").alias("q")).where("q <> 0.5").select("doc_id", (F.col("q") > 0.5).cast("int").alias("quality"))
-    return fit_quality(id_and_text(docs).join(known, "doc_id"), **bounds)
+def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = 2000, sample_chars: int = 16_384, **bounds: int) -> QualityModel:
+    """Fit on documents with ``labels.quality`` 1 or 0 that is not held out.
 
-
-def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` and the score of its text column. Whole texts are compressed; a null or blank text scores the model's prior."""
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes) + f", `{name}` double"
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of bounded size
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, by=text_col):
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(texts), pa.float64())], names=[*batch.schema.names, name])
-
-    return docs.mapInArrow(score, schema)
+    The sample is bounded: of each class the ``sample`` documents whose id has the smallest digest, and of each the
+    first ``sample_chars`` characters. Repeated labels of a document are averaged, and 0.5 counts as none. Blank texts and
+    labels without a document are left out, equal texts count once.
+    """
+    known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
+    known = known.groupBy("doc_id").agg(F.avg("quality").alias("share")).where("share <> 0.5").select("doc_id", (F.col("share") > 0.5).cast("int").alias("quality"), F.xxhash64("doc_id").alias("rank"))
+    of_class = lambda q: known.where(F.col("quality") == q).orderBy("rank", "doc_id").limit(sample)
+    texts = id_and_text(docs).where(F.length(F.trim("text")) > 0).select("doc_id", F.left("text", F.lit(sample_chars)).alias("text"))
+    rows = texts.join(F.broadcast(of_class(0).union(of_class(1))), "doc_id").collect()  # the bounded sample
+    first = {r["text"]: r for r in sorted(rows, key=lambda r: (r["rank"], r["doc_id"], r["text"]), reverse=True)}
+    chosen = sorted(first.values(), key=lambda r: (r["rank"], r["doc_id"], r["text"]))
+    count = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
+    odds = count[1] / count[0] if len(count) == 2 else None
+    return fit_quality(*([r["text"] for r in chosen if r["quality"] == q] for q in (1, 0)), odds, **bounds)
+
+
+def quality_score(text: Column, model: QualityModel, spark: SparkSession) -> Column:
+    """The score of a text column. Whole texts are compressed; a null or blank text scores the model's prior."""
+    shared = spark.sparkContext.broadcast(model)  # two dictionaries of bounded size
+
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array(shared.value.scores([t or "" for t in batch.to_pylist()]), pa.float64())
+
+    return score(text)

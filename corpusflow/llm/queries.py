@@ -10,7 +10,7 @@ from corpusflow.llm.bpe import decode, encode
 from corpusflow.llm.common import id_and_text, prepare
 from corpusflow.llm.minhash import near_duplicates
 from corpusflow.llm.packing import pack_documents
-from corpusflow.llm.quality import held_out, learn_quality, score_quality
+from corpusflow.llm.quality import held_out, learn_quality, quality_score
 from corpusflow.llm.secrets import find_secrets
 from corpusflow.llm.spotsigs import fingerprint_text, followed, pruned_jaccard, signatures
 from corpusflow.llm.token_files import token_files
@@ -77,8 +77,9 @@ def op5(spark, sf_dir):
 @query("op6_quality_classifier")
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    scored = score_quality(id_and_text(docs), learn_quality(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    model = learn_quality(docs, table(spark, sf_dir, "labels"))
+    scored = id_and_text(docs).select("doc_id", held_out().alias("held_out"), quality_score(F.col("text"), model, spark).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def _joined(spans: Column) -> Column:

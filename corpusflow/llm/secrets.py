@@ -13,11 +13,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.automaton import Automaton, backwards, compile_rules, parse
-from corpusflow.llm.common import id_and_text, slices
+from corpusflow.llm.automaton import backwards, compile_rules, parse
+from corpusflow.llm.common import id_and_text
 
 
 @dataclass(frozen=True)
@@ -106,42 +106,33 @@ class Scanner:
 SPANS = "array<struct<kind: string, start: long, end: long>>"
 
 
-def _with_spans(df: DataFrame, text_col: str, name: str, rules: tuple[Rule, ...]) -> DataFrame:
-    """``df`` with the spans of its text column as a new last column."""
+def secret_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Kind, start and end (exclusive) in code points of a text's secrets, by start, then kind. A null or empty text has none."""
     scanner = Scanner(rules)
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes) + f", `{name}` {SPANS}"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(SPANS)
+    def scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ready = scanner.ready()
-        for batch in slices(batches, by=text_col):
-            spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in ready.spans(t or "")] for t in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*batch.schema.names, name])
+        for batch in texts:
+            yield pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in ready.spans(t or "")] for t in batch.to_pylist()], kind)
 
-    return df.mapInArrow(scan, schema)
+    return scan(text)
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``doc_id`` and ``spans``: kind, start and end (exclusive) in code points, by start, then kind.
+    """``doc_id`` and ``spans``. Repeated rows give repeated rows, a null doc_id stays null."""
+    return id_and_text(docs).select("doc_id", secret_spans(F.col("text"), rules).alias("spans"))
 
-    A null or empty text has no spans; repeated rows give repeated rows, a null doc_id stays null.
-    """
-    return _with_spans(id_and_text(docs), "text", "spans", rules).drop("text")
 
-
-def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with every span replaced by ``[kind]`` in its text column; overlapping spans go together
-    under the name of the first. Other columns, and texts without secrets or null, stay as they are."""
-    name = "__spans"
-    while name in docs.columns:
-        name += "_"
-    text, spans = F.col(f"`{text_col}`"), F.col(name)
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with every span replaced by ``[kind]``; overlapping spans go together under the name of the
+    first. A text without secrets, or null, stays as it is."""
     # (text so far, where it ends in the original), folded over the spans
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    between = lambda a, s: F.substr(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
     step = lambda a, s: F.when(s["start"] < a["at"], F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"))).otherwise(
-        F.struct(F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]")).alias("out"), s["end"].alias("at"))
+        F.struct(F.concat(a["out"], between(a, s), F.lit("["), s["kind"], F.lit("]")).alias("out"), s["end"].alias("at"))
     )
     end = lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int")))
-    clean = F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(F.aggregate(spans, start, step, end))
-    found = _with_spans(docs, text_col, name, rules)
-    return found.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(F.aggregate(spans, start, step, end))
