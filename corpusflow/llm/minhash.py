@@ -10,7 +10,8 @@ Documents with equal sets are one node from the start. In a bucket each node is
 smallest node only (a star), so a bucket of n nodes has n - 1 candidate edges. Edges whose sizes or
 sketches rule them out go; the others are confirmed on the full sets. A star alone can miss a link
 between two nodes that aren't linked with the hub. So buckets whose nodes are still in several
-components are gone through once more for pairs across components, in blocks of bounded size.
+components are gone through once more, in blocks of bounded size: their members' sets meet in a task,
+and only pairs across components that are similar leave it, to be confirmed as well.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ BANDS, ROWS = 48, 8
 #: Bins of which the sketch keeps a byte; six standard deviations below 0.8 rule a pair out.
 SKETCH = 128
 #: Nodes of a bucket, or of a hub's edges, that one group holds.
-BLOCK = 512
+BLOCK = 256
 
 _MIX1, _MIX2, _BASE = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -119,8 +120,8 @@ def band_keys(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``set_key`` (digest of the set, null if empty), ``bands``, ``sketch``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    """``doc_id``, ``n_shingles``, ``set_key`` (digest of the set, null if empty) and ``bands``."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -133,12 +134,11 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([band_keys(v) if v is not None else None for v in values], pa.list_(pa.int64())),
-                    pa.array([v[:SKETCH].astype(np.uint8).tobytes() if v is not None else None for v in values], pa.binary()),
                 ],
                 schema=schema,
             )
 
-    return id_and_text(docs).mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary")
+    return id_and_text(docs).mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def _least_match(percent: int) -> int:
@@ -147,10 +147,29 @@ def _least_match(percent: int) -> int:
     return int(SKETCH * p - 6 * (SKETCH * p * (1 - p)) ** 0.5)
 
 
-def _plausible(edges: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def candidate_sets(texts: DataFrame, nodes: DataFrame, words: int = 5) -> DataFrame:
+    """``node``, ``n``, ``sketch``, ``shingles`` (ascending 64-bit hashes) and ``short`` (their upper halves) of the given nodes.
+
+    The nodes that share a bucket grow with the corpus, so they are never broadcast.
+    """
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in ("sketch", "shingles", "short"))])
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in slices(batches, size=1 << 20):
+            sets = shingler.sets(batch.column("text").to_pylist())
+            rows = [(i, len(s), shingler.signature(s)[:SKETCH].astype(np.uint8).tobytes(), s.tobytes(), (s >> np.uint64(32)).astype("<u4").tobytes()) for i, s in zip(batch.column("node").to_pylist(), sets, strict=True) if len(s)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    own = texts.select(F.col("doc_id").alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi")
+    return own.mapInArrow(shingle, "node long, n long, sketch binary, shingles binary, short binary")
+
+
+def _plausible(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of edges (a, b) those that sizes and sketches leave possible."""
     least = _least_match(percent)
-    end = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    end = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     sized = edges.join(end("a"), "a").join(end("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,23 +181,24 @@ def _plausible(edges: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "s_a", "s_b").mapInArrow(keep, "a long, b long").distinct()
 
 
-def confirm(edges: DataFrame, texts: DataFrame, percent: int, words: int = 5) -> DataFrame:
+def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of edges (a, b) those with 100 * intersection >= percent * union on the full sets.
 
-    Edges are gathered by ``b``, in parts of about ``BLOCK``, each with its own copy of b's text, and
+    Edges are gathered by ``b``, in parts of about ``BLOCK``, each with its own copy of b's set, and
     read as a sorted stream: a task holds one set of b (each, if its id has several texts) at a time.
     """
     parts = edges.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     hub = parts.select(F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), F.col("b").alias("node"), F.lit(0).alias("kind"))
     leaf = edges.join(parts, "b").select(F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), F.col("a").alias("node"), F.lit(1).alias("kind"))
-    rows = hub.union(leaf).join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    rows = hub.union(leaf).join(sets.select("node", "shingles"), "node")
     rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "kind", "node")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, group, hubs = Shingler(words), None, []
-        for batch in slices(batches, size=1 << 20):
+        group, hubs = None, []
+        for batch in batches:
             found = []
-            for row, own in zip(batch.drop_columns(["text"]).to_pylist(), shingler.sets(batch.column("text").to_pylist()), strict=True):
+            for row in batch.to_pylist():
+                own = np.frombuffer(row["shingles"], np.uint64)
                 if (row["hub"], row["part"]) != group:
                     group, hubs = (row["hub"], row["part"]), []
                 if row["kind"] == 0:
@@ -186,7 +206,7 @@ def confirm(edges: DataFrame, texts: DataFrame, percent: int, words: int = 5) ->
                     continue
                 for other in hubs:
                     both = len(np.intersect1d(own, other, assume_unique=True))
-                    if both and 100 * both >= percent * (len(own) + len(other) - both):
+                    if 100 * both >= percent * (len(own) + len(other) - both):
                         found.append((row["node"], row["hub"]))
                         break
             if found:
@@ -219,8 +239,31 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that sizes and sketches leave possible.
+def _similar(group: list[tuple], percent: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a group of (node, component, n, sketch, short) across components whose short sets are similar.
+
+    Equal upper halves of different hashes can only make two sets look more similar, so no link is lost.
+    """
+    node, component, n = (np.array([r[k] for r in group]) for k in (0, 1, 2))
+    sketch = np.frombuffer(b"".join(r[3] for r in group), np.uint8).reshape(-1, SKETCH)
+    short = [np.frombuffer(r[4], "<u4") for r in group]
+    a, b = [node[:0]], [node[:0]]
+    for x in range(len(group) - 1):
+        small, big = np.minimum(n[x], n[x + 1 :]), np.maximum(n[x], n[x + 1 :])
+        near = np.flatnonzero((component[x + 1 :] != component[x]) & (100 * small >= percent * big)) + x + 1
+        near = near[(sketch[near] == sketch[x]).sum(axis=1) >= least]
+        if len(near):
+            others = np.concatenate([short[i] for i in near])
+            at = np.minimum(np.searchsorted(short[x], others), len(short[x]) - 1)
+            both = np.add.reduceat((short[x][at] == others).astype(np.int64), np.cumsum(n[near]) - n[near])
+            near = near[100 * both >= percent * (n[near] + n[x] - both)]
+            a.append(node[near])
+            b.append(np.full(len(near), node[x]))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _across(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components whose sets are similar.
 
     A bucket of more than ``BLOCK`` nodes is dealt to blocks, and each pair of blocks is a group.
     """
@@ -229,35 +272,23 @@ def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int
     open_keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low < high")
     rows = members.join(open_keys.select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "component", "node").join(nodes, "node")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "component", "node").join(sets.select("node", "n", "sketch", "short"), "node")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
-    def pairs(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        node, component, n = (np.array([r[k] for r in group]) for k in (1, 2, 3))
-        sketch = np.frombuffer(b"".join(r[4] for r in group), np.uint8).reshape(-1, SKETCH)
-        a, b = [], []
-        for x in range(len(group) - 1):
-            small, big = np.minimum(n[x], n[x + 1 :]), np.maximum(n[x], n[x + 1 :])
-            near = np.flatnonzero((component[x + 1 :] != component[x]) & (100 * small >= percent * big)) + x + 1
-            near = near[(sketch[near] == sketch[x]).sum(axis=1) >= least]
-            a.append(node[near])
-            b.append(np.full(len(near), node[x]))
-        return np.concatenate(a), np.concatenate(b)
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in pairs(group)], names=["a", "b"])
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _similar(group, percent, least)], names=["a", "b"])
         for batch in batches:
-            for k, i, j, node, component, n, sketch in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "component", "n", "sketch")), strict=True):
+            for k, i, j, *member in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "component", "n", "sketch", "short")), strict=True):
                 if (k, i, j) != key:
                     if len(group) > 1:
                         yield out()
                     key, group = (k, i, j), []
-                group.append((k, node, component, n, sketch))
+                group.append(tuple(member))
         if len(group) > 1:
             yield out()
 
-    return rows.select("key", "i", "j", "node", "component", "n", "sketch").mapInArrow(meet, "a long, b long").where("a <> b").distinct()
+    return rows.select("key", "i", "j", "node", "component", "n", "sketch", "short").mapInArrow(meet, "a long, b long").where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
@@ -271,19 +302,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     signed = materialise(signatures(docs, words), "signatures")
     usable = signed.where("set_key is not null and doc_id is not null")
     nodes = materialise(
-        usable.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        usable.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")),
         "nodes",
     )
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub < far")
     shared = materialise(buckets.join(hubs.select("key", "hub"), "key"), "buckets")
-    sketches = nodes.select("node", "n", "sketch")
-    texts = id_and_text(docs)
+    sets = materialise(candidate_sets(id_and_text(docs), shared.select("node").distinct(), words), "sets")
     stars = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    first = materialise(confirm(materialise(_plausible(stars, sketches, percent), "edges"), texts, percent, words), "links")
-    labels = components(first)
-    across = materialise(_across(shared.select("key", "node"), labels, sketches, percent), "edges")
-    second = materialise(confirm(across, texts, percent, words), "links")
+    first = materialise(confirm(materialise(_plausible(stars, sets, percent), "edges"), sets, percent), "links")
+    across = materialise(_across(shared.select("key", "node"), components(first), sets, percent), "edges")
+    second = materialise(confirm(across, sets, percent), "links")
     # a doc_id with texts of several classes links these classes
     owned = usable.join(nodes.select("set_key", "node"), "set_key").select("doc_id", "node")
     several = owned.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("doc_id")
