@@ -14,6 +14,7 @@ Both carry a digest of the block's words, and the join stops with an error shoul
 from __future__ import annotations
 
 import base64
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,7 +26,10 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.common import id_and_text, slices
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+
+
+_PUNCTUATION = string.punctuation.replace("'", "")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,18 +53,27 @@ class Block:
         """The text's pre-tokens by position, as numbers of 32 bits.
 
         Between blanks that have no white space beside them pre-tokens don't depend on what lies
-        beyond, so such pieces are cut once in a block.
+        beyond, so such pieces are cut once in a block. The pattern is that of GPT-2's kind: letters with a
+        blank before them, then runs of what is neither letter, digit nor white space.
         """
         first, *pieces = text.split(" ")
         known = self.between_blanks
         if pieces and (not first or first[-1].isspace()):
             return self._numbers(text)
-        start = self._numbers(first)
+        start, words = self._numbers(first), self.words
+        number = words.setdefault
         for piece in pieces:
             if piece not in known:
-                if not piece or piece[0].isspace() or piece[-1].isspace():
+                letters = piece.rstrip(_PUNCTUATION)
+                if letters.isalpha():  # a blank and letters, and the punctuation after them, are a pre-token each
+                    found = [number(" " + letters, len(words))]
+                    if len(letters) < len(piece):
+                        found.append(number(piece[len(letters) :], len(words)))
+                    known[piece] = array("I", found).tobytes()
+                elif not piece or piece[0].isspace() or piece[-1].isspace():
                     return self._numbers(text)
-                known[piece] = self._numbers(" " + piece)
+                else:
+                    known[piece] = self._numbers(" " + piece)
         return start + b"".join(map(known.__getitem__, pieces))
 
     def digest(self) -> int:
@@ -215,7 +228,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             token[rank] = value
         of = token.__getitem__
         for batch in batches:
-            decoded = [None if ids.values is None else b"".join(map(of, ids.values.to_pylist())) for ids in batch.column("ids")]
+            decoded = [None if ids.values is None else b"".join(map(of, ids.values.to_numpy(zero_copy_only=False).tolist())) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(join, ", ".join(f"`{c}` {kind}" for c, kind in encoded.dtypes) + ", decoded binary")
