@@ -11,8 +11,8 @@ from corpusflow import rules
 from corpusflow.functions.arrow import ascii_only, nfkc
 from corpusflow.functions.basic import SPACE, alternation, col, let, percent_decode, string_array, strip
 
-_RESERVED = rf"(?i)</?\s*(?:{alternation(rules.RESERVED_TAGS)})\s*>"
-_SCAFFOLD = r"(?i)</?\s*(?:system|assistant|instructions?)\s*>|\[/?(?:SYSTEM|INST)\]|<\|[a-z_]+\|>"
+_RESERVED = rf"(?iu)</?\s*(?:{alternation(rules.RESERVED_TAGS)})\s*>"
+_SCAFFOLD = r"(?iu)</?\s*(?:system|assistant|instructions?)\s*>|\[/?(?:SYSTEM|INST)\]|<\|[a-z_]+\|>"
 
 
 def sanitize(text: Column | str) -> Column:

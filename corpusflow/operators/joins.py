@@ -28,9 +28,10 @@ def claim_redirects(probed: DataFrame, ledger_keys: DataFrame, order: Sequence[C
 
     ``probed(url_key, final_url, …)`` holds one row per claimed ``url_key``. A
     row that was redirected must find its final address unclaimed by the
-    ledger, by another row's own address and by an earlier redirect.
+    ledger, by another row's own address and by an earlier redirect. A row
+    without a final address stayed where it was.
     """
-    rows = probed.withColumn("final_key", normalise_url("final_url"))
+    rows = probed.withColumn("final_key", F.coalesce(normalise_url("final_url"), F.col("url_key")))
     stayed = rows.where("final_key = url_key")
     claimed = ledger_keys.select("url_key").unionByName(probed.select("url_key")).distinct()
     moved = rows.where("final_key <> url_key").join(
@@ -108,23 +109,38 @@ def ownership(requests: DataFrame, owned: DataFrame, on: str, caller: str, owner
     return requests.join(o, on, "left").withColumn("access", access).drop("_owner", "_ok")
 
 
-def bind_attachments(messages: DataFrame, attachments: DataFrame, most: int = rules.UPLOAD_MAX_PER_MESSAGE) -> DataFrame:
+def bind_attachments(messages: DataFrame, attachments: DataFrame, most: int = rules.UPLOAD_MAX_PER_MESSAGE,
+                     order: Column | None = None) -> DataFrame:
     """Resolve ``messages(message_id, user_id, session_id, ids)``: one row per
-    distinct attachment with ``outcome`` bind, ok, 403, 404, 409 or 422."""
+    distinct attachment with ``outcome`` bind, ok, 403, 404, 409 or 422.
+
+    An attachment without a session is bound by the first message of its owner
+    that may name it (``order``, by default the message id); after that the
+    session of that message is the attachment's.
+    """
+    order = F.col("message_id") if order is None else order
     wanted = messages.select(
-        "message_id", "user_id", "session_id", (F.size("ids") > most).alias("_too_many"),
+        "message_id", "user_id", "session_id", order.alias("_order"), (F.size("ids") > most).alias("_too_many"),
         F.posexplode(F.array_distinct("ids")).alias("position", "attachment_id"),
     )
     a = attachments.select("attachment_id", F.col("user_id").alias("_owner"), F.col("session_id").alias("_session"))
+    joined = wanted.join(a, "attachment_id", "left")
+    binds = F.col("_session").isNull() & ~F.col("_too_many") & (F.col("_owner") == F.col("user_id"))
+    # an aggregate, so that an attachment that many messages name is folded before it is shuffled
+    first = joined.where(binds).groupBy("attachment_id").agg(
+        F.min(F.struct("_order", "message_id", "session_id")).alias("_first")
+    )
+    session = F.coalesce("_session", "_first.session_id")
     outcome = (
         F.when(F.col("_too_many"), "422")
         .when(F.col("_owner").isNull(), "404")
         .when(F.col("_owner") != F.col("user_id"), "403")
-        .when(F.col("_session").isNull(), "bind")
-        .when(F.col("_session") == F.col("session_id"), "ok")
+        .when(F.col("_session").isNull() & (F.col("_first.message_id") == F.col("message_id")), "bind")
+        .when(session == F.col("session_id"), "ok")
         .otherwise("409")
     )
-    return wanted.join(a, "attachment_id", "left").withColumn("outcome", outcome).drop("_too_many", "_owner", "_session")
+    resolved = joined.join(first, "attachment_id", "left").withColumn("outcome", outcome)
+    return resolved.drop("_too_many", "_owner", "_session", "_order", "_first")
 
 
 def owner_backfill(children: DataFrame, parents: DataFrame, on: str, owner: str) -> DataFrame:

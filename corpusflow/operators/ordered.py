@@ -339,13 +339,15 @@ def quota_admission(
         .when(F.col(size) > F.col("_left"), "over_quota"),
     )
     order_cols = [f"_o{i}" for i in range(len(order))]
-    rest = judged.where(F.col("outcome").isNull()).withColumns(dict(zip(order_cols, order)))
+    who = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    rest = judged.where(F.col("outcome").isNull()).withColumns(dict(zip(order_cols, order))).withColumn("_who", who)
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, left = object(), 0
         for frame in frames:
             outcome = []
-            for who, item, space in zip(frame[key], frame[size], frame["_left"]):
+            # text of the key: NULL is a key like any other, and no number turns into a float
+            for who, item, space in zip(frame["_who"], frame[size], frame["_left"]):
                 if who != current:
                     current, left = who, space
                 fits = item <= left
@@ -353,6 +355,7 @@ def quota_admission(
                 outcome.append("accepted" if fits else "over_quota")
             yield frame.assign(outcome=outcome)
 
-    walked = rest.repartition(key).sortWithinPartitions(key, *order_cols).mapInPandas(walk, rest.schema)
+    walked = rest.drop(key).repartition("_who").sortWithinPartitions("_who", *order_cols).mapInPandas(walk, rest.drop(key).schema)
     decided = judged.where(F.col("outcome").isNotNull())
-    return decided.unionByName(walked.drop(*order_cols)).drop("_left", "_fits", SEGMENT)
+    named = walked.withColumn(key, F.when(F.col("_who") != "", F.substr("_who", F.lit(2))).cast(df.schema[key].dataType))
+    return decided.unionByName(named.drop("_who", *order_cols)).drop("_left", "_fits", SEGMENT)

@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from corpusflow import rules
 from corpusflow.functions.basic import let, nullif_blank
 from corpusflow.functions.text import sanitize, snippet
 from corpusflow.session import scratch_dir
 
-#: Queries shipped to the tasks at a time; larger sets are searched in blocks.
-QUERY_BLOCK = 4096
+#: Queries and bytes of their vectors that every task gets as a copy; more are dealt out.
+QUERY_BLOCK, QUERY_BYTES = 4096, 64 * 1024 * 1024
 #: Scores held at once by a task (32 MB): batches are cut to stay below it.
 MAX_SCORES = 4_000_000
+#: Vectors that one part holds where queries are dealt out.
+PART_ROWS = 20_000
+#: Rounding that a matrix product may carry; candidates this close are scored exactly.
+SLACK = 1e-9
 
 
 def vector_norm(v: Column) -> Column:
@@ -38,16 +46,10 @@ def has_dimension(v: Column, dim: int) -> Column:
     return F.size(v) == dim
 
 
-def _query_blocks(queries: DataFrame, query_id: str, vector: str) -> Iterator[list]:
-    """Query rows in blocks of bounded size, one block on the driver at a time."""
-    block = []
-    for row in queries.select(query_id, vector).toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == QUERY_BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
+def usable(v: Column, dim: int | None = None) -> Column:
+    """Whether a vector can be compared: no nulls, every component finite, not zero, of ``dim`` components."""
+    fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return F.coalesce(fine if dim is None else fine & has_dimension(v, dim), F.lit(False))
 
 
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -60,128 +62,182 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _score_block(vectors: DataFrame, block: list, vec_id: str, vector: str, k: int, probes: dict | None) -> DataFrame:
-    """Best ``k`` vectors per query and task, as (position, vec_id, raw_score).
+class _Best:
+    """The ``k`` best ids of each query so far, by score in full precision, then by id."""
 
-    Queries times vectors are never rows: every Arrow batch is one matrix
-    product, and a task hands on at most ``k`` rows per query.
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.unit, self.k = queries, _unit_rows(queries), k
+        self.norms = np.sqrt((queries * queries).sum(axis=1))
+        self.found: list[list[tuple]] = [[] for _ in queries]
+        self.worst = np.full(len(queries), -np.inf)
+
+    def offer(self, ids: list, vectors: np.ndarray) -> None:
+        if not len(self.queries):
+            return
+        unit, norms = _unit_rows(vectors), np.sqrt((vectors * vectors).sum(axis=1))
+        step = max(1, MAX_SCORES // len(self.queries))
+        for at in range(0, len(ids), step):
+            near = self.unit @ unit[at : at + step].T
+            edge = np.maximum(self.worst, -np.partition(-near, self.k - 1, axis=1)[:, self.k - 1] if near.shape[1] > self.k else -np.inf)
+            for q in np.flatnonzero((near >= edge[:, None] - SLACK).any(axis=1)):
+                some = np.flatnonzero(near[q] >= edge[q] - SLACK) + at
+                # row by row, so that equal vectors score equal wherever they stand
+                exact = (vectors[some] * self.queries[q]).sum(axis=1) / (norms[some] * self.norms[q])
+                self.found[q] = heapq.nsmallest(self.k, self.found[q] + [(-s, ids[i]) for s, i in zip(exact.tolist(), some.tolist())])
+                if len(self.found[q]) == self.k:
+                    self.worst[q] = -self.found[q][-1][0]
+
+    def rows(self) -> list[tuple[int, object, float]]:
+        return [(q, i, -s) for q, hits in enumerate(self.found) for s, i in hits]
+
+
+def _dealt(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``(_q, _v, score)`` candidates where vectors ``(part, salt, _v, vec)`` and queries ``(part, salt, _q, vec)`` meet.
+
+    Both are shuffled on (part, salt); a task holds one part's vectors and reads its queries in batches.
     """
-    shared = vectors.sparkSession.sparkContext.broadcast(
-        (_unit_rows(np.array([v for _, v in block], dtype=np.float64)), probes)
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    both = vectors.select("part", "salt", F.lit(0).alias("kind"), none(queries, "_q"), "_v", "vec").union(
+        queries.select("part", "salt", F.lit(1), "_q", none(vectors, "_v"), "vec")
     )
-    id_type = vectors.schema[vec_id].dataType
-    if id_type.simpleString() not in ("bigint", "int"):
-        raise TypeError("vector ids must be integers")
+    met = both.repartition("part", "salt").sortWithinPartitions("part", "salt", "kind")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, by_cell = shared.value
-        n = len(unit)
-        # the k best so far per query
-        scores, ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max, dtype=np.int64)
-
-        def offer(rows: np.ndarray, sims: np.ndarray, new_ids: np.ndarray) -> None:
-            if sims.shape[1] > k:  # keep ties at the border: they are settled by id below
-                edge = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
-                sims = np.where(sims >= edge, sims, -np.inf)
-            all_s = np.concatenate([scores[rows], sims], axis=1)
-            all_i = np.concatenate([ids[rows], np.broadcast_to(new_ids, sims.shape)], axis=1)
-            order = np.lexsort((all_i, -np.round(all_s, 4)), axis=1)[:, :k]
-            scores[rows] = np.take_along_axis(all_s, order, axis=1)
-            ids[rows] = np.take_along_axis(all_i, order, axis=1)
-
-        rows_at_once = max(1, MAX_SCORES // n)
-        pieces = (
-            batch.slice(start, rows_at_once) for batch in batches for start in range(0, batch.num_rows, rows_at_once)
-        )
-        for batch in pieces:
-            found = np.round(_unit_rows(_matrix(batch.column(1))), 12)
-            new_ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            if by_cell is None:
-                offer(np.arange(n), np.round(unit @ found.T, 4), new_ids)
-                continue
-            cells = batch.column(2).to_numpy(zero_copy_only=False)
-            for cell in np.unique(cells):
-                asking = np.array(by_cell.get(int(cell), ()), dtype=np.int64)
-                if len(asking):
-                    here = cells == cell
-                    offer(asking, np.round(unit[asking] @ found[here].T, 4), new_ids[here])
-        rows, cols = np.nonzero(np.isfinite(scores))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int64()), pa.array(ids[rows, cols], pa.int64()), pa.array(scores[rows, cols], pa.float64())],
-            names=["_q", vec_id, "score"],
-        )
-
-    columns = [vec_id, vector] + (["cell"] if probes is not None else [])
-    return vectors.select(*columns).mapInArrow(best, f"_q long, `{vec_id}` long, score double")
-
-
-def _top_k(vectors, queries, k, query_id, query_vector, vec_id, vector, probe_of=None) -> DataFrame:
-    spark = vectors.sparkSession
-    parts = None
-    id_type = queries.schema[query_id].dataType.simpleString()
-    for block in _query_blocks(queries, query_id, query_vector):
-        probes, searched = None, vectors
-        if probe_of is not None:
-            probes = probe_of([v for _, v in block])
-            searched = vectors.where(F.col("cell").isin(sorted(probes)))
-        names = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(block)], f"_q long, `{query_id}` {id_type}")
-        hits = _score_block(searched, block, vec_id, vector, k, probes).join(F.broadcast(names), "_q").drop("_q")
-        parts = hits if parts is None else parts.unionByName(hits)
-    if parts is None:
-        return spark.createDataFrame([], f"`{query_id}` {id_type}, `{vec_id}` long, score double, rank int")
-    w = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(vec_id))
-    return parts.withColumn("rank", F.row_number().over(w)).where(f"rank <= {k}")
+        group, ids, parts = None, [], []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("part", "salt", "kind"))))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for low, high in zip(cuts, cuts[1:]):
+                if low == high:
+                    continue
+                some = batch.slice(low, high - low)
+                if keys[low][:2] != group:
+                    group, ids, parts = keys[low][:2], [], []
+                if keys[low][2] == 0:
+                    ids += some.column("_v").to_pylist()
+                    parts.append(_matrix(some.column("vec")))
+                elif ids:
+                    parts = [np.concatenate(parts)]
+                    asked = _Best(_matrix(some.column("vec")), k)
+                    asked.offer(ids, parts[0])
+                    rows = asked.rows()
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column("_q").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], some.column("_v").type), pa.array([r[2] for r in rows], pa.float64())],
+                        names=["_q", "_v", "score"],
+                    )
+
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((queries, "_q"), (vectors, "_v"))]
+    return met.mapInArrow(best, ", ".join([*kinds, "score double"]))
+
+
+def _copied(vectors: DataFrame, block: list, k: int, id_type: DataType) -> DataFrame:
+    """The same candidates where every task has a copy of the few queries: one scan, and no shuffle of vectors."""
+    shared = vectors.sparkSession.sparkContext.broadcast([(q, [float(x) for x in v]) for q, v in block])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [q for q, _ in shared.value]
+        asked = _Best(np.array([v for _, v in shared.value], np.float64), k)
+        kind, q_kind = None, to_arrow_type(id_type)
+        for batch in batches:
+            kind = batch.column("_v").type
+            asked.offer(batch.column("_v").to_pylist(), _matrix(batch.column("vec")))
+        if kind is not None and (rows := asked.rows()):
+            yield pa.RecordBatch.from_arrays([pa.array([names[r[0]] for r in rows], q_kind), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.float64())], names=["_q", "_v", "score"])
+
+    return vectors.select("_v", "vec").mapInArrow(best, f"_q {id_type.simpleString()}, _v {vectors.schema['_v'].dataType.simpleString()}, score double")
+
+
+def _ranked(hits: DataFrame, k: int, query_id: str, vec_id: str) -> DataFrame:
+    """Ranks by full precision; the score is rounded last."""
+    w = Window.partitionBy("_q").orderBy(F.desc("score"), F.asc("_v"))
+    best = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.select(F.col("_q").alias(query_id), F.col("_v").alias(vec_id), F.round("score", 4).alias("score"), "rank")
+
+
+def _ready(df: DataFrame, id_col: str, vector: str, name: str, dim: int | None) -> DataFrame:
+    return df.where(F.col(id_col).isNotNull() & usable(F.col(vector), dim)).select(F.col(id_col).alias(name), F.col(vector).cast("array<double>").alias("vec"))
 
 
 def cosine_top_k(
     vectors: DataFrame, queries: DataFrame, k: int = rules.TOP_K, query_id: str = "query_id",
     query_vector: str = "query_vector", vec_id: str = "vec_id", vector: str = "embedding",
-    min_score: float | None = None,
+    min_score: float | None = None, copied: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """Exact search: ``(query_id, vec_id, score, rank)``, score = cosine rounded
-    to four places, equal scores by id.
-
-    Filters belong on ``vectors`` before the call, where they reach the scan.
+    """Exact search: ``(query_id, vec_id, score, rank)``; ranked by cosine in full
+    precision, equal ones by id, then rounded to four places.
+
+    Ids may be numbers or text. Vectors and queries that are null, zero, not finite or of another length than the
+    first query take no part (``usable`` finds them). Up to ``copied`` queries of a checked size go to
+    every task and vectors are only scanned; the hits, at most that many times ``k``, are then marked as small
+    enough to broadcast. More queries are dealt out to parts of the vectors, each read once. Filters
+    belong on ``vectors`` before the call, where they reach the scan.
     """
-    hits = _top_k(vectors, queries, k, query_id, query_vector, vec_id, vector)
+    asked = _ready(queries, query_id, query_vector, "_q", None)
+    block = asked.limit(copied + 1).collect()
+    if not block:
+        kinds = vectors.schema[vec_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+        return vectors.sparkSession.createDataFrame([], f"`{query_id}` {kinds[1]}, `{vec_id}` {kinds[0]}, score double, rank int")
+    dim = len(block[0]["vec"])
+    ready = _ready(vectors, vec_id, vector, "_v", dim)
+    if len(block) <= copied and 8 * dim * len(block) <= QUERY_BYTES:
+        block = [(r["_q"], r["vec"]) for r in block if len(r["vec"]) == dim]
+        hits = _ranked(_copied(ready, block, k, asked.schema["_q"].dataType), k, query_id, vec_id).hint("broadcast")
+    else:
+        parts = max(1, -(-ready.count() // PART_ROWS))
+        salted = ready.select(F.lit(0).alias("part"), F.pmod(F.xxhash64("_v"), F.lit(parts)).cast("int").alias("salt"), "_v", "vec")
+        everywhere = asked.where(F.size("vec") == dim).select(F.lit(0).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("salt"), "_q", "vec")
+        hits = _ranked(_dealt(salted, everywhere, k), k, query_id, vec_id)
     return hits if min_score is None else hits.where(F.col("score") >= min_score)
 
 
 class CellIndex:
-    """Vectors stored by k-means cell; a search reads only the cells it probes."""
+    """Vectors stored by k-means cell; a search reads only the cells it probes.
 
-    def __init__(self, path: str, centres: np.ndarray):
-        self.path, self.centres = path, centres
+    A cell is stored in parts of about ``PART_ROWS`` vectors, so a crowded cell is many parts.
+    """
+
+    def __init__(self, path: str, centres: np.ndarray, vec_id: str):
+        self.path, self.centres, self.vec_id = path, centres, vec_id
 
     @classmethod
     def build(cls, vectors: DataFrame, lists: int = rules.IVF_LISTS, vec_id: str = "vec_id",
-              vector: str = "embedding", seed: int = 7, path: str | None = None, iterations: int = 10,
-              train_rows: int = 1_000_000) -> CellIndex:
-        """Every vector is stored; only the cell centres are learned from at
-        most about ``train_rows`` of them."""
+              vector: str = "embedding", seed: int = 7, path: str | None = None, iterations: int = 10) -> CellIndex:
+        """Every usable vector is stored, and the cell centres are learned from all of them."""
         path = path or scratch_dir(vectors.sparkSession, "cells")
-        features = vectors.select(vec_id, vector, array_to_vector(unit_vector(F.col(vector))).alias("_v"))
-        total = vectors.count()
-        model = KMeans(
-            k=lists, seed=seed, maxIter=iterations, distanceMeasure="cosine", featuresCol="_v", predictionCol="cell"
-        ).fit(features if total <= train_rows else features.sample(train_rows / total, seed))
-        # no shuffle by cell: a crowded cell stays spread over many files
-        model.transform(features).drop("_v").write.partitionBy("cell").parquet(path)
-        return cls(path, _unit_rows(np.array(model.clusterCenters())))
+        common = vectors.where(usable(F.col(vector))).groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+        ready = _ready(vectors, vec_id, vector, "_v", common["n"] if common else 0)
+        features = ready.withColumn("_f", array_to_vector(unit_vector(F.col("vec")))).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            model = KMeans(
+                k=lists, seed=seed, maxIter=iterations, distanceMeasure="cosine", featuresCol="_f", predictionCol="part"
+            ).fit(features)
+            placed = model.transform(features).select("part", "_v", "vec")
+            salts = placed.groupBy("part").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("salts"))  # a row for each cell
+            salted = placed.join(F.broadcast(salts), "part").withColumn("salt", F.pmod(F.xxhash64("_v"), "salts").cast("int"))
+            salted.repartition("part", "salt").write.partitionBy("part").parquet(path)
+        finally:
+            features.unpersist()
+        return cls(path, _unit_rows(np.array(model.clusterCenters())), vec_id)
 
     def search(self, spark, queries: DataFrame, k: int = rules.TOP_K, probes: int = 1, query_id: str = "query_id",
-               query_vector: str = "query_vector", vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+               query_vector: str = "query_vector") -> DataFrame:
+        """Any number of queries: each goes to the parts of its ``probes`` nearest cells."""
+        centres = self.centres
         stored = spark.read.parquet(self.path)
-
-        def probe_of(block: list) -> dict[int, list[int]]:
-            nearest = np.argsort(-(_unit_rows(np.array(block, dtype=np.float64)) @ self.centres.T), axis=1)
-            by_cell: dict[int, list[int]] = {}
-            for q, cells in enumerate(nearest[:, :probes]):
-                for cell in cells:
-                    by_cell.setdefault(int(cell), []).append(q)
-            return by_cell
-
-        return _top_k(stored, queries, k, query_id, query_vector, vec_id, vector, probe_of)
+        asked = _ready(queries, query_id, query_vector, "_q", centres.shape[1])
+        kind = asked.schema["_q"].dataType.simpleString()
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cells = np.argsort(-(_unit_rows(_matrix(batch.column("vec"))) @ centres.T), axis=1, kind="stable")[:, :probes]
+                rows = pa.array(np.repeat(np.arange(len(cells)), cells.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel(), pa.int32()), batch.column("_q").take(rows), batch.column("vec").take(rows)], names=["part", "_q", "vec"])
+
+        probed = asked.mapInArrow(probe, f"part int, _q {kind}, vec array<double>")
+        parts = stored.select("part", "salt").distinct()  # a row for each part
+        cells = [r["part"] for r in probed.select("part").distinct().collect()]  # at most as many as cells
+        hits = _dealt(stored.where(F.col("part").isin(cells)), probed.join(F.broadcast(parts), "part").select("part", "salt", "_q", "vec"), k)
+        return _ranked(hits, k, query_id, self.vec_id)
 
 
 def recall_at_k(found: DataFrame, exact: DataFrame, query_id: str = "query_id", vec_id: str = "vec_id") -> DataFrame:

@@ -117,7 +117,7 @@ def session_epochs(
     events: DataFrame, user: str, ts: str, tie: str, is_epoch: Column, issued_at: Column, segment_seconds: int = 86_400
 ) -> DataFrame:
     """Token uses with the user's latest epoch at that moment; a token issued
-    before it is revoked."""
+    before it, in whole seconds, is revoked."""
     cut = with_segment(events, seconds(F.col(ts)), segment_seconds)
     cut = cut.withColumn("_epoch_here", F.coalesce(is_epoch, F.lit(False)))
     seen = running(
@@ -125,7 +125,7 @@ def session_epochs(
     )
     uses = seen.where(~F.col("_epoch_here")).withColumn("issued_at", issued_at)
     return uses.withColumn(
-        "revoked", F.coalesce(F.col("issued_at") < F.col("epoch"), F.lit(False))
+        "revoked", F.coalesce(F.date_trunc("second", "issued_at") < F.date_trunc("second", "epoch"), F.lit(False))
     ).drop("_epoch_here", SEGMENT)
 
 

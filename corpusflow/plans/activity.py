@@ -148,10 +148,14 @@ def ownership(spark, sf_dir):
     """
     WITH m AS (SELECT event_id AS message_id, user_id % 4 AS user_id, user_id % 2 AS session_id,
                       list_transform(range(0, event_id % 7 + 1), lambda i: (event_id * 3 + (i * i) % 4) % 16000) AS ids FROM events),
-    u AS (SELECT message_id, user_id, session_id, len(ids) > 5 AS too_many, ids, unnest(list_distinct(ids)) AS attachment_id FROM m)
-    SELECT message_id, attachment_id, CASE WHEN too_many THEN '422' WHEN o_orderkey IS NULL THEN '404' WHEN o_custkey % 4 <> user_id THEN '403'
-        WHEN o_orderstatus = 'P' THEN 'bind' WHEN o_custkey % 2 = session_id AND o_orderstatus = 'F' THEN 'ok' ELSE '409' END AS outcome
-    FROM u LEFT JOIN orders ON o_orderkey = attachment_id""",
+    u AS (SELECT message_id, user_id, session_id, len(ids) > 5 AS too_many, ids, unnest(list_distinct(ids)) AS attachment_id FROM m),
+    j AS (SELECT u.*, o_orderkey, o_custkey % 4 AS owner, CASE o_orderstatus WHEN 'F' THEN o_custkey % 2 WHEN 'O' THEN -1 END AS stored
+          FROM u LEFT JOIN orders ON o_orderkey = attachment_id),
+    f AS (SELECT attachment_id, min(message_id) AS first_message, arg_min(session_id, message_id) AS first_session FROM j
+          WHERE NOT too_many AND owner = user_id AND stored IS NULL GROUP BY 1)
+    SELECT message_id, j.attachment_id, CASE WHEN too_many THEN '422' WHEN o_orderkey IS NULL THEN '404' WHEN owner <> user_id THEN '403'
+        WHEN stored IS NULL AND message_id = first_message THEN 'bind' WHEN coalesce(stored, first_session) = session_id THEN 'ok' ELSE '409' END AS outcome
+    FROM j LEFT JOIN f ON f.attachment_id = j.attachment_id""",
 )
 def attachment_binding(spark, sf_dir):
     key = F.col("event_id")
@@ -378,7 +382,7 @@ def token_validity(spark, sf_dir):
     """
     WITH e AS (SELECT *, max(CASE WHEN event_type = 'signup' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch FROM events)
     SELECT event_id, epoch, ts - to_seconds(CAST(floor(value * 3600) AS BIGINT)) AS issued_at,
-           coalesce(ts - to_seconds(CAST(floor(value * 3600) AS BIGINT)) < epoch, false) AS revoked
+           coalesce(date_trunc('second', ts - to_seconds(CAST(floor(value * 3600) AS BIGINT))) < date_trunc('second', epoch), false) AS revoked
     FROM e WHERE event_type <> 'signup'""",
 )
 def session_epoch(spark, sf_dir):

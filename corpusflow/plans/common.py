@@ -46,7 +46,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def capitalised(c: Column) -> Column:
-    return F.concat(F.upper(F.left(c, F.lit(1))), F.substring(c, 2, 1_000))
+    return F.concat(F.upper(F.left(c, F.lit(1))), F.substr(c, F.lit(2)))
 
 
 def named_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

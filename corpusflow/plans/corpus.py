@@ -142,7 +142,7 @@ def ledger_rows(spark, sf_dir):
         F.when(n % 3 == 0, F.concat("given", F.lit(" "), "family")).when(n % 3 == 1, "").alias("authors"),
         F.when(n % 5 == 0, "").when(n % 5 == 1, "FALSE").otherwise(" true ").alias("verdict"),
         F.when(n % 7 == 0, "TRUE").otherwise("FALSE").alias("downloaded"),
-        F.when(n % 4 == 1, "failed: HTTP 404 (gone)").when(n % 4 == 2, "retry: HTTP 503").alias("note"),
+        F.when(n % 4 == 1, "failed: HTTP 404 (no longer there)").when(n % 4 == 2, "retry: HTTP 503").alias("note"),
     )
 
 
@@ -153,7 +153,7 @@ def ledger_rows(spark, sf_dir):
     SELECT lang AS subject, 'web' AS source, url AS hyperlink, trim(title) AS title, CASE WHEN page_id % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS open_source,
       CASE WHEN page_id % 3 = 0 THEN given || ' ' || family ELSE '' END AS authors,
       CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'FALSE' ELSE 'true' END AS verdict, CASE WHEN page_id % 7 = 0 THEN 'TRUE' ELSE 'FALSE' END AS downloaded,
-      CASE page_id % 4 WHEN 1 THEN 'failed: HTTP 404 (gone)' WHEN 2 THEN 'retry: HTTP 503' ELSE '' END AS note
+      CASE page_id % 4 WHEN 1 THEN 'failed: HTTP 404 (no longer there)' WHEN 2 THEN 'retry: HTTP 503' ELSE '' END AS note
     FROM np""",
 )
 def ledger_scan(spark, sf_dir):

@@ -363,7 +363,7 @@ def progress(spark, sf_dir):
 )
 def outcomes(spark, sf_dir):
     n = _n() % 4
-    note = F.when(n == 0, "failed: HTTP 404 (gone)").when(n == 1, "retry: HTTP 503").otherwise("stored://x")
+    note = F.when(n == 0, "failed: HTTP 404 (no longer there)").when(n == 1, "retry: HTTP 503").otherwise("stored://x")
     results = table(spark, sf_dir, "pages").select(
         (n > 1).alias("downloaded"), note.alias("note"), F.char_length("html").alias("bytes")
     )

@@ -20,9 +20,9 @@ def questions(spark, sf_dir):
 def _hits(k: int, where: str = "true", floor: str = "true") -> str:
     return f"""
     q AS (SELECT label AS query_id, arg_min(embedding, vec_id)::DOUBLE[] AS qv FROM embeddings GROUP BY 1),
-    s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], qv), 4) AS score FROM q, embeddings WHERE {where}),
+    s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], qv) AS score FROM q, embeddings WHERE {where}),
     h AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s),
-    t AS (SELECT query_id, vec_id, score, rank FROM h WHERE rank <= {k} AND {floor})"""
+    t AS (SELECT query_id, vec_id, round(score, 4) AS score, rank FROM h WHERE rank <= {k} AND {floor})"""
 
 
 @query(
@@ -40,7 +40,7 @@ def retrieve_topk(spark, sf_dir):
     )
 
 
-@query("retrieve_min_score", f"WITH {_hits(5, floor='score >= 0.3')} SELECT * FROM t")
+@query("retrieve_min_score", f"WITH {_hits(5, floor='round(score, 4) >= 0.3')} SELECT * FROM t")
 def retrieve_min_score(spark, sf_dir):
     return V.cosine_top_k(table(spark, sf_dir, "embeddings"), questions(spark, sf_dir), k=5, min_score=0.3)
 
@@ -60,6 +60,22 @@ def ivf_search(spark, sf_dir):
     return index.search(spark, questions(spark, sf_dir), k=3, probes=5)
 
 
+@query("ivf_recall", "SELECT DISTINCT label AS query_id, true AS enough FROM embeddings")
+def ivf_recall(spark, sf_dir):
+    """Whether five of sixteen cells bring at least one of a question's three nearest vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = questions(spark, sf_dir)
+    found = V.CellIndex.build(vectors, lists=16).search(spark, asked, k=3, probes=5)
+    recall = V.recall_at_k(found, V.cosine_top_k(vectors, asked, k=3))
+    return recall.select("query_id", (F.col("recall") >= 0.3).alias("enough"))
+
+
+@query("retrieve_dealt", f"WITH {_hits(3)} SELECT * FROM t")
+def retrieve_dealt(spark, sf_dir):
+    """The same search with the queries dealt out to parts of the vectors, as more of them are."""
+    return V.cosine_top_k(table(spark, sf_dir, "embeddings"), questions(spark, sf_dir), copied=0)
+
+
 @query("ivf_all_cells", f"WITH {_hits(3)} SELECT * FROM t")
 def ivf_all_cells(spark, sf_dir):
     """Probing every cell is the exact search."""
@@ -141,7 +157,7 @@ def render_context(spark, sf_dir):
     WITH {_CONTEXT},
     a AS (SELECT conv_id, turn, conv_id % 25 AS query_id, {sql_sanitize('text')} AS question, role FROM conversations)
     SELECT conv_id, turn, md5(CASE WHEN role = 'system' THEN 'Files:' || chr(10) || '<user_attachments>' || chr(10) || 'notes' || chr(10) || '</user_attachments>' || chr(10) || chr(10) ELSE '' END
-        || 'Sources:' || chr(10) || '<retrieved_sources>' || chr(10) || coalesce(context, '(no sources retrieved for this question)') || chr(10) || '</retrieved_sources>'
+        || 'Sources:' || chr(10) || '<retrieved_sources>' || chr(10) || coalesce(context, '(nothing was retrieved for this one)') || chr(10) || '</retrieved_sources>'
         || chr(10) || chr(10) || 'Question:' || chr(10) || question) AS digest
     FROM a LEFT JOIN c ON a.query_id = c.query_id""",
 )
@@ -160,9 +176,9 @@ def prompt_rows(spark, sf_dir):
     "render_attachments",
     """
     WITH a AS (SELECT doc_id // 4 AS message_id, doc_id % 4 AS position, 'f' || doc_id || '.txt' AS filename,
-        CASE doc_id % 7 WHEN 0 THEN '(This is an image attached to this message. It is included directly below as a picture — read it and answer from what you can see in it.)'
-          WHEN 1 THEN '(This file could not be read.)' WHEN 2 THEN '(No text could be extracted. It may be a scanned document saved as images.)'
-          WHEN 3 THEN text || chr(10) || chr(10) || '(Document truncated: only the first part is shown.)' ELSE text END AS body FROM documents)
+        CASE doc_id % 7 WHEN 0 THEN '(A picture comes with this message and follows as such; use what it shows.)'
+          WHEN 1 THEN '(Contents could not be read.)' WHEN 2 THEN '(There is no text in this file; pages may be pictures.)'
+          WHEN 3 THEN text || chr(10) || chr(10) || '(Cut here; the rest is left out.)' ELSE text END AS body FROM documents)
     SELECT message_id, md5(string_agg('[Attachment ' || (position + 1) || ': ' || filename || ']' || chr(10) || body, chr(10) || chr(10) ORDER BY position)) AS digest
     FROM a GROUP BY 1""",
 )

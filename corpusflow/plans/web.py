@@ -330,16 +330,16 @@ def html_authors(spark, sf_dir):
         ['application/pdf', 'text/html', 'image/png', 'application/pdf; x'][(page_id % 4 + 1)::INTEGER] AS ctype,
         page_id % 3 = 0 AS is_pdf, (page_id % 5) * 50000000 AS bytes, page_id % 6 = 1 AS walled FROM pages)
     SELECT page_id, CASE
-      WHEN status IN (404, 410) THEN 'failed: HTTP ' || status || ' (gone)'
-      WHEN status IN (401, 403) THEN 'failed: HTTP ' || status || ' (blocked or login required)'
-      WHEN status = 202 THEN 'retry: HTTP 202 bot challenge; the site usually lifts it later'
+      WHEN status IN (404, 410) THEN 'failed: HTTP ' || status || ' (no longer there)'
+      WHEN status IN (401, 403) THEN 'failed: HTTP ' || status || ' (not allowed)'
+      WHEN status = 202 THEN 'retry: HTTP 202 (visitor check)'
       WHEN status IN (408, 429) OR status >= 500 THEN 'retry: HTTP ' || status
       WHEN status <> 200 THEN 'failed: HTTP ' || status
-      WHEN is_pdf AND bytes > 157286400 THEN 'failed: PDF too large (' || (bytes // 1048576) || ' MB)'
+      WHEN is_pdf AND bytes > 157286400 THEN 'failed: file above the limit (' || (bytes // 1048576) || ' MB)'
       WHEN is_pdf THEN 'ok'
-      WHEN contains(ctype, 'pdf') THEN 'failed: labelled as a PDF but is not one (bot protection?)'
-      WHEN NOT regexp_matches(ctype, 'html|xml|text') THEN 'failed: not a PDF (' || ctype || ')'
-      WHEN walled AND length(html) + 21 < 50000 THEN 'failed: blocked by a bot check / CAPTCHA page'
+      WHEN contains(ctype, 'pdf') THEN 'failed: announced as PDF, other content'
+      WHEN NOT regexp_matches(ctype, 'html|xml|text') THEN 'failed: other type (' || ctype || ')'
+      WHEN walled AND length(html) + 21 < 50000 THEN 'failed: visitor check page'
       ELSE 'html' END AS outcome
     FROM l""",
 )

@@ -82,17 +82,20 @@ def replace_chunks(current: DataFrame, incoming: DataFrame, touched: DataFrame,
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
-    """Classify every key as new, changed, deleted or same by content digest.
+    """Classify every key as new, changed, deleted or same by content digest;
+    NULL content is a content of its own.
 
     Only digests are shuffled, never the content.
     """
-    digest = lambda df, name: df.select(key, F.sha2(F.col(content).cast("binary"), 256).alias(name))
-    joined = digest(old, "old_digest").join(digest(new, "new_digest"), key, "full_outer")
+    digest = lambda df, name: df.select(
+        key, F.struct(F.sha2(F.col(content).cast("binary"), 256).alias("digest")).alias(name)
+    )
+    joined = digest(old, "was").join(digest(new, "is"), key, "full_outer")
     status = (
-        F.when(F.col("old_digest").isNull(), "new")
-        .when(F.col("new_digest").isNull(), "deleted")
-        .when(F.col("old_digest") != F.col("new_digest"), "changed")
-        .otherwise("same")
+        F.when(F.col("was").isNull(), "new")
+        .when(F.col("is").isNull(), "deleted")
+        .when(F.col("was.digest").eqNullSafe(F.col("is.digest")), "same")
+        .otherwise("changed")
     )
     return joined.select(key, status.alias("status"))
 

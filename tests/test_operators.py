@@ -284,7 +284,7 @@ def test_fences_stay_closed(spark):
     for tag in ("retrieved_sources", "user_attachments"):
         assert prompts[0].count(f"<{tag}>") == prompts[0].count(f"</{tag}>") == 1
         assert prompts[0].index(f"<{tag}>") < prompts[0].index(f"</{tag}>")
-    assert "(no sources retrieved for this question)" in prompts[1] and "<user_attachments>" not in prompts[1]
+    assert "(nothing was retrieved for this one)" in prompts[1] and "<user_attachments>" not in prompts[1]
 
 
 def test_attachments(spark):
@@ -292,10 +292,10 @@ def test_attachments(spark):
             ("m", 3, "c.txt", "document", "truncated", "body"), ("m", 4, "d.txt", "document", "ok", "body")]
     df = spark.createDataFrame(rows, "m string, position int, filename string, kind string, extraction_status string, extracted_text string")
     text = C.render_attachments(df, ["m"]).first()["attachments"]
-    assert text.startswith("[Attachment 1: i.png]\n(This is an image") and text.endswith("[Attachment 5: d.txt]\nbody")
+    assert text.startswith("[Attachment 1: i.png]\n(A picture comes") and text.endswith("[Attachment 5: d.txt]\nbody")
     assert "[Attachment 4: c.txt]\nbody\n\n(Document truncated" in text
     hidden = C.render_attachments(df, ["m"], images_visible=False).first()["attachments"]
-    assert "you cannot see images" in hidden
+    assert "cannot see images" in hidden
 
 
 # --- reports and plans -------------------------------------------------------------
@@ -329,3 +329,30 @@ def test_build_documents(spark):
                                   ("Nok culture", "https://x.com/a", "<title>Shakespeare plays</title>")], "concept string, url string, html string")
     rows = D.build_documents(hits).collect()
     assert [(r["title"], r["source"], r["open_source"]) for r in rows] == [("Nok culture art", "zenodo.org", True)]
+
+
+def test_search_ranks_by_full_precision_whatever_the_ids(spark):
+    close = [0.91231, 0.91233, 0.91234]
+    rows = [(f"v{i}", [c, (1 - c * c) ** 0.5]) for i, c in enumerate(close)] + [("n", None), ("z", [0.0, 0.0]), ("s", [1.0]), ("h", [1.0, None])]
+    vectors = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    queries = spark.createDataFrame([("q", [2.0, 0.0]), ("none", None)], "query_id string, query_vector array<double>")
+    for copied in (0, 10):
+        got = V.cosine_top_k(vectors, queries, k=2, copied=copied).orderBy("rank").collect()
+        assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [("q", "v2", 0.9123), ("q", "v1", 0.9123)]
+    index = V.CellIndex.build(vectors, lists=2, iterations=2)
+    assert [r["vec_id"] for r in index.search(spark, queries, k=1, probes=2).collect()] == ["v2"]
+
+
+def test_attachments_bind_once(spark):
+    messages = spark.createDataFrame([(1, 7, 100, ["a"]), (2, 7, 200, ["a", "b"]), (3, 8, 300, ["a"]), (4, 7, 100, ["a"])], "message_id long, user_id long, session_id long, ids array<string>")
+    files = spark.createDataFrame([("a", 7, None), ("b", 7, 200)], "attachment_id string, user_id long, session_id long")
+    got = {(r["message_id"], r["attachment_id"]): r["outcome"] for r in J.bind_attachments(messages, files).collect()}
+    assert got == {(1, "a"): "bind", (2, "a"): "409", (2, "b"): "ok", (3, "a"): "403", (4, "a"): "ok"}
+
+
+def test_redirects_without_a_final_address_stay(spark):
+    from pyspark.sql import functions as F
+
+    probed = spark.createDataFrame([("http://a.org/", None, 1), ("http://b.org/", "http://a.org/", 2)], "url_key string, final_url string, n int")
+    ledger = spark.createDataFrame([], "url_key string")
+    assert [r["url_key"] for r in J.claim_redirects(probed, ledger, [F.col("n")]).collect()] == ["http://a.org/"]

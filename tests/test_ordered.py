@@ -200,3 +200,11 @@ def test_tokens_and_epochs(spark):
     )
     got = W.session_epochs(ev, "user", "ts", "id", F.col("epoch_event"), F.col("iat"), segment_seconds=5).orderBy("id").collect()
     assert [(r["id"], r["revoked"]) for r in got] == [(1, False), (3, True), (4, False), (5, False)]
+
+
+def test_quota_of_a_null_key(spark):
+    rows = [(None, i, 60) for i in range(4)] + [(2**60 + 1, i, 60) for i in range(2)]
+    df = spark.createDataFrame(rows, "who long, n long, size long")
+    cut = O.with_segment(df, F.col("n"), 2)
+    got = O.quota_admission(cut, "who", [F.col("n")], "size", quota=100, max_item=80).collect()
+    assert sorted((str(r["who"]), r["n"]) for r in got if r["outcome"] == "accepted") == [(str(2**60 + 1), 0), ("None", 0)] and len(got) == 6

@@ -103,7 +103,7 @@ def test_ledger(spark, tmp_path):
     path.write_text(
         "Subject,Source,Hyperlink,Title,Open,Author,verdict,downloaded\n"
         's, x.org ,https://x.org/1,"A, ""T""",TRUE,,TRUE,FALSE\n'
-        "s,x.org,https://x.org/2,T,TRUE,A B,TRUE,FALSE,failed: HTTP 404 (gone)\n"
+        "s,x.org,https://x.org/2,T,TRUE,A B,TRUE,FALSE,failed: HTTP 404 (no longer there)\n"
         "s,x.org,ftp://x.org/3,T,TRUE,A B,TRUE,FALSE,\ns,x.org,https://x.org/4,T,TRUE,A B,TRUE,TRUE,\ns,x.org,https://x.org/5,T,TRUE,A B,,FALSE,\n"
     )
     rows = L.read_ledger(spark, str(path))
@@ -214,3 +214,12 @@ def test_validate_json(spark):
     assert bad is None and plan["machines"][0]["estimated_cost_usd"] == 1.0
     none = validate_json(spark.createDataFrame([("nope",)], "j string"), "j", PART_SPEC).first()
     assert none["invalid"] == "not_json"
+
+
+def test_snapshot_of_null_content(spark):
+    old = spark.createDataFrame([("a", None), ("b", None), ("c", "x"), ("d", "y")], "k string, t string")
+    new = spark.createDataFrame([("a", None), ("b", "now"), ("c", None), ("e", None)], "k string, t string")
+    from corpusflow.sources.corpus import snapshot_diff
+
+    got = {r["k"]: r["status"] for r in snapshot_diff(old, new, "k", "t").collect()}
+    assert got == {"a": "same", "b": "changed", "c": "changed", "d": "deleted", "e": "new"}

@@ -124,7 +124,7 @@ def test_title_matches(one):
 
 def test_markers_and_quotes(one):
     assert one(X.marker_flags, "A Savage and Primitive view") == ["primitive", "savage"]
-    assert one(X.withhold_flagged, "savage") == "[content withheld by safety filter]"
+    assert one(X.withhold_flagged, "savage") == "[withheld]"
     assert one(X.quoted_spans, "He said \"one\" and “two”") == ["one", "two"]
 
 
@@ -133,3 +133,7 @@ def test_json(one):
     assert one(X.salvage_json, "[1]") is None
     assert one(X.salvage_json, "{broken") is None
     assert one(X.strip_fences, '```json\n{"a": 1}\n```') == '{"a": 1}'
+
+
+def test_sanitize_folds_case_beyond_ascii(one):
+    assert one(X.sanitize, "<assıstant>x") == "[quoted-tag]x"
