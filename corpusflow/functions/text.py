@@ -111,6 +111,14 @@ def chunk_tokens(
     return F.filter(let(tokens, windows), lambda w: w["chunk"] != "")
 
 
+def session_title(prompt: Column | str) -> Column:
+    return F.left(col(prompt), F.lit(rules.SESSION_TITLE_CHARS))
+
+
+def preview(text: Column | str) -> Column:
+    return F.left(col(text), F.lit(rules.PREVIEW_CHARS))
+
+
 def snippet(text: Column | str, chars: int = rules.SNIPPET_CHARS) -> Column:
     return F.left(col(text), F.lit(chars))
 

@@ -167,29 +167,55 @@ def _xml(c):
     WITH {SQL_NAMED_PAGES},
     c AS (SELECT DISTINCT given AS concept, {sql_words('given')} AS needle FROM np),
     r AS (SELECT page_id, url, {_TITLE} AS title, {_FULL} AS a, {sql_words("title || ' ' || CASE WHEN page_id % 2 = 0 THEN given ELSE '' END || ' ' || lab")} AS hay
-          FROM (SELECT np.*, lower(family) AS lab FROM np) WHERE page_id % 4 <> 3),
+          FROM (SELECT np.*, lower(family) AS lab FROM np) WHERE page_id % 4 <> 3 AND page_id % 9 <> 5),
     m AS (SELECT r.*, concept, row_number() OVER (PARTITION BY page_id ORDER BY length(concept) DESC, concept) AS k
           FROM r JOIN c ON contains(hay, needle))
     SELECT 'oai:repo' AS source, concept, url, title, a || '|Second Person' AS authors, false AS needs_check FROM m WHERE k = 1 AND title <> ''""",
 )
 def harvest_oai(spark, sf_dir):
     """OAI-PMH answers, labelled by the concept their text mentions."""
-    dc = lambda tag, c: F.concat(F.lit(f"<dc:{tag}>"), _xml(c), F.lit(f"</dc:{tag}>"))
+    pages = named_pages(spark, sf_dir)
+    concepts = pages.select(F.col("given").alias("c")).distinct()
+    answers = _oai_answers(pages).where("page_id % 9 <> 5")
+    label = lambda df, text, out: concept_label(df, text, concepts, "c", out)
+    return C.oai_pmh(answers, label).withColumn("authors", F.array_join("authors", "|"))
+
+
+def _oai_answers(pages):
+    """One answer per page; prefixes differ from answer to answer, and some answers are errors, empty or broken."""
+    n = _n()
+    outer = F.when(n % 3 == 0, "oai_dc").when(n % 3 == 1, "o").otherwise("x1")
+    inner = F.when(n % 2 == 0, "dc").otherwise("d")
+    dc = lambda tag, c: F.concat(F.lit("<"), inner, F.lit(f":{tag}>"), _xml(c), F.lit("</"), inner, F.lit(f":{tag}>"))
     record = F.concat(
         F.lit('<OAI-PMH xmlns="http://www.openarchives.org/OAI/2.0/"><ListRecords><record><header'),
-        F.when(_n() % 4 == 3, ' status="deleted"').otherwise(""),
-        F.lit('><identifier>oai:1</identifier></header><metadata><oai_dc:dc xmlns:oai_dc="http://www.openarchives.org/OAI/2.0/oai_dc/" '
-              'xmlns:dc="http://purl.org/dc/elements/1.1/">'),
+        F.when(n % 4 == 3, ' status="deleted"').otherwise(""),
+        F.lit("><identifier>oai:1</identifier></header><metadata><"), outer, F.lit(":dc xmlns:"), outer,
+        F.lit('="http://www.openarchives.org/OAI/2.0/oai_dc/" xmlns:'), inner, F.lit('="http://purl.org/dc/elements/1.1/">'),
         dc("title", F.col("title")), dc("creator", F.concat("given", F.lit(" "), "family")), dc("creator", F.lit("Second Person")),
-        dc("subject", F.when(_n() % 2 == 0, F.col("given")).otherwise("")), dc("description", F.lower("family")),
+        dc("subject", F.when(n % 2 == 0, F.col("given")).otherwise("")), dc("description", F.lower("family")),
         dc("description", F.col("given")), dc("identifier", F.lit("oai:1")), dc("identifier", F.col("url")),
-        F.lit("</oai_dc:dc></metadata></record></ListRecords></OAI-PMH>"),
+        F.lit("</"), outer, F.lit(":dc></metadata></record>"), F.when(n % 5 == 0, "<resumptionToken> t1 </resumptionToken>").otherwise("<resumptionToken/>"),
+        F.lit("</ListRecords></OAI-PMH>"),
     )
-    pages = named_pages(spark, sf_dir)
-    concepts = pages.select(F.col("given").alias("c")).distinct()
-    answers = pages.select(F.lit("repo").alias("source"), record.alias("payload"))
-    label = lambda df, text, out: concept_label(df, text, concepts, "c", out)
-    return C.oai_pmh(answers, label).withColumn("authors", F.array_join("authors", "|"))
+    other = (
+        F.when(n % 27 == 5, '<OAI-PMH><error code="noRecordsMatch">none</error></OAI-PMH>')
+        .when(n % 27 == 14, "<OAI-PMH><ListRecords></ListRecords></OAI-PMH>")
+        .otherwise("not xml at all")
+    )
+    return pages.select("page_id", F.lit("repo").alias("source"), F.when(n % 9 == 5, other).otherwise(record).alias("payload"))
+
+
+@query(
+    "oai_outcome",
+    """
+    SELECT page_id, CASE WHEN page_id % 9 = 5 THEN 0 ELSE 1 END AS records,
+           CASE WHEN page_id % 9 <> 5 AND page_id % 5 = 0 THEN 't1' END AS token,
+           CASE WHEN page_id % 27 = 5 THEN 'error: noRecordsMatch' WHEN page_id % 27 = 14 THEN 'no records' WHEN page_id % 9 = 5 THEN 'unreadable' END AS reason
+    FROM pages""",
+)
+def oai_outcome(spark, sf_dir):
+    return C.oai_outcome(_oai_answers(named_pages(spark, sf_dir))).select("page_id", "records", "token", "reason")
 
 
 @query(

@@ -107,6 +107,31 @@ def chunk_tokens(spark, sf_dir):
     return chunks.select("doc_id", "chunk_index", "c.n_tokens", F.md5(F.col("c.chunk").cast("binary")).alias("digest"))
 
 
+@query(
+    "chunk_counts",
+    r"""
+    WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n FROM documents)
+    SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE 1 + greatest(0, CAST(ceil((n - 500) / 425.0) AS BIGINT)) END AS chunks FROM t""",
+)
+def chunk_counts(spark, sf_dir):
+    """Chunks of each document; a document without words has none."""
+    chunks = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(X.chunk_tokens("text")).alias("chunk_index", "c"))
+    return chunks.groupBy("doc_id").agg(F.count("chunk_index").alias("chunks"))
+
+
+@query(
+    "session_titles",
+    f"""
+    WITH p AS (SELECT conv_id, arg_min(text, turn) AS prompt FROM conversations WHERE role = 'user' GROUP BY 1)
+    SELECT conv_id, left(prompt, 80) AS title, left(prompt, 600) AS preview FROM p""",
+)
+def session_titles(spark, sf_dir):
+    """A session is named by its first prompt."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
+    return first.select("conv_id", X.session_title("prompt").alias("title"), X.preview("prompt").alias("preview"))
+
+
 @query(
     "relevance",
     rf"""

@@ -196,24 +196,44 @@ def harvest(pages: DataFrame, sources: Iterable[str] = tuple(MAPPERS)) -> DataFr
 _OAI_SCHEMA = (
     "ListRecords struct<record:array<struct<"
     "header:struct<_status:string,identifier:string>,"
-    "metadata:struct<`oai_dc:dc`:struct<"
-    "`dc:title`:array<string>,`dc:creator`:array<string>,`dc:subject`:array<string>,"
-    "`dc:description`:array<string>,`dc:identifier`:array<string>>>>>,"
-    "resumptionToken:string>"
+    "metadata:struct<dc:struct<"
+    "title:array<string>,creator:array<string>,subject:array<string>,"
+    "description:array<string>,identifier:array<string>>>>>,"
+    "resumptionToken:string>, error struct<_code:string,_VALUE:string>"
 )
+#: Elements count by their names, not by the prefix an answer happens to give them.
+_OAI_OPTIONS = {"rowTag": "OAI-PMH", "mode": "PERMISSIVE", "ignoreNamespace": "true"}
+
+
+def oai_outcome(pages: DataFrame) -> DataFrame:
+    """What each landed answer amounts to: its columns, ``records``, ``token``
+    (where the walk goes on) and ``reason``.
+
+    ``reason`` is null for an answer with records, else ``error: <code>``,
+    ``unreadable`` or ``no records``.
+    """
+    read = pages.withColumn("_x", F.from_xml("payload", _OAI_SCHEMA, _OAI_OPTIONS))
+    records = F.greatest(F.coalesce(F.size("_x.ListRecords.record"), F.lit(0)), F.lit(0))
+    reason = (
+        F.when(F.col("_x.error").isNotNull(), F.concat(F.lit("error: "), F.coalesce("_x.error._code", F.lit("unknown"))))
+        .when(F.col("_x.ListRecords").isNull(), "unreadable")
+        .when(records == 0, "no records")
+    )
+    token = strip("_x.ListRecords.resumptionToken")
+    return read.select(*pages.columns, records.alias("records"), F.when(token != "", token).alias("token"), reason.alias("reason"))
 
 
 def oai_pmh(pages: DataFrame, label: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
     """OAI-PMH answers. A walk has no search term, so ``label(df, text, out)``
     supplies the concept; records no concept matches are dropped."""
-    xml = pages.select("source", F.from_xml("payload", _OAI_SCHEMA, {"rowTag": "OAI-PMH", "mode": "PERMISSIVE"}).alias("x"))
+    xml = pages.select("source", F.from_xml("payload", _OAI_SCHEMA, _OAI_OPTIONS).alias("x"))
     df = xml.select("source", F.explode("x.ListRecords.record").alias("r")).where(
         "coalesce(r.header._status, '') <> 'deleted' AND r.metadata IS NOT NULL"
     )
-    dc = F.col("r.metadata")["oai_dc:dc"]
+    dc = F.col("r.metadata.dc")
 
     def values(tag: str) -> Column:
-        items = F.coalesce(dc[f"dc:{tag}"], F.array().cast("array<string>"))
+        items = F.coalesce(dc[tag], F.array().cast("array<string>"))
         return F.filter(F.transform(items, strip), lambda v: v != "")
 
     df = df.select(
