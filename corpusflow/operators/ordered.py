@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from corpusflow import rules
 
 SEGMENT = "_segment"
+KEY = "_key"
 _NO_WINDOW = int(np.iinfo(np.int64).min)
 
 
@@ -40,11 +41,10 @@ def segment_width(df: DataFrame, order: Column, rows_per_segment: int = 1_000_00
     return float(row["hi"] - row["lo"]) / max(1, row["n"] // rows_per_segment)
 
 
-def _attach(df: DataFrame, summary: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join a per-segment summary back; NULL keys match each other."""
-    renamed = summary.withColumnsRenamed({c: f"_r_{c}" for c in on})
-    cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
-    return df.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
+def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the keys as one struct. It is never NULL and equal for NULL keys, so
+    windows, aggregates and joins on it and the segment share one distribution."""
+    return df.withColumn(KEY, F.struct(*[F.col(k) for k in keys] or [F.lit(0).alias("all")]))
 
 
 def running_all(
@@ -53,13 +53,13 @@ def running_all(
     """Inclusive running ``sum`` or ``max`` of several values per key, in one
     pass; needs :func:`with_segment`."""
     fn = {"sum": F.sum, "max": F.max}[how]
-    part = [*keys, SEGMENT]
+    part = [KEY, SEGMENT]
     local = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumns({f"_v_{out}": value for out, value in values.items()})
+    before = Window.partitionBy(KEY).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    df = _keyed(df, keys).withColumns({f"_v_{out}": value for out, value in values.items()})
     totals = df.groupBy(*part).agg(*[fn(f"_v_{out}").alias(f"_t_{out}") for out in values])
     carry = totals.select(*part, *[fn(f"_t_{out}").over(before).alias(f"_c_{out}") for out in values])
-    joined = _attach(df.withColumns({f"_l_{out}": fn(f"_v_{out}").over(local) for out in values}), carry, part)
+    joined = df.withColumns({f"_l_{out}": fn(f"_v_{out}").over(local) for out in values}).join(carry, part)
     zero = F.lit(0)
     results = {
         out: F.coalesce(F.col(f"_l_{out}"), zero) + F.coalesce(F.col(f"_c_{out}"), zero)
@@ -67,7 +67,7 @@ def running_all(
         for out in values
     }
     helpers = [f"_{kind}_{out}" for kind in "vlc" for out in values]
-    return joined.withColumns(results).drop(*helpers)
+    return joined.withColumns(results).drop(KEY, *helpers)
 
 
 def running(
@@ -78,13 +78,13 @@ def running(
 
 def following(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, out: str) -> DataFrame:
     """``value`` of the next row of the key (NULL on the last one)."""
-    part = [*keys, SEGMENT]
+    part, df = [KEY, SEGMENT], _keyed(df, keys)
     local = Window.partitionBy(*part).orderBy(*order)
     heads = df.groupBy(*part).agg(F.min_by(F.struct(value), F.struct(*order)).alias("_head"))
-    later = Window.partitionBy(*keys).orderBy(SEGMENT)
+    later = Window.partitionBy(KEY).orderBy(SEGMENT)
     carry = heads.select(*part, F.lead("_head").over(later).alias("_next_head"))
-    joined = _attach(df.withColumn("_next", F.lead(F.struct(value)).over(local)), carry, part)
-    return joined.withColumn(out, F.coalesce("_next", "_next_head").getField(value)).drop("_next", "_next_head")
+    joined = df.withColumn("_next", F.lead(F.struct(value)).over(local)).join(carry, part)
+    return joined.withColumn(out, F.coalesce("_next", "_next_head").getField(value)).drop(KEY, "_next", "_next_head")
 
 
 # --- streaks -----------------------------------------------------------------
@@ -93,12 +93,12 @@ def failure_streak(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], failed: Column, out: str = "streak"
 ) -> DataFrame:
     """Consecutive failures up to and including each row; 0 on a success."""
-    part = [*keys, SEGMENT]
+    part = [KEY, SEGMENT]
     upto = lambda *cols: Window.partitionBy(*cols).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     local = (
-        df.withColumn("_failed", F.coalesce(failed, F.lit(False)).cast("int"))
+        _keyed(df, keys).withColumn("_failed", F.coalesce(failed, F.lit(False)).cast("int"))
         .withColumn("_island", F.sum(1 - F.col("_failed")).over(upto(*part)))
         .withColumn("_run", F.sum("_failed").over(upto(*part, "_island")))
     )
@@ -106,22 +106,22 @@ def failure_streak(
         F.max(1 - F.col("_failed")).alias("_reset"),
         F.max_by("_run", F.struct(*order)).alias("_tail"),
     )
-    by_key = Window.partitionBy(*keys).orderBy(SEGMENT)
+    by_key = Window.partitionBy(KEY).orderBy(SEGMENT)
     carry = (
         ends.withColumn("_grp", F.sum("_reset").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn(
             "_upto",
             F.sum("_tail").over(
-                Window.partitionBy(*keys, "_grp").orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, 0)
+                Window.partitionBy(KEY, "_grp").orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, 0)
             ),
         )
         .select(*part, F.coalesce(F.lag("_upto").over(by_key), F.lit(0)).alias("_carry"))
     )
-    joined = _attach(local, carry, part)
+    joined = local.join(carry, part)
     streak = F.col("_run") + F.when(F.col("_island") == 0, F.col("_carry")).otherwise(0)
     return joined.withColumn(
         out, F.when(F.col("_failed") == 1, streak).otherwise(0).cast("int")
-    ).drop("_failed", "_island", "_run", "_carry")
+    ).drop(KEY, "_failed", "_island", "_run", "_carry")
 
 
 def cool_down_seconds(
@@ -290,7 +290,7 @@ def first_hit_windows(
         carry_over, f"{SEGMENT} long, _open_end long, _open_count long, {key_fields}"
     )
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    entered = _attach(hits.drop("_hot"), entries, part, "left").withColumns(
+    entered = _keyed(hits.drop("_hot"), keys).join(_keyed(entries, keys).drop(*keys), [KEY, SEGMENT], "left").drop(KEY).withColumns(
         {
             "_open_end": F.coalesce("_open_end", F.lit(_NO_WINDOW).cast("long")),
             "_open_count": F.coalesce("_open_count", F.lit(0).cast("long")),
@@ -322,17 +322,17 @@ def quota_admission(
     left is walked in order per key with constant memory.
     Needs :func:`with_segment`. Adds ``outcome``.
     """
-    part = [key, SEGMENT]
-    rows = df.withColumn(
+    part = [KEY, SEGMENT]
+    rows = _keyed(df, [key]).withColumn(
         "outcome", F.when(F.col(size) <= 0, "empty").when(F.col(size) > max_item, "too_large")
     )
     counted = F.when(F.col("outcome").isNull(), F.col(size)).otherwise(0)
-    upto = Window.partitionBy(key).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(KEY).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, 0)
     filled = rows.groupBy(*part).agg(F.sum(counted).alias("_size")).withColumn("_filled", F.sum("_size").over(upto))
     fits = F.col("_filled") <= quota
-    before = F.coalesce(F.max(F.when(fits, F.col("_filled"))).over(Window.partitionBy(key)), F.lit(0))
+    before = F.coalesce(F.max(F.when(fits, F.col("_filled"))).over(Window.partitionBy(KEY)), F.lit(0))
     summary = filled.select(*part, fits.alias("_fits"), (F.lit(quota) - before).cast("long").alias("_left"))
-    judged = _attach(rows, summary, part).withColumn(
+    judged = rows.join(summary, part).drop(KEY).withColumn(
         "outcome",
         F.when(F.col("outcome").isNotNull(), F.col("outcome"))
         .when(F.col("_fits"), "accepted")

@@ -9,7 +9,7 @@ from corpusflow.operators import joins as J
 from corpusflow.operators import ordered as O
 from corpusflow.operators import reports as R
 from corpusflow.operators import windows as W
-from corpusflow.plans.common import query, table
+from corpusflow.plans.common import ORACLES, query, table
 
 # --- chat ------------------------------------------------------------------------
 
@@ -351,15 +351,21 @@ def source_rest(spark, sf_dir):
            CASE WHEN hit_no > 2 THEN CAST(greatest(1, floor((opened + 172800000000 - us) / 1000000.0 + 0.5)) AS INTEGER) END AS retry_after
     FROM w""",
 )
-def rate_limit(spark, sf_dir):
+def rate_limit(spark, sf_dir, **how):
     """Two hits per user and path in two days from the first hit."""
     hits = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("path"), "ts")
     decided = O.first_hit_windows(
-        hits, ["user_id", "path"], "ts", "event_id", limit=2, window_seconds=172_800, segment_seconds=7 * 86_400
+        hits, ["user_id", "path"], "ts", "event_id", limit=2, window_seconds=172_800, segment_seconds=7 * 86_400, **how
     )
     return decided.select("event_id", "hit_no", "allowed", "retry_after")
 
 
+@query("rate_limit_segments", ORACLES["rate_limit"])
+def rate_limit_segments(spark, sf_dir):
+    """The same with every key cut into segments, as busy keys are."""
+    return rate_limit(spark, sf_dir, hot_rows=0)
+
+
 @query(
     "token_validity",
     """
