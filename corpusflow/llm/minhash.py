@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.common import id_and_text, materialise, slices
 
-#: With 48 bands of 8 bins a pair of similarity 0.85 shares no band once in four million cases.
-BANDS, ROWS = 48, 8
+#: Bins of a band, and how rarely a pair at the threshold may share no band (see ``bands_for``).
+ROWS, MISS = 8, 2.5e-7
 #: Bins of which the sketch keeps a byte; six standard deviations below 0.8 rule a pair out.
 SKETCH = 128
 #: Nodes of a bucket, or of a hub's edges, that one group holds.
@@ -43,10 +44,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def bands_for(percent: int) -> int:
+    """Bands such that a pair of this similarity shares none with probability ``MISS``: 48 for 85, 83 for 80."""
+    return max(SKETCH // ROWS, ceil(log(MISS) / log1p(-((percent / 100) ** ROWS)))) if percent < 100 else SKETCH // ROWS
+
+
 class Shingler:
     """Turns texts into sets of hashed shingles, and sets into signatures. Made anew in each task."""
 
-    def __init__(self, words: int = 5, bins: int = BANDS * ROWS):
+    def __init__(self, words: int = 5, bins: int = 48 * ROWS):
         rng = np.random.default_rng(20_240_117)
         self.words, self.bins = words, bins
         self.byte_value = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -111,7 +117,7 @@ class Shingler:
         return out
 
 
-def band_keys(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def band_keys(values: np.ndarray, bands: int) -> np.ndarray:
     rows = values.reshape(bands, -1)
     key = np.arange(bands, dtype=np.uint64)
     for j in range(rows.shape[1]):
@@ -119,12 +125,12 @@ def band_keys(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
+def signatures(docs: DataFrame, words: int, bands: int) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``set_key`` (digest of the set, null if empty) and ``bands``."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler = Shingler(words, bands * ROWS)
         for batch in slices(batches, size=1 << 20):
             sets = shingler.sets(batch.column("text").to_pylist())
             values = [shingler.signature(s) if len(s) else None for s in sets]
@@ -133,7 +139,7 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([band_keys(v) if v is not None else None for v in values], pa.list_(pa.int64())),
+                    pa.array([band_keys(v, bands) if v is not None else None for v in values], pa.list_(pa.int64())),
                 ],
                 schema=schema,
             )
@@ -147,7 +153,7 @@ def _least_match(percent: int) -> int:
     return int(SKETCH * p - 6 * (SKETCH * p * (1 - p)) ** 0.5)
 
 
-def candidate_sets(texts: DataFrame, nodes: DataFrame, words: int = 5) -> DataFrame:
+def candidate_sets(texts: DataFrame, nodes: DataFrame, words: int, bands: int) -> DataFrame:
     """``node``, ``n``, ``sketch``, ``shingles`` (ascending 64-bit hashes) and ``short`` (their upper halves) of the given nodes.
 
     The nodes that share a bucket grow with the corpus, so they are never broadcast.
@@ -155,7 +161,7 @@ def candidate_sets(texts: DataFrame, nodes: DataFrame, words: int = 5) -> DataFr
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in ("sketch", "shingles", "short"))])
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler = Shingler(words, bands * ROWS)
         for batch in slices(batches, size=1 << 20):
             sets = shingler.sets(batch.column("text").to_pylist())
             rows = [(i, len(s), shingler.signature(s)[:SKETCH].astype(np.uint8).tobytes(), s.tobytes(), (s >> np.uint64(32)).astype("<u4").tobytes()) for i, s in zip(batch.column("node").to_pylist(), sets, strict=True) if len(s)]
@@ -299,7 +305,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     a doc_id are one document, linked by any of their texts. A row without doc_id is linked with
     nothing: its component is null and it is kept. Very long texts count whole.
     """
-    signed = materialise(signatures(docs, words), "signatures")
+    bands = bands_for(percent)
+    signed = materialise(signatures(docs, words, bands), "signatures")
     usable = signed.where("set_key is not null and doc_id is not null")
     nodes = materialise(
         usable.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")),
@@ -308,7 +315,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub < far")
     shared = materialise(buckets.join(hubs.select("key", "hub"), "key"), "buckets")
-    sets = materialise(candidate_sets(id_and_text(docs), shared.select("node").distinct(), words), "sets")
+    sets = materialise(candidate_sets(id_and_text(docs), shared.select("node").distinct(), words, bands), "sets")
     stars = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     first = materialise(confirm(materialise(_plausible(stars, sets, percent), "edges"), sets, percent), "links")
     across = materialise(_across(shared.select("key", "node"), components(first), sets, percent), "edges")

@@ -110,6 +110,11 @@ def test_shingle_sets(texts):
             assert len(np.intersect1d(sets[i], sets[j])) == len(want[i] & want[j])
 
 
+def test_bands_follow_the_threshold():
+    assert (minhash.bands_for(85), minhash.bands_for(80)) == (48, 83)
+    assert all((1 - (p / 100) ** 8) ** minhash.bands_for(p) <= 2.6e-7 for p in range(50, 100))
+
+
 def test_signatures_estimate_similarity():
     rng, shingler = np.random.default_rng(1), minhash.Shingler()
     for size in (7, 40, 500):
