@@ -2,35 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow import rules
 from corpusflow.functions.arrow import fold, ratcliff_ratio
+from corpusflow.functions.basic import let
 from corpusflow.functions.text import latin_words
 from corpusflow.session import materialise
 
-try:
-    import ahocorasick
-except ImportError:  # the join form needs no automaton
-    ahocorasick = None
-
-#: Concepts are shipped to every task up to this size; beyond it they are joined.
-MAX_BROADCAST_CONCEPTS = 100_000
-MAX_BROADCAST_CHARS = 32 * 1024 * 1024
+#: Characters of a phrase that bring texts and phrases together.
+GRAM = 12
 
 
-def concept_label(
-    df: DataFrame, text: str, concepts: DataFrame, concept: str, out: str = "concept", key: str | None = None,
-    how: str = "auto",
-) -> DataFrame:
+def concept_label(df: DataFrame, text: str, concepts: DataFrame, concept: str, out: str = "concept") -> DataFrame:
     """Label each text with the longest concept phrase it contains, '' if none;
     equal lengths are settled by name.
 
-    ``key`` identifies rows and is only needed by the join form.
+    A phrase may start and end inside a word, but what follows its first blank
+    starts with a word. So phrases of several words and texts meet on the first
+    characters after that blank, phrases of one word on their own first
+    characters wherever in a word they stand. What met is verified in the
+    text's own row, once per text; equal texts are one.
     """
     phrases = (
         concepts.select(F.col(concept).alias("_concept"), latin_words(concept).alias("_needle"))
@@ -38,65 +31,22 @@ def concept_label(
         .groupBy("_needle")
         .agg(F.min(F.struct(-F.char_length("_concept"), "_concept")).getField("_concept").alias("_concept"))
     )
-    if how == "auto":
-        size = phrases.agg(F.count("*").alias("n"), F.sum(F.length("_needle") + F.length("_concept")).alias("chars")).first()
-        small = size["n"] <= MAX_BROADCAST_CONCEPTS and (size["chars"] or 0) <= MAX_BROADCAST_CHARS
-        how = "broadcast" if small and ahocorasick is not None else "join"
-    if how == "broadcast":
-        return _label_by_automaton(df, text, phrases, out)
-    if key is None:
-        raise ValueError("the join form needs a row key")
-    return _label_by_join(df, text, phrases, out, key)
-
-
-def _label_by_automaton(df: DataFrame, text: str, phrases: DataFrame, out: str) -> DataFrame:
-    """One pass over each text, whatever the number of concepts."""
-    rows = [(r["_needle"], r["_concept"]) for r in phrases.collect()]  # size checked above
-    if not rows:
-        return df.withColumn(out, F.lit(""))
-    shared = df.sparkSession.sparkContext.broadcast(rows)
-
-    @F.pandas_udf("string")
-    def label(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = ahocorasick.Automaton()
-        for needle, name in shared.value:
-            automaton.add_word(needle, (-len(name), name))
-        automaton.make_automaton()
-
-        def best(hay: str) -> str:
-            return min((hit for _, hit in automaton.iter(hay)), default=(0, ""))[1]
-
-        for texts in batches:
-            yield texts.map(best, na_action="ignore")
-
-    return df.withColumn(out, F.coalesce(label(latin_words(text)), F.lit("")))
-
-
-def _label_by_join(df: DataFrame, text: str, phrases: DataFrame, out: str, key: str, gram: int = 12) -> DataFrame:
-    """The same result as an equi-join, for concept lists of any size.
-
-    A phrase of at least ``gram`` characters can only occur where its first
-    ``gram`` characters do, so both sides meet on those; shorter phrases meet on
-    all of themselves. Only (row key, gram) pairs are shuffled.
-    """
-    lengths = phrases.select(F.least(F.length("_needle"), F.lit(gram)).alias("q")).distinct()
-    sizes = sorted(r["q"] for r in lengths.collect())  # at most ``gram`` values
-    hay = df.select(F.col(key).alias("_key"), latin_words(text).alias("_hay"))
+    several = F.contains(F.col("_needle"), F.lit(" "))
+    tail = F.when(several, F.regexp_replace("_needle", "^[^ ]* ", "")).otherwise(F.col("_needle"))
+    keyed = phrases.select("_needle", "_concept", several.alias("_several"), F.left(tail, F.lit(GRAM)).alias("_gram"))
+    sizes = sorted((r[0], r[1]) for r in keyed.select("_several", F.length("_gram")).distinct().collect())  # 24 at most
     if not sizes:
         return df.withColumn(out, F.lit(""))
-    # a look-ahead yields overlapping grams in one scan of the text
-    pieces = F.flatten(F.array(*[F.regexp_extract_all("_hay", F.lit(f"(?=(.{{{q}}}))"), F.lit(1)) for q in sizes]))
-    grams = hay.select("_key", F.explode_outer(F.array_distinct(pieces)).alias("_gram"))
-    keyed = phrases.withColumn("_gram", F.left("_needle", F.least(F.length("_needle"), F.lit(gram))))
-    found = (
-        grams.join(keyed, "_gram")
-        .join(hay, "_key")
-        .where(F.contains(F.col("_hay"), F.col("_needle")))
-        .groupBy("_key")
-        .agg(F.min(F.struct(-F.char_length("_concept"), "_concept")).getField("_concept").alias("_best"))
-    )
-    joined = df.join(found, F.col(key) == F.col("_key"), "left")
-    return joined.withColumn(out, F.coalesce("_best", F.lit(""))).drop("_key", "_best")
+    # a look-ahead yields overlapping pieces in one scan of the text
+    start = {True: "(?<= )", False: ""}
+    hay = df.withColumn("_hay", latin_words(text)).withColumn("_text", F.md5(F.col("_hay").cast("binary")))
+    pieces = F.flatten(F.array(*[F.regexp_extract_all("_hay", F.lit(f"{start[many]}(?=(.{{{q}}}))"), F.lit(1)) for many, q in sizes]))
+    grams = hay.select("_text", F.explode(F.array_distinct(pieces)).alias("_gram"))
+    found = grams.join(keyed.select("_gram", F.struct((-F.char_length("_concept")).alias("n"), F.col("_concept").alias("name"), F.col("_needle").alias("needle")).alias("_phrase")), "_gram")
+    met = found.groupBy("_text").agg(F.collect_set("_phrase").alias("_met"))
+    inside = F.filter("_met", lambda p: F.contains(F.col("_hay"), p["needle"]))
+    best = F.array_min(F.transform(inside, lambda p: F.struct(p["n"], p["name"]))).getField("name")
+    return hay.join(met, "_text", "left").withColumn(out, F.coalesce(best, F.lit(""))).drop("_hay", "_text", "_met")
 
 
 def normal_title(df: DataFrame, title: str, out: str) -> DataFrame:
@@ -104,6 +54,12 @@ def normal_title(df: DataFrame, title: str, out: str) -> DataFrame:
     return df.withColumn("_folded", fold(title)).withColumn(out, latin_words("_folded")).drop("_folded")
 
 
+def _grams(norm: Column, q: int) -> Column:
+    """The ``q``-grams of a text, each with its number among equal ones."""
+    plain = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(norm) - (q - 1))), lambda i: F.substr(norm, i, F.lit(q)))
+    return let(plain, lambda g: F.transform(g, lambda x, i: F.concat(x, F.size(F.filter(F.slice(g, F.lit(1), i + 1), lambda y: y == x)).cast("string"))))
+
+
 def near_titles(
     wanted: DataFrame,
     catalogue: DataFrame,
@@ -114,39 +70,46 @@ def near_titles(
     """Pairs of distinct normalised titles ``(norm, match, similarity)`` with a
     Ratcliff–Obershelp ratio of at least ``min_ratio``.
 
-    The catalogue search that proposes candidates is taken to be: at least half
-    of the longer title's distinct words are shared. Such a pair must share one
-    of the rarest ``n - ceil(n/2) + 1`` words of each side (prefix filtering),
-    so only those are joined; the length bound ``2*min/(a+b)`` comes before the
-    ratio. Copies of a title are one title here, so a crowd of copies costs
-    nothing; join back on the normalised title.
+    No such pair is lost: with ``s`` characters in both titles together, at
+    least ``min_ratio * s / 2`` match and at most ``(1 - min_ratio) * s`` don't.
+    Each unmatched one ends at most one run of matches, and a run of ``m``
+    holds ``m - q + 1`` common grams of ``q``; that bounds the common grams from
+    below. So a pair shares one of the rarest few grams of each title (prefix
+    filtering), on which they meet; lengths and the count of common grams are
+    checked before the ratio. Copies of a title are one title here, so a crowd of
+    copies costs nothing; join back on the normalised title.
     """
+    q = 3 if min_ratio >= 0.88 else 2
+    # common grams of two titles of s characters together: s * slope - (q - 1)
+    slope = min_ratio / 2 - (q - 1) * (1 - min_ratio)
+    if slope <= 0.05:
+        raise ValueError("a ratio this low leaves no bound to meet on")
+
     def distinct(df: DataFrame) -> DataFrame:
         norm = normal_title(df.where(F.col(title).isNotNull()), title, "norm").select("norm").distinct()
-        words = norm.withColumn("words", F.array_distinct(F.split("norm", " "))).where(
-            F.size(F.split("norm", " ")) >= min_words
-        )
-        return materialise(words, "titles")  # read several times below
+        long_enough = norm.where(F.size(F.split("norm", " ")) >= min_words)
+        return materialise(long_enough.withColumn("grams", _grams(F.col("norm"), q)), "titles")  # read several times below
 
     left, right = distinct(wanted), distinct(catalogue)
-    everything = left.select("words").unionByName(right.select("words"))
-    frequency = everything.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    everything = left.select("grams").unionByName(right.select("grams"))
+    frequency = everything.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
 
     def prefixes(df: DataFrame) -> DataFrame:
         ranked = (
-            df.select("norm", F.size("words").alias("n"), F.explode("words").alias("word"))
-            .join(frequency, "word")
-            .withColumn("r", F.row_number().over(Window.partitionBy("norm").orderBy("df", "word")))
+            df.select("norm", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+            .join(frequency, "gram")
+            .withColumn("r", F.row_number().over(Window.partitionBy("norm").orderBy("df", "gram")))
         )
-        return ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") / 2) + 1).select("norm", "word")
+        least_total = F.length("norm") * (1 + min_ratio / (2 - min_ratio))
+        shared = F.greatest(F.lit(1), F.ceil(least_total * slope - (q - 1) - 1e-9))
+        return ranked.where(F.col("r") <= F.col("n") - shared + 1).select("norm", "gram")
 
     a = prefixes(left).withColumnRenamed("norm", "a")
     b = prefixes(right).withColumnRenamed("norm", "b")
     la, lb = F.length("a"), F.length("b")
-    pairs = a.join(b, "word").where(2 * F.least(la, lb) >= min_ratio * (la + lb)).select("a", "b").distinct()
-    wa, wb = F.array_distinct(F.split("a", " ")), F.array_distinct(F.split("b", " "))
-    half = F.ceil(F.greatest(F.size(wa), F.size(wb)) / 2)
-    pairs = pairs.where(F.size(F.array_intersect(wa, wb)) >= half)
+    pairs = a.join(b, "gram").where(2 * F.least(la, lb) >= min_ratio * (la + lb)).select("a", "b").distinct()
+    common = F.size(F.array_intersect(_grams(F.col("a"), q), _grams(F.col("b"), q)))
+    pairs = pairs.where((F.col("a") == F.col("b")) | (common >= (la + lb) * slope - (q - 1) - 1e-9))
     scored = pairs.withColumn("similarity", F.when(F.col("a") == F.col("b"), 1.0).otherwise(
         ratcliff_ratio(F.when(F.col("a") != F.col("b"), F.col("a")), F.col("b"))))
     return scored.where(F.col("similarity") >= min_ratio).select(

@@ -183,7 +183,7 @@ def phrase_filter(spark, sf_dir):
 )
 def label_documents(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return concept_label(docs, "text", table(spark, sf_dir, "benchmark"), "text", key="doc_id").select("doc_id", "concept")
+    return concept_label(docs, "text", table(spark, sf_dir, "benchmark"), "text").select("doc_id", "concept")
 
 
 @query("title_match")
