@@ -47,8 +47,13 @@ def streak_stream(spark, sf_dir):
     EXCEPT SELECT {sql_url_key('url')} FROM pages WHERE starts_with(url, 'http://m.')""",
 )
 def stream_new_urls(spark, sf_dir):
+    """Every page is landed twice, in files that are batches of their own; each address comes out once."""
     known = table(spark, sf_dir, "pages").where("url LIKE 'http://m.%'").select(normalise_url("url").alias("url_key"))
-    hits = table_stream(spark, sf_dir, "pages").select("url", F.timestamp_seconds(F.col("page_id") + 1_700_000_000).alias("ts"))
+    folder = f"{scratch_dir(spark, 'landed')}/pages"
+    pages = table(spark, sf_dir, "pages").select("url", F.timestamp_seconds(F.col("page_id") * 3_600 + 1_700_000_000).alias("ts"))
+    pages.union(pages.withColumn("ts", F.col("ts") + F.expr("INTERVAL 90 DAYS"))).repartition(5).write.parquet(folder)
+    L.prepare_state_store(spark)
+    hits = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     return _run(spark, C.new_url_stream(hits, known, "url", "ts").select("url_key"), "new-urls")
 
 

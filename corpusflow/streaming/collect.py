@@ -31,14 +31,17 @@ def read_landing(spark: SparkSession, path: str, files_per_batch: int = 1_000) -
     )
 
 
-def new_url_stream(hits: DataFrame, ledger_keys: DataFrame, url: str, ts: str, horizon: str = "1 hour") -> DataFrame:
-    """First hit of every address within the horizon that the ledger lacks.
+def new_url_stream(hits: DataFrame, ledger_keys: DataFrame, url: str, ts: str, horizon: str | None = None) -> DataFrame:
+    """First hit of every address that the ledger lacks, however far apart its hits are.
 
-    Addresses seen before the horizon are the ledger's business.
+    The addresses seen are keyed state; it grows with them and is spread over the state store's partitions. With a
+    ``horizon`` they are forgotten once the watermark has passed it, for a sink that drops known addresses itself.
     """
-    keyed = hits.withColumn("url_key", normalise_url(url)).withWatermark(ts, horizon)
-    unseen = keyed.join(ledger_keys.select("url_key").distinct(), "url_key", "left_anti")
-    return unseen.dropDuplicatesWithinWatermark(["url_key"])
+    keyed = hits.withColumn("url_key", normalise_url(url))
+    known = ledger_keys.select("url_key").distinct()
+    if horizon is None:
+        return keyed.join(known, "url_key", "left_anti").dropDuplicates(["url_key"])
+    return keyed.withWatermark(ts, horizon).join(known, "url_key", "left_anti").dropDuplicatesWithinWatermark(["url_key"])
 
 
 def ledger_candidates(pages: DataFrame, strict: bool = True) -> DataFrame:

@@ -61,6 +61,16 @@ def test_new_url_stream(spark, tmp_path):
     assert sorted(r[0] for r in out.collect()) == ["http://a.org/x", "http://b.org/"]
 
 
+def test_new_urls_come_once_however_far_apart(spark, tmp_path):
+    for day in range(6):
+        df = spark.createDataFrame([("http://a.org/x", 86_400 * day)], "url string, n int").select("url", F.timestamp_seconds(F.col("n") + 10**9).alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    known = spark.createDataFrame([], "url_key string")
+    L.prepare_state_store(spark)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    assert [r[0] for r in run(C.new_url_stream(stream, known, "url", "ts").select("url_key"), tmp_path).collect()] == ["http://a.org/x"]
+
+
 def test_single_use_and_revocation_streams(spark, tmp_path):
     rows = [("t1", "u", 10), ("t1", "u", 11), ("t2", "u", 30), ("t3", "v", 5)]
     df = spark.createDataFrame(rows, "jti string, user string, n long").withColumn("ts", F.timestamp_seconds(F.col("n") + 10**9))
