@@ -70,14 +70,18 @@ def length_partition(size: Column, threshold: float) -> Column:
 def similar_pairs(fingerprints: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``a``, ``b`` (a < b) and ``similarity`` of all pairs of different sets at or above the threshold; ``id``, ``spots`` are given.
 
-    Equal sets are one class, named by its smallest id (see ``classes``). A set is listed under its least
-    digests only: two sets of sizes m <= n at the threshold share one among the first n - ceil(t n) + 1
-    of each. Listed entries meet by digest, in one or neighbouring length partitions.
+    Equal sets are one class, named by its smallest id (see ``classes``). A set is listed under its rarest
+    digests only: two sets of sizes m <= n at the threshold share one among the rarest n - ceil(t n) + 1
+    of each, so digests of passages that many documents have hardly ever list a set. Listed entries meet
+    by digest, in one or in neighbouring length partitions.
     """
     one = classes(fingerprints).groupBy("spots").agg(F.min("id").alias("id"))
     sized = one.withColumns({"n": F.size("spots"), "part": length_partition(F.size("spots"), threshold)})
-    listed = F.slice("spots", F.lit(1), F.col("n") - F.ceil(threshold * F.col("n") - F.lit(1e-9)).cast("int") + 1)
-    entries = sized.select("id", "n", "part", F.explode(listed).alias("spot"))
+    every = sized.select("id", "n", "part", F.explode("spots").alias("spot"))
+    common = every.groupBy("spot").agg(F.count("*").alias("sets"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("sets", "spot"))
+    listed = F.col("rank") <= F.col("n") - F.ceil(threshold * F.col("n") - F.lit(1e-9)).cast("int") + 1
+    entries = every.join(common, "spot").withColumn("rank", rank).where(listed & (F.col("sets") > 1)).drop("rank", "sets")
     near = entries.select("id", "n", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), "spot")
     left, right = near.alias("l"), entries.alias("r")
     met = left.join(right, (F.col("l.spot") == F.col("r.spot")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.id") != F.col("r.id")))
