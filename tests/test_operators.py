@@ -307,7 +307,7 @@ def test_attachments(spark):
     df = spark.createDataFrame(rows, "m string, position int, filename string, kind string, extraction_status string, extracted_text string")
     text = C.render_attachments(df, ["m"]).first()["attachments"]
     assert text.startswith("[Attachment 1: i.png]\n(A picture comes") and text.endswith("[Attachment 5: d.txt]\nbody")
-    assert "[Attachment 4: c.txt]\nbody\n\n(Document truncated" in text
+    assert "[Attachment 4: c.txt]\nbody\n\n(Cut here" in text
     hidden = C.render_attachments(df, ["m"], images_visible=False).first()["attachments"]
     assert "cannot see images" in hidden
 
