@@ -41,13 +41,14 @@ def claim_redirects(probed: DataFrame, ledger_keys: DataFrame, order: Sequence[C
 
 
 def author_ladder(docs: DataFrame, evidence: DataFrame, rungs: Sequence[str], key: str = "key", title: str = "title",
-                  text: str | None = None) -> DataFrame:
+                  text: str | None = None, printed_only: Sequence[str] = ("pdf-metadata",)) -> DataFrame:
     """Credit each document with the first rung that names authors.
 
     ``evidence(key, method, authors)`` holds what the rungs found; ``rungs``
     orders the methods. Methods ending in ``:title`` come from a title search:
     with document text at hand only names printed in it count, without text the
-    title must have seven words.
+    title must have seven words. Of the methods in ``printed_only`` names count
+    only if the document's text prints them.
     """
     order = F.array_position(F.array(*[F.lit(r) for r in rungs]), F.col("method"))
     rows = evidence.withColumn("_rung", order).where("_rung > 0 AND size(authors) > 0")
@@ -58,6 +59,8 @@ def author_ladder(docs: DataFrame, evidence: DataFrame, rungs: Sequence[str], ke
     searched = rows.where(F.col("method").endswith(":title"))
     # only what no direct rung answered is worth the text comparison
     open_ = searched.join(direct.select(key).distinct(), key, "left_anti")
+    own = direct.where(F.col("method").isin(*printed_only))
+    direct = direct.where(~F.col("method").isin(*printed_only))
     cols = [key, "_words"] + ([text] if text else [])
     checked = open_.join(known.select(*cols), key)
     if text:
@@ -71,6 +74,11 @@ def author_ladder(docs: DataFrame, evidence: DataFrame, rungs: Sequence[str], ke
         "authors",
         F.when(has_text, printed).when(enough, F.col("authors")).otherwise(F.array().cast("array<string>")),
     ).where("size(authors) > 0").select(*rows.columns)
+    if text:
+        seen = own.join(known.select(key, text), key).withColumn("_folded", fold(F.coalesce(F.col(text), F.lit(""))))
+        named = F.filter("authors", lambda n: name_in_text(n, F.col("_folded")))
+        printed_own = seen.withColumn("authors", named).where("size(authors) > 0").select(*rows.columns)
+        direct = direct.unionByName(printed_own)
     best = (
         direct.unionByName(confirmed)
         .groupBy(key)

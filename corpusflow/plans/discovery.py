@@ -264,6 +264,37 @@ def author_evidence(spark, sf_dir):
     return C.author_evidence(answers).withColumn("authors", F.array_join("authors", "|"))
 
 
+@query(
+    "title_evidence",
+    f"""
+    WITH {SQL_NAMED_PAGES},
+    t AS (SELECT page_id, given, family, {sql_words("strip_accents(title)")} AS norm FROM np)
+    SELECT page_id AS key, CASE WHEN page_id % 2 = 0 THEN 'crossref:title' ELSE 'openalex:title' END AS method, {_FULL} AS authors
+    FROM t WHERE 2.0 * length(norm) >= 0.9 * (2 * length(norm) + 2) AND length(norm) > 0""",
+)
+def title_evidence(spark, sf_dir):
+    """Lists of works found by title; the second one is the title and one more letter."""
+    s = lambda **kw: F.struct(*[c.alias(k) for k, c in kw.items()])
+    full, near = F.concat("given", F.lit(" "), "family"), F.concat("title", F.lit(" x"))
+    other = F.lit("qqqq wwww qqqq wwww")
+    crossref = s(message=s(items=F.array(
+        s(title=F.array(other), author=F.array(s(given=F.lit("Nob"), family=F.lit("Ody")))),
+        s(title=F.array(near), author=F.array(s(given=F.col("given"), family=F.col("family")))),
+        s(title=F.array(near), author=F.array(s(given=F.lit("Too"), family=F.lit("Late")))),
+    )))
+    openalex = s(results=F.array(
+        s(display_name=other, authorships=F.array(s(author=s(display_name=F.lit("Nob Ody"))))),
+        s(display_name=near, authorships=F.array(s(author=s(display_name=full)))),
+    ))
+    pages, even = named_pages(spark, sf_dir), _n() % 2 == 0
+    answers = pages.select(
+        _n().alias("key"), F.when(even, "crossref:title").otherwise("openalex:title").alias("kind"),
+        F.when(even, F.to_json(crossref)).otherwise(F.to_json(openalex)).alias("payload"),
+    )
+    found = C.title_evidence(answers, pages.select(_n().alias("key"), "title"))
+    return found.select("key", "method", F.array_join("authors", "|").alias("authors"))
+
+
 @query(
     "author_ladder",
     rf"""

@@ -13,11 +13,14 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow import rules
+from corpusflow.functions.arrow import fold, ratcliff_ratio
 from corpusflow.functions.basic import SPACE, collapse, first_match, nullif_blank, percent_encode, strip
 from corpusflow.functions.names import (
     clean_name, is_plausible_creator, split_name_list, unique_names,
 )
-from corpusflow.functions.text import is_machine_written, phrase_in_text
+from corpusflow.functions.text import is_machine_written, latin_words, phrase_in_text
+from corpusflow.functions.titles import unwrap_full_text_title
 from corpusflow.functions.urls import http_or_null
 
 #: Catalogues that rank by relevance, so their records are checked again.
@@ -271,16 +274,46 @@ def _creators(raw: Column) -> Column:
     return unique_names(F.filter(F.transform(raw, clean_name), is_plausible_creator))
 
 
+def _crossref_name(a: Column) -> Column:
+    named = (F.coalesce(a["given"], F.lit("")) != "") | (F.coalesce(a["family"], F.lit("")) != "")
+    return F.when(named, F.concat_ws(" ", a["given"], a["family"])).otherwise(F.coalesce(a["name"], F.lit("")))
+
+
+def title_evidence(answers: DataFrame, titles: DataFrame, min_ratio: float = rules.TITLE_MATCH_MIN) -> DataFrame:
+    """Landed title searches ``(key, kind, payload)`` and ``titles(key, title)`` -> ``(key, method, authors)``.
+
+    ``kind`` is ``crossref:title`` or ``openalex:title``, the payload a list of works. The first work
+    counts whose title is near enough (Ratcliff–Obershelp on accent-free words) and which has a
+    plausible author. Lengths that rule the ratio out are dropped before it is computed.
+    """
+    crossref = F.from_json(
+        "payload", "message struct<items:array<struct<title:array<string>,author:array<struct<given:string,family:string,name:string>>>>>"
+    )["message"]["items"]
+    openalex = F.from_json("payload", "results array<struct<display_name:string,authorships:array<struct<author:struct<display_name:string>>>>>")["results"]
+    works = F.when(
+        F.col("kind") == "crossref:title",
+        F.transform(crossref, lambda w: F.struct(F.try_element_at(w["title"], F.lit(1)).alias("title"), F.transform(w["author"], _crossref_name).alias("names"))),
+    ).otherwise(
+        F.transform(openalex, lambda w: F.struct(w["display_name"].alias("title"), w["authorships"]["author"]["display_name"].alias("names")))
+    )
+    asked = answers.where(F.col("kind").isin("crossref:title", "openalex:title")).select("key", "kind", F.posexplode(works).alias("place", "work"))
+    found = asked.select("key", "kind", "place", F.col("work.title").alias("found"), _creators(F.col("work.names")).alias("authors"))
+    found = found.where("size(authors) > 0").join(titles.select("key", F.col("title").alias("asked")), "key")
+    found = found.withColumn("asked", unwrap_full_text_title("asked")).withColumn("found", F.coalesce("found", F.lit("")))
+    found = found.withColumns({"asked": latin_words(fold("asked")), "found": latin_words(fold("found"))})
+    la, lb = F.length("asked"), F.length("found")
+    near = found.where((la > 0) & (2 * F.least(la, lb) >= min_ratio * (la + lb)))
+    near = near.where(ratcliff_ratio(F.col("asked"), F.col("found")) >= min_ratio)
+    return near.groupBy("key", F.col("kind").alias("method")).agg(F.min_by("authors", "place").alias("authors"))
+
+
 def author_evidence(answers: DataFrame) -> DataFrame:
     """Landed lookups ``(key, kind, payload)`` -> ``(key, method, authors)``.
 
     ``kind`` is one of ``eric``, ``archive.org``, ``crossref:doi``,
-    ``openalex:title``; rows that yield no author are dropped.
+    ``openalex:title`` (one work, compared already); rows that yield no author
+    are dropped. Lists of works found by a title are ``title_evidence``'s.
     """
-    crossref_name = lambda a: F.when(
-        (F.coalesce(a["given"], F.lit("")) != "") | (F.coalesce(a["family"], F.lit("")) != ""),
-        F.concat_ws(" ", a["given"], a["family"]),
-    ).otherwise(F.coalesce(a["name"], F.lit("")))
     eric = F.from_json("payload", "response struct<docs:array<struct<author:array<string>>>>")
     archive = F.from_json("payload", "metadata struct<creator:string>")
     doi = F.from_json("payload", "message struct<author:array<struct<given:string,family:string,name:string>>>")
@@ -289,7 +322,7 @@ def author_evidence(answers: DataFrame) -> DataFrame:
     names = (
         F.when(F.col("kind") == "eric", F.try_element_at(eric["response"]["docs"]["author"], F.lit(1)))
         .when(F.col("kind") == "archive.org", listed)
-        .when(F.col("kind") == "crossref:doi", F.transform(doi["message"]["author"], crossref_name))
+        .when(F.col("kind") == "crossref:doi", F.transform(doi["message"]["author"], _crossref_name))
         .when(F.col("kind") == "openalex:title", alex["authorships"]["author"]["display_name"])
     )
     return answers.select("key", F.col("kind").alias("method"), _creators(names).alias("authors")).where(

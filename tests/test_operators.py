@@ -74,6 +74,13 @@ def test_near_titles_match_brute_force(spark):
     assert got == want and len(want) > 40
 
 
+def test_metadata_names_count_if_the_text_prints_them(spark):
+    docs = spark.createDataFrame([(1, "t", "by Ann Lee and others"), (2, "t", "nothing"), (3, "t", None)], "key int, title string, text string")
+    evidence = spark.createDataFrame([(k, "pdf-metadata", ["Ann Lee", "Acro Bat"]) for k in (1, 2, 3)], "key int, method string, authors array<string>")
+    got = {r["key"]: r["authors"] for r in J.author_ladder(docs, evidence, ["eric", "pdf-metadata"], text="text").collect()}
+    assert got == {1: ["Ann Lee"], 2: None, 3: None}
+
+
 def test_author_ladder(spark):
     docs = spark.createDataFrame(
         [(1, "t", None), (2, "a title of seven words for sure", None), (3, "a title of four", None),

@@ -223,3 +223,15 @@ def test_snapshot_of_null_content(spark):
 
     got = {r["k"]: r["status"] for r in snapshot_diff(old, new, "k", "t").collect()}
     assert got == {"a": "same", "b": "changed", "c": "changed", "d": "deleted", "e": "new"}
+
+
+def test_title_evidence_takes_the_first_near_work_with_an_author(spark):
+    item = lambda title, *names: {"title": [title], "author": [{"given": g, "family": f} for g, f in names]}
+    import json
+
+    listed = [item("Another book", ("No", "One")), item("The Gold Trade of Mali."), item("The gold trade of Malí", ("Ann", "Lee")), item("The gold trade of Mali", ("Bo", "Ng"))]
+    answers = [(1, "crossref:title", json.dumps({"message": {"items": listed}})), (2, "openalex:title", "not json"), (3, "eric", "{}")]
+    frame = spark.createDataFrame(answers, "key int, kind string, payload string")
+    titles = spark.createDataFrame([(1, 'Full text of "The gold trade of Mali"'), (2, None)], "key int, title string")
+    got = C.title_evidence(frame, titles).collect()
+    assert [(r["key"], r["method"], r["authors"]) for r in got] == [(1, "crossref:title", ["Ann Lee"])]
