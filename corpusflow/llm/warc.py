@@ -74,6 +74,8 @@ def _decided(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
     firsts = shared.groupBy("digest").agg(F.min("who").alias("first"))
     joined = rows.join(firsts, "digest", "left")
     revisit = F.col("first").isNotNull() & (F.col("size") >= SHARED_FROM) & ~(F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("place") == F.col("first.place")))
+    # in a fixed order, so that a task that is run again writes the same archive
+    joined = joined.sortWithinPartitions("place")
     return joined.select("page_id", "url", "digest", "size", revisit.alias("revisit"), F.col("first.page_id").alias("refers_to"), F.when(~revisit, F.col("payload")).alias("payload"), url_key(F.col("url")).alias("key"))
 
 
