@@ -77,7 +77,3 @@ def percent_encode(c: Column | str, keep_slash: bool = True) -> Column:
 def first_match(items: Column, predicate) -> Column:
     """First array element that satisfies ``predicate``, else NULL."""
     return F.try_element_at(F.filter(items, predicate), F.lit(1))
-
-
-def ordered_distinct_non_null(items: Column) -> Column:
-    return F.array_distinct(F.filter(items, lambda x: x.isNotNull()))

@@ -11,14 +11,6 @@ from corpusflow import rules
 from corpusflow.functions.arrow import reattach_marks
 from corpusflow.functions.basic import alternation, col, collapse, let, strip, title_case
 
-_LIFE_DATES = r",?\s*(?:ca\.\s*)?\d{3,4}\s*-\s*(?:\d{3,4})?\.?$"
-_TRAILING_ROLE = r"(?i),?\s*\b(?:ed|eds|editor|author|comp)\.?$"
-_LEADING_ROLE = (
-    r"(?i)^(?:(?:assistant|associate|general|volume|chief)\s+)?"
-    r"(?:editors?|eds?\.|dr\.?|prof\.?|professor|mr\.?|mrs\.?|ms\.?)\s+"
-)
-
-
 def _latin_accents() -> dict[str, str]:
     """Lower-case Latin letters that decompose to one plain letter plus marks."""
     table = {}
@@ -48,10 +40,10 @@ def clean_name(raw: Column | str) -> Column:
     """'Given Family' from catalogue forms of a name."""
     name = collapse(raw)
     name = F.regexp_replace(name, r"\([^)]*\)", "")
-    name = F.regexp_replace(name, _LIFE_DATES, "")
-    name = F.regexp_replace(name, _TRAILING_ROLE, "")
+    name = F.regexp_replace(name, rules.LIFE_DATES, "")
+    name = F.regexp_replace(name, rules.TRAILING_ROLE, "")
     name = F.regexp_replace(name, r"^[ ,;.]+|[ ,;.]+$", "")
-    name = strip(F.regexp_replace(name, _LEADING_ROLE, ""))
+    name = strip(F.regexp_replace(name, rules.LEADING_ROLE, ""))
     # exactly one comma with something on both sides
     name = F.regexp_replace(name, r"^([^,]*[^,\s])\s*,\s*([^,\s][^,]*)$", "$2 $1")
     name = collapse(name)

@@ -12,7 +12,6 @@ from corpusflow.functions.arrow import ascii_only, nfkc
 from corpusflow.functions.basic import SPACE, alternation, col, let, percent_decode, string_array, strip
 
 _RESERVED = rf"(?iu)</?\s*(?:{alternation(rules.RESERVED_TAGS)})\s*>"
-_SCAFFOLD = r"(?iu)</?\s*(?:system|assistant|instructions?)\s*>|\[/?(?:SYSTEM|INST)\]|<\|[a-z_]+\|>"
 
 
 def sanitize(text: Column | str) -> Column:
@@ -24,7 +23,7 @@ def sanitize(text: Column | str) -> Column:
     """
     out = F.regexp_replace(nfkc(text), r"[\p{C}&&[^\n\t]]", "")
     out = F.regexp_replace(out, _RESERVED, rules.QUOTED_TAG)
-    out = F.regexp_replace(out, _SCAFFOLD, rules.QUOTED_TAG)
+    out = F.regexp_replace(out, rules.SCAFFOLD, rules.QUOTED_TAG)
     out = F.regexp_replace(out, r"[ \t]{3,}", "  ")
     out = F.regexp_replace(out, r"\n{4,}", "\n\n\n")
     return strip(out)

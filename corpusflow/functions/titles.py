@@ -27,14 +27,13 @@ def clean_title(
     """Drop engine marks, repository boilerplate, site branding and dangling
     ellipses; fall back to the file name, then the host."""
     text = collapse(raw)
-    text = strip(F.regexp_replace(text, r"(?i)^\[?\s*PDF\s*\]?\s*", ""))
+    text = strip(F.regexp_replace(text, rules.TITLE_FILE_MARK, ""))
     text = F.regexp_replace(text, r"^[ \-|–—·:]+|[ \-|–—·:]+$", "")
     # up to four exact boilerplate segments at the end
     tail = rf"(?i)(?:\s*[:|–—]\s*(?:{alternation(boilerplate)})\s*){{1,4}}$"
     text = strip(F.regexp_replace(text, tail, ""))
-    branding = r"\s*[|–—]\s*[^|–—]{0,40}$"
-    text = F.when(F.char_length(text) > 60, F.regexp_replace(text, branding, "")).otherwise(text)
-    text = strip(F.regexp_replace(text, r"\s*[.…]{2,}\s*$", ""))
+    text = F.when(F.char_length(text) > 60, F.regexp_replace(text, rules.TITLE_BRANDING, "")).otherwise(text)
+    text = strip(F.regexp_replace(text, rules.TITLE_ELLIPSIS, ""))
     text = strip(F.regexp_replace(text, r"^[:|–—]+|[:|–—]+$", ""))
     fallback = F.coalesce(
         nullif_blank(title_case(file_stem(url))), nullif_blank(source_domain(url)), F.lit("Untitled document")
@@ -44,4 +43,4 @@ def clean_title(
 
 def unwrap_full_text_title(title: Column | str) -> Column:
     """``Full text of "X"`` becomes ``X``."""
-    return F.regexp_replace(F.coalesce(col(title), F.lit("")), r'(?is)^\s*full text of\s*"?(.*?)"?\s*$', "$1")
+    return F.regexp_replace(F.coalesce(col(title), F.lit("")), rules.FULL_TEXT_TITLE, "$1")

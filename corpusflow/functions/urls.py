@@ -169,8 +169,8 @@ def eric_id(url: Column | str) -> Column:
 
 def extract_doi(text: Column | str) -> Column:
     """First DOI in a text, without trailing punctuation or file extension."""
-    found = F.regexp_extract(F.coalesce(col(text), F.lit("")), r'(?i)\b(10\.\d{4,9}/[^\s"<>]+)', 1)
-    return F.regexp_replace(found, r"(?i)(?:\.pdf|[).,;\]])+$", "")
+    found = F.regexp_extract(F.coalesce(col(text), F.lit("")), rules.DOI, 1)
+    return F.regexp_replace(found, rules.DOI_TAIL, "")
 
 
 def safe_filename(raw: Column | str, limit: int = 255) -> Column:

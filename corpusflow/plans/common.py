@@ -35,14 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table up to this size may be dealt out anew for work-heavy columns.
+SPREAD_BYTES = 256 * 1024 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on work-heavy columns of a table that is one small file.
 
-    A table with as many scan tasks as cores is returned as it is, so large
-    data is never shuffled for this.
+    The size of the table decides alone: a larger one is returned as it is, however
+    many cores there are, so it is never shuffled for this.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
 
 
 def capitalised(c: Column) -> Column:

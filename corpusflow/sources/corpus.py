@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.functions.basic import col, nullif_blank, strip
+from corpusflow.functions.basic import col, strip
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -109,7 +109,3 @@ def insert_absent(current: DataFrame, seed: DataFrame, key: Sequence[str]) -> Da
     """Add seed rows whose natural key is not there yet; safe to repeat."""
     fresh = seed.dropDuplicates(list(key)).join(current.select(*key), list(key), "left_anti")
     return current.unionByName(fresh.select(*current.columns))
-
-
-def title_or_default(title: Column, default: str = "Untitled document") -> Column:
-    return F.coalesce(nullif_blank(title), F.lit(default))
