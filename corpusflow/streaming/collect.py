@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusflow import rules
 from corpusflow.functions.names import clean_name, format_authors, is_plausible_creator
+from corpusflow.functions.text import is_relevant, phrase_in_text
 from corpusflow.functions.titles import clean_title
 from corpusflow.functions.urls import is_open_access, normalise_url, source_domain
 from corpusflow.operators.windows import first_wins
@@ -45,10 +46,16 @@ def new_url_stream(hits: DataFrame, ledger_keys: DataFrame, url: str, ts: str, h
 
 
 def ledger_candidates(pages: DataFrame, strict: bool = True) -> DataFrame:
-    """Landed pages -> valid ledger rows keyed by canonical address."""
+    """Landed pages -> valid ledger rows keyed by canonical address.
+
+    Records of catalogues that rank by relevance can drift off topic, so their
+    title must carry the concept, or title and address most of its words.
+    """
     records = strict_filter(harvest(pages), strict).withColumns(
         {"url_key": normalise_url("url"), "clean": clean_title("title", "url")}
     )
+    on_topic = phrase_in_text("concept", "clean") | is_relevant("concept", F.col("clean"), F.col("url"))
+    records = records.where(~F.col("needs_check") | on_topic)
     names = F.filter(F.transform("authors", clean_name), is_plausible_creator)
     rows = records.select(
         "url_key",

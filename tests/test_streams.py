@@ -132,3 +132,12 @@ def test_incremental_index(spark):
     add, gone = C.incremental_index(new, old, "k", "t", lambda df: df.withColumn("v", F.length("t")))
     assert sorted(r["k"] for r in add.collect()) == ["b", "d"]
     assert sorted(r["k"] for r in gone.collect()) == ["b", "c"]
+
+
+def test_loose_catalogues_are_checked_again(spark):
+    import json
+
+    record = lambda title: json.dumps({"results": [{"display_name": title, "best_oa_location": {"pdf_url": None, "landing_page_url": "https://x.org/1"}, "authorships": []}]})
+    pages = spark.createDataFrame([("openalex", "kingdom of kush", record(t)) for t in ("A history of the Kingdom of Kush", "Cooking with rice and beans")], C.LANDING_SCHEMA)
+    kept = [r["title"] for r in C.ledger_candidates(pages, strict=False).collect()]
+    assert kept == ["A history of the Kingdom of Kush"]
