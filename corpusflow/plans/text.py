@@ -253,7 +253,7 @@ _MARKERS = ("que la", "the of", "und", "secret", "token")
     f"""
     WITH f AS (SELECT doc_id, text, list_filter([{', '.join(f"'{m}'" for m in _MARKERS)}], lambda m: contains(lower(text), m)) AS flags FROM documents)
     SELECT doc_id, array_to_string(flags, '|') AS flags,
-           md5(CASE WHEN len(flags) > 0 THEN '[content withheld by safety filter]' ELSE text END) AS shown FROM f""",
+           md5(CASE WHEN len(flags) > 0 THEN '[withheld]' ELSE text END) AS shown FROM f""",
 )
 def marker_flags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
