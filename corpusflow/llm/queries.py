@@ -36,7 +36,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_minhash_near_dedup")
+@query(
+    "op1_minhash_near_dedup",
+    r"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (
+      SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))))
+                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM d),
+    c AS (SELECT sh, min(doc_id) AS node, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh),
+    x AS (SELECT node, n, unnest(sh) AS g FROM c),
+    p AS (SELECT a.node AS a, b.node AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i
+          FROM x a JOIN x b ON a.g = b.g AND a.node < b.node GROUP BY 1, 2),
+    e AS (SELECT a, b FROM p WHERE 100 * i >= 85 * (na + nb - i)),
+    both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    r AS (SELECT node, node AS seen FROM c UNION SELECT r.node, b FROM r JOIN both_ways ON a = seen),
+    m AS (SELECT node, min(seen) AS component FROM r GROUP BY node)
+    SELECT doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept
+    FROM s LEFT JOIN c ON s.sh = c.sh LEFT JOIN m ON m.node = c.node
+    """,
+)
 def op1(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -135,7 +154,17 @@ def op10(spark, sf_dir):
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
-@query("op3_warc_index")
+@query(
+    "op3_warc_index",
+    """
+    WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+    f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)
+    SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
+           CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+    FROM p LEFT JOIN f ON p.digest = f.digest
+    """,
+)
 def op3(spark, sf_dir):
     return archive_and_read_back(table(spark, sf_dir, "pages"))
 
