@@ -62,15 +62,17 @@ def _reattach(s: pd.Series) -> pd.Series:
     return s.map(one, na_action="ignore")
 
 
-@F.pandas_udf(T.DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x, y):
-        if x is None or y is None:
-            return None
-        m = SequenceMatcher(None, x, y)
-        return m.ratio()
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by one row of bits per character of ``b``."""
+    places: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for ch in b:
+        hit = row & places.get(ch, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
 
 
 def nfkc(c: Column | str) -> Column:
@@ -91,5 +93,16 @@ def reattach_marks(c: Column | str) -> Column:
     return _only_where_needed(_reattach, col(c))
 
 
-def ratcliff_ratio(a: Column, b: Column) -> Column:
-    return _ratio(a, b)
+def ratcliff_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Ratcliff–Obershelp ratio; NULL where the longest common subsequence, which bounds it, keeps it below ``least``."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x, y):
+            if x is None or y is None or (least > 0 and 2.0 * common_length(x, y) < least * (len(x) + len(y)) - 1e-9):
+                return None
+            return SequenceMatcher(None, x, y).ratio()
+
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return ratio(a, b)

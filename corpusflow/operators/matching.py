@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +55,28 @@ def normal_title(df: DataFrame, title: str, out: str) -> DataFrame:
     return df.withColumn("_folded", fold(title)).withColumn(out, latin_words("_folded")).drop("_folded")
 
 
+def _gram_bound(min_ratio: float, min_words: int) -> tuple[int, float]:
+    """Gram size ``q`` and ``slope``: two unequal titles of ``s`` characters together with a ratio of at
+    least ``min_ratio`` have at least ``max(1, s * slope - (q - 1))`` common grams.
+
+    Of the ``s`` characters at most ``u = (1 - min_ratio) * s`` have no partner, and as many as ``s`` by
+    parity. Each ends at most one run of partners, and a run of ``m`` holds ``m - q + 1`` grams.
+    """
+    shortest = max(1, 2 * min_words - 1)
+    for q in (3, 2):
+        slope = min_ratio / 2 - (q - 1) * (1 - min_ratio)
+        if slope < 0.05:
+            continue
+        for s in range(2 * shortest, int(q / slope) + 2):  # from there on the slope alone gives one
+            u = int((1 - min_ratio) * s + 1e-9)
+            u -= (s - u) % 2
+            if u > 0 and (s - u) / 2 - (q - 1) * (u + 1) < 1:
+                break
+        else:
+            return q, slope
+    return 1, min_ratio / 2
+
+
 def near_titles(
     wanted: DataFrame,
     catalogue: DataFrame,
@@ -63,41 +87,59 @@ def near_titles(
     """Pairs of distinct normalised titles ``(norm, match, similarity)`` with a
     Ratcliff–Obershelp ratio of at least ``min_ratio``.
 
-    The catalogue search that proposes candidates is taken to be: at least half
-    of the longer title's distinct words are shared. Such a pair must share one
-    of the rarest ``n - ceil(n/2) + 1`` words of each side (prefix filtering),
-    so only those are joined; the length bound ``2*min/(a+b)`` comes before the
-    ratio. Copies of a title are one title here, so a crowd of copies costs
-    nothing; join back on the normalised title.
+    No such pair is lost. Equal titles meet as they are. Others have so many grams
+    at matching places (see ``_gram_bound``) that the first of those, rarest
+    first and equal ones from left to right, is among the first few of either title
+    (prefix filtering). Titles meet on it if their lengths allow the ratio and the places
+    are no further apart than the characters without a partner; bands of lengths and
+    of places are part of the join key. The longest common subsequence bounds the
+    ratio before it is computed. Copies of a title are one title here, so a crowd
+    of copies costs nothing; join back on the normalised title.
     """
+    q, slope = _gram_bound(min_ratio, min_words)
+    reach = (2 - min_ratio) / min_ratio  # the longer length over the shorter one is at most that
+    place_band = 8
+
     def distinct(df: DataFrame) -> DataFrame:
         norm = normal_title(df.where(F.col(title).isNotNull()), title, "norm").select("norm").distinct()
-        words = norm.withColumn("words", F.array_distinct(F.split("norm", " "))).where(
-            F.size(F.split("norm", " ")) >= min_words
-        )
-        return materialise(words, "titles")  # read several times below
+        return materialise(norm.where(F.size(F.split("norm", " ")) >= min_words), "titles")  # read several times below
 
     left, right = distinct(wanted), distinct(catalogue)
-    everything = left.select("words").unionByName(right.select("words"))
-    frequency = everything.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    length_band = lambda n: F.floor(F.log(n) / max(log(reach), 0.01) + 1e-9)
+
+    def grams(df: DataFrame) -> DataFrame:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("norm") - (q - 1)))
+        return df.select("norm", F.posexplode(F.transform(starts, lambda i: F.substr("norm", i, F.lit(q)))).alias("at", "gram"))
+
+    everything = grams(left.select("norm").unionByName(right.select("norm")))
+    frequency = everything.groupBy("gram").agg(F.count("*").alias("df"))
 
     def prefixes(df: DataFrame) -> DataFrame:
-        ranked = (
-            df.select("norm", F.size("words").alias("n"), F.explode("words").alias("word"))
-            .join(frequency, "word")
-            .withColumn("r", F.row_number().over(Window.partitionBy("norm").orderBy("df", "word")))
-        )
-        return ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") / 2) + 1).select("norm", "word")
-
-    a = prefixes(left).withColumnRenamed("norm", "a")
-    b = prefixes(right).withColumnRenamed("norm", "b")
-    la, lb = F.length("a"), F.length("b")
-    pairs = a.join(b, "word").where(2 * F.least(la, lb) >= min_ratio * (la + lb)).select("a", "b").distinct()
-    wa, wb = F.array_distinct(F.split("a", " ")), F.array_distinct(F.split("b", " "))
-    half = F.ceil(F.greatest(F.size(wa), F.size(wb)) / 2)
-    pairs = pairs.where(F.size(F.array_intersect(wa, wb)) >= half)
-    scored = pairs.withColumn("similarity", F.when(F.col("a") == F.col("b"), 1.0).otherwise(
-        ratcliff_ratio(F.when(F.col("a") != F.col("b"), F.col("a")), F.col("b"))))
-    return scored.where(F.col("similarity") >= min_ratio).select(
-        F.col("a").alias("norm"), F.col("b").alias("match"), "similarity"
+        rarest = Window.partitionBy("norm").orderBy("df", "gram", "at")
+        ranked = grams(df).join(frequency, "gram").withColumn("r", F.row_number().over(rarest))
+        n = F.length("norm")
+        shared = F.greatest(F.lit(1), F.ceil(n * (2 / (2 - min_ratio)) * slope - (q - 1) - 1e-9))
+        return ranked.where(F.col("r") <= F.greatest(F.lit(1), n - (q - 1)) - shared + 1).select("norm", "gram", "at", n.alias("n"))
+
+    # characters without a partner in one of two titles, if the other one is as long as can be
+    stray = F.floor((1 - min_ratio) * F.col("n") * (1 + reach) + 1e-9)
+    bands = F.sequence(length_band(F.col("n") / reach), length_band(F.col("n") * reach))
+    places = F.sequence(F.floor((F.col("at") - stray) / place_band), F.floor((F.col("at") + stray) / place_band))
+    a = prefixes(left).withColumn("band", F.explode(bands)).withColumn("place", F.explode(places))
+    b = prefixes(right).withColumns({"band": length_band(F.col("n")), "place": F.floor(F.col("at") / place_band)})
+    a = a.select("gram", "band", "place", F.col("norm").alias("a"), F.col("at").alias("ia"), F.col("n").alias("la"))
+    b = b.select("gram", "band", "place", F.col("norm").alias("b"), F.col("at").alias("ib"), F.col("n").alias("lb"))
+    total, shift = F.col("la") + F.col("lb"), F.col("ia") - F.col("ib")
+    without = (1 - min_ratio) * total + 1e-9
+    longer = F.col("la") - F.col("lb")
+    met = (
+        a.join(b, ["gram", "band", "place"])
+        .where((F.abs(longer) <= without) & (2 * shift <= without + longer) & (2 * shift >= longer - without) & (F.col("a") != F.col("b")))
+        .select("a", "b")
+        # few bytes, much work: by number, so that they aren't put into one task
+        .repartition(int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+        .distinct()
     )
+    scored = met.withColumn("similarity", ratcliff_ratio(F.col("a"), F.col("b"), min_ratio)).where(F.col("similarity") >= min_ratio)
+    equal = left.join(right, "norm", "left_semi").select("norm", F.col("norm").alias("match"), F.lit(1.0).alias("similarity"))
+    return equal.union(scored.select(F.col("a").alias("norm"), F.col("b").alias("match"), "similarity"))

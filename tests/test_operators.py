@@ -68,6 +68,29 @@ def test_near_titles_match_brute_force(spark):
     assert got == want and len(want) > 40
 
 
+def test_near_titles_lose_nothing_for_want_of_a_common_word(spark):
+    one, other = "colonisation urbanisation industrialisation modernisation", "colonization urbanization industrialization modernization"
+    frame = lambda t: spark.createDataFrame([(t,)], "title string")
+    assert [(r["norm"], r["match"]) for r in M.near_titles(frame(one), frame(other)).collect()] == [(one, other)]
+
+
+@pytest.mark.parametrize(("least", "min_words"), [(0.9, 4), (0.8, 1), (0.6, 2)])
+def test_near_titles_are_all_pairs_at_the_ratio(spark, least, min_words):
+    rng = random.Random(11)
+    base = {" ".join("".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 7))) for _ in range(14)}
+    noisy = set(base)
+    for t in base:
+        for _ in range(2):
+            for _ in range(rng.randrange(1, 4)):
+                i = rng.randrange(len(t))
+                t = t[:i] + rng.choice(["a", "b", "", "aa", " "]) + t[i + 1 :] or "a"
+            noisy.add(" ".join(t.split()) or "a")
+    frame = lambda ts: spark.createDataFrame([(t,) for t in sorted(ts)], "title string")
+    got = {(r["norm"], r["match"]): round(r["similarity"], 9) for r in M.near_titles(frame(base), frame(noisy), min_ratio=least, min_words=min_words).collect()}
+    ratios = {(a, b): SequenceMatcher(None, a, b).ratio() for a in base for b in noisy if min(a.count(" "), b.count(" ")) >= min_words - 1}
+    assert got == {p: round(r, 9) for p, r in ratios.items() if r >= least} and len(got) > 3
+
+
 def test_metadata_names_count_if_the_text_prints_them(spark):
     docs = spark.createDataFrame([(1, "t", "by Ann Lee and others"), (2, "t", "nothing"), (3, "t", None)], "key int, title string, text string")
     evidence = spark.createDataFrame([(k, "pdf-metadata", ["Ann Lee", "Acro Bat"]) for k in (1, 2, 3)], "key int, method string, authors array<string>")
