@@ -1,7 +1,8 @@
 """Token ids of whole texts by the ``tokenizers`` library, each distinct word of a task encoded once.
 
 Texts are cut before a blank that has no white space on either side, and a word of letters is
-cut from ASCII punctuation after it. The vocabularies here split words at such places in any
+cut from ASCII punctuation after it, if it is still one after the tokenizer's normalisation (some
+letters come apart into a letter and a mark, which stays with the punctuation). The vocabularies here split words at such places in any
 case (a token never reaches over them), so the ids of the pieces, put together, are the ids of
 the text. Apostrophes are left alone, since they may belong to a contraction.
 """
@@ -51,13 +52,20 @@ class WordEncoder:
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, word: str) -> bool:
+        """Whether the word is all letters, as it is and normalised."""
+        if not word.isalpha():
+            return False
+        normalizer = self.tokenizer.normalizer
+        return word.isascii() or normalizer is None or normalizer.normalize_str(word).isalpha()
+
     def _learn(self, words: set[str]) -> None:
         """Remember words without white space at their ends, each as it is after a blank."""
         memo, tails = self.after_blank, self.tails
         parts = {}
         for word in words:
             core = word.rstrip(_PUNCTUATION)
-            if len(core) < len(word) and core.isalpha():
+            if len(core) < len(word) and self._letters(core):
                 parts[word] = core
         plain = words.difference(parts) | set(parts.values()).difference(memo)
         ordered = list(plain)

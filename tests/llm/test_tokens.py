@@ -38,6 +38,15 @@ def test_words_encode_as_their_text(name, texts):
     assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == [whole(t) for t in texts]
 
 
+@pytest.mark.parametrize("name", sorted(ENCODERS))
+def test_every_letter_before_punctuation(name):
+    encoder, whole = ENCODERS[name]
+    letters = [c for c in map(chr, range(0x80, 0x110000)) if c.isalpha()]
+    texts = [" VALİLİĞİ.", " हिन्दी क़,", *(" " + " ".join(f"a{c}." for c in letters[i : i + 500]) for i in range(0, len(letters), 500))]
+    got = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)]
+    assert [t for t, ids in zip(texts, got, strict=True) if ids != whole(t)] == []
+
+
 def test_encoder_forgets_within_its_bound():
     encoder = WordEncoder(P.path("byte_bpe_50k.json"), memory=2_000)
     texts = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(30)]
