@@ -26,6 +26,8 @@ class Rule:
     pattern: str
     strict: str = ""
     ignore_case: bool = False
+    #: An expression that begins every match and is one by itself, if it makes a smaller automaton to look for.
+    head: str = ""
 
 
 _ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]"""
@@ -36,11 +38,18 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+#: A private key from its header to its END line, with nothing in between that a key file doesn't hold (quotes, backslashes and
+#: > # * are of keys in program texts and comments). Without an END line it goes to the last line of base64: header fields,
+#: runs of at least 16 characters, then one shorter run; without those it is the header alone.
+_KEY_HEAD = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_KEY_WHOLE = r"""(-?-?-?-?[A-Za-z0-9+/=\x09\x0A\x0D\x20:,_\\"'>#*])*-----END [A-Z ]*PRIVATE KEY-----"""
+_BREAK = r"""[\x09\x0A\x0D\x20\\"'>#*]"""
+_KEY_OPEN = rf"""({_BREAK}+(r?\\?n)?[A-Z][A-Za-z-]+:\x20?[A-Za-z0-9,-]+)*({_BREAK}*(\\?[rn])*[A-Za-z0-9+/=]{{16,}})+({_BREAK}+[A-Za-z0-9+/=]+)?"""
 RULES = (
     *BASE,
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", r"xox[abprs]-[A-Za-z0-9-]{20,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", f"{_KEY_HEAD}({_KEY_WHOLE}|{_KEY_OPEN})?", head=_KEY_HEAD),
 )
 
 
@@ -50,7 +59,8 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         parsed = [parse(r.pattern, r.ignore_case) for r in rules]
         self.kinds = [r.kind for r in rules]
-        self.begins = compile_rules([backwards(p) for p in parsed], anywhere=True)
+        heads = [parse(r.head, r.ignore_case) if r.head else p for r, p in zip(rules, parsed, strict=True)]
+        self.begins = compile_rules([backwards(p) for p in heads], anywhere=True)
         self.longest = [compile_rules([p], anywhere=False) for p in parsed]
         self.strict = [compile_rules([parse(r.strict, r.ignore_case)], anywhere=False) if r.strict else None for r in rules]
 

@@ -281,3 +281,18 @@ def test_secrets_edge_cases(llm_spark, edge, nothing):
     frame = llm_spark.createDataFrame(rows, "text string")
     clean = [r[0] for r in frame.select(secrets.redacted(F.col("text"), secrets.secret_spans(F.col("text")))).collect()]
     assert clean == ["é [assign] 日", "[assign]' end", None, "", "[private_key]x[private_key]x"]
+
+
+def test_private_keys_go_whole(llm_spark):
+    head, end, line = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "MIIEpAIBAAKCAQEA" * 4
+    cases = {
+        f"a {head}\n{line}\n{line}\nabCD==\n{end} z": "a [private_key] z",
+        f"a {head}\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC,0123ABCD\r\n\r\n{line}\r\nabCD==\r\n{end}": "a [private_key]",
+        f'"{head}\\n{line}\\nab==\\n{end}\\n"': '"[private_key]\\n"',
+        f"{head} {line} {line} {end} and {head}\n{line}\n{end}": "[private_key] and [private_key]",
+        f"{head}\nProc-Type: 4,ENCRYPTED\n\n{line}\n{line}\nabCD==\n(cut here)": "[private_key]\n(cut here)",
+        f"see {head} for the header, then.": "see [private_key] for the header, then.",
+    }
+    frame = llm_spark.createDataFrame(list(cases.items()), "text string, want string")
+    for r in frame.select("want", secrets.redacted(F.col("text"), secrets.secret_spans(F.col("text"))).alias("clean")).collect():
+        assert r["clean"] == r["want"]
