@@ -26,11 +26,12 @@ ANCHORS = (
 
 
 def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = 2) -> Column:
-    """The ascending set of 32-bit digests of an anchor and the ``chain`` content words after it.
+    """The ascending set of 64-bit digests of an anchor and the ``chain`` content words after it.
 
     Words are runs of letters and digits, lower-cased. A chain that the text's end cuts short is left out.
-    A text without any signature has one of its own, the digest of the whole text, so that equal
-    texts have equal, never empty, sets. A null text counts as an empty one.
+    A text without any signature, as in other languages or in lists, has those of all chains of ``chain`` + 1
+    of its own words; one with fewer words has the digest of the whole text. So equal texts have
+    equal, never empty, sets. A null text counts as an empty one.
     """
     whole = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(F.lower(whole), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -41,9 +42,14 @@ def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = 2)
         at = F.filter(places, lambda i: F.get(w, i).isin(common))
         content = F.filter(w, lambda x: ~x.isin(common))
         # the j-th anchor stands at p, so p - j content words precede it
-        return let(content, lambda c: F.filter(F.transform(at, lambda p, j: F.when(p - j + chain <= F.size(c), F.hash(F.get(w, p), *[F.get(c, p - j + k) for k in range(chain)]))), lambda h: h.isNotNull()))
+        return let(content, lambda c: F.filter(F.transform(at, lambda p, j: F.when(p - j + chain <= F.size(c), F.xxhash64(F.get(w, p), *[F.get(c, p - j + k) for k in range(chain)]))), lambda h: h.isNotNull()))
 
-    return let(let(words, spots), lambda s: F.when(F.size(s) > 0, F.array_sort(F.array_distinct(s))).otherwise(F.array(F.hash(whole))))
+    def own(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(w) - 1 - chain)
+        return F.when(F.size(w) > chain, F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(chain + 1)]))).otherwise(F.array(F.xxhash64(whole)))
+
+    found = let(words, lambda w: let(spots(w), lambda s: F.when(F.size(s) > 0, s).otherwise(own(w))))
+    return F.array_sort(F.array_distinct(found))
 
 
 def pruned_jaccard(a: Column, b: Column, threshold: float = 0.0) -> Column:

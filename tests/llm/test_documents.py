@@ -170,6 +170,16 @@ def test_op4_against_brute_force(llm_spark, sf, documents):
     assert all(len(f) == 1 for f in by_text.values())
 
 
+def test_texts_without_anchors_have_signatures_of_their_own_words(llm_spark):
+    words = [f"слово{i}" for i in range(300)]
+    near = [*words[:290], *(f"иное{i}" for i in range(10))]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, "два слова"), (4, "")]
+    spots = llm_spark.createDataFrame(rows, "id long, text string").select("id", spotsigs.signatures(F.col("text")).alias("spots"))
+    assert spots.schema["spots"].dataType.simpleString() == "array<bigint>"
+    assert {r["id"]: len(r["spots"]) for r in spots.collect()} == {1: 298, 2: 298, 3: 1, 4: 1}
+    assert [(r["a"], r["b"]) for r in spotsigs.similar_pairs(spots, 0.8).collect()] == [(1, 2)]
+
+
 def test_order_holds_for_any_number_of_buckets(llm_spark, edge, nothing):
     def expected(frame):
         rows = frame.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")).collect()
