@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import sanitize
@@ -52,22 +53,33 @@ def retrieve_filtered(spark, sf_dir):
     return V.cosine_top_k(odd, questions(spark, sf_dir))
 
 
+#: Cells of sixteen that a question reads: the fewest with a mean recall of 0.9 of three neighbours on every given table.
+PROBES = 11
+
+
 @query("ivf_search")
 def ivf_search(spark, sf_dir):
-    """Search by cells: five of sixteen cells probed per question."""
+    """Search by cells: ``PROBES`` of sixteen cells probed per question."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     index = V.CellIndex.build(vectors, lists=16)
-    return index.search(spark, questions(spark, sf_dir), k=3, probes=5)
+    return index.search(spark, questions(spark, sf_dir), k=3, probes=PROBES)
 
 
 @query("ivf_recall", "SELECT DISTINCT label AS query_id, true AS enough FROM embeddings")
 def ivf_recall(spark, sf_dir):
-    """Whether five of sixteen cells bring at least one of a question's three nearest vectors."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    """Whether the probed cells bring 0.9 of the three nearest vectors in the mean over the questions, each without its own vector."""
+    vectors = table(spark, sf_dir, "embeddings")
     asked = questions(spark, sf_dir)
-    found = V.CellIndex.build(vectors, lists=16).search(spark, asked, k=3, probes=5)
-    recall = V.recall_at_k(found, V.cosine_top_k(vectors, asked, k=3))
-    return recall.select("query_id", (F.col("recall") >= 0.3).alias("enough"))
+    own = vectors.groupBy(F.col("label").alias("query_id")).agg(F.min("vec_id").alias("vec_id"))
+    best = Window.partitionBy("query_id").orderBy("rank")
+
+    def others(hits):
+        return hits.join(own, ["query_id", "vec_id"], "left_anti").withColumn("rank", F.row_number().over(best)).where("rank <= 3")
+
+    stored = vectors.select("vec_id", "embedding")
+    found = V.CellIndex.build(stored, lists=16).search(spark, asked, k=4, probes=PROBES)
+    recall = V.recall_at_k(others(found), others(V.cosine_top_k(stored, asked, k=4)))
+    return recall.select("query_id", (F.avg("recall").over(Window.partitionBy()) >= 0.9).alias("enough"))
 
 
 @query("retrieve_dealt", f"WITH {_hits(3)} SELECT * FROM t")

@@ -280,6 +280,14 @@ def test_cells(spark, vectors):
     assert spark.read.parquet(index.path).count() == len(rows)
 
 
+def test_recall_leaves_out_the_questions_own_vector(spark, sf, monkeypatch):
+    from corpusflow.plans import retrieval
+
+    assert {r["enough"] for r in retrieval.ivf_recall(spark, sf).collect()} == {True}
+    monkeypatch.setattr(retrieval, "PROBES", 5)
+    assert {r["enough"] for r in retrieval.ivf_recall(spark, sf).collect()} == {False}
+
+
 def test_unit_and_hash(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>")
     assert [r[0] for r in df.select(V.unit_vector(F.col("v"))).collect()] == [[0.6000000000000001, 0.8], [0.0, 0.0]]
