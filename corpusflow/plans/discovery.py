@@ -176,7 +176,7 @@ def harvest_oai(spark, sf_dir):
     """OAI-PMH answers, labelled by the concept their text mentions."""
     pages = named_pages(spark, sf_dir)
     concepts = pages.select(F.col("given").alias("c")).distinct()
-    answers = _oai_answers(pages).where("page_id % 9 <> 5")
+    answers = _oai_answers(pages)
     label = lambda df, text, out: concept_label(df, text, concepts, "c", out)
     return C.oai_pmh(answers, label).withColumn("authors", F.array_join("authors", "|"))
 

@@ -235,3 +235,12 @@ def test_title_evidence_takes_the_first_near_work_with_an_author(spark):
     titles = spark.createDataFrame([(1, 'Full text of "The gold trade of Mali"'), (2, None)], "key int, title string")
     got = C.title_evidence(frame, titles).collect()
     assert [(r["key"], r["method"], r["authors"]) for r in got] == [(1, "crossref:title", ["Ann Lee"])]
+
+
+def test_harvest_meets_every_answer(spark, sf, monkeypatch):
+    from corpusflow.plans import discovery
+
+    met, pmh = [], C.oai_pmh
+    monkeypatch.setattr(discovery.C, "oai_pmh", lambda answers, label: met.append(answers.count()) or pmh(answers, label))
+    discovery.harvest_oai(spark, sf)
+    assert met == [spark.read.parquet(f"{sf}/pages.parquet").count()]
