@@ -36,6 +36,11 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def byte_table(kept: bytes) -> bytes:
+    """A translation of UTF-8 bytes that lower-cases A-Z, keeps ``kept`` and all beyond ASCII, and makes the rest blanks."""
+    return bytes(b if (b := i + 32 if 65 <= i <= 90 else i) in kept or b >= 128 else 32 for i in range(256))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4 << 20, by: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut record batches into slices of at most ``rows`` rows and, but for single rows, about ``size`` bytes of ``by``."""
     for batch in batches:

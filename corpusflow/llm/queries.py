@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.bpe import decode, encode
 from corpusflow.llm.common import id_and_text, prepare
+from corpusflow.llm.divergence import source_divergence
+from corpusflow.llm.lexical import search
 from corpusflow.llm.minhash import near_duplicates
+from corpusflow.llm.mixing import mix
 from corpusflow.llm.packing import pack_documents
 from corpusflow.llm.quality import held_out, learn_quality, quality_score
 from corpusflow.llm.secrets import find_secrets
@@ -185,3 +188,81 @@ def op4(spark, sf_dir):
         pruned_jaccard(F.col("spots"), F.col("edited_spots")).alias("near_edited"),
         pruned_jaccard(F.col("spots"), F.col("next_spots")).alias("near_next"),
     )
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op11_source_divergence",
+    rf"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+    tok AS (SELECT r, lang, source, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS lang_n FROM tok GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+    cnt AS (SELECT lang, source, term, count(*) AS n FROM tok SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+    grp AS (SELECT DISTINCT lang, source FROM d),
+    v AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+    g AS (SELECT grp.lang, grp.source, coalesce(any_value(v.v), 0) AS v, any_value(lang_total) AS lang_total, coalesce(sum(cnt.n), 0) AS total
+          FROM grp LEFT JOIN v ON v.lang = grp.lang LEFT JOIN cnt ON cnt.lang = grp.lang AND cnt.source = grp.source GROUP BY 1, 2),
+    p AS (SELECT g.lang, g.source, kept.term, coalesce(cnt.n, 0) AS n,
+                 1 + (1000000000::HUGEINT * (coalesce(cnt.n, 0) + 5)) // (total + 5 * v) AS p, 1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total + 5 * v) AS q
+          FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN cnt ON cnt.lang = g.lang AND cnt.source = g.source AND cnt.term = kept.term),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+    found AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0) AS value
+      FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+    ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+                      CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
+    SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
+)
+def op11(spark, sf_dir):
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_ranked_search",
+    rf"""
+    WITH tok AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+    post AS (SELECT doc_id, t, count(*) AS tf FROM tok GROUP BY 1, 2),
+    whole AS (SELECT count(DISTINCT doc_id) AS n_docs, count(*) AS n_terms FROM tok),
+    long AS (SELECT doc_id, 50 + (50 * count(*) * any_value(n_docs)) // any_value(n_terms) AS m FROM tok, whole GROUP BY doc_id),
+    asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+    weights AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM post, whole GROUP BY t),
+    scored AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+               FROM asked JOIN weights USING (t) JOIN post USING (t) JOIN long USING (doc_id) GROUP BY 1, 2),
+    ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+    SELECT * FROM ranked WHERE rank <= 50
+    """,
+)
+def op12(spark, sf_dir):
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+@query(
+    "op13_mix_sources",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS draw,
+                      CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS size FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+    w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, sum(source_size) OVER () AS everything FROM s),
+    -- sources by the level that fills them; the level that serves all others from there on
+    f AS (SELECT *, source_size / weight AS fills, coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS smaller,
+                 sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS others FROM w),
+    l AS (SELECT CAST(3 * everything - 4 * smaller AS BIGINT) AS up, CAST(2 * others AS BIGINT) AS down FROM f
+          WHERE (3 * everything - 4 * smaller) * weight < 4 * others * source_size ORDER BY fills, source NULLS LAST LIMIT 1),
+    t AS (SELECT source, source_size,
+                 CASE WHEN up IS NULL OR CAST(weight AS HUGEINT) * up >= CAST(2 * source_size AS HUGEINT) * down THEN CAST(2 * source_size AS DOUBLE)
+                      ELSE CAST(weight * up AS DOUBLE) / CAST(down AS DOUBLE) END AS target FROM w LEFT JOIN l ON true),
+    q AS (SELECT r, doc_id, d.source, draw, size, source_size, target,
+                 sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id NULLS LAST, size, r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    e AS (SELECT q.*, pass, coalesce(CAST(pass * source_size + upto AS DOUBLE) / nullif(target, 0), 0) AS finish FROM q, (SELECT unnest([0, 1]) AS pass)),
+    a AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, pass, draw, doc_id NULLS LAST, size, r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS ahead FROM e)
+    SELECT doc_id, size, source_size, target,
+           CAST(sum(greatest(0, least(size, (SELECT any_value(everything) FROM w) * 3 // 2 - ahead))) AS BIGINT) AS taken FROM a GROUP BY r, doc_id, size, source_size, target
+    """,
+)
+def op13(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"))
