@@ -27,7 +27,6 @@ from corpusflow.llm.common import byte_table, materialise, slices
 
 #: ASCII letters, lower-cased, and everything beyond ASCII.
 LETTERS = byte_table(b"abcdefghijklmnopqrstuvwxyz")
-BILLION = 10**9
 
 
 def term_counts(docs: DataFrame, held: int = 400_000) -> DataFrame:
@@ -96,7 +95,7 @@ def block_result(postings: pa.Table, groups: pa.Table, add: int, top: int, strip
     ``groups`` are all groups of the language (``source, total``, and the language's ``v, lang_total``);
     ``postings`` are the block's (``source, term, n, lang_n``). Yields rows of part, source, item and value.
     """
-    names, order = groups.column("source").to_pylist(), None
+    names = groups.column("source").to_pylist()
     order = sorted(range(len(names)), key=names.__getitem__)
     names = [names[i] for i in order]
     totals = groups.column("total").to_numpy()[order]
@@ -145,14 +144,15 @@ def block_result(postings: pa.Table, groups: pa.Table, add: int, top: int, strip
 
 
 def source_divergence(
-    docs: DataFrame, min_docs: int = 30, add: int = 5, top: int = 50, block_postings: int = 250_000, width: int = 512
+    docs: DataFrame, min_docs: int = 30, add: int = 5, top: int = 50, block_postings: int = 50_000, width: int = 512
 ) -> DataFrame:
     """``lang, source, part, item, value, rank``: distances to the other sources, and the terms above the language's share.
 
     Null text, lang and source are ''; every (lang, source) that occurs is a group, also without terms or kept
     terms (distances are 0 where a language keeps none). Part ``pair`` has all ranks, part ``term`` the first ``top``;
     equal values stand in order of the item's bytes. Repeated rows count as documents of their own, an empty table
-    gives none, other columns aren't read. A task has about ``block_postings`` postings of one language and
+    gives none, other columns aren't read. A task has from ``block_postings`` to 40 times as
+    many postings of one language (more where the language has many groups, so that blocks have no more pairs than postings) and
     the accumulators of ``width`` groups, one after the other.
     """
     plain = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
@@ -164,9 +164,11 @@ def source_divergence(
 
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum("fresh").alias("fresh"), F.count("*").alias("postings"))
     groups = materialise(plain.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").fillna(0), "groups")
+    # as many postings as a block has pairs, within bounds
+    size = F.least(F.greatest(F.count("*") * F.count("*") / 2, F.lit(block_postings)), F.lit(40 * block_postings))
     langs = groups.groupBy("lang").agg(
         F.sum("fresh").alias("v"), F.sum("total").alias("lang_total"),
-        F.greatest(F.lit(1), F.ceil(F.sum("postings") / block_postings)).cast("int").alias("blocks"), F.ceil(F.count("*") / width).cast("int").alias("stripes"),
+        F.greatest(F.lit(1), F.ceil(F.sum("postings") / size)).cast("int").alias("blocks"), F.ceil(F.count("*") / width).cast("int").alias("stripes"),
     )
     langs = materialise(langs, "langs")  # so that Spark sees how small it is
     stripes = F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)).alias("stripe")
