@@ -85,6 +85,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int,
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     ).withColumns({"draw": digest, "tie": F.monotonically_increasing_id()})
     queue = [F.col("source").asc_nulls_last(), F.col("draw"), F.col("doc_id").asc_nulls_last(), F.col("size")]
+    plain = materialise(plain, "words")  # texts are read once, though ranges are sampled first
     sized = in_ranges(plain, [*queue, F.col("tie")], "sizes").drop("tie").withColumn("row", F.monotonically_increasing_id())
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialise(source_targets(sizes, weights, share, passes), "targets").withColumnRenamed("source", "of")
