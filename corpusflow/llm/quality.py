@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import id_and_text
+from corpusflow.llm.common import id_and_text, materialise, slices
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -80,55 +80,83 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit_quality(good: list[str], bad: list[str], odds: float | None = None, dictionary_bytes: int = 512 << 10, text_bytes: int = 1536) -> QualityModel:
-    """A model from labelled texts. Every other one is for its class's dictionary, the rest for the curve.
+def spread_pieces(text: str, size: int, piece: int = 256) -> bytes:
+    """About ``size`` bytes of a text: all of it, or pieces at even distances from its first byte to its last."""
+    raw = text.encode()
+    if len(raw) <= size:
+        return raw
+    n = max(2, size // piece)
+    starts = [(len(raw) - size // n) * i // (n - 1) for i in range(n)]
+    return b"".join(raw[at : at + size // n] for at in starts)
 
-    A dictionary holds the first ``text_bytes`` of each of its texts, up to ``dictionary_bytes`` in all. ``odds``
-    are those of good to bad among all labels, if the texts are a sample of other proportions. With a class missing every text scores the share of good ones (0.5 without any).
+
+def fit_curve(good: bytes, bad: bytes, x: np.ndarray, y: np.ndarray, odds: float | None = None) -> QualityModel:
+    """A model with the given dictionaries and the curve for features ``x`` of texts labelled ``y``.
+
+    ``odds`` are those of good to bad among all labels, if the texts are a sample of other proportions.
     """
-    n = len(good) + len(bad)
-    if not (good and bad):
-        return QualityModel(b"", b"", prior=len(good) / n if n else 0.5)
-
-    def dictionary(texts: list[str]) -> bytes:
-        out, size = [], 0
-        for text in texts[::2]:
-            part = text.encode()[:text_bytes]
-            if size + len(part) > dictionary_bytes:
-                break
-            out.append(part)
-            size += len(part)
-        return b"\n".join(reversed(out))  # what comes last is nearest, and so cheapest to refer to
-
-    dictionaries = dictionary(good), dictionary(bad)
-    # too few to keep some apart: all fit the curve
-    apart = (good[1::2], bad[1::2]) if min(len(good), len(bad)) > 1 else (good, bad)
-    y = np.array([1.0] * len(apart[0]) + [0.0] * len(apart[1]))
-    x = QualityModel(*dictionaries).features([*apart[0], *apart[1]])
     center, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     weights = _logistic((x - center) / scale, y)
     if odds:
-        weights[-1] += np.log(odds * len(apart[1]) / len(apart[0]))
-    return QualityModel(*dictionaries, tuple(center), tuple(scale), tuple(weights))
+        weights[-1] += np.log(odds * (len(y) - y.sum()) / y.sum())
+    return QualityModel(good, bad, tuple(center), tuple(scale), tuple(weights))
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = 2000, sample_chars: int = 16_384, **bounds: int) -> QualityModel:
-    """Fit on documents with ``labels.quality`` 1 or 0 that is not held out.
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, dict[int, int]]:
+    """The labelled texts to learn from (``quality``, ``place`` in the class, ``text``) and how many of each class there are.
 
-    The sample is bounded: of each class the ``sample`` documents whose id has the smallest digest, and of each the
-    first ``sample_chars`` characters. Repeated labels of a document are averaged, and 0.5 counts as none. Blank texts and
-    labels without a document are left out, equal texts count once.
+    Of each class the ``sample`` documents whose id has the smallest digest.
     """
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.avg("quality").alias("share")).where("share <> 0.5").select("doc_id", (F.col("share") > 0.5).cast("int").alias("quality"), F.xxhash64("doc_id").alias("rank"))
-    of_class = lambda q: known.where(F.col("quality") == q).orderBy("rank", "doc_id").limit(sample)
-    texts = id_and_text(docs).where(F.length(F.trim("text")) > 0).select("doc_id", F.left("text", F.lit(sample_chars)).alias("text"))
-    rows = texts.join(F.broadcast(of_class(0).union(of_class(1))), "doc_id").collect()  # the bounded sample
-    first = {r["text"]: r for r in sorted(rows, key=lambda r: (r["rank"], r["doc_id"], r["text"]), reverse=True)}
-    chosen = sorted(first.values(), key=lambda r: (r["rank"], r["doc_id"], r["text"]))
-    count = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
-    odds = count[1] / count[0] if len(count) == 2 else None
-    return fit_quality(*([r["text"] for r in chosen if r["quality"] == q] for q in (1, 0)), odds, **bounds)
+    texts = id_and_text(docs).where(F.length(F.trim("text")) > 0).withColumn("digest", F.xxhash64("text"))
+    first = texts.select("doc_id", "digest").join(known, "doc_id").groupBy("digest").agg(F.min(F.struct("rank", "doc_id", "quality")).alias("first"))
+    there = materialise(first.select("first.*", "digest"), "labelled")
+    count = {r["quality"]: r["count"] for r in there.groupBy("quality").count().collect()}
+    picked = []
+    for q in (0, 1):
+        rows = there.where(F.col("quality") == q).orderBy("rank", "doc_id", "digest").limit(sample).collect()  # ids of the bounded sample
+        picked += [(r["doc_id"], r["digest"], q, place) for place, r in enumerate(rows)]
+    ids = docs.sparkSession.createDataFrame(picked, "doc_id long, digest long, quality int, place int")
+    found = texts.join(F.broadcast(ids), ["doc_id", "digest"]).groupBy("quality", "place").agg(F.min("text").alias("text"))
+    return materialise(found, "sample"), count
+
+
+def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = 2000, dictionary_bytes: int = 1 << 20, text_bytes: int = 1536) -> QualityModel:
+    """Fit on documents with ``labels.quality`` 1 or 0 that is not held out.
+
+    The sample is bounded in rows: of each class the ``sample`` documents whose id has the smallest digest. Every
+    other one is for its class's dictionary, the rest, as whole texts, for the curve. A dictionary of at most ``dictionary_bytes``
+    has an equal share of each of its texts, at most ``text_bytes``, in pieces from all over the text. Repeated labels
+    of a document are averaged, and 0.5 counts as none. Blank texts and labels without a document are left out,
+    equal texts count once. With a class missing every text scores the share of good ones (0.5 without any). Texts stay on
+    the executors; the driver gets the dictionaries' pieces and four numbers for each text of the curve.
+    """
+    found, count = labelled_sample(docs, labels, sample)
+    if len(count) < 2:
+        return QualityModel(b"", b"", prior=float(next(iter(count), 0.5)))
+    sizes = {q: min(n, sample) for q, n in count.items()}
+    share = {q: min(text_bytes, dictionary_bytes // -(-n // 2)) for q, n in sizes.items()}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            parts = [spread_pieces(t, share[q]) for q, t in zip(batch.column("quality").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("place"), pa.array(parts, pa.binary())], names=["quality", "place", "part"])
+
+    rows = found.where("place % 2 = 0").mapInArrow(cut, "quality int, place int, part binary").collect()  # at most two dictionaries
+    # what comes last is nearest, and so cheapest to refer to
+    good, bad = (b"\n".join(bytes(r["part"]) for r in sorted(rows, key=lambda r: -r["place"]) if r["quality"] == q) for q in (1, 0))
+    bare = docs.sparkSession.sparkContext.broadcast(QualityModel(good, bad))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = bare.value.features(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("place"), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "place", "x"])
+
+    # too few to keep some apart: all fit the curve
+    apart = found.where("place % 2 = 1") if min(sizes.values()) > 1 else found
+    rows = sorted(apart.mapInArrow(measure, "quality int, place int, x array<double>").collect(), key=lambda r: (-r["quality"], r["place"]))
+    return fit_curve(good, bad, np.array([r["x"] for r in rows]), np.array([float(r["quality"]) for r in rows]), count[1] / count[0])
 
 
 def quality_score(text: Column, model: QualityModel, spark: SparkSession) -> Column:
