@@ -25,17 +25,20 @@ SLACK = 1e-7
 
 
 def usable_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``vec_id`` and ``vector`` (doubles) of the rows that take part.
+    """``row``, ``vec_id`` and ``vector`` (doubles) of the rows that take part, written in ranges of the id.
 
     Left out: a null id or vector, one with null or non-finite components, the zero vector, and vectors of
-    another length than the commonest (the longer of equally common ones). Of rows with one id the
-    smallest vector counts.
+    another length than the commonest (the longer of equally common ones). Rows may share an id: ``row`` is
+    each one's own, ascending with the id.
     """
     rows = table.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & finite)
     common = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    return rows.where(F.size("vector") == (common["size"] if common else 0)).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    kept = rows.where(F.size("vector") == (common["size"] if common else 0))
+    width = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept.repartitionByRange(width, "vec_id", F.xxhash64("vector")).sortWithinPartitions("vec_id", "vector")
+    return materialise(dealt.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vector"), "vectors")
 
 
 def _cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -215,6 +218,13 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.
 
 
 def nearest_neighbours(table: DataFrame, is_query, k: int = 5, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Index all usable vectors and search those for which the column ``is_query`` (over ``vec_id``) holds."""
-    vectors = materialise(usable_vectors(table, id_col, vector_col), "vectors")
-    return nearest(build_index(vectors), vectors.where(is_query), k, factor)
+    """Index all usable vectors and search those for which the column ``is_query`` (over ``vec_id``) holds.
+
+    Rows that share an id are candidates, and queries, each on its own: a query leaves out its own row alone.
+    """
+    rows = usable_vectors(table, id_col, vector_col)
+    named = lambda df: df.select(F.col("row").alias("vec_id"), "vector")
+    found = nearest(build_index(named(rows)), named(rows.where(is_query)), k, factor)
+    ids = lambda key, name: rows.select(F.col("row").alias(key), F.col("vec_id").alias(name))
+    out = found.withColumnsRenamed({"query_id": "query_row", "vec_id": "row"}).join(ids("query_row", "query_id"), "query_row").join(ids("row", "vec_id"), "row")
+    return out.select("query_id", "rank", "vec_id", "score")

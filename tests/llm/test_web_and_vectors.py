@@ -122,7 +122,7 @@ def test_search_is_exact_at_factor_one_and_good_beyond(llm_spark, monkeypatch):
     table = llm_spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     want = brute_neighbours(list(range(1500)), vectors.astype(float), range(0, 1500, 50), 5)
     monkeypatch.setattr(vantage, "LEAF", 8)
-    usable = vantage.materialise(vantage.usable_vectors(table), "test")
+    usable = vantage.usable_vectors(table)
     index = vantage.build_index(usable, shard_rows=400)
     exact = vantage.nearest(index, usable.where("vec_id % 50 = 0"), 5).collect()
     assert {(r["query_id"], r["rank"], r["vec_id"]) for r in exact} == want
@@ -131,6 +131,12 @@ def test_search_is_exact_at_factor_one_and_good_beyond(llm_spark, monkeypatch):
     assert len(hit) / len(want) > 0.9
 
 
+def test_rows_with_one_id_are_all_candidates(llm_spark):
+    table = llm_spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [0.0, 1.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
+    got = vantage.nearest_neighbours(table, vantage.F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 1] and got[0]["score"] > 0.99
+
+
 def test_a_larger_factor_visits_less():
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(4000, 4))
@@ -158,6 +164,7 @@ def test_vectors_that_take_no_part(llm_spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0]), (None, [1.0, 1.0]), (50, [2.0, 0.0]), (50, [2.0, 0.0]), (7, [1.0, 1.0]), (8, [])]
     table = llm_spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string")
     got = vantage.nearest_neighbours(table, vantage.F.col("vec_id") % 50 == 0).collect()
-    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(got)] == [(0, 1, 50), (0, 2, 7), (50, 1, 0), (50, 2, 7)]
+    own = [(50, 1, 0), (50, 2, 50), (50, 3, 7)]  # each of the two rows with id 50 is a query, and a candidate of the other
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == sorted([(0, 1, 50), (0, 2, 50), (0, 3, 7), *own, *own])
     assert vantage.nearest_neighbours(table.limit(0), vantage.F.lit(True)).collect() == []
     assert vantage.nearest_neighbours(table.where("vec_id = 0"), vantage.F.lit(True)).collect() == []
