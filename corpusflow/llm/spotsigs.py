@@ -25,31 +25,39 @@ ANCHORS = (
 )
 
 
-def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = 2) -> Column:
+def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = 2, reach: int = 8) -> Column:
     """The ascending set of 64-bit digests of an anchor and the ``chain`` content words after it.
 
-    Words are runs of letters and digits, lower-cased. A chain that the text's end cuts short is left out.
-    A text without any signature, as in other languages or in lists, has those of all chains of ``chain`` + 1
-    of its own words; one with fewer words has the digest of the whole text. So equal texts have
-    equal, never empty, sets. A null text counts as an empty one.
+    Words are runs of letters and digits, lower-cased. A chain that the text's end cuts short is left out. A word with no
+    anchor among the ``reach`` words before it starts a chain of ``chain`` + 1 of the text's own words: stretches without
+    anchors, as in other languages or in lists, have signatures too, and the same ones in every text. A text too
+    short for any has the digest of the whole text, so equal texts have equal, never empty, sets. A null text
+    counts as an empty one.
     """
     whole = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(F.lower(whole), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     common = sorted(set(anchors))
+    none = F.array().cast("array<int>")
 
-    def spots(w: Column) -> Column:
-        places = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
-        at = F.filter(places, lambda i: F.get(w, i).isin(common))
+    def found(w: Column) -> Column:
+        places = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(none)
         content = F.filter(w, lambda x: ~x.isin(common))
-        # the j-th anchor stands at p, so p - j content words precede it
-        return let(content, lambda c: F.filter(F.transform(at, lambda p, j: F.when(p - j + chain <= F.size(c), F.xxhash64(F.get(w, p), *[F.get(c, p - j + k) for k in range(chain)]))), lambda h: h.isNotNull()))
 
-    def own(w: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(w) - 1 - chain)
-        return F.when(F.size(w) > chain, F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(chain + 1)]))).otherwise(F.array(F.xxhash64(whole)))
+        def spots(at: Column) -> Column:
+            # the j-th anchor stands at p, so p - j content words precede it
+            return let(content, lambda c: F.transform(at, lambda p, j: F.when(p - j + chain <= F.size(c), F.xxhash64(F.get(w, p), *[F.get(c, p - j + k) for k in range(chain)]))))
 
-    found = let(words, lambda w: let(spots(w), lambda s: F.when(F.size(s) > 0, s).otherwise(own(w))))
-    return F.array_sort(F.array_distinct(found))
+        def own(at: Column) -> Column:
+            # from beyond the reach of an anchor, or the text's start, to the next anchor, or where the last chain starts
+            last = F.size(w) - chain
+            froms, tos = F.concat(F.array(F.lit(0)), F.transform(at, lambda p: p + reach + 1)), F.concat(at, F.array(last))
+            starts = F.flatten(F.zip_with(froms, tos, lambda a, b: let(F.least(b, last), lambda end: F.when(a < end, F.sequence(a, end - 1)).otherwise(none))))
+            return F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(chain + 1)]))
+
+        return let(F.filter(places, lambda i: F.get(w, i).isin(common)), lambda at: F.filter(F.concat(spots(at), own(at)), lambda h: h.isNotNull()))
+
+    digests = let(words, lambda w: let(found(w), lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(F.xxhash64(whole)))))
+    return F.array_sort(F.array_distinct(digests))
 
 
 def pruned_jaccard(a: Column, b: Column, threshold: float = 0.0) -> Column:

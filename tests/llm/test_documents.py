@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -139,12 +140,14 @@ def reference_spots(text):
     words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
     content = [w for w in words if w not in spotsigs.ANCHORS]
     out, before = set(), 0
-    for w in words:
+    for i, w in enumerate(words):
         if w in spotsigs.ANCHORS:
             if before + 2 <= len(content):
                 out.add((w, content[before], content[before + 1]))
         else:
             before += 1
+            if i + 2 < len(words) and not set(words[max(0, i - 8) : i]) & set(spotsigs.ANCHORS):
+                out.add(tuple(words[i : i + 3]))
     return out or {text or ""}
 
 
@@ -180,6 +183,17 @@ def test_texts_without_anchors_have_signatures_of_their_own_words(llm_spark):
     assert [(r["a"], r["b"]) for r in spotsigs.similar_pairs(spots, 0.8).collect()] == [(1, 2)]
 
 
+def test_half_a_text_counts_whatever_the_other_half_is(llm_spark):
+    russian, english = " ".join(f"слово{i}" for i in range(60)), " ".join(f"the w{i} of x{i}" for i in range(15))
+    texts = [russian, f"{russian} {english}", english, f"{english} {russian}", "один два три", "один два три the word"]
+    df = llm_spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", spotsigs.signatures(F.col("text")).alias("s"))
+    sets = {r["id"]: set(r["s"]) for r in df.collect()}
+    assert len(sets[0] & sets[1]) == len(sets[0]) and len(sets[0] & sets[3]) == len(sets[0]) - 7  # the last anchor reaches over x14 and seven more
+    assert len(sets[2] & sets[1]) == len(sets[2]) and len(sets[4] & sets[5]) == 1
+    for i, text in enumerate(texts):
+        assert len(sets[i]) == len(reference_spots(text))
+
+
 def test_order_holds_for_any_number_of_buckets(llm_spark, edge, nothing):
     def expected(frame):
         rows = frame.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")).collect()
@@ -243,6 +257,59 @@ def test_quality_edge_cases(llm_spark, edge, nothing, documents, sf):
     assert quality.learn_quality(nothing, labels).scores(["x"]).tolist() == [0.5]
 
 
+def test_quality_against_a_second_computation(llm_spark, documents, sf):
+    """Sizes by plain calls of the library, the curve by gradient steps on the penalised likelihood."""
+    import zstandard
+
+    labels = llm_spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.learn_quality(documents, labels, sample=30, text_bytes=600)
+    texts = {r["doc_id"]: r["text"] for r in documents.where("text is not null").collect() if r["text"].strip()}
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] in (0, 1) and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    digests = {r["doc_id"]: r["h"] for r in documents.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    rank = sorted((digests[i], i) for i in known if i in texts)
+    seen, classes = set(), {0: [], 1: []}
+    for _, i in rank:
+        if texts[i] not in seen:
+            seen.add(texts[i])
+            classes[known[i]].append(texts[i])
+    odds = len(classes[1]) / len(classes[0])
+    classes = {q: found[:30] for q, found in classes.items()}
+
+    def size(text, q):
+        dictionary = zstandard.ZstdCompressionDict(b"\n".join(quality.spread_pieces(t, 600) for t in reversed(classes[q][::2])), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        coder = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_content_size=False, write_checksum=False)
+        raw = text.encode()
+        return sum(len(coder.compress(raw[i : i + 1024])) for i in range(0, max(1, len(raw)), 1024))
+
+    def features(text):
+        good, bad, n = size(text, 1), size(text, 0), len(text.encode())
+        difference, ratio, amount = (bad - good) / (bad + good), math.log(min(good, bad) / (n + 1)), min(1, n / 400)
+        return [difference, amount * difference, min(max(ratio, -4), -1.2), amount * min(max(ratio, -1.2), -0.4)]
+
+    apart = [(t, q) for q in (1, 0) for t in classes[q][1::2]]
+    x, y = np.array([features(t) for t, _ in apart]), np.array([q for _, q in apart])
+    center, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    x, w, free = np.column_stack(((x - center) / scale, np.ones(len(x)))), np.zeros(5), np.array([1, 1, 1, 1, 1e-9])
+    for _ in range(20_000):
+        w += 0.02 * (x.T @ (y - 1 / (1 + np.exp(-x @ w))) - free * w)
+    w[-1] += math.log(odds * (y == 0).sum() / (y == 1).sum())
+    some = list(texts.values())[:40]
+    want = [1 / (1 + math.exp(-np.append((np.array(features(t)) - center) / scale, 1) @ w)) for t in some]
+    assert model.scores(some) == pytest.approx(np.array(want), abs=1e-6)
+
+
+def test_dictionaries_hold_pieces_of_whole_texts(llm_spark):
+    clean, junk = "plain words of a good text. " * 60, "zq#" * 2000
+    rows = [(i, (f"{i} {clean}" if i % 2 else f"{i} {clean}{i}{junk}")) for i in range(120)]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string")
+    labels = llm_spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")  # most without a document
+    model = quality.learn_quality(docs, labels, sample=40)
+    assert b"zq#zq#" in model.bad and b"zq#" not in model.good
+    assert model.bad.count(b"plain words") >= 20
+    assert quality.spread_pieces("abcdefgh" * 100, 100, 10) != b"" and quality.spread_pieces("short", 100) == b"short"
+    assert quality.spread_pieces("a" * 500 + "z" * 500, 100, 10) == b"a" * 50 + b"z" * 50
+
+
 # secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
