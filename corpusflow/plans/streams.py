@@ -13,10 +13,18 @@ from corpusflow.streaming import collect as C
 from corpusflow.streaming import limits as L
 
 
-def table_stream(spark, sf_dir, name):
-    """One of the tables as a file stream."""
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
+def landed_events(spark, sf_dir, *columns):
+    """Events as a stream of files, up to a week out of order: five days to a delivery, with what was held up for one or
+    two days; the end marker comes last."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", *columns)
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    folder = f"{scratch_dir(spark, 'events')}/landing"
+    days = F.datediff("ts", F.lit(first)) + F.pmod(F.xxhash64("event_id"), F.lit(3))
+    late = events.withColumn("delivery", F.floor(days / 5))
+    for delivery in range(((last - first).days + 3) // 5 + 1):
+        late.where(F.col("delivery") == delivery).drop("delivery").write.mode("append").parquet(folder)
+    L.end_marker(spark, events.schema, "ts", F.lit(last) + F.expr("INTERVAL 100 DAYS")).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def _run(spark, stream, purpose):
@@ -27,16 +35,16 @@ def _run(spark, stream, purpose):
 @query("rate_limit_stream", ORACLES["rate_limit"])
 def rate_limit_stream(spark, sf_dir):
     L.prepare_state_store(spark)
-    hits = table_stream(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("path"), "ts")
-    decided = L.rate_limit_stream(hits, ["user_id", "path"], "ts", "event_id", limit=2, window_seconds=172_800)
+    hits = landed_events(spark, sf_dir, F.col("event_type").alias("path"))
+    decided = L.rate_limit_stream(hits, ["user_id", "path"], "ts", "event_id", limit=2, window_seconds=172_800, late="8 days")
     return _run(spark, decided.select("event_id", "hit_no", "allowed", "retry_after"), "rate-limit")
 
 
 @query("streak_stream", f"WITH {_STREAKS} SELECT event_id, streak FROM s")
 def streak_stream(spark, sf_dir):
     L.prepare_state_store(spark)
-    calls = table_stream(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    out = L.streak_stream(calls, ["user_id"], "ts", "event_id", F.col("event_type") == "error")
+    calls = landed_events(spark, sf_dir, "event_type")
+    out = L.streak_stream(calls, ["user_id"], "ts", "event_id", F.col("event_type") == "error", late="8 days", idle_seconds=60 * 86_400)
     return _run(spark, out.select("event_id", "streak"), "streaks")
 
 
@@ -60,14 +68,11 @@ def stream_new_urls(spark, sf_dir):
 @query(
     "clock_windows",
     """
-    WITH d AS (SELECT user_id, date_trunc('day', ts) AS opened, count(*) AS hits FROM events GROUP BY 1, 2)
-    SELECT user_id, CAST(opened AS TIMESTAMP) AS opened, hits FROM d
-    WHERE opened + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
+    SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS opened, count(*) AS hits FROM events GROUP BY 1, 2""",
 )
 def clock_windows(spark, sf_dir):
-    """Requests per user and day; only windows the watermark has closed are out."""
-    hits = table_stream(spark, sf_dir, "events").select("user_id", "ts")
-    counted = L.clock_windows(hits, ["user_id"], "ts", window_seconds=86_400, late="1 day")
+    """Requests per user and day, from files out of order; the end marker closes the last days."""
+    counted = L.clock_windows(landed_events(spark, sf_dir), ["user_id"], "ts", window_seconds=86_400, late="8 days")
     out = counted.select("user_id", F.col("window.start").alias("opened"), "hits")
     return _run(spark, out, "clock").withColumn("opened", F.col("opened").cast("timestamp_ntz"))
 

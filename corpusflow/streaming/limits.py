@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,48 +24,134 @@ def prepare_state_store(spark) -> None:
         spark.conf.set(key, value)
 
 
-class _OpenWindow(StatefulProcessor):
-    """Per key: when the open window ends and how many hits it has."""
+class _InOrder(StatefulProcessor):
+    """Rows of a key in event-time order, whatever order they arrive in.
 
-    def __init__(self, span: int, ttl_ms: int | None):
-        self.span, self.ttl_ms = span, ttl_ms
+    A row waits in a list until the watermark has passed it, so none can come before it any more; then the
+    ready rows are walked by time and tie. One timer a key stands at its earliest waiting row, or, when none waits, where
+    the carried state ends. What waits for a key is what it has sent within the lateness.
+    """
+
+    #: Columns of the carried state, and what the walk adds to a row.
+    carried: str
+    added: tuple[str, ...]
+
+    def __init__(self, waiting: str):
+        self.waiting, self.names = waiting, [part.split()[0] for part in waiting.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "end long, count long", self.ttl_ms)
+        self.handle = handle
+        self.held = handle.getListState("held", self.waiting)
+        self.state = handle.getValueState("state", self.carried)
+
+    def walk(self, state: tuple | None, rows: list[tuple]) -> tuple[tuple | None, list[list]]:
+        """The state after the rows (none: nothing to keep), and the added columns."""
+        raise NotImplementedError
+
+    def ends(self, state: tuple) -> int | None:
+        """When the state says nothing any more, in microseconds."""
+        raise NotImplementedError
+
+    def _wake(self, micros: int) -> None:
+        self.handle.registerTimer(-(-micros // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # one key of one micro-batch; the source's rate limit bounds it
-        hits = pd.concat(list(rows), ignore_index=True).sort_values(["us_", "tie_"], kind="stable")
-        end, count = self.state.get() if self.state.exists() else (int(np.iinfo(np.int64).min), 0)
-        us, n = hits["us_"].to_numpy(), len(hits)
-        none = np.zeros(n, dtype=np.int64)
-        numbers, until, end, count = count_hits(us, none.astype(bool), none, none, self.span, int(end), int(count))
-        self.state.update((end, count))
-        yield hits.assign(hit_no=numbers, left_=np.array(until) - us).drop(columns=["us_", "tie_"])
+        first = None
+        for frame in rows:
+            frame = frame[frame["real_"]]
+            if frame.empty:
+                continue
+            self.held.appendList(list(frame[self.names].itertuples(index=False, name=None)))
+            least = int(frame["us_"].min())
+            first = least if first is None else min(first, least)
+        if first is not None:
+            self._wake(first)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted((tuple(r) for r in self.held.get()), key=lambda r: r[:2]) if self.held.exists() else []
+        ready = [r for r in held if r[0] <= passed]
+        state = tuple(self.state.get()) if self.state.exists() else None
+        if ready:
+            state, columns = self.walk(state, ready)
+            rest = held[len(ready) :]
+            if rest:
+                self.held.put(rest)
+            else:
+                self.held.clear()
+            yield pd.DataFrame({"row_": [r[2] for r in ready], **dict(zip(self.added, columns, strict=True))})
+            held = rest
+        end = self.ends(state) if state else None
+        if state and not held and end is not None and end <= passed:
+            state = None
+        if held:
+            self._wake(held[0][0])
+        elif state and end is not None:
+            self._wake(end)
+        if state:
+            self.state.update(state)
+        elif self.state.exists():
+            self.state.clear()
 
     def close(self) -> None:
         pass
 
 
+def _in_order(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, late: str, processor: type[_InOrder], columns: str, *settings, **extra) -> DataFrame:
+    """Rows with what ``processor`` adds (``columns``). They travel as text, so no type of theirs changes on the way."""
+    exact = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+    timed = rows.withColumn("ts_", F.col(ts).cast("timestamp")).withWatermark("ts_", late)
+    # the end marker moves the watermark and is left out behind it (a condition would be moved before it)
+    real = F.col(tie).isNotNull() & F.col("ts_").isNotNull()
+    keyed = timed.withColumns({
+        "us_": F.coalesce(F.unix_micros("ts_"), F.lit(0)), "tie_": F.coalesce(F.col(tie), F.lit(0).cast(rows.schema[tie].dataType)), "real_": real,
+        "row_": F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), exact), **extra,
+    })
+    waiting = ", ".join(f"{c} {keyed.schema[c].dataType.simpleString()}" for c in ("us_", "tie_", "row_", *extra))
+    out = keyed.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor(waiting, *settings), outputStructType=f"row_ string, {columns}", outputMode="Append", timeMode="EventTime"
+    )
+    return out.withColumn("row_", F.from_json("row_", rows.schema, exact)).select("row_.*", *[c.split()[0] for c in columns.split(", ")])
+
+
+def end_marker(spark, schema, ts: str, last: Column) -> DataFrame:
+    """A row with nothing but a time. Landed after the last file of a finite stream, with a time beyond lateness and windows, it
+    lets everything come out that still waits."""
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name != ts]
+    return spark.range(1).select(last.cast(schema[ts].dataType).alias(ts), *empty).select([f.name for f in schema.fields])
+
+
+class _OpenWindow(_InOrder):
+    """When the open window ends and how many hits it has."""
+
+    carried, added = "end long, count long", ("hit_no", "left_")
+
+    def __init__(self, waiting: str, span: int):
+        super().__init__(waiting)
+        self.span = span
+
+    def walk(self, state, rows):
+        end, count = state or (int(np.iinfo(np.int64).min), 0)
+        us = np.array([r[0] for r in rows], dtype=np.int64)
+        none = np.zeros(len(us), dtype=np.int64)
+        numbers, until, end, count = count_hits(us, none.astype(bool), none, none, self.span, int(end), int(count))
+        return (end, count), [numbers, np.array(until) - us]
+
+    def ends(self, state):
+        return int(state[0])
+
+
 def rate_limit_stream(
     hits: DataFrame, keys: Sequence[str], ts: str, tie: str, limit: int = rules.RATE_LIMIT_PER_WINDOW,
-    window_seconds: int = rules.RATE_WINDOW_SECONDS, ttl_ms: int | None = None,
+    window_seconds: int = rules.RATE_WINDOW_SECONDS, late: str = "10 seconds",
 ) -> DataFrame:
-    """Streaming form of ``first_hit_windows``.
+    """Streaming form of ``first_hit_windows``, in the order of ``ts`` and ``tie`` however the hits arrive.
 
-    ``ttl_ms`` drops the state of keys that stay silent. It runs on processing
-    time, so use it with a continuing trigger: an ``availableNow`` run would
-    wait for the clock and not end.
+    A hit is judged when the watermark has passed it; hits more than ``late`` behind the newest are dropped, as are
+    hits without time or tie. A key's state goes when its window has ended.
     """
-    # helper columns end in "_": the state worker renames a leading underscore
-    keyed = hits.withColumns({"us_": F.unix_micros(F.col(ts).cast("timestamp")), "tie_": F.col(tie)})
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema.fields)
-    decided = keyed.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_OpenWindow(window_seconds * 1_000_000, ttl_ms),
-        outputStructType=f"{fields}, hit_no long, left_ long",
-        outputMode="Append",
-        timeMode="ProcessingTime" if ttl_ms else "None",
-    )
+    decided = _in_order(hits, keys, ts, tie, late, _OpenWindow, "hit_no long, left_ long", window_seconds * 1_000_000)
     refused = F.col("hit_no") > limit
     return decided.withColumns(
         {"allowed": ~refused, "retry_after": F.when(refused, retry_seconds(F.col("left_")))}
@@ -74,41 +160,40 @@ def rate_limit_stream(
 
 def clock_windows(hits: DataFrame, keys: Sequence[str], ts: str, window_seconds: int = rules.RATE_WINDOW_SECONDS,
                   late: str = "10 minutes") -> DataFrame:
-    """Hits per key in clock-aligned windows; later rows than ``late`` are dropped."""
+    """Hits per key in clock-aligned windows, each out when the watermark has passed it; later rows than ``late`` are dropped."""
     timed = hits.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
     return timed.groupBy(F.window("_ts", f"{window_seconds} seconds"), *keys).agg(F.count("*").alias("hits"))
 
 
-class _Streak(StatefulProcessor):
-    """Per key: the current number of consecutive failures."""
+class _Streak(_InOrder):
+    """The current number of consecutive failures, and the time of the last."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("streak", "n long")
+    carried, added = "n long, last long", ("streak",)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        calls = pd.concat(list(rows), ignore_index=True).sort_values(["us_", "tie_"], kind="stable")
-        failed = calls["failed_"].to_numpy().astype(bool)
-        streak = int(self.state.get()[0]) if self.state.exists() else 0
+    def __init__(self, waiting: str, idle: int | None):
+        super().__init__(waiting)
+        self.idle = idle
+
+    def walk(self, state, rows):
+        streak, last = (int(x) for x in state or (0, 0))
         out = []
-        for bad in failed.tolist():
-            streak = streak + 1 if bad else 0
+        for us, _, _, failed in rows:
+            over = self.idle is not None and streak and us >= last + self.idle
+            streak, last = ((0 if over else streak) + 1 if failed else 0), us
             out.append(streak)
-        self.state.update((streak,))
-        yield calls.assign(streak=np.array(out, dtype=np.int32)).drop(columns=["us_", "tie_", "failed_"])
+        return ((streak, last) if streak else None), [np.array(out, dtype=np.int32)]
 
-    def close(self) -> None:
-        pass
+    def ends(self, state):
+        return None if self.idle is None else int(state[1]) + self.idle
 
 
-def streak_stream(calls: DataFrame, keys: Sequence[str], ts: str, tie: str, failed) -> DataFrame:
-    """Streaming form of ``failure_streak``."""
-    keyed = calls.withColumns(
-        {"us_": F.unix_micros(F.col(ts).cast("timestamp")), "tie_": F.col(tie), "failed_": F.coalesce(failed, F.lit(False))}
-    )
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in calls.schema.fields)
-    return keyed.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Streak(), outputStructType=f"{fields}, streak int", outputMode="Append", timeMode="None"
-    )
+def streak_stream(calls: DataFrame, keys: Sequence[str], ts: str, tie: str, failed, late: str = "10 seconds", idle_seconds: int | None = None) -> DataFrame:
+    """Streaming form of ``failure_streak``, in the order of ``ts`` and ``tie`` however the calls arrive.
+
+    Only keys that are failing have state. With ``idle_seconds`` a streak without a call for so long is forgotten.
+    """
+    bad = F.coalesce(failed, F.lit(False))
+    return _in_order(calls, keys, ts, tie, late, _Streak, "streak int", idle_seconds and idle_seconds * 1_000_000, failed_=bad)
 
 
 def single_use_stream(claims: DataFrame, token: str, ts: str, ttl: str) -> DataFrame:

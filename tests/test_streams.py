@@ -1,5 +1,7 @@
 import json
 from datetime import datetime, timedelta
+from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,46 +11,80 @@ from corpusflow.streaming import collect as C
 from corpusflow.streaming import limits as L
 
 START = datetime(2024, 1, 1)
-LOG = "id long, user string, ts timestamp, failed boolean"
+LOG = "id long, user string, ts timestamp, failed boolean, size decimal(9,2), tags array<string>"
 
 
 @pytest.fixture(scope="module")
 def log(spark, tmp_path_factory):
-    """Calls in four files that a stream reads one after the other."""
-    folder = tmp_path_factory.mktemp("log")
-    rows = [(i, "hot" if i % 3 else f"u{i % 4}", START + timedelta(seconds=7 * i), i % 5 != 0) for i in range(240)]
-    for part in range(4):
-        df = spark.createDataFrame(rows[part * 60 : (part + 1) * 60], LOG).coalesce(1)
-        df.write.mode("append").parquet(str(folder))
+    """Calls in seven files, each with calls up to three minutes older than what came before it, and the end marker."""
+    folder = str(tmp_path_factory.mktemp("log"))
+    rows = []
+    for i in range(280):
+        user = None if i % 11 == 0 else "hot" if i % 3 else f"u{i % 4}"
+        rows.append((i, user, START + timedelta(seconds=7 * (i - i % 2), microseconds=i % 4), i % 5 != 0, Decimal(i) / 100, None if i % 2 else ["x", str(i)]))
+    order = sorted(rows, key=lambda r: r[0] + 25 * (r[0] * 7919 % 2))
+    for part in range(7):
+        spark.createDataFrame(order[part * 40 : (part + 1) * 40], LOG).coalesce(1).write.mode("append").parquet(folder)
+    schema = spark.createDataFrame([], LOG).schema
+    L.end_marker(spark, schema, "ts", F.lit(START + timedelta(days=3))).write.mode("append").parquet(folder)
     L.prepare_state_store(spark)
-    stream = lambda: spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(folder))
-    return spark.read.schema(LOG).parquet(str(folder)), stream
+    stream = lambda: spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.createDataFrame(rows, LOG), stream
 
 
 def run(stream, tmp_path):
     return C.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
 
 
-def test_rate_limit_stream_equals_batch(log, tmp_path):
+def run_out(spark, stream, folder):
+    """What a stream writes, in how many batches it came out, and how much state is left."""
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    batches = sum(any('"action":"add"' in line for line in f.open()) for f in Path(f"{folder}/out/_spark_metadata").iterdir() if f.name.isdigit())
+    return out.collect(), batches, query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+@pytest.mark.parametrize("window", [60, 7, 1])
+def test_rate_limit_stream_equals_batch_in_any_order(spark, log, tmp_path, window):
     batch, stream = log
-    cols = ["id", "hit_no", "allowed", "retry_after"]
-    live = run(L.rate_limit_stream(stream(), ["user"], "ts", "id", limit=3).select(*cols), tmp_path)
-    want = O.first_hit_windows(batch, ["user"], "ts", "id", limit=3).select(*cols)
-    assert sorted(map(tuple, live.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    live, _, left = run_out(spark, L.rate_limit_stream(stream(), ["user"], "ts", "id", limit=3, window_seconds=window, late="5 minutes"), tmp_path)
+    want = O.first_hit_windows(batch, ["user"], "ts", "id", limit=3, window_seconds=window)
+    assert sorted(map(str, live)) == sorted(map(str, want.select(*live[0].asDict()).collect())) and len(live) == 280
+    assert left == 0
+
 
+def test_rows_come_out_when_the_watermark_has_passed_them(spark, log, tmp_path):
+    live, batches, _ = run_out(spark, L.rate_limit_stream(log[1](), ["user"], "ts", "id", late="4 minutes"), tmp_path)
+    assert len(live) == 280 and batches > 3
 
-def test_streak_stream_equals_batch(log, tmp_path):
+
+@pytest.mark.parametrize("idle", [None, 600])
+def test_streak_stream_equals_batch_in_any_order(spark, log, tmp_path, idle):
     batch, stream = log
-    live = run(L.streak_stream(stream(), ["user"], "ts", "id", F.col("failed")).select("id", "streak"), tmp_path)
+    live, _, left = run_out(spark, L.streak_stream(stream(), ["user"], "ts", "id", F.col("failed"), late="5 minutes", idle_seconds=idle).select("id", "streak"), tmp_path)
     cut = O.with_segment(batch, O.seconds(F.col("ts")), 100)
     want = O.failure_streak(cut, ["user"], [F.col("ts"), F.col("id")], F.col("failed")).select("id", "streak")
-    assert sorted(map(tuple, live.collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, live)) == sorted(map(tuple, want.collect()))
+    assert (left == 0) == (idle is not None)  # streaks that go on are kept unless they may be forgotten
+
 
+def test_idle_streaks_are_forgotten(spark, tmp_path):
+    rows = [(1, "u", 0, True), (2, "u", 10, True), (3, "u", 70, True), (4, "u", 75, True), (5, "u", 80, False)]
+    df = spark.createDataFrame(rows, "id long, user string, s int, failed boolean").select("id", "user", F.timestamp_seconds(F.col("s") + 10**9).alias("ts"), "failed")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    L.end_marker(spark, df.schema, "ts", F.timestamp_seconds(F.lit(2 * 10**9))).write.mode("append").parquet(str(tmp_path / "in"))
+    L.prepare_state_store(spark)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live, _, left = run_out(spark, L.streak_stream(stream, ["user"], "ts", "id", F.col("failed"), idle_seconds=60), tmp_path)
+    assert sorted((r["id"], r["streak"]) for r in live) == [(1, 1), (2, 2), (3, 1), (4, 2), (5, 0)] and left == 0
 
-def test_clock_windows(log, tmp_path):
-    _, stream = log
-    out = run(L.clock_windows(stream(), ["user"], "ts", 60, "1 minute").select("user", "hits"), tmp_path).collect()
-    assert out and all(r["hits"] > 0 for r in out)
+
+def test_clock_windows_are_complete(spark, log, tmp_path):
+    batch, stream = log
+    out = run(L.clock_windows(stream(), ["user"], "ts", 60, "5 minutes").select("user", "window", "hits"), tmp_path).collect()
+    want = batch.groupBy("user", F.window("ts", "60 seconds").alias("window")).agg(F.count("*").alias("hits")).collect()
+    assert sorted((str(r["user"]), r["window"]["start"], r["hits"]) for r in out) == sorted((str(r["user"]), r["window"]["start"], r["hits"]) for r in want)
 
 
 def test_new_url_stream(spark, tmp_path):
