@@ -14,6 +14,7 @@ from corpusflow.sources import corpus as S
 from corpusflow.sources import files as FI
 from corpusflow.sources import ledger as L
 from corpusflow.sources import reference as R
+from corpusflow.sources.store import KeyedStore
 
 
 def _doc(name="doc_id"):
@@ -69,9 +70,12 @@ def _versions(spark, sf_dir):
     FROM documents""",
 )
 def corpus_upsert(spark, sf_dir):
+    """A delivery into a store in buckets: new and changed documents, ids of known ones stay."""
     stored, delivered = _versions(spark, sf_dir)
-    merged = S.upsert_documents(stored, delivered)
-    return merged.withColumn("text", F.md5(F.col("text").cast("binary")))
+    store = KeyedStore(spark, scratch_dir(spark, "corpus"), "source_path", stored.schema, buckets=16)
+    store.add(stored)
+    store.upsert(delivered, S.upsert_documents)
+    return store.read().withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
 @query(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from corpusflow.operators.windows import first_wins
 from corpusflow.sources.catalogues import harvest, strict_filter
 from corpusflow.sources.corpus import snapshot_diff
 from corpusflow.sources.ledger import validate_rows
+from corpusflow.sources.store import KeyedStore
 
 LANDING_SCHEMA = "source string, concept string, payload string"
 LEDGER_SCHEMA = (
@@ -71,27 +71,26 @@ def ledger_candidates(pages: DataFrame, strict: bool = True) -> DataFrame:
     return validate_rows(rows).where("reject_reason IS NULL").drop("reject_reason")
 
 
+def ledger_store(spark: SparkSession, path: str) -> KeyedStore:
+    """The ledger, a store in buckets of the canonical address."""
+    return KeyedStore(spark, path, "url_key", LEDGER_SCHEMA)
+
+
 def ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger written so far (empty before the first batch)."""
-    try:
-        return spark.read.schema(LEDGER_SCHEMA).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], LEDGER_SCHEMA)
+    return ledger_store(spark, path).read()
 
 
 def append_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` writer: only rows the ledger lacks, one folder per batch.
+    """A ``foreachBatch`` writer: only rows the ledger lacks, as new parts of the buckets they fall into.
 
-    A batch that is replayed after a failure ignores its own earlier output and
-    overwrites it, so every row is written exactly once.
+    A batch that is replayed after a failure finds its number written and adds nothing.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = ledger(spark, path).where(F.col("batch_id") != batch_id).select("url_key")
         order = [F.col("hyperlink"), F.col("title"), F.col("subject")]
-        fresh = first_wins(batch, ["url_key"], order).join(known, "url_key", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+        fresh = first_wins(batch, ["url_key"], order).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        ledger_store(batch.sparkSession, path).add(fresh, commit=batch_id)
 
     return write
 
