@@ -190,19 +190,38 @@ def cosine_top_k(
     return hits if min_score is None else hits.where(F.col("score") >= min_score)
 
 
+def cells_of(vectors: np.ndarray, centres: np.ndarray, spill: float | None) -> list[list[int]]:
+    """The cells each vector is stored in: the nearest one and, with ``spill``, a second one.
+
+    What the nearest centre leaves of a vector, its residual, makes it hard to find for queries that lie along it. The second
+    cell's own residual should point elsewhere: its share along the first residual costs ``spill`` times its square more.
+    """
+    unit = _unit_rows(vectors)
+    near = unit @ centres.T
+    first = near.argmax(axis=1)
+    if spill is None or len(centres) < 2:
+        return [[c] for c in first.tolist()]
+    rest = _unit_rows(unit - centres[first] * near[np.arange(len(unit)), first][:, None])
+    along = (unit * rest).sum(axis=1)[:, None] - rest @ centres.T
+    cost = 2 - 2 * near + spill * along * along
+    cost[np.arange(len(unit)), first] = np.inf
+    return np.column_stack((first, cost.argmin(axis=1))).tolist()
+
+
 class CellIndex:
-    """Vectors stored by k-means cell; a search reads only the cells it probes.
+    """Vectors stored by k-means cell, each in two cells; a search reads only the cells it probes.
 
-    A cell is stored in parts of about ``PART_ROWS`` vectors, so a crowded cell is many parts.
+    A cell is stored in parts of about ``PART_ROWS`` vectors, so a crowded cell is many parts. ``sizes`` are
+    the cells' stored rows.
     """
 
-    def __init__(self, path: str, centres: np.ndarray, vec_id: str):
-        self.path, self.centres, self.vec_id = path, centres, vec_id
+    def __init__(self, path: str, centres: np.ndarray, sizes: np.ndarray, vec_id: str):
+        self.path, self.centres, self.sizes, self.vec_id = path, centres, sizes, vec_id
 
     @classmethod
-    def build(cls, vectors: DataFrame, lists: int = rules.IVF_LISTS, vec_id: str = "vec_id",
-              vector: str = "embedding", seed: int = 7, path: str | None = None, iterations: int = 10) -> CellIndex:
-        """Every usable vector is stored, and the cell centres are learned from all of them."""
+    def build(cls, vectors: DataFrame, lists: int = rules.IVF_LISTS, vec_id: str = "vec_id", vector: str = "embedding", seed: int = 7,
+              path: str | None = None, iterations: int = 10, spill: float | None = 1.0) -> CellIndex:
+        """Every usable vector is stored, and the cell centres are learned from all of them. Without ``spill`` a vector has one cell."""
         path = path or scratch_dir(vectors.sparkSession, "cells")
         common = vectors.where(usable(F.col(vector))).groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
         ready = _ready(vectors, vec_id, vector, "_v", common["n"] if common else 0)
@@ -211,33 +230,60 @@ class CellIndex:
             model = KMeans(
                 k=lists, seed=seed, maxIter=iterations, distanceMeasure="cosine", featuresCol="_f", predictionCol="part"
             ).fit(features)
-            placed = model.transform(features).select("part", "_v", "vec")
-            salts = placed.groupBy("part").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("salts"))  # a row for each cell
-            salted = placed.join(F.broadcast(salts), "part").withColumn("salt", F.pmod(F.xxhash64("_v"), "salts").cast("int"))
+            centres = _unit_rows(np.array(model.clusterCenters()))
+
+            def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    if batch.num_rows:
+                        cells = pa.array(cells_of(_matrix(batch.column("vec")), centres, spill), pa.list_(pa.int32()))
+                        yield pa.RecordBatch.from_arrays([cells, batch.column("_v"), batch.column("vec")], names=["cells", "_v", "vec"])
+
+            kind = ready.schema["_v"].dataType.simpleString()
+            placed = features.select("_v", "vec").mapInArrow(place, f"cells array<int>, _v {kind}, vec array<double>").select(F.explode("cells").alias("part"), "_v", "vec")
+            counted = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # a row for each cell
+            sizes = np.array([counted.get(c, 0) for c in range(len(centres))], np.int64)
+            salts = F.get(F.array(*[F.lit(max(1, -(-int(n) // PART_ROWS))) for n in sizes]), F.col("part"))
+            salted = placed.withColumn("salt", F.pmod(F.xxhash64("_v"), salts).cast("int"))
             salted.repartition("part", "salt").write.partitionBy("part").parquet(path)
         finally:
             features.unpersist()
-        return cls(path, _unit_rows(np.array(model.clusterCenters())), vec_id)
+        return cls(path, centres, sizes, vec_id)
 
-    def search(self, spark, queries: DataFrame, k: int = rules.TOP_K, probes: int = 1, query_id: str = "query_id",
-               query_vector: str = "query_vector") -> DataFrame:
-        """Any number of queries: each goes to the parts of its ``probes`` nearest cells."""
-        centres = self.centres
-        stored = spark.read.parquet(self.path)
+    def _probed(self, queries: DataFrame, probes: int | None, share: float | None, query_id: str, query_vector: str) -> DataFrame:
+        """(``part``, ``_q``, ``vec``, ``rows``): the cells of each query, nearest first, as many as ``probes`` or as have
+        ``share`` of the stored rows together, one at least."""
+        centres, sizes = self.centres, self.sizes
+        most = sizes.sum() if share is None else max(share * sizes.sum(), 1)
         asked = _ready(queries, query_id, query_vector, "_q", centres.shape[1])
-        kind = asked.schema["_q"].dataType.simpleString()
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cells = np.argsort(-(_unit_rows(_matrix(batch.column("vec"))) @ centres.T), axis=1, kind="stable")[:, :probes]
-                rows = pa.array(np.repeat(np.arange(len(cells)), cells.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel(), pa.int32()), batch.column("_q").take(rows), batch.column("vec").take(rows)], names=["part", "_q", "vec"])
-
-        probed = asked.mapInArrow(probe, f"part int, _q {kind}, vec array<double>")
+                order = np.argsort(-(_unit_rows(_matrix(batch.column("vec"))) @ centres.T), axis=1, kind="stable")[:, :probes]
+                kept = np.cumsum(sizes[order], axis=1) <= most
+                kept[:, :1] = True
+                rows, columns = np.nonzero(kept)
+                cells, at = order[rows, columns], pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cells, pa.int32()), batch.column("_q").take(at), batch.column("vec").take(at), pa.array(sizes[cells])], names=["part", "_q", "vec", "rows"]
+                )
+
+        return asked.mapInArrow(probe, f"part int, _q {asked.schema['_q'].dataType.simpleString()}, vec array<double>, rows long")
+
+    def rows_read(self, queries: DataFrame, probes: int | None = None, share: float | None = None, query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
+        """For each query the stored rows that its search compares it with, and their share of all."""
+        read = self._probed(queries, probes, share, query_id, query_vector).groupBy(F.col("_q").alias(query_id)).agg(F.sum("rows").alias("rows"))
+        return read.withColumn("share", F.col("rows") / F.lit(int(self.sizes.sum())))
+
+    def search(self, spark, queries: DataFrame, k: int = rules.TOP_K, probes: int | None = None, share: float | None = None, query_id: str = "query_id",
+               query_vector: str = "query_vector") -> DataFrame:
+        """Any number of queries: each goes to the parts of its nearest cells, ``probes`` of them or as many as hold ``share`` of
+        the stored rows. A vector that two of them hold is found once."""
+        stored = spark.read.parquet(self.path)
+        probed = self._probed(queries, probes, share, query_id, query_vector)
         parts = stored.select("part", "salt").distinct()  # a row for each part
         cells = [r["part"] for r in probed.select("part").distinct().collect()]  # at most as many as cells
         hits = _dealt(stored.where(F.col("part").isin(cells)), probed.join(F.broadcast(parts), "part").select("part", "salt", "_q", "vec"), k)
-        return _ranked(hits, k, query_id, self.vec_id)
+        return _ranked(hits.groupBy("_q", "_v").agg(F.max("score").alias("score")), k, query_id, self.vec_id)
 
 
 def recall_at_k(found: DataFrame, exact: DataFrame, query_id: str = "query_id", vec_id: str = "vec_id") -> DataFrame:

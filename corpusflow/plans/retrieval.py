@@ -53,21 +53,22 @@ def retrieve_filtered(spark, sf_dir):
     return V.cosine_top_k(odd, questions(spark, sf_dir))
 
 
-#: Cells of sixteen that a question reads: the fewest with a mean recall of 0.9 of three neighbours on every given table.
-PROBES = 11
+#: Cells, and the share of the stored rows that a question's nearest cells may hold together: a mean recall of 0.9 of three
+#: neighbours on every given table.
+CELLS, SHARE = 64, 0.25
 
 
 @query("ivf_search")
 def ivf_search(spark, sf_dir):
-    """Search by cells: ``PROBES`` of sixteen cells probed per question."""
+    """Search by cells: each question reads ``SHARE`` of the stored rows at most."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    index = V.CellIndex.build(vectors, lists=16)
-    return index.search(spark, questions(spark, sf_dir), k=3, probes=PROBES)
+    index = V.CellIndex.build(vectors, lists=CELLS)
+    return index.search(spark, questions(spark, sf_dir), k=3, share=SHARE)
 
 
 @query("ivf_recall", "SELECT DISTINCT label AS query_id, true AS enough FROM embeddings")
 def ivf_recall(spark, sf_dir):
-    """Whether the probed cells bring 0.9 of the three nearest vectors in the mean over the questions, each without its own vector."""
+    """Whether a quarter of the stored rows brings 0.9 of the three nearest vectors in the mean over the questions, each without its own vector."""
     vectors = table(spark, sf_dir, "embeddings")
     asked = questions(spark, sf_dir)
     own = vectors.groupBy(F.col("label").alias("query_id")).agg(F.min("vec_id").alias("vec_id"))
@@ -77,9 +78,10 @@ def ivf_recall(spark, sf_dir):
         return hits.join(own, ["query_id", "vec_id"], "left_anti").withColumn("rank", F.row_number().over(best)).where("rank <= 3")
 
     stored = vectors.select("vec_id", "embedding")
-    found = V.CellIndex.build(stored, lists=16).search(spark, asked, k=4, probes=PROBES)
-    recall = V.recall_at_k(others(found), others(V.cosine_top_k(stored, asked, k=4)))
-    return recall.select("query_id", (F.avg("recall").over(Window.partitionBy()) >= 0.9).alias("enough"))
+    index = V.CellIndex.build(stored, lists=CELLS)
+    recall = V.recall_at_k(others(index.search(spark, asked, k=4, share=SHARE)), others(V.cosine_top_k(stored, asked, k=4)))
+    enough = (F.avg("recall").over(Window.partitionBy()) >= 0.9) & (F.col("share") <= 0.25)
+    return recall.join(index.rows_read(asked, share=SHARE), "query_id").select("query_id", enough.alias("enough"))
 
 
 @query("retrieve_dealt", f"WITH {_hits(3)} SELECT * FROM t")

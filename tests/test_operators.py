@@ -277,14 +277,32 @@ def test_cells(spark, vectors):
     assert as_dict(index.search(spark, qdf, k=3, probes=6)) == as_dict(exact)
     recall = V.recall_at_k(index.search(spark, qdf, k=3, probes=4), exact).agg(F.avg("recall")).first()[0]
     assert recall >= 0.7
-    assert spark.read.parquet(index.path).count() == len(rows)
+    assert spark.read.parquet(index.path).count() == 2 * len(rows) == index.sizes.sum()
+    one = V.CellIndex.build(df, lists=6, iterations=5, spill=None)
+    assert spark.read.parquet(one.path).count() == len(rows)
+    assert as_dict(one.search(spark, qdf, k=3)) == as_dict(exact)
+
+
+def test_cells_are_read_up_to_their_share(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(800)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    index = V.CellIndex.build(df, lists=40, iterations=4)
+    read = index.rows_read(asked, share=0.2).collect()
+    assert len(read) == 40 and max(r["share"] for r in read) <= 0.2 and min(r["share"] for r in read) > 0.1
+    found = index.search(spark, asked, k=5, share=0.2)
+    assert found.groupBy("query_id", "vec_id").count().where("count > 1").count() == 0
+    assert {r["query_id"] for r in found.where("rank = 1 and query_id = vec_id").collect()} == set(range(40))
+    assert min(r["rows"] for r in index.rows_read(asked, share=0.0).collect()) > 0  # one cell at least
+    both = [len(set(c)) for c in V.cells_of(rng.normal(size=(30, 16)), index.centres, 1.0)]
+    assert set(both) == {2}
 
 
 def test_recall_leaves_out_the_questions_own_vector(spark, sf, monkeypatch):
     from corpusflow.plans import retrieval
 
     assert {r["enough"] for r in retrieval.ivf_recall(spark, sf).collect()} == {True}
-    monkeypatch.setattr(retrieval, "PROBES", 5)
+    monkeypatch.setattr(retrieval, "SHARE", 0.02)
     assert {r["enough"] for r in retrieval.ivf_recall(spark, sf).collect()} == {False}
 
 
