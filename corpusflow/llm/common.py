@@ -57,6 +57,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4 <<
             yield batch.slice(at)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in record batches of about ``size`` bytes, or of one row where that is larger."""
+    held, bytes_held = [], 0
+    for batch in slices(batches, rows=1 << 30, size=size):
+        if held and bytes_held + batch.nbytes > size:
+            yield pa.concat_batches(held)
+            held, bytes_held = [], 0
+        held.append(batch)
+        bytes_held += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def filesystem(uri: str):
     """The Arrow file system of a shared folder, and the path in it."""
     from pyarrow import fs

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import id_and_text, materialise, slices
-from corpusflow.llm.tokens import WordEncoder
+from corpusflow.llm.common import gathered, id_and_text, materialise
+from corpusflow.llm.tokens import encoder as shared_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long"
 
@@ -36,10 +36,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, max_len: int = 4096, ke
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
-        for batch in slices(batches):
+        encoder = shared_encoder(tokenizer)
+        for batch in gathered(batches):
             rows: list[tuple] = []
-            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
                 ids = np.append(np.frombuffer(found, dtype=f"<u{encoder.width}"), end_id).astype("<u4")
                 for number, start in enumerate(range(0, len(ids), max_len)):
                     own = ids[start : start + max_len]

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import attempt_name, filesystem, id_and_text, slices, write_once
-from corpusflow.llm.tokens import WordEncoder
+from corpusflow.llm.common import attempt_name, filesystem, gathered, id_and_text, write_once
+from corpusflow.llm.tokens import encoder as shared_encoder
 from corpusflow.session import scratch_dir
 
 NULL_ID = -(2**63)
@@ -50,15 +50,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, attempt, encoder = TaskContext.get().partitionId(), attempt_name(), WordEncoder(tokenizer)
+        number, attempt, encoder = TaskContext.get().partitionId(), attempt_name(), shared_encoder(tokenizer)
         name = f"{folder}/shard-{number:05d}"
         ids, lengths = [], []
 
         def fill(out) -> None:
             end = np.array([end_id], f"<u{encoder.width}").tobytes()
-            for batch in slices(batches):
+            for batch in gathered(batches):
                 ids.extend(NULL_ID if x is None else x for x in batch.column("doc_id").to_pylist())
-                for found in encoder.encode(batch.column("text").to_pylist()):
+                for found in encoder.encode(batch.column("text")):
                     out.write(found)
                     out.write(end)
                     lengths.append(len(found) // encoder.width + 1)

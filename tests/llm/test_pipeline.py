@@ -33,7 +33,6 @@ def brute_pipeline(spark, sf):
 
 def test_run_against_brute_force(llm_spark, sf):
     tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for doc_id, text in brute_pipeline(llm_spark, sf):
         ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")

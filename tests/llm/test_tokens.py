@@ -18,12 +18,14 @@ from corpusflow.llm.token_files import read_token_files, token_files, write_toke
 from corpusflow.llm.tokens import WordEncoder
 from corpusflow.session import scratch_dir
 
-TEXT = st.text(st.sampled_from(list("abzAB '’-.,!?0159\n\t  éßΣς́日 \x1c<|>")) | st.characters(exclude_categories=["Cs"]), max_size=60)
+LETTERS = st.text(st.sampled_from(list("abzAB '’-.,!?0159\n\t  éßΣς́日 \x1c<|>")) | st.characters(exclude_categories=["Cs"]), max_size=60)
+
+
+TEXT = st.lists(LETTERS | st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>"]), min_size=1, max_size=3).map("".join) | LETTERS
 
 
 def library(name):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -47,13 +49,21 @@ def test_every_letter_before_punctuation(name):
     assert [t for t, ids in zip(texts, got, strict=True) if ids != whole(t)] == []
 
 
+@pytest.mark.parametrize("name", sorted(ENCODERS))
+def test_spelt_tokens_are_the_tokens(name):
+    encoder, whole = ENCODERS[name]
+    texts = ["a <|endoftext|> b", "plain words", "<|startoftext|>a<|endoftext|>", "<|endoftext", "<|endoftext|>", ""]
+    got = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)]
+    assert got == [whole(t) for t in texts] and len(got[4]) == 1
+
+
 def test_encoder_forgets_within_its_bound():
     encoder = WordEncoder(P.path("byte_bpe_50k.json"), memory=2_000)
     texts = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(30)]
     whole = library("byte_bpe_50k.json")
     for t in texts:
         assert np.frombuffer(encoder.encode([t])[0], "<u2").tolist() == whole(t)
-    assert len(encoder.after_blank) <= 100
+    assert 0 < len(encoder.words) <= 200
 
 
 def check_plan(histogram, max_len):
