@@ -57,7 +57,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4 <<
             yield batch.slice(at)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in record batches of about ``size`` bytes, or of one row where that is larger."""
     held, bytes_held = [], 0
     for batch in slices(batches, rows=1 << 30, size=size):
