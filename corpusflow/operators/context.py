@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow import rules
@@ -48,13 +48,15 @@ def attachment_block(images_visible: bool = True) -> Column:
 
 
 def render_attachments(attachments: DataFrame, by: Sequence[str], position: str = "position",
-                       images_visible: bool = True) -> DataFrame:
-    """Manifest of a message's attachments; a message carries at most five."""
+                       images_visible: bool = True, most: int = rules.UPLOAD_MAX_PER_MESSAGE) -> DataFrame:
+    """Manifest of a message's attachments; a message carries at most ``most``, those at its first positions."""
     block = F.concat(
         F.lit("[Attachment "), (F.col(position) + 1).cast("string"), F.lit(": "), F.col("filename"), F.lit("]\n"),
         attachment_block(images_visible),
     )
-    return attachments.groupBy(*by).agg(_joined_in_order(position, block).alias("attachments"))
+    first = Window.partitionBy(*by).orderBy(F.col(position), F.col("filename"))
+    carried = attachments.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= most)
+    return carried.groupBy(*by).agg(_joined_in_order(position, block).alias("attachments"))
 
 
 def fill(template: str, **slots: Column) -> Column:

@@ -398,3 +398,24 @@ def name_evidence(spark, sf_dir):
         name_in_text(far, F.col("folded")).alias("far_printed"),
         surname_in_text(far, F.col("folded")).alias("surname_printed"),
     )
+
+
+_PRINTED = """
+    WITH d AS (SELECT doc_id, ' ' || lower(strip_accents(translate(coalesce(text, ''), chr(13) || chr(10), '  '))) || ' ' AS t FROM documents),
+    w AS (SELECT doc_id, t, list_filter(regexp_extract_all(t, '[a-z]+'), lambda x: len(x) >= 3) AS w FROM d),
+    n AS (SELECT doc_id, t, w[1] AS given, CASE WHEN doc_id % 3 = 0 THEN w[2] WHEN doc_id % 3 = 1 THEN w[len(w)] ELSE 'zzyzx' END AS family FROM w)
+    SELECT doc_id, coalesce(regexp_matches(t, '[^a-z]' || family || '[^a-z]'), false) AS surname_printed,
+           coalesce(regexp_matches(t, '[^a-z](' || given || '|' || given[1] || ')([^a-z]|[^a-z].{0,28}[^a-z])' || family || '[^a-z]|[^a-z]' || family || '\\s*,\\s*(' || given || '|' || given[1] || ')[^a-z]'), false) AS name_printed
+    FROM n"""
+
+
+@query("printed_names", _PRINTED)
+def printed_names(spark, sf_dir):
+    """Names made of two words of a document, or with a family name that no document has: are they printed in it?"""
+    plain = F.translate(F.coalesce("text", F.lit("")), "\r\n", "  ")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", fold(plain).alias("folded"))
+    words = F.filter(F.regexp_extract_all("folded", F.lit("([a-z]+)"), F.lit(1)), lambda w: F.length(w) >= 3)
+    n = F.pmod("doc_id", F.lit(3))
+    family = F.when(n == 0, F.get("words", F.lit(1))).when(n == 1, F.try_element_at("words", F.lit(-1))).otherwise("zzyzx")
+    named = docs.withColumn("words", words).withColumn("name", F.concat(F.get("words", F.lit(0)), F.lit(" "), family))
+    return named.select("doc_id", surname_in_text(F.col("name"), F.col("folded")).alias("surname_printed"), name_in_text(F.col("name"), F.col("folded")).alias("name_printed"))

@@ -323,6 +323,31 @@ def html_authors(spark, sf_dir):
     return found.select("page_id", "a.method", F.array_join("a.authors", "|").alias("authors"))
 
 
+@query(
+    "jsonld_authors",
+    f"""
+    WITH {SQL_NAMED_PAGES}
+    SELECT page_id, CASE WHEN page_id % 6 IN (0, 1, 3) THEN 'html:json-ld' END AS method,
+           CASE WHEN page_id % 6 = 1 THEN given || ' ' || family || '|Otto ' || family WHEN page_id % 6 IN (0, 3) THEN given || ' ' || family END AS authors FROM np""",
+)
+def jsonld_authors(spark, sf_dir):
+    """Pages that name their authors in JSON-LD alone: an object, a list, plain text (which doesn't count), behind a broken block, empty, not at all."""
+    name, otto = F.concat_ws(" ", "given", "family"), F.concat(F.lit("Otto "), "family")
+    block = lambda *parts: F.concat(F.lit('<script type="application/ld+json">'), *[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit("</script>"))
+    kinds = [
+        block('{"@type": "Article", "author": {"name": "', name, '"}}'),
+        block('[{"@type": "Organization"}, {"author": [{"name": "', name, '"}, {"name": "', otto, '"}, {"name": "', name, '"}]}]'),
+        block('{"author": "', name, '"}'),
+        F.concat(block('{"author": '), block('{"author": [{"name": "', name, '"}]}')),
+        block('{"author": {"name": ""}}'),
+        block('{"headline": "', name, '"}'),
+    ]
+    pages = named_pages(spark, sf_dir)
+    html = F.concat(F.lit("<html><head>"), F.get(F.array(*kinds), F.pmod("page_id", F.lit(len(kinds))).cast("int")), F.lit("</head>"), F.coalesce("html", F.lit("")))
+    found = pages.select("page_id", H.html_authors(html).alias("a"))
+    return found.select("page_id", "a.method", F.array_join("a.authors", "|").alias("authors"))
+
+
 @query(
     "page_outcome",
     r"""

@@ -407,6 +407,14 @@ def test_search_ranks_by_full_precision_whatever_the_ids(spark):
     assert [r["vec_id"] for r in index.search(spark, queries, k=1, probes=2).collect()] == ["v2"]
 
 
+def test_a_message_carries_five_attachments(spark):
+    rows = [(1, i, f"f{i}", "document", "ok", f"text {i}") for i in (6, 0, 5, 1, 4, 2, 3)] + [(2, 0, "g", "document", "ok", "one")]
+    df = spark.createDataFrame(rows, "m long, position long, filename string, kind string, extraction_status string, extracted_text string")
+    got = {r["m"]: r["attachments"] for r in C.render_attachments(df, ["m"]).collect()}
+    assert [f"text {i}" in got[1] for i in range(7)] == [True] * 5 + [False] * 2 and "one" in got[2]
+    assert "text 6" in C.render_attachments(df, ["m"], most=10).where("m = 1").first()["attachments"]
+
+
 def test_attachments_bind_once(spark):
     messages = spark.createDataFrame([(1, 7, 100, ["a"]), (2, 7, 200, ["a", "b"]), (3, 8, 300, ["a"]), (4, 7, 100, ["a"])], "message_id long, user_id long, session_id long, ids array<string>")
     files = spark.createDataFrame([("a", 7, None), ("b", 7, 200)], "attachment_id string, user_id long, session_id long")
