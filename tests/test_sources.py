@@ -153,16 +153,6 @@ def test_extract(spark):
     assert out[4]["extracted_text"] == "{bad" and out[5]["kind"] == "image"
 
 
-def sidecar_by_trial(attrs, limit=1000):
-    attrs = {**attrs, "title": attrs["title"][:300], "author": attrs["author"][:200]}
-    body = lambda: json.dumps({"metadataAttributes": attrs}, ensure_ascii=False)
-    if len(body().encode()) > limit:
-        del attrs["source_url"]
-    while len(body().encode()) > limit and attrs["title"]:
-        attrs["title"] = attrs["title"][:-20]
-    return body()
-
-
 def test_sidecar(spark):
     rows = [
         {"title": t, "author": a, "source_url": u, "host": "h", "concept": c, "open_access": o}
@@ -174,7 +164,19 @@ def test_sidecar(spark):
     df = spark.createDataFrame([tuple(r.values()) for r in rows],
                                "title string, author string, source_url string, host string, concept string, open_access boolean")
     got = [r["sidecar"] for r in FI.sidecar_json(df, constants={"judged": True}).collect()]
-    assert got == [sidecar_by_trial({**r, "judged": True}) for r in rows]
+    size = lambda attrs: len(json.dumps({"metadataAttributes": attrs}, ensure_ascii=False).encode())
+    for row, text in zip(rows, got, strict=True):
+        attrs, whole = json.loads(text)["metadataAttributes"], {**row, "title": row["title"][:300], "author": row["author"][:200], "judged": True}
+        assert size(attrs) == len(text.encode()) and (size(attrs) <= 1000 or attrs["title"] == "")
+        assert ("source_url" in attrs) == (size(whole) <= 1000)
+        # the title loses steps of 20 characters, and no step more than it takes
+        n = len(attrs["title"])
+        assert whole["title"].startswith(attrs["title"])
+        if n < len(whole["title"]):
+            assert n == 0 or (len(whole["title"]) - n) % 20 == 0
+            assert size({**attrs, "title": whole["title"][: min(n + 20, len(whole["title"]))]}) > 1000
+        assert {k: v for k, v in attrs.items() if k not in ("title", "source_url")} == {k: v for k, v in whole.items() if k not in ("title", "source_url")}
+    assert [len(json.loads(t)["metadataAttributes"]["title"]) for t in got][:2] == [1, 300]
 
 
 def test_report_and_files(spark, tmp_path):
