@@ -1,7 +1,7 @@
 """Arrow UDFs: the few things the built-in functions cannot say.
 
-Each is handed NULL for rows that do not need it (plain ASCII text), so only
-the rows that do cross to Python.
+Each is handed NULL for rows that do not need it (plain ASCII text): those
+cross to Python as nulls, without their text.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.functions.basic import col
+from corpusflow.functions.basic import col, let
 
 _MARKS = r"\u0300-\u036f"
 _TONES = r"\u00b4\u02b9-\u02ff"
@@ -26,7 +26,7 @@ def has_non_ascii(c: Column) -> Column:
 
 
 def _only_where_needed(fn, c: Column) -> Column:
-    return F.coalesce(fn(F.when(has_non_ascii(c), c)), c)
+    return F.coalesce(fn(let(c, lambda x: F.when(has_non_ascii(x), x))), c)
 
 
 @F.pandas_udf(T.StringType())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import log
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow import rules
@@ -55,28 +55,6 @@ def normal_title(df: DataFrame, title: str, out: str) -> DataFrame:
     return df.withColumn("_folded", fold(title)).withColumn(out, latin_words("_folded")).drop("_folded")
 
 
-def _gram_bound(min_ratio: float, min_words: int) -> tuple[int, float]:
-    """Gram size ``q`` and ``slope``: two unequal titles of ``s`` characters together with a ratio of at
-    least ``min_ratio`` have at least ``max(1, s * slope - (q - 1))`` common grams.
-
-    Of the ``s`` characters at most ``u = (1 - min_ratio) * s`` have no partner, and as many as ``s`` by
-    parity. Each ends at most one run of partners, and a run of ``m`` holds ``m - q + 1`` grams.
-    """
-    shortest = max(1, 2 * min_words - 1)
-    for q in (3, 2):
-        slope = min_ratio / 2 - (q - 1) * (1 - min_ratio)
-        if slope < 0.05:
-            continue
-        for s in range(2 * shortest, int(q / slope) + 2):  # from there on the slope alone gives one
-            u = int((1 - min_ratio) * s + 1e-9)
-            u -= (s - u) % 2
-            if u > 0 and (s - u) / 2 - (q - 1) * (u + 1) < 1:
-                break
-        else:
-            return q, slope
-    return 1, min_ratio / 2
-
-
 def near_titles(
     wanted: DataFrame,
     catalogue: DataFrame,
@@ -87,59 +65,76 @@ def near_titles(
     """Pairs of distinct normalised titles ``(norm, match, similarity)`` with a
     Ratcliff–Obershelp ratio of at least ``min_ratio``.
 
-    No such pair is lost. Equal titles meet as they are. Others have so many grams
-    at matching places (see ``_gram_bound``) that the first of those, rarest
-    first and equal ones from left to right, is among the first few of either title
-    (prefix filtering). Titles meet on it if their lengths allow the ratio and the places
-    are no further apart than the characters without a partner; bands of lengths and
-    of places are part of the join key. The longest common subsequence bounds the
-    ratio before it is computed. Copies of a title are one title here, so a crowd
-    of copies costs nothing; join back on the normalised title.
+    No such pair is lost. Equal titles meet as they are. Of two others at most ``u`` characters are without
+    a partner, so of ``u + 1`` segments of the one at least one stands whole in the other. One of those, the
+    i-th, has at most i such characters before it and at most ``u - i`` after it (else either side's
+    segments would be outnumbered), so it is looked for near its own place, counted from the nearer end. Bands of
+    lengths and of places are part of the join key. What meets has an edit distance of at most ``u``, which the
+    JVM decides, before the ratio is computed. Copies of a title are one title here, so a crowd of copies
+    costs nothing; join back on the normalised title.
     """
-    q, slope = _gram_bound(min_ratio, min_words)
     reach = (2 - min_ratio) / min_ratio  # the longer length over the shorter one is at most that
-    place_band = 8
-
-    def distinct(df: DataFrame) -> DataFrame:
-        norm = normal_title(df.where(F.col(title).isNotNull()), title, "norm").select("norm").distinct()
-        return materialise(norm.where(F.size(F.split("norm", " ")) >= min_words), "titles")  # read several times below
-
-    left, right = distinct(wanted), distinct(catalogue)
-    length_band = lambda n: F.floor(F.log(n) / max(log(reach), 0.01) + 1e-9)
-
-    def grams(df: DataFrame) -> DataFrame:
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("norm") - (q - 1)))
-        return df.select("norm", F.posexplode(F.transform(starts, lambda i: F.substr("norm", i, F.lit(q)))).alias("at", "gram"))
-
-    everything = grams(left.select("norm").unionByName(right.select("norm")))
-    frequency = everything.groupBy("gram").agg(F.count("*").alias("df"))
-
-    def prefixes(df: DataFrame) -> DataFrame:
-        rarest = Window.partitionBy("norm").orderBy("df", "gram", "at")
-        ranked = grams(df).join(frequency, "gram").withColumn("r", F.row_number().over(rarest))
-        n = F.length("norm")
-        shared = F.greatest(F.lit(1), F.ceil(n * (2 / (2 - min_ratio)) * slope - (q - 1) - 1e-9))
-        return ranked.where(F.col("r") <= F.greatest(F.lit(1), n - (q - 1)) - shared + 1).select("norm", "gram", "at", n.alias("n"))
-
-    # characters without a partner in one of two titles, if the other one is as long as can be
-    stray = F.floor((1 - min_ratio) * F.col("n") * (1 + reach) + 1e-9)
-    bands = F.sequence(length_band(F.col("n") / reach), length_band(F.col("n") * reach))
-    places = F.sequence(F.floor((F.col("at") - stray) / place_band), F.floor((F.col("at") + stray) / place_band))
-    a = prefixes(left).withColumn("band", F.explode(bands)).withColumn("place", F.explode(places))
-    b = prefixes(right).withColumns({"band": length_band(F.col("n")), "place": F.floor(F.col("at") / place_band)})
-    a = a.select("gram", "band", "place", F.col("norm").alias("a"), F.col("at").alias("ia"), F.col("n").alias("la"))
-    b = b.select("gram", "band", "place", F.col("norm").alias("b"), F.col("at").alias("ib"), F.col("n").alias("lb"))
-    total, shift = F.col("la") + F.col("lb"), F.col("ia") - F.col("ib")
-    without = (1 - min_ratio) * total + 1e-9
-    longer = F.col("la") - F.col("lb")
+    place_band = 4
+
+    def titles(df: DataFrame, side: int) -> DataFrame:
+        # a filter on the title itself would compute it twice
+        folded = df.select(fold(title).alias("folded")).where("folded is not null")
+        return folded.select(latin_words("folded").alias("norm"), F.lit(side).alias("side"))
+
+    # one pass over both, one row a title; read three times below
+    sides = titles(wanted, 1).union(titles(catalogue, 2)).groupBy("norm").agg(F.bit_or("side").alias("side"))
+    sides = materialise(sides.where(F.size(F.split("norm", " ")) >= min_words), "titles")
+    left, right = sides.where("side <> 2").select("norm"), sides.where("side <> 1").select("norm")
+
+    def length_band(n: Column) -> Column:
+        return F.floor(F.log(n) / max(log(reach), 0.01) + 1e-9)
+
+    def stray(n: Column) -> Column:
+        """Characters without a partner, at most, in a title of ``n`` characters and one as long as can be."""
+        return F.floor((1 - min_ratio) * (n + F.floor(n * reach + 1e-9)) + 1e-9).cast("int")
+
+    def segments(n: Column) -> Column:
+        return F.least(stray(n) + 1, n)
+
+    n, count, i, size = F.length("norm"), F.col("count"), F.col("i"), F.length("text")
+    begin = lambda k: F.floor(k * F.col("n") / F.col("count")).cast("int")
+    # titles with fewer characters than u + 1 are cut into characters, any of which may be the one
+    enough = F.col("count") > stray(F.col("n"))
+    before, after = F.when(enough, i).otherwise(F.col("n") * 2), F.when(enough, count - 1 - i).otherwise(F.col("n") * 2)
+    at, width, by_start = F.col("at"), F.least(before, after), before <= after
+    place = F.when(by_start, at).otherwise(F.col("n") - at - size)
+    cut = (
+        left.where(n > 0).select("norm", n.alias("n"), segments(n).alias("count"))
+        .withColumn("i", F.explode(F.sequence(F.lit(0), count - 1)))
+        .withColumn("at", begin(i))
+        .withColumn("text", F.substr("norm", at + 1, begin(i + 1) - at))
+        .withColumn("place", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), place - width) / place_band), F.floor((place + width) / place_band))))
+        .withColumn("band", F.explode(F.sequence(length_band(F.col("n") / reach), length_band(F.col("n") * reach))))
+        .select("text", by_start.alias("by_start"), "place", "band", F.col("norm").alias("a"), F.col("n").alias("la"), F.col("at").alias("ia"),
+                before.alias("before"), after.alias("after"))
+    )
+    lengths = F.sequence(F.greatest(F.lit(1), F.ceil(n / reach - 1e-9)).cast("int"), F.floor(n * reach + 1e-9).cast("int"))
+    least_size = F.transform(lengths, lambda k: F.floor(k / segments(k)).cast("int"))
+    sizes = F.array_distinct(F.concat(least_size, F.transform(least_size, lambda k: k + 1)))
+    windows = (
+        right.where(n > 0).select("norm", n.alias("n"), F.explode(sizes).alias("size")).where("size <= n")
+        .withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))))
+        .withColumn("text", F.substr("norm", at + 1, F.col("size")))
+        .withColumn("by_start", F.explode(F.array(F.lit(True), F.lit(False))))
+        .select("text", "by_start", F.floor(F.when(F.col("by_start"), at).otherwise(F.col("n") - at - F.col("size")) / place_band).alias("place"),
+                length_band(F.col("n")).alias("band"), F.col("norm").alias("b"), F.col("n").alias("lb"), F.col("at").alias("ib"))
+    )
+    shift, longer = F.col("ia") - F.col("ib"), F.col("la") - F.col("lb")
+    without = F.floor((1 - min_ratio) * (F.col("la") + F.col("lb")) + 1e-9).cast("int")
     met = (
-        a.join(b, ["gram", "band", "place"])
-        .where((F.abs(longer) <= without) & (2 * shift <= without + longer) & (2 * shift >= longer - without) & (F.col("a") != F.col("b")))
+        cut.join(windows, ["text", "by_start", "place", "band"])
+        .where((F.abs(shift) <= F.col("before")) & (F.abs(longer - shift) <= F.col("after")) & (F.abs(shift) + F.abs(longer - shift) <= without))
+        .where((F.col("a") != F.col("b")) & (F.call_function("levenshtein", F.col("a"), F.col("b"), without) >= 0))
         .select("a", "b")
         # few bytes, much work: by number, so that they aren't put into one task
         .repartition(int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
         .distinct()
     )
     scored = met.withColumn("similarity", ratcliff_ratio(F.col("a"), F.col("b"), min_ratio)).where(F.col("similarity") >= min_ratio)
-    equal = left.join(right, "norm", "left_semi").select("norm", F.col("norm").alias("match"), F.lit(1.0).alias("similarity"))
+    equal = sides.where("side = 3").select("norm", F.col("norm").alias("match"), F.lit(1.0).alias("similarity"))
     return equal.union(scored.select(F.col("a").alias("norm"), F.col("b").alias("match"), "similarity"))

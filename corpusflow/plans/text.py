@@ -201,6 +201,32 @@ def title_match(spark, sf_dir):
     )
 
 
+_DIGEST_TITLE = "concat_ws(' ', substr(md5(url), 1, 8), substr(md5(url), 9, 8), substr(md5(url), 17, 8), substr(md5(url), 25, 8))"
+#: The catalogue's spelling of a digest title: letters that no digest has at up to five places.
+_MISSPELT = [5, 12, 19, 26, 33]
+
+
+@query(
+    "title_near",
+    f"""
+    WITH t AS (SELECT page_id, {_DIGEST_TITLE} AS title, CAST(page_id % 6 AS INTEGER) AS wrong FROM pages),
+    m AS (SELECT page_id, title, wrong,
+          {"".join(f"CASE WHEN wrong > {i} THEN 'z' ELSE substr(title, {at}, 1) END || substr(title, {at + 1}, {(_MISSPELT + [36])[i + 1] - at - 1}) || " for i, at in enumerate(_MISSPELT))}'' AS body
+          FROM t)
+    SELECT DISTINCT title AS norm, substr(title, 1, 4) || body AS "match", round((35 - wrong) / 35.0, 4)::DOUBLE AS similarity
+    FROM m WHERE wrong <= 3""",
+)
+def title_near(spark, sf_dir):
+    """Titles of digest letters against a catalogue with up to five letters of each replaced by one that no digest
+    has: the ratio is then known, three wrong letters of 35 are near enough and four aren't."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.expr(_DIGEST_TITLE).alias("title"))
+    misspelt = F.col("title")
+    for i, at in enumerate(_MISSPELT):
+        misspelt = F.when(F.col("page_id") % 6 > i, F.overlay(misspelt, F.lit("z"), at)).otherwise(misspelt)
+    near = near_titles(pages, pages.select(misspelt.alias("title")))
+    return near.select("norm", "match", F.round("similarity", 4).alias("similarity"))
+
+
 @query(
     "title_coverage",
     rf"""
