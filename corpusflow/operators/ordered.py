@@ -9,13 +9,16 @@ that holds a third of all rows is then many segments like any other.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow import rules
+from corpusflow.session import materialise
 
 SEGMENT = "_segment"
 KEY = "_key"
@@ -305,6 +308,43 @@ def first_hit_windows(
 
 # --- quotas ------------------------------------------------------------------
 
+def _settled_by_segments(rows: DataFrame, size: str) -> DataFrame:
+    """Whole segments that fit into their key's room ``_left`` are admitted; of the others, what is larger than the
+    room left before the first of them is refused. ``_left`` becomes that room."""
+    part = ["_who", SEGMENT]
+    counted = F.when(F.col("outcome").isNull(), F.col(size)).otherwise(0)
+    upto = Window.partitionBy("_who").orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.groupBy(*part).agg(F.sum(counted).alias("_size"), F.min("_left").alias("_room")).withColumn("_filled", F.sum("_size").over(upto))
+    fits = F.col("_filled") <= F.col("_room")
+    before = F.coalesce(F.max(F.when(fits, F.col("_filled"))).over(Window.partitionBy("_who")), F.lit(0))
+    summary = filled.select(*part, fits.alias("_fits"), (F.col("_room") - before).cast("long").alias("_left"))
+    return rows.drop("_left").join(summary, part).withColumn(
+        "outcome",
+        F.when(F.col("outcome").isNotNull(), F.col("outcome"))
+        .when(F.col("_fits"), "accepted")
+        .when(F.col(size) > F.col("_left"), "over_quota"),
+    ).drop("_fits")
+
+
+def _walk(size: str):
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, left = None, 0
+        for batch in batches:
+            columns = {name: batch.column(name) for name in batch.schema.names}
+            outcome, room = [], []
+            for who, item, space in zip(*[columns[c].to_pylist() for c in ("_who", size, "_left")]):
+                if who != current:
+                    current, left = who, space
+                fits = item is not None and item <= left
+                left -= item if fits else 0
+                outcome.append("accepted" if fits else "over_quota")
+                room.append(left)
+            columns["outcome"], columns["_left"] = pa.array(outcome, pa.string()), pa.array(room, pa.int64())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return walk
+
+
 def quota_admission(
     df: DataFrame,
     key: str,
@@ -312,50 +352,42 @@ def quota_admission(
     size: str,
     quota: int = rules.UPLOAD_QUOTA_BYTES,
     max_item: int = rules.UPLOAD_MAX_BYTES,
+    walk_rows: int = 100_000,
 ) -> DataFrame:
     """Admit items in order while they fit; a refused item uses no space.
 
     Not a running sum, since what is refused does not count. But as long as
     whole segments fit, everything in them is admitted; from the first segment
     that does not fit on, only items no larger than the space left before it can
-    still be admitted. Segment totals therefore decide nearly every row; what is
-    left is walked in order per key with constant memory.
+    still be admitted. Segment totals therefore decide nearly every row. Of what
+    is left of a key, its next segments of about ``walk_rows`` rows (one segment
+    at least) are walked in order; their end leaves less space, with which the later
+    segments are settled by totals again, and so on in rounds until nothing is left. No
+    task walks more of a key than that, whatever the key holds.
     Needs :func:`with_segment`. Adds ``outcome``.
     """
-    part = [KEY, SEGMENT]
-    rows = _keyed(df, [key]).withColumn(
+    part, order_cols = ["_who", SEGMENT], [f"_o{i}" for i in range(len(order))]
+    # text of the key: NULL is a key like any other
+    who = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    rows = df.withColumns({**dict(zip(order_cols, order)), "_who": who, "_left": F.lit(quota).cast("long")}).withColumn(
         "outcome", F.when(F.col(size) <= 0, "empty").when(F.col(size) > max_item, "too_large")
     )
-    counted = F.when(F.col("outcome").isNull(), F.col(size)).otherwise(0)
-    upto = Window.partitionBy(KEY).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, 0)
-    filled = rows.groupBy(*part).agg(F.sum(counted).alias("_size")).withColumn("_filled", F.sum("_size").over(upto))
-    fits = F.col("_filled") <= quota
-    before = F.coalesce(F.max(F.when(fits, F.col("_filled"))).over(Window.partitionBy(KEY)), F.lit(0))
-    summary = filled.select(*part, fits.alias("_fits"), (F.lit(quota) - before).cast("long").alias("_left"))
-    judged = rows.join(summary, part).drop(KEY).withColumn(
-        "outcome",
-        F.when(F.col("outcome").isNotNull(), F.col("outcome"))
-        .when(F.col("_fits"), "accepted")
-        .when(F.col(size) > F.col("_left"), "over_quota"),
-    )
-    order_cols = [f"_o{i}" for i in range(len(order))]
-    who = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
-    rest = judged.where(F.col("outcome").isNull()).withColumns(dict(zip(order_cols, order))).withColumn("_who", who)
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, left = object(), 0
-        for frame in frames:
-            outcome = []
-            # text of the key: NULL is a key like any other, and no number turns into a float
-            for who, item, space in zip(frame["_who"], frame[size], frame["_left"]):
-                if who != current:
-                    current, left = who, space
-                fits = item <= left
-                left -= item if fits else 0
-                outcome.append("accepted" if fits else "over_quota")
-            yield frame.assign(outcome=outcome)
-
-    walked = rest.drop(key).repartition("_who").sortWithinPartitions("_who", *order_cols).mapInPandas(walk, rest.drop(key).schema)
-    decided = judged.where(F.col("outcome").isNotNull())
-    named = walked.withColumn(key, F.when(F.col("_who") != "", F.substr("_who", F.lit(2))).cast(df.schema[key].dataType))
-    return decided.unionByName(named.drop("_who", *order_cols)).drop("_left", "_fits", SEGMENT)
+    earlier = Window.partitionBy("_who").orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    columns = [*(c for c in df.columns if c != SEGMENT), "outcome"]
+    done, judged = [], _settled_by_segments(rows, size)
+    while True:
+        done.append(judged.where(F.col("outcome").isNotNull()).select(columns))
+        rest = materialise(judged.where(F.col("outcome").isNull()), "uploads")
+        near = rest.groupBy(*part).count().select(*part, (F.coalesce(F.sum("count").over(earlier), F.lit(0)) < walk_rows).alias("_near"))
+        dealt = rest.join(near, part)
+        walked = (
+            dealt.where("_near").select(rest.columns).repartition("_who").sortWithinPartitions("_who", *order_cols)
+            .mapInArrow(_walk(size), rest.schema)
+        )
+        if near.where("NOT _near").isEmpty():
+            return reduce(DataFrame.union, [*done, walked.select(columns)])
+        walked = materialise(walked, "uploads")
+        done.append(walked.select(columns))
+        room = walked.groupBy("_who").agg(F.min("_left").alias("_left"))
+        later = dealt.where("NOT _near").drop("_left", "_near").join(room, "_who")
+        judged = _settled_by_segments(later.withColumn("outcome", F.when(F.col(size) > F.col("_left"), "over_quota")), size)

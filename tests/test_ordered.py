@@ -151,6 +151,26 @@ def test_quota(log, width):
     assert got == want
 
 
+def test_quota_in_rounds_walks_no_key_whole(spark, monkeypatch):
+    rng = random.Random(5)
+    items = [("hot" if rng.random() < 0.4 else f"u{rng.randrange(12)}", i, rng.choice([1, 2, 3, 30, 31, 50])) for i in range(900)]
+    df = spark.createDataFrame(items, "who string, n long, size long")
+    walks, write = [], O.materialise
+
+    def written(frame, purpose):
+        out = write(frame, purpose)
+        rest = out.where("outcome is not null")  # what a round has walked
+        walks.append(max((r["count"] for r in rest.groupBy("_who").count().collect()), default=0))
+        return out
+
+    monkeypatch.setattr(O, "materialise", written)
+    got = {r["n"]: r["outcome"] for r in O.quota_admission(O.with_segment(df, F.col("n"), 20), "who", [F.col("n")], "size", quota=400, max_item=60, walk_rows=5).collect()}
+    want = {}
+    for who in {w for w, _, _ in items}:
+        want.update(quota_by_loop([(n, w, None, None, s) for w, n, s in items if w == who], 400, 60))
+    assert got == want and len([w for w in walks if w]) >= 2 and max(walks) < 5 + 20
+
+
 def test_quota_examples(spark):
     for sizes, want in (([60, 60], ["accepted", "over_quota"]), ([60, 60, 30], ["accepted", "over_quota", "accepted"])):
         rows = [(i, "u", START, False, s) for i, s in enumerate(sizes)]
