@@ -13,12 +13,13 @@ from corpusflow.functions.text import is_relevant
 from corpusflow.functions.titles import clean_title
 from corpusflow.functions.urls import is_open_access, resolve_href, source_domain
 from corpusflow.operators.exams import seeded_order
+from corpusflow.operators.joins import dealt_join
 from corpusflow.operators.windows import first_wins
 
 
-def query_matrix(concepts: DataFrame, templates: DataFrame) -> DataFrame:
-    """Every concept with every template of its category, as a search string."""
-    return concepts.join(templates, "category").select(
+def query_matrix(concepts: DataFrame, templates: DataFrame, rows_per_task: int = 1_000_000) -> DataFrame:
+    """Every concept with every template of its category, as a search string. A large category is dealt over tasks."""
+    return dealt_join(concepts, templates, ["category"], rows_per_task).select(
         "category", "concept", F.concat(F.lit('"'), "concept", F.lit('" '), "template").alias("query")
     )
 

@@ -162,16 +162,24 @@ def orphans(uploads: DataFrame, bound: DataFrame, on: str = "attachment_id") ->
     return uploads.join(bound.select(on).distinct(), on, "left_anti")
 
 
-def round_robin(turns: DataFrame, order: DataFrame, turn: str, group: str) -> DataFrame:
+def dealt_join(large: DataFrame, small: DataFrame, on: Sequence[str], rows_per_task: int = 1_000_000) -> DataFrame:
+    """Inner join on a handful of keys: rows of the large side are dealt over as many salts as its commonest key
+    needs, and the small side is copied to each of them. One aggregate finds that key's count; one number comes back.
+    Rows are dealt by a digest of all their columns, so only rows that are equal throughout stay together."""
+    most = large.groupBy(*on).count().agg(F.max("count")).first()[0] or 0
+    salts = -(-most // rows_per_task)
+    if salts <= 1:
+        return large.join(small, list(on))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in large.columns]), F.lit(salts))
+    copied = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return large.withColumn("_salt", salt).join(copied, [*on, "_salt"]).drop("_salt")
+
+
+def round_robin(turns: DataFrame, order: DataFrame, turn: str, group: str, rows_per_task: int = 1_000_000) -> DataFrame:
     """Give turn ``t`` the participant ``t mod n`` of its group.
 
-    ``order(group, slot, participant)`` lists participants from slot 0.
+    ``order(group, slot, participant)`` lists participants from slot 0. A group with many turns is dealt over tasks.
     """
-    sized = order.withColumn("_n", F.count("*").over(Window.partitionBy(group)))
-    sizes = sized.select(group, "_n").distinct()
-    return (
-        turns.join(sizes, group)
-        .withColumn("slot", F.pmod(F.col(turn), F.col("_n")).cast("int"))
-        .join(order, [group, "slot"])
-        .drop("_n")
-    )
+    sizes = order.groupBy(group).agg(F.count("*").alias("_n"))
+    slotted = dealt_join(turns, sizes, [group], rows_per_task).withColumn("slot", F.pmod(F.col(turn), F.col("_n")).cast("int"))
+    return dealt_join(slotted.drop("_n"), order, [group, "slot"], rows_per_task)

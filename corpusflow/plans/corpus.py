@@ -15,6 +15,7 @@ from corpusflow.sources import files as FI
 from corpusflow.sources import ledger as L
 from corpusflow.sources import reference as R
 from corpusflow.sources.store import KeyedStore
+from corpusflow.streaming.collect import publish_run
 
 
 def _doc(name="doc_id"):
@@ -106,6 +107,24 @@ def snapshot_diff(spark, sf_dir):
     return S.snapshot_diff(stored, delivered, "source_path", "text")
 
 
+@query(
+    "publish_runs",
+    """
+    SELECT 'p' || doc_id AS source_path, CASE WHEN doc_id % 4 = 2 THEN 1 ELSE 2 END AS run,
+        len(regexp_extract_all(CASE WHEN doc_id % 4 = 1 THEN 'New. ' || text ELSE text END, '[A-Za-z]+')) AS words
+    FROM documents WHERE doc_id % 4 <> 3 AND text IS NOT NULL""",
+)
+def publish_runs(spark, sf_dir):
+    """The index after two publish runs, the second of which brings, changes and deletes documents; what didn't
+    change keeps the first run's row."""
+    store = KeyedStore(spark, scratch_dir(spark, "publish"), "source_path", "source_path string, digest string, words int, run int")
+    count = lambda df: df.withColumn("words", F.size(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))))
+    for run, snapshot in enumerate(_versions(spark, sf_dir), 1):
+        whole = snapshot.select("source_path", "text")
+        publish_run(whole, store, "text", lambda df: count(df).withColumn("words", F.when(F.col("text").isNotNull(), F.col("words"))), "words", run)
+    return store.read().select("source_path", "run", F.col("words").cast("long").alias("words"))
+
+
 @query(
     "cascade_delete",
     """

@@ -86,9 +86,9 @@ def clock_windows(spark, sf_dir):
     SELECT DISTINCT url_key FROM s WHERE length(url) BETWEEN 8 AND 2000""",
 )
 def stream_harvest(spark, sf_dir):
-    """Landed pages of every catalogue into the ledger; keys of what arrived."""
+    """Landed pages of every catalogue into the ledger, in three batches; keys of what arrived."""
     folder = scratch_dir(spark, "harvest")
-    landed_everywhere(spark, sf_dir).write.parquet(f"{folder}/landing")
-    stream = C.read_landing(spark, f"{folder}/landing")
+    landed_everywhere(spark, sf_dir).repartition(3).write.parquet(f"{folder}/landing")
+    stream = C.read_landing(spark, f"{folder}/landing", files_per_batch=1)
     C.harvest_stream(stream, f"{folder}/ledger", f"{folder}/checkpoint").awaitTermination()
     return C.ledger(spark, f"{folder}/ledger").select("url_key")

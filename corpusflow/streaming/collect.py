@@ -13,6 +13,7 @@ from corpusflow.functions.text import is_relevant, phrase_in_text
 from corpusflow.functions.titles import clean_title
 from corpusflow.functions.urls import is_open_access, normalise_url, source_domain
 from corpusflow.operators.windows import first_wins
+from corpusflow.session import materialise
 from corpusflow.sources.catalogues import harvest, strict_filter
 from corpusflow.sources.corpus import snapshot_diff
 from corpusflow.sources.ledger import validate_rows
@@ -125,3 +126,31 @@ def incremental_index(new: DataFrame, old: DataFrame, key: str, content: str,
     todo = new.join(status.where("status IN ('new', 'changed')").select(key), key, "left_semi")
     gone = status.where("status IN ('deleted', 'changed')").select(key)
     return embed(todo), gone
+
+
+def publish_run(documents: DataFrame, store: KeyedStore, content: str, embed: Callable[[DataFrame], DataFrame],
+                value: str, run: int) -> dict[str, int]:
+    """One run of the hourly publish: the store becomes the index of this snapshot of documents.
+
+    Only new and changed documents are embedded; deleted ones go, and only buckets with either are written. A
+    document whose ``value`` comes out null has failed: it isn't in the index, and the next run tries it again. The
+    store's rows carry the content's ``digest`` and the ``run`` that indexed them. Rows without a key are
+    left out. Returns the counts scanned, indexed, failed and deleted; a run that is repeated finds nothing to do.
+    """
+    key = store.key
+    digest = F.sha2(F.coalesce(F.col(content), F.lit("")).cast("binary"), 256)
+    scanned = documents.where(F.col(key).isNotNull()).withColumn("digest", digest)
+    todo, gone = incremental_index(scanned, store.read().select(key, "digest"), key, "digest", embed)
+    tried = materialise(todo.withColumn("run", F.lit(run)), "embedded")
+    gone = materialise(gone, "gone")
+    arrived = tried.where(F.col(value).isNotNull()).select(*store.schema.names)
+
+    def merge(stored: DataFrame, delivery: DataFrame) -> DataFrame:
+        kept = stored.join(delivery.select(key), key, "left_anti")
+        return kept.unionByName(delivery.where("NOT _gone").drop("_gone"))
+
+    delivery = arrived.withColumn("_gone", F.lit(False)).unionByName(gone.withColumn("_gone", F.lit(True)), allowMissingColumns=True)
+    store.upsert(delivery, merge, commit=run)
+    counts = tried.agg(F.count(value).alias("indexed"), F.count_if(F.col(value).isNull()).alias("failed")).first()
+    deleted = gone.join(tried.select(key), key, "left_anti").count()
+    return {"scanned": scanned.count(), "indexed": counts["indexed"], "failed": counts["failed"], "deleted": deleted}

@@ -428,3 +428,12 @@ def test_redirects_without_a_final_address_stay(spark):
     probed = spark.createDataFrame([("http://a.org/", None, 1), ("http://b.org/", "http://a.org/", 2)], "url_key string, final_url string, n int")
     ledger = spark.createDataFrame([], "url_key string")
     assert [r["url_key"] for r in J.claim_redirects(probed, ledger, [F.col("n")]).collect()] == ["http://a.org/"]
+
+
+def test_dealt_join_spreads_a_large_key(spark):
+    large = spark.createDataFrame([("hot" if i % 3 else f"k{i % 5}", i) for i in range(300)], "k string, n int")
+    small = spark.createDataFrame([("hot", "x"), ("hot", "y"), ("k1", "z"), ("none", "q")], "k string, v string")
+    key = lambda df: sorted(map(tuple, df.select("k", "n", "v").collect()))
+    dealt = J.dealt_join(large, small, ["k"], rows_per_task=20)
+    assert key(dealt) == key(large.join(small, "k")) and dealt.columns == ["k", "n", "v"]
+    assert J.dealt_join(large.where("false"), small, ["k"], rows_per_task=20).count() == 0

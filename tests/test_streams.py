@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators import ordered as O
+from corpusflow.sources.store import KeyedStore
 from corpusflow.streaming import collect as C
 from corpusflow.streaming import limits as L
 
@@ -170,6 +171,26 @@ def test_incremental_index(spark):
     assert sorted(r["k"] for r in gone.collect()) == ["b", "c"]
 
 
+def test_publish_runs_embed_only_what_changed(spark, tmp_path):
+    store = KeyedStore(spark, str(tmp_path / "index"), "k", "k string, digest string, v int, run int", buckets=4)
+    seen = []
+
+    def embed(df):
+        seen.append(sorted(r["k"] for r in df.select("k").collect()))
+        return df.withColumn("v", F.when(F.col("t") != "bad", F.length("t")))
+
+    frame = lambda *rows: spark.createDataFrame(list(rows), "k string, t string")
+    first = frame(("a", "1"), ("b", "22"), ("c", "bad"), ("d", "4"), (None, "x"), ("e", None))
+    second = frame(("a", "1"), ("b", "333"), ("c", "55"), ("f", ""))
+    assert C.publish_run(first, store, "t", embed, "v", 1) == {"scanned": 5, "indexed": 3, "failed": 2, "deleted": 0}
+    assert C.publish_run(second, store, "t", embed, "v", 2) == {"scanned": 4, "indexed": 3, "failed": 0, "deleted": 1}
+    assert seen == [["a", "b", "c", "d", "e"], ["b", "c", "f"]]
+    want = [("a", 1, 1), ("b", 3, 2), ("c", 2, 2), ("f", 0, 2)]
+    assert sorted((r["k"], r["v"], r["run"]) for r in store.read().collect()) == want
+    assert C.publish_run(second, store, "t", embed, "v", 3) == {"scanned": 4, "indexed": 0, "failed": 0, "deleted": 0}
+    assert C.publish_run(first.where("false"), store, "t", embed, "v", 4)["deleted"] == 4 and store.read().count() == 0
+
+
 def test_loose_catalogues_are_checked_again(spark):
     import json
 
