@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpusflow import rules
 from corpusflow.functions.names import clean_name, format_authors, is_plausible_creator
@@ -96,10 +98,81 @@ def append_batch(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+_ROW_FORMAT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+class _Buffer(StatefulProcessor):
+    """Rows of a lane wait until there are enough of them or the oldest has waited long enough."""
+
+    def __init__(self, most: int, millis: int):
+        self.most, self.millis = most, millis
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "row string")
+
+    def _out(self, key, rows: list, why: str) -> pd.DataFrame:
+        return pd.DataFrame({"lane": [key[0]] * len(rows), "row": rows, "flushed": [why] * len(rows)})
+
+    def _forget_timers(self) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = [r[0] for r in self.held.get()] if self.held.exists() else []
+        waiting = len(held)
+        for frame in rows:
+            held.extend(frame["row"])
+            full = len(held) - len(held) % self.most
+            if full:
+                yield self._out(key, held[:full], "rows")
+                held, waiting = held[full:], 0
+        if not held:
+            self._forget_timers()
+            self.held.clear()
+            return
+        self.held.put([(r,) for r in held])
+        if not waiting:  # the oldest row of what waits now is new
+            self._forget_timers()
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.millis)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = [r[0] for r in self.held.get()] if self.held.exists() else []
+        self.held.clear()
+        if held:
+            yield self._out(key, held, "age")
+
+    def close(self) -> None:
+        pass
+
+
+def flush_by_rows_or_age(rows: DataFrame, lane: Column, most: int = rules.LEDGER_BATCH_ROWS, age_seconds: float = rules.LEDGER_BATCH_AGE_SECONDS) -> DataFrame:
+    """A stream's rows, let out of each ``lane`` as soon as ``most`` wait there or the oldest has waited ``age_seconds``.
+
+    What waits is keyed state, at most ``most`` rows a lane, so a restart neither loses nor repeats a row. Ages are
+    processing time, for a query with a processing-time trigger; ``availableNow`` would wait for timers for ever. Adds ``flushed``: ``rows`` or ``age``.
+    """
+    packed = rows.select(lane.cast("string").alias("lane"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), _ROW_FORMAT).alias("row"))
+    out = packed.groupBy("lane").transformWithStateInPandas(
+        statefulProcessor=_Buffer(most, int(age_seconds * 1000)), outputStructType="lane string, row string, flushed string",
+        outputMode="append", timeMode="ProcessingTime",
+    )
+    return out.select(F.from_json("row", rows.schema, _ROW_FORMAT).alias("r"), "flushed").select("r.*", "flushed")
+
+
 def harvest_stream(pages: DataFrame, path: str, checkpoint: str, strict: bool = True, once: bool = True,
-                   every: str = rules.LEDGER_BATCH_AGE):
-    """Landed pages -> mappers -> filters -> ledger, as one streaming query."""
-    writer = ledger_candidates(pages, strict).writeStream.foreachBatch(append_batch(path)).option(
+                   every: str = rules.LEDGER_BATCH_AGE, buffered: bool = False):
+    """Landed pages -> mappers -> filters -> ledger, as one streaming query.
+
+    ``buffered`` rows of a source reach the ledger eight at a time, or when the oldest of them is ten minutes old; that
+    needs a query that stays (``once=False``) and a short ``every``.
+    """
+    rows = ledger_candidates(pages, strict)
+    if buffered:
+        if once:
+            raise ValueError("ages pass only in a query that stays: buffered needs once=False")
+        rows = flush_by_rows_or_age(rows, F.col("source")).drop("flushed")
+    writer = rows.writeStream.foreachBatch(append_batch(path)).option(
         "checkpointLocation", checkpoint
     )
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)

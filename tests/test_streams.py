@@ -171,6 +171,42 @@ def test_incremental_index(spark):
     assert sorted(r["k"] for r in gone.collect()) == ["b", "c"]
 
 
+def test_rows_are_let_out_by_number_or_age_exactly_once(spark, tmp_path):
+    import time
+
+    L.prepare_state_store(spark)
+    landing, schema = str(tmp_path / "in"), "lane string, n long, at timestamp"
+    rows = [("a" if i < 19 else None, None if i == 3 else i, START) for i in range(22)]
+    for part in (rows[:5], rows[5:12], rows[12:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(landing)
+
+    def run_until(ready):
+        stream = C.flush_by_rows_or_age(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing), F.col("lane"), most=8, age_seconds=10)
+        query = (
+            stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+        )
+        until = time.time() + 60
+        while query.isActive and not ready(read()) and time.time() < until:
+            time.sleep(1)
+        query.stop()
+        if query.exception():
+            raise query.exception()
+
+    def read():
+        known = (tmp_path / "out" / "_spark_metadata").exists()
+        return spark.read.schema(f"{schema}, flushed string").parquet(str(tmp_path / "out")).collect() if known else []
+
+    run_until(lambda out: sum(r["flushed"] == "rows" for r in out) >= 8)
+    run_until(lambda out: len(out) >= 22)
+    out = read()
+    assert sorted(((r["lane"], r["n"], r["at"]) for r in out), key=str) == sorted(rows, key=str)
+    by_rows = sum(r["flushed"] == "rows" for r in out)
+    assert by_rows >= 8 and by_rows % 8 == 0 and all(r["lane"] == "a" for r in out if r["flushed"] == "rows")
+    with pytest.raises(ValueError):
+        C.harvest_stream(C.read_landing(spark, landing), str(tmp_path / "l"), str(tmp_path / "c"), buffered=True)
+
+
 def test_publish_runs_embed_only_what_changed(spark, tmp_path):
     store = KeyedStore(spark, str(tmp_path / "index"), "k", "k string, digest string, v int, run int", buckets=4)
     seen = []
