@@ -4,27 +4,51 @@ from __future__ import annotations
 
 from math import log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow import rules
 from corpusflow.functions.arrow import fold, ratcliff_ratio
+from corpusflow.functions.basic import let
 from corpusflow.functions.text import latin_words
 from corpusflow.session import materialise
 
 #: Characters of a phrase that bring texts and phrases together.
 GRAM = 12
+#: Places of the filter of phrase pieces at its largest; more phrases than a tenth of it let more pieces through.
+FILTER_SLOTS = 1 << 20
+#: Shares of a common piece's hits; each has all phrases of the piece.
+PIECE_SALTS = 16
+
+
+def phrase_anchors(phrases: DataFrame) -> DataFrame:
+    """``_needle``, ``_concept``, ``_gram`` (the piece a text and the phrase meet on), ``_before`` (words of the phrase before it), ``_words``.
+
+    A phrase of several words meets on the first characters of one of its words but the first, which in a text
+    may be the end of a longer one: a piece of full length if it has one, of these the one with the fewest blanks, since
+    long words are rarer than short ones, then the earliest. A phrase of one word meets on its first characters.
+    """
+
+    def anchor(words: Column) -> Column:
+        place = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array(F.lit(0)))
+        piece = lambda i: F.left(F.array_join(F.slice(words, i + 1, F.lit(GRAM)), " "), F.lit(GRAM))
+        ranked = lambda g, i: F.struct((-F.length(g)).alias("short"), F.regexp_count(g, F.lit(" ")).alias("blanks"), i.alias("before"), g.alias("gram"))
+        return F.array_min(F.transform(place, lambda i: let(piece(i), lambda g: ranked(g, i))))
+
+    words = F.split("_needle", " ")
+    chosen = phrases.select("_needle", "_concept", F.size(words).alias("_words"), let(words, anchor).alias("a"))
+    return chosen.select("_needle", "_concept", F.col("a.gram").alias("_gram"), F.col("a.before").alias("_before"), "_words")
 
 
 def concept_label(df: DataFrame, text: str, concepts: DataFrame, concept: str, out: str = "concept") -> DataFrame:
     """Label each text with the longest concept phrase it contains, '' if none;
     equal lengths are settled by name.
 
-    A phrase may start and end inside a word, but what follows its first blank
-    starts with a word. So phrases of several words and texts meet on the first
-    characters after that blank, phrases of one word on their own first
-    characters wherever in a word they stand. What met is verified in the
-    text's own row, once per text; equal texts are one.
+    A phrase may start and end inside a word. Each phrase has one piece it is looked for by
+    (``phrase_anchors``). In a text's own row its pieces go through a filter of the phrases' pieces, and only those that
+    pass leave the row, with the words around them, in which the phrase is then verified. So what is shuffled is a few
+    words a hit and never the text, unless the caller keeps it. Hits on a common piece are dealt over salts.
     """
     phrases = (
         concepts.select(F.col(concept).alias("_concept"), latin_words(concept).alias("_needle"))
@@ -32,22 +56,52 @@ def concept_label(df: DataFrame, text: str, concepts: DataFrame, concept: str, o
         .groupBy("_needle")
         .agg(F.min(F.struct(-F.char_length("_concept"), "_concept")).getField("_concept").alias("_concept"))
     )
-    several = F.contains(F.col("_needle"), F.lit(" "))
-    tail = F.when(several, F.regexp_replace("_needle", "^[^ ]* ", "")).otherwise(F.col("_needle"))
-    keyed = phrases.select("_needle", "_concept", several.alias("_several"), F.left(tail, F.lit(GRAM)).alias("_gram"))
-    sizes = sorted((r[0], r[1]) for r in keyed.select("_several", F.length("_gram")).distinct().collect())  # 24 at most
-    if not sizes:
+    keyed = phrase_anchors(phrases)
+    slot = lambda g, slots: F.pmod(F.xxhash64(g), F.lit(slots)).cast("int")
+    # 32 rows at most: what pieces there are, how far a phrase reaches around its piece, and the filter's bits
+    bits = keyed.withColumn("_slot", slot(F.col("_gram"), FILTER_SLOTS) + 1).groupBy(F.bitmap_bucket_number("_slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("bits"), F.count("*").alias("n"),
+        F.collect_set(F.struct(F.col("_words") > 1, F.length("_gram"))).alias("kinds"), F.max("_before").alias("before"),
+        F.max(F.col("_words") - F.col("_before")).alias("after"), F.max(F.when(F.col("_words") == 1, F.length("_needle"))).alias("single"),
+    ).collect()
+    if not bits:
         return df.withColumn(out, F.lit(""))
-    # a look-ahead yields overlapping pieces in one scan of the text
-    start = {True: "(?<= )", False: ""}
-    hay = df.withColumn("_hay", latin_words(text)).withColumn("_text", F.md5(F.col("_hay").cast("binary")))
-    pieces = F.flatten(F.array(*[F.regexp_extract_all("_hay", F.lit(f"{start[many]}(?=(.{{{q}}}))"), F.lit(1)) for many, q in sizes]))
-    grams = hay.select("_text", F.explode(F.array_distinct(pieces)).alias("_gram"))
-    found = grams.join(keyed.select("_gram", F.struct((-F.char_length("_concept")).alias("n"), F.col("_concept").alias("name"), F.col("_needle").alias("needle")).alias("_phrase")), "_gram")
-    met = found.groupBy("_text").agg(F.collect_set("_phrase").alias("_met"))
-    inside = F.filter("_met", lambda p: F.contains(F.col("_hay"), p["needle"]))
-    best = F.array_min(F.transform(inside, lambda p: F.struct(p["n"], p["name"]))).getField("name")
-    return hay.join(met, "_text", "left").withColumn(out, F.coalesce(best, F.lit(""))).drop("_hay", "_text", "_met")
+    slots = 1 << 10
+    while slots < FILTER_SLOTS and slots < 16 * sum(b["n"] for b in bits):
+        slots *= 2
+    marks = np.zeros(FILTER_SLOTS, np.uint8)
+    for b in bits:
+        at = (b["bucket"] - 1) * 32_768
+        marks[at : at + 32_768] = np.unpackbits(np.frombuffer(b["bits"], np.uint8), bitorder="little")
+    passing = F.lit(marks.reshape(-1, slots).max(0).tobytes())
+    sizes = sorted({tuple(kind) for b in bits for kind in b["kinds"]})  # 24 at most
+    before, after, single = (max(b[c] or 0 for b in bits) for c in ("before", "after", "single"))
+
+    def hits(hay: Column, words: Column) -> Column:
+        found = []
+        for many, size in sizes:
+            # a look-ahead yields overlapping pieces in one scan; the i-th starts at the i-th place (word but the first) of the text
+            pieces = F.regexp_extract_all(hay, F.lit(f"{'(?<= )' if many else ''}(?=(.{{{size}}}))"), F.lit(1))
+            placed = F.transform(pieces, lambda g, i: F.struct(g.alias("g"), i.cast("int").alias("i")))
+            passed = F.filter(placed, lambda p: F.substr(passing, slot(p["g"], slots) + 1, F.lit(1)) == F.lit(b"\x01"))
+            if many:
+                around = lambda i: F.array_join(F.slice(words, F.greatest(F.lit(1), i + 2 - before), F.lit(before + after)), " ")
+            else:
+                around = lambda i: F.substr(hay, i + 1, F.lit(single))
+            found.append(F.transform(passed, lambda p: F.struct(p["g"].alias("g"), around(p["i"]).alias("around"))))
+        return F.flatten(F.array(*found))  # array_distinct of structs compares all pairs
+
+    keyed_text = F.md5(F.col(text).cast("binary"))
+    # exploded as an expression: a filter on a column of hits would find them anew
+    found = let(latin_words(text), lambda hay: let(F.split(hay, " "), lambda words: hits(hay, words)))
+    met = df.select(keyed_text.alias("_text"), F.explode(found).alias("h"))
+    met = met.select("_text", F.col("h.g").alias("_gram"), F.col("h.around").alias("_around"))
+    met = met.withColumn("_salt", F.pmod(F.xxhash64("_text"), F.lit(PIECE_SALTS)).cast("int"))
+    dealt = keyed.select("_gram", "_needle", "_concept", F.explode(F.sequence(F.lit(0), F.lit(PIECE_SALTS - 1))).alias("_salt"))
+    inside = met.join(dealt, ["_gram", "_salt"]).where(F.contains("_around", "_needle"))
+    best = inside.groupBy("_text").agg(F.min(F.struct(-F.char_length("_concept"), "_concept")).getField("_concept").alias("_best"))
+    keyed_df = df.withColumn("_text", keyed_text)
+    return keyed_df.join(best, "_text", "left").withColumn(out, F.coalesce("_best", F.lit(""))).drop("_text", "_best")
 
 
 def normal_title(df: DataFrame, title: str, out: str) -> DataFrame:

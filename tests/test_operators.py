@@ -28,6 +28,16 @@ def test_concept_label(spark):
     assert got == {1: "Kingdom of Kush", 2: "Kush", 3: "", 4: "Nok", 5: "A long phrase about trade routes", 6: ""}
 
 
+def test_concept_label_of_long_texts(spark):
+    """Phrases that share their piece, at both ends of long texts and in parts of words."""
+    concepts = spark.createDataFrame([("old archaeological finds",), ("gold archaeological finds of kush",), ("finds",)], "c string")
+    filler = "word " * 20_000
+    texts = {1: f"marigold archaeological finds of kushites {filler}", 2: f"{filler} old archaeological findsome", 3: filler, 4: None, 5: f"{filler}finds"}
+    df = spark.createDataFrame(list(texts.items()), "id int, t string").repartition(3)
+    want = {1: "gold archaeological finds of kush", 2: "old archaeological finds", 3: "", 4: "", 5: "finds"}
+    assert {r["id"]: r["concept"] for r in M.concept_label(df, "t", concepts, "c").collect()} == want
+
+
 def test_concept_label_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     words = docs.select(F.explode(F.slice(F.split("text", r"\s+"), 3, 4)).alias("c")).where("length(c) > 3").distinct()
