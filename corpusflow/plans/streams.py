@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions.urls import normalise_url
 from corpusflow.plans.activity import _STREAKS
 from corpusflow.plans.common import ORACLES, SQL_NAMED_PAGES, query, sql_url_key, sql_words, table
 from corpusflow.plans.discovery import _KEYS, _expected, landed_everywhere
-from corpusflow.session import scratch_dir
+from corpusflow.session import materialise, scratch_dir
 from corpusflow.streaming import collect as C
 from corpusflow.streaming import limits as L
 
@@ -92,3 +93,51 @@ def stream_harvest(spark, sf_dir):
     stream = C.read_landing(spark, f"{folder}/landing", files_per_batch=1)
     C.harvest_stream(stream, f"{folder}/ledger", f"{folder}/checkpoint").awaitTermination()
     return C.ledger(spark, f"{folder}/ledger").select("url_key")
+
+
+@query(
+    "walk_resume",
+    """
+    WITH a AS (SELECT 'repo' || CAST(page_id % 8 AS VARCHAR) AS source, row_number() OVER (PARTITION BY page_id % 8 ORDER BY page_id) AS seq FROM pages),
+    k AS (SELECT *, CASE WHEN seq % 7 = 0 THEN 'error' WHEN seq % 5 = 0 THEN 'unreadable' WHEN seq % 11 = 0 THEN 'last' ELSE 'page' END AS kind FROM a),
+    c AS (SELECT *, CASE kind WHEN 'page' THEN 't' || CAST(seq AS VARCHAR) WHEN 'unreadable' THEN NULL ELSE '' END AS code FROM k),
+    w AS (SELECT *, coalesce(last_value(code IGNORE NULLS) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS cursor FROM c)
+    SELECT source, seq, CASE WHEN kind = 'page' THEN 'taken' WHEN kind = 'last' THEN 'finished' WHEN kind = 'error' AND cursor <> '' THEN 'restarted' ELSE 'failed' END AS status,
+           CASE WHEN kind = 'page' THEN code WHEN kind = 'unreadable' THEN nullif(cursor, '') END AS token FROM w
+    UNION ALL SELECT source, seq, 'stale', NULL FROM w WHERE seq % 4 = 0""",
+)
+def walk_resume(spark, sf_dir):
+    """Walks through eight repositories, stopped half-way and taken up again; tokens expire, answers break, and some come twice."""
+    in_order = Window.partitionBy("source").orderBy("seq")
+    source = F.concat(F.lit("repo"), F.col("page_id") % 8)
+    answers = table(spark, sf_dir, "pages").select(source.alias("source"), F.col("page_id")).withColumn("seq", F.row_number().over(Window.partitionBy("source").orderBy("page_id")).cast("long"))
+    n = F.col("seq")
+    kind = F.when(n % 7 == 0, "error").when(n % 5 == 0, "unreadable").when(n % 11 == 0, "last").otherwise("page")
+    token = F.concat(F.lit("t"), n)
+    code = F.when(kind == "page", token).when(kind != "unreadable", F.lit(""))
+    asked = F.last(code, ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    answer = F.concat(
+        F.lit("<OAI-PMH><ListRecords><record><header><identifier>oai:1</identifier></header></record><resumptionToken>"),
+        F.when(kind == "page", token).otherwise(""), F.lit("</resumptionToken></ListRecords></OAI-PMH>"),
+    )
+    payload = F.when(kind == "error", '<OAI-PMH><error code="badResumptionToken">gone</error></OAI-PMH>').when(kind == "unreadable", "<html>").otherwise(answer)
+    quarter = F.floor(n * 4 / (F.count("*").over(Window.partitionBy("source")) + 1))
+    landed = materialise(answers.select("source", "seq", F.nullif(asked, F.lit("")).alias("asked"), payload.alias("payload"), quarter.alias("quarter")), "walks")
+    folder = scratch_dir(spark, "walks")
+    L.prepare_state_store(spark)
+
+    def deliver(rows):
+        # a source's answers of a delivery are in one file
+        rows.drop("quarter").repartition(2, "source").write.mode("append").parquet(f"{folder}/landing")
+
+    def go_on():
+        stream = spark.readStream.schema("source string, seq long, asked string, payload string").option("maxFilesPerTrigger", 4).parquet(f"{folder}/landing")
+        return C.run_to_table(C.walk_stream(stream).select("source", "seq", "status", "token"), f"{folder}/out", f"{folder}/checkpoint")
+
+    for part in range(2):
+        deliver(landed.where(F.col("quarter") == part))
+    go_on()
+    for part in range(2, 4):
+        deliver(landed.where(F.col("quarter") == part))
+    deliver(landed.where(F.col("seq") % 4 == 0))
+    return go_on()

@@ -16,7 +16,7 @@ from corpusflow.functions.titles import clean_title
 from corpusflow.functions.urls import is_open_access, normalise_url, source_domain
 from corpusflow.operators.windows import first_wins
 from corpusflow.session import materialise
-from corpusflow.sources.catalogues import harvest, strict_filter
+from corpusflow.sources.catalogues import harvest, oai_outcome, strict_filter
 from corpusflow.sources.corpus import snapshot_diff
 from corpusflow.sources.ledger import validate_rows
 from corpusflow.sources.store import KeyedStore
@@ -179,6 +179,58 @@ def harvest_stream(pages: DataFrame, path: str, checkpoint: str, strict: bool =
     return writer.start()
 
 
+WALK = "source string, seq long, status string, token string, payload string"
+
+
+class _Cursor(StatefulProcessor):
+    """Where the walk through one source goes on."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        # the number of the last answer seen, and the token to go on with ('': from the start)
+        self.cursor = handle.getValueState("cursor", "seq long, token string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, token = self.cursor.get() if self.cursor.exists() else (None, "")
+        # a walk has one answer after another, so a batch holds few of a source, however many it has in all
+        answers = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        out = []
+        for seq, asked, offered, reason, payload in answers[["seq", "asked", "offered", "reason", "payload"]].itertuples(index=False):
+            if (last is not None and seq <= last) or asked != token:
+                out.append((key[0], seq, "stale", None, None))
+                continue
+            last = seq
+            if reason == "unreadable" or (reason.startswith("error") and not token):
+                out.append((key[0], seq, "failed", token or None, None))
+            elif reason.startswith("error"):
+                token = ""
+                out.append((key[0], seq, "restarted", None, None))
+            else:
+                token = offered
+                out.append((key[0], seq, "taken" if token else "finished", token or None, payload))
+        if last is not None:
+            self.cursor.update((int(last), token))
+        yield pd.DataFrame(out, columns=["source", "seq", "status", "token", "payload"])
+
+    def close(self) -> None:
+        pass
+
+
+def walk_stream(answers: DataFrame) -> DataFrame:
+    """Landed answers ``(source, seq, asked, payload)`` of walked repositories -> ``(source, seq, status, token, payload)``.
+
+    The cursor of a source is keyed state: the token its walk goes on with. An answer counts if it is newer than the last
+    one and answers that token (``asked``, null for a walk from the start); others are ``stale``, as after a delivery that comes
+    twice. One that counts is ``taken``, ``finished`` (no further token: the next walk starts anew), ``restarted`` (an error to a
+    token: this source alone begins again) or ``failed`` (unreadable, or an error at the start: asked again). Only answers
+    that are taken or finish a walk keep their payload, for ``oai_pmh``. A restarted query goes on where each source stopped.
+    Answers without source or number are left out.
+    """
+    read = oai_outcome(answers.where("source IS NOT NULL AND seq IS NOT NULL"))
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    rows = read.withColumnRenamed("token", "offered").select("source", F.col("seq").cast("long").alias("seq"), blank("asked"), blank("offered"), blank("reason"), "payload")
+    return rows.groupBy("source").transformWithStateInPandas(statefulProcessor=_Cursor(), outputStructType=WALK, outputMode="append", timeMode="None")
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run a stream over everything available, then read what it wrote."""
     query = (

@@ -154,6 +154,28 @@ def test_harvest_resumes_and_deduplicates(spark, tmp_path):
     assert collect(spark, landing, ledger, cp).keys() == second.keys()
 
 
+def test_walks_go_on_after_a_stop_and_restart_alone(spark, tmp_path):
+    """Two sources in three deliveries, the query stopped after each; an expired token sends one source back, not the other."""
+    L.prepare_state_store(spark)
+    schema = "source string, seq long, asked string, payload string"
+    answer = lambda token: f"<OAI-PMH><ListRecords><record><header/></record><resumptionToken>{token}</resumptionToken></ListRecords></OAI-PMH>"
+    error = '<OAI-PMH><error code="badResumptionToken">gone</error></OAI-PMH>'
+    deliveries = [
+        [("a", 2, "a1", answer("a2")), ("a", 1, None, answer("a1")), ("b", 1, None, error), ("b", 2, None, answer("b2")), (None, 1, None, error)],
+        [("a", 2, "a1", answer("a2")), ("a", 3, "a2", error), ("b", 3, "b2", "<html>"), ("b", 4, "b2", answer("b4"))],
+        [("a", 4, "a2", answer("x")), ("a", 5, None, answer("a5")), ("b", 5, "b4", answer("")), ("b", 6, None, answer("b6")), ("b", None, "b6", error)],
+    ]
+    for rows in deliveries:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "landing"))
+        out = run(C.walk_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "landing"))), tmp_path)
+    got = sorted((r["source"], r["seq"], r["status"], r["token"], r["payload"] is not None) for r in out.collect())
+    assert got == sorted([
+        ("a", 1, "taken", "a1", True), ("a", 2, "taken", "a2", True), ("a", 2, "stale", None, False), ("a", 3, "restarted", None, False),
+        ("a", 4, "stale", None, False), ("a", 5, "taken", "a5", True), ("b", 1, "failed", None, False), ("b", 2, "taken", "b2", True),
+        ("b", 3, "failed", "b2", False), ("b", 4, "taken", "b4", True), ("b", 5, "finished", None, True), ("b", 6, "taken", "b6", True),
+    ])
+
+
 def test_replayed_batch_is_written_once(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
     batch = C.ledger_candidates(spark.createDataFrame([page(("Nok art", "https://a.org/1", "A B"))], C.LANDING_SCHEMA))
