@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions.urls import normalise_url
 from corpusflow.plans.activity import _STREAKS
 from corpusflow.plans.common import ORACLES, SQL_NAMED_PAGES, query, sql_url_key, sql_words, table
-from corpusflow.plans.discovery import _KEYS, _expected, landed_everywhere
+from corpusflow.plans.discovery import _EXPECTED, _KEYS, _expected, landed, landed_everywhere
 from corpusflow.session import materialise, scratch_dir
 from corpusflow.streaming import collect as C
 from corpusflow.streaming import limits as L
@@ -141,3 +141,30 @@ def walk_resume(spark, sf_dir):
         deliver(landed.where(F.col("quarter") == part))
     deliver(landed.where(F.col("seq") % 4 == 0))
     return go_on()
+
+
+@query(
+    "harvest_redirects",
+    rf"""
+    WITH {SQL_NAMED_PAGES},
+    r AS (SELECT page_id % 3 AS batch, lang, title, {_EXPECTED["hal"][0]} AS u FROM np),
+    s AS (SELECT {sql_url_key('u')} AS k, min(batch) AS batch FROM r
+          WHERE contains({sql_words('title')}, {sql_words('lang')}) AND length(u) BETWEEN 8 AND 2000 GROUP BY 1),
+    f AS (SELECT *, {sql_url_key("CASE WHEN length(k) % 2 = 1 THEN regexp_replace(k, '^(https?://[^/]*).*$', '" + chr(92) + "1') ELSE k END")} AS fk FROM s),
+    w AS (SELECT *, row_number() OVER (PARTITION BY fk ORDER BY batch, CASE WHEN fk = k THEN 0 ELSE 1 END, k) AS place FROM f)
+    SELECT k AS url_key, fk AS final_key FROM w WHERE place = 1""",
+)
+def harvest_redirects(spark, sf_dir):
+    """Answers of a catalogue in three batches; addresses of odd length redirect to their site, which one of them may claim."""
+    folder = scratch_dir(spark, "redirects")
+    answers = materialise(landed(spark, sf_dir, "hal"), "answers")
+    for part in range(3):
+        delivery = answers.where(F.col("page_id") % 3 == part).select("source", "concept", "payload")
+        delivery.coalesce(1).write.mode("append").parquet(f"{folder}/landing")
+    final = F.when(F.length("url_key") % 2 == 1, F.regexp_extract("url_key", "^(https?://[^/]*)", 1)).otherwise(F.col("url_key"))
+    probed = materialise(C.ledger_candidates(answers).select("url_key").distinct().withColumn("final_url", final), "probes")
+    stream = C.read_landing(spark, f"{folder}/landing", files_per_batch=1)
+    C.harvest_stream(stream, f"{folder}/ledger", f"{folder}/checkpoint", redirects=lambda: probed).awaitTermination()
+    moved = normalise_url("hyperlink") != F.col("url_key")
+    to_site = (F.length("url_key") % 2 == 1) & moved
+    return C.ledger(spark, f"{folder}/ledger").select("url_key", F.when(to_site, normalise_url("hyperlink")).otherwise(F.col("url_key")).alias("final_key"))

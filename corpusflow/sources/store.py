@@ -89,6 +89,11 @@ class KeyedStore:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*folders)
 
+    def written(self, commit: int) -> DataFrame:
+        """The rows of the parts that the write of this number made, which may hold older rows of full buckets."""
+        folders = [f"{self.path}/data/version={part}/bucket={b}" for b, part, rows, c in self.parts() if rows and c == commit]
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
+
     def _write(self, rows: DataFrame, replaced: Sequence[int], commit: int | None) -> None:
         """A new version: ``rows`` in parts of their own, in place of the ``replaced`` buckets' parts."""
         number, old = self.version() + 1, self.parts()

@@ -14,9 +14,10 @@ from corpusflow.functions.names import clean_name, format_authors, is_plausible_
 from corpusflow.functions.text import is_relevant, phrase_in_text
 from corpusflow.functions.titles import clean_title
 from corpusflow.functions.urls import is_open_access, normalise_url, source_domain
+from corpusflow.operators.joins import claim_redirects
 from corpusflow.operators.windows import first_wins
 from corpusflow.session import materialise
-from corpusflow.sources.catalogues import harvest, oai_outcome, strict_filter
+from corpusflow.sources.catalogues import MAPPERS, harvest, oai_outcome, oai_pmh, strict_filter
 from corpusflow.sources.corpus import snapshot_diff
 from corpusflow.sources.ledger import validate_rows
 from corpusflow.sources.store import KeyedStore
@@ -48,13 +49,18 @@ def new_url_stream(hits: DataFrame, ledger_keys: DataFrame, url: str, ts: str, h
     return keyed.withWatermark(ts, horizon).join(known, "url_key", "left_anti").dropDuplicatesWithinWatermark(["url_key"])
 
 
-def ledger_candidates(pages: DataFrame, strict: bool = True) -> DataFrame:
+def ledger_candidates(pages: DataFrame, strict: bool = True, label: Callable[[DataFrame, str, str], DataFrame] | None = None) -> DataFrame:
     """Landed pages -> valid ledger rows keyed by canonical address.
 
+    With ``label(df, text, out)``, pages of sources that are no searched catalogue are answers of walked repositories.
+
     Records of catalogues that rank by relevance can drift off topic, so their
     title must carry the concept, or title and address most of its words.
     """
-    records = strict_filter(harvest(pages), strict).withColumns(
+    records = harvest(pages)
+    if label is not None:
+        records = records.unionByName(oai_pmh(pages.where(~F.col("source").isin(*MAPPERS)), label))
+    records = strict_filter(records, strict).withColumns(
         {"url_key": normalise_url("url"), "clean": clean_title("title", "url")}
     )
     on_topic = phrase_in_text("concept", "clean") | is_relevant("concept", F.col("clean"), F.col("url"))
@@ -84,16 +90,42 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
     return ledger_store(spark, path).read()
 
 
-def append_batch(path: str) -> Callable[[DataFrame, int], None]:
+def claims_store(spark: SparkSession, path: str) -> KeyedStore:
+    """Final addresses that rows of the ledger were redirected to, beside the ledger at ``path``."""
+    return KeyedStore(spark, f"{path.rstrip('/')}-claims", "url_key", "url_key string")
+
+
+def append_batch(path: str, redirects: Callable[[], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` writer: only rows the ledger lacks, as new parts of the buckets they fall into.
 
-    A batch that is replayed after a failure finds its number written and adds nothing.
+    ``redirects()`` gives the probed addresses ``(url_key, final_url)`` known by now, one row each. A row that was redirected must find its
+    final address unclaimed by rows of this and of all earlier batches, and its hyperlink is that address; a row
+    whose own address an earlier one was redirected to stays out. A batch that is replayed after a failure finds
+    its number written and adds nothing; claims are taken from what was written, so they are made good then.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        store = ledger_store(spark, path)
         order = [F.col("hyperlink"), F.col("title"), F.col("subject")]
         fresh = first_wins(batch, ["url_key"], order).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        ledger_store(batch.sparkSession, path).add(fresh, commit=batch_id)
+        last = store.last_commit()
+        if redirects is None:
+            store.add(fresh, commit=batch_id)
+            return
+        claims = claims_store(spark, path)
+        if last is None or last < batch_id:
+            probed = fresh.join(redirects().select("url_key", "final_url"), "url_key", "left")
+            probed = materialise(claims.missing(store.missing(probed)), "probed")
+            finals = probed.select(normalise_url("final_url").alias("url_key")).where("url_key IS NOT NULL").distinct()
+            finals = materialise(finals, "finals")
+            known = finals.join(claims.missing(store.missing(finals)), "url_key", "left_anti")
+            kept = claim_redirects(probed, known, [F.col("url_key")])
+            moved = F.col("final_key") != F.col("url_key")
+            store.add(kept.withColumn("hyperlink", F.when(moved, F.col("final_url")).otherwise(F.col("hyperlink"))), commit=batch_id)
+        added = store.written(batch_id).where(F.col("batch_id") == batch_id)
+        final = normalise_url("hyperlink")
+        claims.add(added.where(final != F.col("url_key")).select(final.alias("url_key")), commit=batch_id)
 
     return write
 
@@ -161,18 +193,28 @@ def flush_by_rows_or_age(rows: DataFrame, lane: Column, most: int = rules.LEDGER
 
 
 def harvest_stream(pages: DataFrame, path: str, checkpoint: str, strict: bool = True, once: bool = True,
-                   every: str = rules.LEDGER_BATCH_AGE, buffered: bool = False):
+                   every: str = rules.LEDGER_BATCH_AGE, buffered: bool = False,
+                   label: Callable[[DataFrame, str, str], DataFrame] | None = None, redirects: Callable[[], DataFrame] | None = None):
     """Landed pages -> mappers -> filters -> ledger, as one streaming query.
 
+    ``label`` takes answers of walked repositories in too (``ledger_candidates``); a batch is labelled as a whole. ``redirects`` are
+    claimed as by ``append_batch``.
+
     ``buffered`` rows of a source reach the ledger eight at a time, or when the oldest of them is ten minutes old; that
     needs a query that stays (``once=False``) and a short ``every``.
     """
-    rows = ledger_candidates(pages, strict)
+    write = append_batch(path, redirects)
+    if label is not None:
+        if buffered:
+            raise ValueError("walked answers are labelled by batch: buffered goes without label")
+        rows, into = pages, lambda batch, number: write(ledger_candidates(batch, strict, label), number)
+    else:
+        rows, into = ledger_candidates(pages, strict), write
     if buffered:
         if once:
             raise ValueError("ages pass only in a query that stays: buffered needs once=False")
         rows = flush_by_rows_or_age(rows, F.col("source")).drop("flushed")
-    writer = rows.writeStream.foreachBatch(append_batch(path)).option(
+    writer = rows.writeStream.foreachBatch(into).option(
         "checkpointLocation", checkpoint
     )
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)

@@ -154,6 +154,21 @@ def test_harvest_resumes_and_deduplicates(spark, tmp_path):
     assert collect(spark, landing, ledger, cp).keys() == second.keys()
 
 
+def test_redirects_are_claimed_over_batches(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    to = spark.createDataFrame([("https://a.org/1", "https://a.org/x"), ("https://a.org/2", "https://a.org/x/"), ("https://a.org/4", "https://a.org/3"),
+                                ("https://a.org/5", None)], "url_key string, final_url string")
+    write = C.append_batch(ledger, lambda: to)
+    batch = lambda *urls: C.ledger_candidates(spark.createDataFrame([page(*[("Nok art", u, "A B") for u in urls])], C.LANDING_SCHEMA))
+    write(batch("https://a.org/1"), 0)
+    # a.org/x is claimed by what moved there; a.org/3 is an address of this batch
+    for _ in range(2):
+        write(batch("https://a.org/x", "https://a.org/2", "https://a.org/3", "https://a.org/4", "https://a.org/5"), 1)
+    got = {r["url_key"]: r["hyperlink"] for r in C.ledger(spark, ledger).collect()}
+    assert got == {"https://a.org/1": "https://a.org/x", "https://a.org/3": "https://a.org/3", "https://a.org/5": "https://a.org/5"}
+    assert [r["url_key"] for r in C.claims_store(spark, ledger).read().collect()] == ["https://a.org/x"]
+
+
 def test_walks_go_on_after_a_stop_and_restart_alone(spark, tmp_path):
     """Two sources in three deliveries, the query stopped after each; an expired token sends one source back, not the other."""
     L.prepare_state_store(spark)
