@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators import ordered as O
+from corpusflow.operators.matching import concept_label
 from corpusflow.sources.store import KeyedStore
 from corpusflow.streaming import collect as C
 from corpusflow.streaming import limits as L
@@ -169,6 +170,21 @@ def test_redirects_are_claimed_over_batches(spark, tmp_path):
     assert [r["url_key"] for r in C.claims_store(spark, ledger).read().collect()] == ["https://a.org/x"]
 
 
+def test_walked_answers_join_the_harvest(spark, tmp_path):
+    """Answers of a walked repository are labelled by the concept they mention, beside pages of a searched catalogue."""
+    dc = lambda tag, text: f"<dc:{tag}>{text}</dc:{tag}>"
+    record = lambda title, url: f"<record><header/><metadata><oai_dc:dc>{dc('title', title)}{dc('creator', 'Amina Diallo')}{dc('identifier', url)}</oai_dc:dc></metadata></record>"
+    answer = "<OAI-PMH><ListRecords>" + record("Iron of the Nok", "https://r.org/1") + record("Weather", "https://r.org/2") + "</ListRecords></OAI-PMH>"
+    concepts = spark.createDataFrame([("Nok",)], "c string")
+    landing = str(tmp_path / "landing")
+    land(spark, landing, page(("Nok art", "https://a.org/1", "Hope, Colin")))
+    land(spark, landing, ("repo", None, answer))
+    C.harvest_stream(C.read_landing(spark, landing), str(tmp_path / "ledger"), str(tmp_path / "cp"),
+                     label=lambda df, text, out: concept_label(df, text, concepts, "c", out)).awaitTermination()
+    got = {r["url_key"]: (r["subject"], r["authors"]) for r in C.ledger(spark, str(tmp_path / "ledger")).collect()}
+    assert got == {"https://a.org/1": ("Nok", "Colin Hope"), "https://r.org/1": ("Nok", "Amina Diallo")}
+
+
 def test_walks_go_on_after_a_stop_and_restart_alone(spark, tmp_path):
     """Two sources in three deliveries, the query stopped after each; an expired token sends one source back, not the other."""
     L.prepare_state_store(spark)
