@@ -144,34 +144,52 @@ def source_rest_until(
 
 # --- request windows ---------------------------------------------------------
 
-def _groups(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole groups out of batches that are sorted by ``by``."""
+def _codes(frame: pd.DataFrame, by: list[str]) -> np.ndarray:
+    """Numbers of the groups of a sorted frame; nulls are equal."""
+    return frame.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+
+
+def _row_key(frame: pd.DataFrame, by: list[str], i: int) -> tuple:
+    return tuple(None if pd.isna(v) else v for v in frame[by].iloc[i])
+
+
+def _whole_groups(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of batches that are sorted by ``by`` in frames of whole groups, many to a frame."""
     held: list[pd.DataFrame] = []
     held_key = None
     for frame in frames:
         if frame.empty:
             continue
-        codes = frame.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1), len(frame)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            piece = frame.iloc[lo:hi]
-            key = tuple(None if pd.isna(v) else v for v in piece[by].iloc[0])
-            if held and key != held_key:
-                yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
-                held = []
-            held.append(piece)
-            held_key = key
+        codes = _codes(frame, by)
+        # rows before the frame's last group; with none, the held group may go on
+        cut = int(np.searchsorted(codes, codes[-1], side="left"))
+        if held and (cut or _row_key(frame, by, 0) != held_key):
+            yield pd.concat([*held, frame.iloc[:cut]], ignore_index=True)
+            held = []
+        elif cut:
+            yield frame.iloc[:cut].reset_index(drop=True)
+        held.append(frame.iloc[cut:])
+        held_key = _row_key(frame, by, -1)
     if held:
-        yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        yield pd.concat(held, ignore_index=True)
 
 
-def _window_exits(ts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+def _window_exits(codes: np.ndarray, ts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """For every hit taken as the first of a window: when the last window of
-    the chain that follows ends, and how many hits that window holds."""
+    the chain that follows in its group ends, and how many hits that window holds.
+
+    Hits are sorted by ``codes`` (numbers of the groups) and time.
+    """
     n = len(ts)
-    nxt = np.searchsorted(ts, ts + span, side="left")
-    last = np.arange(n)
-    jump = np.append(nxt, n)
+    rows = np.arange(n)
+    group_end = np.searchsorted(codes, codes, side="right")
+    # where each hit's window ends among the hits: hits and ends sorted together, an end before hits of its time
+    order = np.lexsort((np.repeat([1, 0], n), np.append(ts, ts + span), np.append(codes, codes)))
+    nxt = np.empty(n, dtype=np.int64)
+    is_end = order >= n
+    nxt[order[is_end] - n] = np.cumsum(~is_end)[is_end]
+    last = rows
+    jump = np.append(np.where(nxt < group_end, nxt, n), n)
     while True:
         alive = jump[:-1] < n
         if not alive.any():
@@ -180,7 +198,9 @@ def _window_exits(ts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
         last = np.where(alive, last[np.minimum(jump[:-1], n - 1)], last)
         jump = np.append(jump[jump[:-1]], n)
     # hits at the very moment a window opens are all in it
-    return ts[last] + span, n - np.searchsorted(ts, ts[last], side="left")
+    new = np.append(True, (codes[1:] != codes[:-1]) | (ts[1:] != ts[:-1]))
+    at_once = np.maximum.accumulate(np.where(new, rows, 0))
+    return ts[last] + span, group_end - at_once[last]
 
 
 def count_hits(
@@ -239,31 +259,46 @@ def first_hit_windows(
     ).drop(*[f"_h_{k}" for k in keys])
 
     def step_functions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(frames, part):
-            us = group["_us"].to_numpy()
-            ends, counts = _window_exits(us, span)
-            reach = int(np.searchsorted(us, group[SEGMENT].iloc[0] * width + span, side="left"))
-            m = min(reach, len(us) - 1) + 1
-            keep = np.append(np.diff(ends[:m]) != 0, True)
-            out = pd.DataFrame({"_upper": us[:m][keep], "_end": ends[:m][keep], "_count": counts[:m][keep]})
+        for frame in _whole_groups(frames, part):
+            codes, us = _codes(frame, part), frame["_us"].to_numpy()
+            ends, counts = _window_exits(codes, us, span)
+            # an open window of earlier segments ends within ``span`` of this one's begin: up to the first hit after that
+            limit = frame[SEGMENT].to_numpy() * width + span
+            first = np.append(True, codes[1:] != codes[:-1])
+            reached = first | np.append(True, us[:-1] < limit[1:])
+            more = np.append(~first[1:] & reached[1:], False)
+            keep = reached & ~(more & (np.append(ends[1:], 0) == ends))
+            out = pd.DataFrame({"_upper": us, "_end": ends, "_count": counts})
             for k in part:
-                out[k] = group[k].iloc[0]
-            out["_size"] = len(us)
-            yield out
+                out[k] = frame[k]
+            out["_size"] = np.bincount(codes)[codes]
+            yield out[keep]
 
     def carry_over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(frames, keys):
-            end, count, rows = _NO_WINDOW, 0, []
-            for segment, steps in group.groupby(SEGMENT, sort=True):
-                rows.append((segment, end, count))
-                i = int(np.searchsorted(steps["_upper"].to_numpy(), end, side="left"))
-                if i < len(steps):
-                    end, count = int(steps["_end"].iloc[i]), int(steps["_count"].iloc[i])
-                else:
-                    count += int(steps["_size"].iloc[0])
-            out = pd.DataFrame(rows, columns=[SEGMENT, "_open_end", "_open_count"])
+        last, end, count, segment, rest = None, _NO_WINDOW, 0, None, 0
+        for frame in frames:
+            if frame.empty:
+                continue
+            codes = _codes(frame, keys) if keys else np.zeros(len(frame), dtype=np.int64)
+            fresh = np.append(_row_key(frame, keys, 0) != last, codes[1:] != codes[:-1])
+            columns = [frame[c].tolist() for c in (SEGMENT, "_upper", "_end", "_count", "_size")]
+            at, ends, counts = [], [], []
+            for i, (new, seg, upper, then_end, then_count, size) in enumerate(zip(fresh.tolist(), *columns)):
+                if new:
+                    end, count, segment, rest = _NO_WINDOW, 0, None, 0
+                if seg != segment:
+                    # ``rest``: hits of a segment that are all in the window it was entered with
+                    count += rest
+                    at.append(i)
+                    ends.append(end)
+                    counts.append(count)
+                    segment, rest = seg, size
+                if rest and upper >= end:
+                    end, count, rest = then_end, then_count, 0
+            last = _row_key(frame, keys, -1)
+            out = pd.DataFrame({SEGMENT: frame[SEGMENT].iloc[at].to_numpy(), "_open_end": ends, "_open_count": counts})
             for k in keys:
-                out[k] = group[k].iloc[0]
+                out[k] = frame[k].iloc[at].to_numpy()
             yield out
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -271,14 +306,13 @@ def first_hit_windows(
         for frame in frames:
             if frame.empty:
                 continue
-            codes = frame.groupby(part, sort=False, dropna=False).ngroup().to_numpy()
-            first = tuple(None if pd.isna(v) else v for v in frame[part].iloc[0])
-            starts = np.append(first != last, np.diff(codes) != 0)
+            codes = _codes(frame, part)
+            starts = np.append(_row_key(frame, part, 0) != last, codes[1:] != codes[:-1])
             us = frame["_us"].to_numpy()
             numbers, until, end, count = count_hits(
                 us, starts, frame["_open_end"].to_numpy(), frame["_open_count"].to_numpy(), span, end, count
             )
-            last = tuple(None if pd.isna(v) else v for v in frame[part].iloc[-1])
+            last = _row_key(frame, part, -1)
             yield frame.drop(columns=["_us", SEGMENT, "_open_end", "_open_count"]).assign(
                 hit_no=numbers, _left=np.array(until) - us
             )

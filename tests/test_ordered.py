@@ -4,6 +4,8 @@ of the rows and segments small enough to cut it many times."""
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +230,26 @@ def test_quota_of_a_null_key(spark):
     cut = O.with_segment(df, F.col("n"), 2)
     got = O.quota_admission(cut, "who", [F.col("n")], "size", quota=100, max_item=80).collect()
     assert sorted((str(r["who"]), r["n"]) for r in got if r["outcome"] == "accepted") == [(str(2**60 + 1), 0), ("None", 0)] and len(got) == 6
+
+
+def test_segments_are_summarised_many_at_a_time():
+    """Small groups come in as many frames as they were sent in, and hits of all groups are chained at once."""
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({"user": rng.integers(0, 900, 4_000), "us": rng.integers(0, 400, 4_000)}).sort_values(["user", "us"], ignore_index=True)
+    frame["user"] = frame["user"].where(frame["user"] != 899)
+    batches = [frame.iloc[i : i + 1_000] for i in range(0, 4_000, 1_000)]
+    out = list(O._whole_groups(iter(batches), ["user"]))
+    assert len(out) <= len(batches) + 1 and pd.concat(out, ignore_index=True).equals(frame)
+    assert sum(part["user"].nunique(dropna=False) for part in out) == frame["user"].nunique(dropna=False)
+    one = pd.DataFrame({"user": [1] * 5, "us": range(5)})
+    assert [len(part) for part in O._whole_groups(iter([one[:2], one[2:4], one[4:]]), ["user"])] == [5]
+
+    codes, us = O._codes(frame, ["user"]), frame["us"].to_numpy()
+    ends, counts = O._window_exits(codes, us, 30)
+    for i in range(0, 4_000, 7):
+        rest = us[i:][codes[i:] == codes[i]]
+        opened = rest[0]
+        while (later := rest[rest >= opened + 30]).size:
+            opened = later[0]
+        held = us[codes == codes[i]]
+        assert (ends[i], counts[i]) == (opened + 30, (held >= opened).sum())
