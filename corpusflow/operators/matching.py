@@ -135,9 +135,11 @@ def near_titles(
         folded = df.select(fold(title).alias("folded")).where("folded is not null")
         return folded.select(latin_words("folded").alias("norm"), F.lit(side).alias("side"))
 
+    # few bytes, much work: by number, so that they aren't put into one task
+    tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one pass over both, one row a title; read three times below
     sides = titles(wanted, 1).union(titles(catalogue, 2)).groupBy("norm").agg(F.bit_or("side").alias("side"))
-    sides = materialise(sides.where(F.size(F.split("norm", " ")) >= min_words), "titles")
+    sides = materialise(sides.where(F.size(F.split("norm", " ")) >= min_words).repartition(tasks), "titles")
     left, right = sides.where("side <> 2").select("norm"), sides.where("side <> 1").select("norm")
 
     def length_band(n: Column) -> Column:
@@ -181,12 +183,12 @@ def near_titles(
     shift, longer = F.col("ia") - F.col("ib"), F.col("la") - F.col("lb")
     without = F.floor((1 - min_ratio) * (F.col("la") + F.col("lb")) + 1e-9).cast("int")
     met = (
-        cut.join(windows, ["text", "by_start", "place", "band"])
+        # the planner takes either side to be as small as the titles it is cut from, and would collect its rows in the driver
+        cut.hint("merge").join(windows, ["text", "by_start", "place", "band"])
         .where((F.abs(shift) <= F.col("before")) & (F.abs(longer - shift) <= F.col("after")) & (F.abs(shift) + F.abs(longer - shift) <= without))
         .where((F.col("a") != F.col("b")) & (F.call_function("levenshtein", F.col("a"), F.col("b"), without) >= 0))
         .select("a", "b")
-        # few bytes, much work: by number, so that they aren't put into one task
-        .repartition(int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+        .repartition(tasks, "a", "b")
         .distinct()
     )
     scored = met.withColumn("similarity", ratcliff_ratio(F.col("a"), F.col("b"), min_ratio)).where(F.col("similarity") >= min_ratio)

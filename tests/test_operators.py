@@ -84,6 +84,13 @@ def test_near_titles_lose_nothing_for_want_of_a_common_word(spark):
     assert [(r["norm"], r["match"]) for r in M.near_titles(frame(one), frame(other)).collect()] == [(one, other)]
 
 
+def test_near_titles_are_not_collected_to_meet(spark):
+    """Segments and windows of titles are many times the titles, which the planner doesn't know."""
+    df = spark.range(50).select(F.concat(F.lit("the kingdom of kush number "), F.md5(F.col("id").cast("string"))).alias("title"))
+    plan = M.near_titles(df, df.select(F.replace("title", F.lit("kush"), F.lit("cush")).alias("title")))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize(("least", "min_words"), [(0.9, 4), (0.8, 1), (0.6, 2)])
 def test_near_titles_are_all_pairs_at_the_ratio(spark, least, min_words):
     rng = random.Random(11)
