@@ -82,6 +82,27 @@ def test_idle_streaks_are_forgotten(spark, tmp_path):
     assert sorted((r["id"], r["streak"]) for r in live) == [(1, 1), (2, 2), (3, 1), (4, 2), (5, 0)] and left == 0
 
 
+def test_waiting_keys_share_their_state(spark, tmp_path):
+    """Thousands of keys wait in few entries of the state store, and come out as the batch form has them."""
+    n = 4_000
+    key = F.when(F.col("id") % 5 == 0, F.lit(None)).when(F.col("id") % 5 == 1, F.lit(0.0) * F.when(F.col("id") % 2 == 0, -1).otherwise(1)).otherwise(F.col("id") % 3_000 + 0.5)
+    hits = spark.range(n).select("id", key.alias("user"), F.timestamp_micros(F.col("id") * 1_500_000 + 10**15).alias("ts"), (F.col("id") % 3 != 0).alias("failed"))
+    hits.coalesce(1).write.parquet(str(tmp_path / "in"))
+    L.prepare_state_store(spark)
+    stream = lambda: spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    limit = lambda: L.rate_limit_stream(stream(), ["user"], "ts", "id", limit=2, window_seconds=600, late="3 hours")
+    live, _, left = run_out(spark, limit(), tmp_path / "limit")
+    assert not live and 0 < left < n / 4
+    L.end_marker(spark, hits.schema, "ts", F.timestamp_seconds(F.lit(2 * 10**9))).write.mode("append").parquet(str(tmp_path / "in"))
+    # the stopped query goes on from its state
+    live, _, left = run_out(spark, limit(), tmp_path / "limit")
+    want = O.first_hit_windows(hits, ["user"], "ts", "id", limit=2, window_seconds=600).select(*live[0].asDict())
+    assert sorted(map(str, live)) == sorted(map(str, want.collect())) and len(live) == n and left == 0
+    live, _, _ = run_out(spark, L.streak_stream(stream(), ["user"], "ts", "id", F.col("failed"), late="3 hours").select("id", "streak"), tmp_path / "streak")
+    want = O.failure_streak(O.with_segment(hits, O.seconds(F.col("ts")), 1_000), ["user"], [F.col("ts"), F.col("id")], F.col("failed")).select("id", "streak")
+    assert sorted(map(tuple, live)) == sorted(map(tuple, want.collect()))
+
+
 def test_clock_windows_are_complete(spark, log, tmp_path):
     batch, stream = log
     out = run(L.clock_windows(stream(), ["user"], "ts", 60, "5 minutes").select("user", "window", "hits"), tmp_path).collect()
@@ -207,6 +228,24 @@ def test_walks_go_on_after_a_stop_and_restart_alone(spark, tmp_path):
     ])
 
 
+def test_a_batch_is_mapped_once(spark, tmp_path):
+    """The store asks for a batch's rows several times; their mapping is not run anew for it, nor for a replay."""
+    mapped = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def title(n):
+        mapped.add(1)
+        return f"title {n}"
+
+    write = C.append_batch(str(tmp_path / "ledger"))
+    for batch_id in (0, 1, 1):
+        url = F.concat(F.lit("http://a.org/"), F.col("id") + 5 * batch_id)
+        rows = spark.range(20).select(url.alias("url_key"), F.lit("s").alias("subject"), F.lit("a.org").alias("source"), url.alias("hyperlink"), title("id").alias("title"),
+                                      F.lit("A").alias("authors"), F.lit(True).alias("open_source"), F.lit("").alias("verdict"), F.lit(False).alias("downloaded"))
+        write(rows, batch_id)
+    assert C.ledger(spark, str(tmp_path / "ledger")).count() == 25 and mapped.value == 40
+
+
 def test_replayed_batch_is_written_once(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
     batch = C.ledger_candidates(spark.createDataFrame([page(("Nok art", "https://a.org/1", "A B"))], C.LANDING_SCHEMA))
