@@ -320,7 +320,8 @@ def first_hit_windows(
     def sorted_by(frame: DataFrame, by: list[str], *order: str) -> DataFrame:
         return frame.repartition(*by).sortWithinPartitions(*by, *order)
 
-    steps = sorted_by(hits.where("_hot").select(*part, "_us"), part, "_us").mapInPandas(
+    # hits without a time are in no window that goes on
+    steps = sorted_by(hits.where("_hot AND _us IS NOT NULL").select(*part, "_us"), part, "_us").mapInPandas(
         step_functions, f"_upper long, _end long, _count long, {key_fields}, {SEGMENT} long, _size long"
     )
     entries = sorted_by(steps, keys, SEGMENT, "_upper").mapInPandas(

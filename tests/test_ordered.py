@@ -253,3 +253,10 @@ def test_segments_are_summarised_many_at_a_time():
             opened = later[0]
         held = us[codes == codes[i]]
         assert (ends[i], counts[i]) == (opened + 30, (held >= opened).sum())
+
+
+def test_hits_without_a_time_are_decided_in_segments_too(spark):
+    rows = [(i, "u", None if i % 4 == 0 else START + timedelta(seconds=i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, user string, ts timestamp")
+    cut, whole = (O.first_hit_windows(df, ["user"], "ts", "id", limit=2, window_seconds=5, segment_seconds=2, hot_rows=hot).select("id", "hit_no", "allowed") for hot in (1, 100))
+    assert sorted(cut.collect()) == sorted(whole.collect()) and cut.count() == 20
