@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 from corpusflow.session import prepare as prepare_session
 from corpusflow.session import scratch_dir
 
-#: Rows handed to a Python task at once; texts may be long, so few of them.
-BATCH_ROWS = "512"
+#: Rows handed to a Python task at once; texts may be long, so few of them, and of few bytes (but for single rows).
+BATCH_ROWS, BATCH_BYTES = "512", "4m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of the library, with Arrow batches small enough for whole texts."""
     spark = prepare_session(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 

@@ -3,8 +3,10 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -360,6 +362,21 @@ def test_secrets_edge_cases(llm_spark, edge, nothing):
     assert clean == ["é [assign] 日", "[assign]' end", None, "", "[private_key]x[private_key]x"]
 
 
+def test_long_texts_come_in_batches_of_few_bytes(llm_spark):
+    @F.arrow_udf("long")
+    def held(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([batch.nbytes] * len(batch), pa.int64())
+
+    text = F.concat(F.expr("repeat('lorem ', 50000)"), F.col("id").cast("string"), F.lit(" token=abcdef12"))
+    frame = llm_spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    got = frame.select("doc_id", held("text").alias("held"), secrets.secret_spans(F.col("text")).alias("spans")).collect()
+    assert max(r["held"] for r in got) < 5 << 20
+    start = lambda doc_id: 300_000 + len(str(doc_id)) + 1
+    assert {(r["doc_id"], tuple(map(tuple, r["spans"]))) for r in got} == {(i, (("assign", start(i), start(i) + 14),)) for i in range(40)}
+    assert len(got) == 40
+
+
 def test_private_keys_go_whole(llm_spark):
     head, end, line = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "MIIEpAIBAAKCAQEA" * 4
     cases = {
