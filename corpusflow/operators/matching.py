@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from math import log
-
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +12,7 @@ from corpusflow import rules
 from corpusflow.functions.arrow import fold, ratcliff_ratio
 from corpusflow.functions.basic import let
 from corpusflow.functions.text import latin_words
+from corpusflow.operators.title_keys import Filter, Keys, by_length, gathered, sketch, slots
 from corpusflow.session import materialise
 
 #: Characters of a phrase that bring texts and phrases together.
@@ -20,6 +21,8 @@ GRAM = 12
 FILTER_SLOTS = 1 << 20
 #: Shares of a common piece's hits; each has all phrases of the piece.
 PIECE_SALTS = 16
+#: The filter of title segments has at most two to this power bits (64 MB); more segments let more windows through.
+SEGMENT_BITS = 29
 
 
 def phrase_anchors(phrases: DataFrame) -> DataFrame:
@@ -109,6 +112,44 @@ def normal_title(df: DataFrame, title: str, out: str) -> DataFrame:
     return df.withColumn("_folded", fold(title)).withColumn(out, latin_words("_folded")).drop("_folded")
 
 
+def segment_filter(titles: DataFrame, keys: Keys, expected: int) -> np.ndarray:
+    """Bits of a filter of the whole segments of titles (``norm``): sixteen a key, up to ``SEGMENT_BITS``."""
+    size = min(SEGMENT_BITS, max(15, (16 * expected).bit_length()))
+
+    def places(batches):
+        for batch in batches:
+            for _, text in by_length(batch["norm"].to_numpy(zero_copy_only=False)):
+                found = [key for _, key in keys.of_cut(text, less=False)]
+                if found:
+                    yield pa.record_batch({"slot": np.unique(slots(np.concatenate(found), size))})
+
+    marked = titles.select("norm").mapInArrow(places, "slot long").withColumn("slot", F.col("slot") + 1)
+    parts = marked.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    bits = np.zeros(1 << size >> 3, np.uint8)
+    for part in parts.collect():  # at most 64 MB
+        at = (part["bucket"] - 1) * 4096
+        bits[at : at + 4096] = np.frombuffer(part["bits"], np.uint8)
+    return bits
+
+
+def keyed_titles(titles: DataFrame, keys: Keys, whole: Broadcast | None = None) -> DataFrame:
+    """``key``, ``id``, ``n`` (characters) and ``sketch`` of titles (``id``, ``norm``) that are cut or, with bits of a
+    filter of whole segments, that segments are looked for in."""
+
+    def keyed(batches):
+        passing = None if whole is None else Filter(whole.value)
+        for batch in batches:
+            ids = batch["id"].to_numpy()
+            for rows, text in by_length(batch["norm"].to_numpy(zero_copy_only=False)):
+                own, sketches = ids[rows], sketch(text)
+                for column, key in gathered(keys.of_cut(text) if passing is None else keys.of_sought(text, passing)):
+                    yield pa.record_batch({
+                        "key": key.view(np.int64), "id": own[column], "n": np.full(len(key), len(text), np.int32), "sketch": sketches[column],
+                    })
+
+    return titles.select("id", "norm").mapInArrow(keyed, "key long, id long, n int, sketch long")
+
+
 def near_titles(
     wanted: DataFrame,
     catalogue: DataFrame,
@@ -119,16 +160,13 @@ def near_titles(
     """Pairs of distinct normalised titles ``(norm, match, similarity)`` with a
     Ratcliff–Obershelp ratio of at least ``min_ratio``.
 
-    No such pair is lost. Equal titles meet as they are. Of two others at most ``u`` characters are without
-    a partner, so of ``u + 1`` segments of the one at least one stands whole in the other. One of those, the
-    i-th, has at most i such characters before it and at most ``u - i`` after it (else either side's
-    segments would be outnumbered), so it is looked for near its own place, counted from the nearer end. Bands of
-    lengths and of places are part of the join key. What meets has an edit distance of at most ``u``, which the
-    JVM decides, before the ratio is computed. Copies of a title are one title here, so a crowd of copies
-    costs nothing; join back on the normalised title.
+    No such pair is lost. Equal titles meet as they are. Two others meet on a segment of the one that stands in the
+    other with a character too many or too few at most, near its own place (``title_keys``). Windows of the other, less a
+    character, are many, and only those that pass a filter of the segments leave their task. What meets has like
+    counts of characters and an edit distance of at most ``u``, which the JVM decides, before the ratio is computed.
+    Copies of a title are one title here, so a crowd of copies costs nothing; join back on the normalised title.
     """
-    reach = (2 - min_ratio) / min_ratio  # the longer length over the shorter one is at most that
-    place_band = 4
+    spark = wanted.sparkSession
 
     def titles(df: DataFrame, side: int) -> DataFrame:
         # a filter on the title itself would compute it twice
@@ -136,61 +174,37 @@ def near_titles(
         return folded.select(latin_words("folded").alias("norm"), F.lit(side).alias("side"))
 
     # few bytes, much work: by number, so that they aren't put into one task
-    tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # one pass over both, one row a title; read three times below
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # one pass over both, one row a title; read several times below
     sides = titles(wanted, 1).union(titles(catalogue, 2)).groupBy("norm").agg(F.bit_or("side").alias("side"))
-    sides = materialise(sides.where(F.size(F.split("norm", " ")) >= min_words).repartition(tasks), "titles")
-    left, right = sides.where("side <> 2").select("norm"), sides.where("side <> 1").select("norm")
-
-    def length_band(n: Column) -> Column:
-        return F.floor(F.log(n) / max(log(reach), 0.01) + 1e-9)
-
-    def stray(n: Column) -> Column:
-        """Characters without a partner, at most, in a title of ``n`` characters and one as long as can be."""
-        return F.floor((1 - min_ratio) * (n + F.floor(n * reach + 1e-9)) + 1e-9).cast("int")
-
-    def segments(n: Column) -> Column:
-        return F.least(stray(n) + 1, n)
-
-    n, count, i, size = F.length("norm"), F.col("count"), F.col("i"), F.length("text")
-    begin = lambda k: F.floor(k * F.col("n") / F.col("count")).cast("int")
-    # titles with fewer characters than u + 1 are cut into characters, any of which may be the one
-    enough = F.col("count") > stray(F.col("n"))
-    before, after = F.when(enough, i).otherwise(F.col("n") * 2), F.when(enough, count - 1 - i).otherwise(F.col("n") * 2)
-    at, width, by_start = F.col("at"), F.least(before, after), before <= after
-    place = F.when(by_start, at).otherwise(F.col("n") - at - size)
-    cut = (
-        left.where(n > 0).select("norm", n.alias("n"), segments(n).alias("count"))
-        .withColumn("i", F.explode(F.sequence(F.lit(0), count - 1)))
-        .withColumn("at", begin(i))
-        .withColumn("text", F.substr("norm", at + 1, begin(i + 1) - at))
-        .withColumn("place", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), place - width) / place_band), F.floor((place + width) / place_band))))
-        .withColumn("band", F.explode(F.sequence(length_band(F.col("n") / reach), length_band(F.col("n") * reach))))
-        .select("text", by_start.alias("by_start"), "place", "band", F.col("norm").alias("a"), F.col("n").alias("la"), F.col("at").alias("ia"),
-                before.alias("before"), after.alias("after"))
-    )
-    lengths = F.sequence(F.greatest(F.lit(1), F.ceil(n / reach - 1e-9)).cast("int"), F.floor(n * reach + 1e-9).cast("int"))
-    least_size = F.transform(lengths, lambda k: F.floor(k / segments(k)).cast("int"))
-    sizes = F.array_distinct(F.concat(least_size, F.transform(least_size, lambda k: k + 1)))
-    windows = (
-        right.where(n > 0).select("norm", n.alias("n"), F.explode(sizes).alias("size")).where("size <= n")
-        .withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))))
-        .withColumn("text", F.substr("norm", at + 1, F.col("size")))
-        .withColumn("by_start", F.explode(F.array(F.lit(True), F.lit(False))))
-        .select("text", "by_start", F.floor(F.when(F.col("by_start"), at).otherwise(F.col("n") - at - F.col("size")) / place_band).alias("place"),
-                length_band(F.col("n")).alias("band"), F.col("norm").alias("b"), F.col("n").alias("lb"), F.col("at").alias("ib"))
-    )
-    shift, longer = F.col("ia") - F.col("ib"), F.col("la") - F.col("lb")
-    without = F.floor((1 - min_ratio) * (F.col("la") + F.col("lb")) + 1e-9).cast("int")
+    sides = sides.where(F.size(F.split("norm", " ")) >= min_words).repartition(tasks)
+    sides = materialise(sides.withColumn("id", F.monotonically_increasing_id()), "titles")
+    equal = sides.where("side = 3").select("norm", F.col("norm").alias("match"), F.lit(1.0).alias("similarity"))
+    left, right = sides.where("side <> 2 and norm <> ''"), sides.where("side <> 1 and norm <> ''")
+    # a row a length; the empty title has no other to meet
+    lengths = sides.where("norm <> ''").groupBy(F.length("norm").alias("n")).agg(F.count_if(F.col("side") != 2).alias("cut"), F.count_if(F.col("side") != 1).alias("sought")).collect()
+    keys = Keys(min_ratio, [r["n"] for r in lengths if r["cut"]], [r["n"] for r in lengths if r["sought"]])
+    whole = segment_filter(left, keys, sum(r["cut"] * keys.count(r["n"]) for r in lengths if r["cut"]))
+    cut, sought = keyed_titles(left, keys), keyed_titles(right, keys, spark.sparkContext.broadcast(whole))
+
+    def strays(a: Column, b: Column) -> Column:
+        return F.floor((1 - min_ratio) * (a + b) + 1e-9).cast("int")
+
+    sort = lambda side, k: F.shiftright(F.col(f"{side}.sketch"), 4 * k).bitwiseAND(F.lit(15))
+    unlike = sum((F.abs(sort("a", k) - sort("b", k)) for k in range(16)), F.lit(0))
     met = (
         # the planner takes either side to be as small as the titles it is cut from, and would collect its rows in the driver
-        cut.hint("merge").join(windows, ["text", "by_start", "place", "band"])
-        .where((F.abs(shift) <= F.col("before")) & (F.abs(longer - shift) <= F.col("after")) & (F.abs(shift) + F.abs(longer - shift) <= without))
-        .where((F.col("a") != F.col("b")) & (F.call_function("levenshtein", F.col("a"), F.col("b"), without) >= 0))
-        .select("a", "b")
-        .repartition(tasks, "a", "b")
+        cut.alias("a").hint("merge").join(sought.alias("b"), "key")
+        .where((F.col("a.id") != F.col("b.id")) & (F.abs(F.col("a.n") - F.col("b.n")) <= strays(F.col("a.n"), F.col("b.n"))) & (unlike <= strays(F.col("a.n"), F.col("b.n"))))
+        .select(F.col("a.id").alias("ida"), F.col("b.id").alias("idb"))
         .distinct()
     )
-    scored = met.withColumn("similarity", ratcliff_ratio(F.col("a"), F.col("b"), min_ratio)).where(F.col("similarity") >= min_ratio)
-    equal = sides.where("side = 3").select("norm", F.col("norm").alias("match"), F.lit(1.0).alias("similarity"))
+    named = lambda side: sides.select(F.col("id").alias(f"id{side}"), F.col("norm").alias(side)).hint("merge")
+    n = lambda side: F.length(side)
+    near = (
+        met.join(named("a"), "ida").join(named("b"), "idb")
+        .where(F.call_function("levenshtein", F.col("a"), F.col("b"), strays(n("a"), n("b"))) >= 0)
+        .select("a", "b").repartition(tasks)
+    )
+    scored = near.withColumn("similarity", ratcliff_ratio(F.col("a"), F.col("b"), min_ratio)).where(F.col("similarity") >= min_ratio)
     return equal.union(scored.select(F.col("a").alias("norm"), F.col("b").alias("match"), "similarity"))

@@ -15,6 +15,7 @@ from corpusflow.operators.matching import concept_label, near_titles, normal_tit
 from corpusflow.plans.common import (
     SQL_NAMED_PAGES, named_pages, query, spread, sql_sanitize, sql_strip, sql_words, table,
 )
+from corpusflow.session import materialise
 from corpusflow.sources.ledger import validate_rows
 from corpusflow.sources.structured import PART_SPEC, validate_json
 
@@ -189,7 +190,8 @@ def label_documents(spark, sf_dir):
 @query("title_match")
 def title_match(spark, sf_dir):
     """Page titles against a catalogue that misspells every other one."""
-    pages = named_pages(spark, sf_dir).select("page_id", "title")
+    # read three times below, and large pages have small titles
+    pages = materialise(named_pages(spark, sf_dir).select("page_id", "title"), "page-titles")
     catalogue = pages.select(
         F.when(F.col("page_id") % 2 == 0, F.regexp_replace("title", "a", "e")).otherwise(F.col("title")).alias("title")
     )

@@ -108,6 +108,44 @@ def test_near_titles_are_all_pairs_at_the_ratio(spark, least, min_words):
     assert got == {p: round(r, 9) for p, r in ratios.items() if r >= least} and len(got) > 3
 
 
+def test_titles_of_one_language_seldom_meet(spark):
+    """Titles of the same syllables share short pieces at like places; a rule that lets those meet compares a large share of all pairs."""
+    rng = random.Random(5)
+    syllables = ["the", "on", "ing", "er", "an", "re", "tion", "st", "ou", "ha", "nd", "es", "ea", "ly", "wh", "at"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5)))
+    titles = spark.createDataFrame([(i, " ".join(word() for _ in range(9))[:60].strip()) for i in range(1500)], "id long, norm string")
+    lengths = [r["n"] for r in titles.select(F.length("norm").alias("n")).distinct().collect()]
+    keys = M.Keys(0.9, lengths, lengths)
+    whole = spark.sparkContext.broadcast(M.segment_filter(titles, keys, 30_000))
+    cut, sought = M.keyed_titles(titles, keys), M.keyed_titles(titles, keys, whole)
+    met = cut.alias("a").join(sought.alias("b"), "key").where("a.id <> b.id").count()
+    assert met < 0.04 * 1500**2
+
+
+def test_near_titles_are_found_at_the_last_stray(spark):
+    """Strays as far apart as they can be, in titles of many lengths; the ratio is the least that counts."""
+    rng = random.Random(7)
+    left, right = [], []
+    for n in (9, 10, 19, 40, 57, 60, 90, 150, 333):
+        for lost, more in ((0.5, 0.5), (1.0, 0.0), (0.0, 1.0)):
+            title = "".join(chr(97 + rng.randrange(25)) for _ in range(n))
+            strays = max(1, int(0.2 * n + 1e-9))
+            while True:
+                gone, new = round(strays * lost), round(strays * more)
+                places = [round((k + 0.5) * n / (gone + new)) for k in range(gone + new)]
+                taken = set(places[::2][:gone]) | set(places[1::2][: max(0, gone - len(places[::2]))])
+                other = "".join(("" if i in taken else c) + ("z" if i in places and i not in taken else "") for i, c in enumerate(title))
+                if SequenceMatcher(None, title, other).ratio() >= 0.9 or strays == 0:
+                    break
+                strays -= 1
+            if strays:
+                left.append(title)
+                right.append(other)
+    frame = lambda ts: spark.createDataFrame([(t,) for t in ts], "title string")
+    got = {(r["norm"], r["match"]) for r in M.near_titles(frame(left), frame(right), min_words=1).collect()}
+    assert got == set(zip(left, right)) and len(got) > 20
+
+
 def test_metadata_names_count_if_the_text_prints_them(spark):
     docs = spark.createDataFrame([(1, "t", "by Ann Lee and others"), (2, "t", "nothing"), (3, "t", None)], "key int, title string, text string")
     evidence = spark.createDataFrame([(k, "pdf-metadata", ["Ann Lee", "Acro Bat"]) for k in (1, 2, 3)], "key int, method string, authors array<string>")
