@@ -221,9 +221,10 @@ def gathered(parts: Iterable[tuple[np.ndarray, np.ndarray]], rows: int = 1 << 17
         yield tuple(np.concatenate(x) for x in zip(*held))
 
 
-def sketch(text: np.ndarray) -> np.ndarray:
-    """How often a text has characters of each of sixteen sorts, four bits a sort, 15 at most."""
-    out = np.zeros(text.shape[1], np.uint64)
-    for sort in range(16):
-        out |= np.minimum((text & 15 == sort).sum(0), 15).astype(np.uint64) << np.uint64(4 * sort)
-    return out.view(np.int64)
+def sketches(text: np.ndarray) -> list[np.ndarray]:
+    """How often a text has each character: fifteen counts a number, up to seven each; of common ones also what is beyond."""
+    counts = [(text == c).sum(0) for c in b" abcdefghijklmnopqrstuvwxyz"]
+    counts.append((text >= ord("0")).sum(0) - (text >= ord("a")).sum(0))
+    counts += [(text == c).sum(0) - 7 for c in b" acdeghilmnoprstu"]
+    lanes = [np.clip(c, 0, 7) << 4 * (k % 15) for k, c in enumerate(counts)]
+    return [sum(lanes[k : k + 15]).astype(np.int64) for k in (0, 15, 30)]
