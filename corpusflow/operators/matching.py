@@ -152,8 +152,8 @@ def keyed_titles(titles: DataFrame, keys: Keys, whole: Broadcast | None = None)
 
 
 def unlike(a: str, b: str) -> Column:
-    """Sum of the differences of the counts in the ``sketches`` of two rows, or less; it takes one by fifteens, since a
-    term for each count would be more code than the JVM compiles."""
+    """Sum of the differences of the counts in the ``sketches`` of two rows, or less (modulo 255); by
+    fifteens, which is less work than a term for each count."""
     guards, low = F.lit(0x0888888888888888), F.lit(0x0F0F0F0F0F0F0F0F)
 
     def above(x: Column, y: Column) -> Column:
